@@ -156,8 +156,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def parts_for(df: DataFrame, mb: int = 24, least: int = 12) -> int:
-    """How many parts to deal df's records into: in proportion to the bytes it scans."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """How many parts to deal df's records into: in proportion to the bytes it scans, or to its text where the
+    planner can't tell those."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 56:
+        size = df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     return max(least, min(1 << 16, math.ceil(size / (mb << 20))))
 
 

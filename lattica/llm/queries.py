@@ -28,6 +28,12 @@ def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(whole_numbers(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.perspective import digest, rotate
 
@@ -61,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     return count_tokens(table(spark, sf_dir, "documents"), str(model_path))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_decontaminate, op4_mtree_topk, op6_perspectives, op7_quality, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pack, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op9_language, op10_token_counts)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
