@@ -16,6 +16,7 @@ parallel prefix scan does."""
 from __future__ import annotations
 
 import heapq
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from lattica.llm.common import slices, text_buffer
 
 SPACE = "▁"
 #: A worker that has compiled more states than this starts over, which bounds its memory.
-MAX_STATES = 200_000
+MAX_STATES = 600_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -46,27 +47,35 @@ class Transducer:
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.heads = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
-        self.tails: dict[str, list[str]] = {}
+        self.names = ["", *pieces]
+        self.number = {p: i for i, p in enumerate(self.names)}
+        #: pending suffixes: everything that a piece begins with
+        self.heads = {h: i for i, h in enumerate(dict.fromkeys(["", *(p[:i] for p in pieces for i in range(1, len(p) + 1))]))}
+        self.head_names = list(self.heads)
         self.chars = sorted({c for p in pieces for c in p})
+        if not all(c in pieces for c in self.chars):
+            raise ValueError("each character of a piece must be a piece")
         self.class_of = {c: i for i, c in enumerate(self.chars)}
         # class len(chars): a character outside the vocabulary, which ends whatever was pending.
         self.width = len(self.chars) + 1
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.states: dict[tuple, int] = {}
-        self.keys: list[tuple] = []
+        self.fits: dict[int, bool] = {}
+        # a state's key: the pending suffix's number, then a mark for each prefix that ends i characters before the
+        # suffix's end (i = 0 .. its length): piece number * 64 + 32 + (count - count at the end), or -1
+        self.states: dict[bytes, int] = {}
+        self.keys: list[bytes] = []
         self.steps: dict[tuple[int, int], tuple[int, int]] = {}
-        self.state(("", ()))
+        self.state(struct.pack("2i", 0, 32))
         self.cap = 1 << 14
         self.slot_keys = np.zeros(self.cap, np.int64) - 1
         self.slot_vals = np.zeros(self.cap, np.int64)
         self.filled = 0
 
-    def state(self, key: tuple) -> int:
-        if key not in self.states:
-            self.states[key] = len(self.keys)
+    def state(self, key: bytes) -> int:
+        got = self.states.get(key)
+        if got is None:
+            got = self.states[key] = len(self.keys)
             self.keys.append(key)
-        return self.states[key]
+        return got
 
     def merged(self, text: str) -> list[str]:
         """The segmentation by merges: always the best-scored adjacent pair that makes a piece, the leftmost of equals."""
@@ -93,38 +102,38 @@ class Transducer:
             offer(i, right[i])
         return [p for p in parts if p is not None]
 
-    def fit(self, a: str, b: str) -> bool:
+    def fit(self, a: int, b: int) -> bool:
         """Whether piece b can follow piece a."""
-        got = self.fits.get((a, b))
+        got = self.fits.get(a << 20 | b)
         if got is None:
-            got = self.fits[a, b] = self.merged(a + b) == [a, b]
+            x, y = self.names[a], self.names[b]
+            got = self.fits[a << 20 | b] = self.merged(x + y) == [x, y]
         return got
 
     def step(self, state: int, c: int) -> tuple[int, int]:
-        """State and change of the count. A state's key: (pending suffix, last pieces at its inner prefixes
-        and at its end, with the counts relative to its end)."""
+        """State and change of the count."""
         if c == self.width - 1:
             return 0, 0
-        pending, marks = self.keys[state]
-        grown = pending + self.chars[c]
-        # marks[i]: (last piece, count) of the segmentation that ends i characters before the end of `pending`
-        # for i = 0 .. len(pending); the last stands before the pending suffix.
-        marks = marks or ((None, 0),)
-        best = None
+        key = self.keys[state]
+        head, *marks = struct.unpack(f"{len(key) // 4}i", key)
+        grown = self.head_names[head] + self.chars[c]
         for n in range(len(grown), 0, -1):
-            p = grown[-n:]
-            if p in self.pieces or n == 1:
-                before, count = marks[n - 1]
-                if before is None or self.fit(before, p):
-                    best = (p, count + 1)
-                    break
-        assert best is not None, (pending, grown)
+            p = self.number.get(grown[-n:])
+            mark = marks[n - 1]
+            if p is not None and mark >= 0 and (mark < 64 or self.fit(mark >> 6, p)):
+                break
+        else:
+            raise ValueError(f"no segmentation of {grown!r}")
+        delta = 1 + (mark & 63) - 32
         keep = len(grown)
-        while keep and grown[-keep:] not in self.heads:
+        while grown[len(grown) - keep :] not in self.heads:
             keep -= 1
-        now = [best, *marks][: keep + 1]
-        delta = best[1]
-        return self.state((grown[len(grown) - keep :], tuple((p, n - delta) for p, n in now))), delta
+        now = [p * 64 + 32]
+        for i in range(1, keep + 1):
+            m = marks[i - 1]
+            # a prefix is remembered only if what follows it can still begin a piece
+            now.append(m - delta if m >= 0 and grown[-i:] in self.heads else -1)
+        return self.state(struct.pack(f"{keep + 2}i", self.heads[grown[len(grown) - keep :]], *now)), delta
 
     def lookup(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """step() of many (state, class) pairs: a probe of the compiled table, then the missing ones are compiled."""
@@ -163,7 +172,7 @@ class Transducer:
             self.filled = 0
             for k, v in zip(keys.tolist(), vals.tolist(), strict=True):
                 self._put(k, v)
-        i = int(self._slot(np.array([key]))[0])
+        i = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 20 & self.cap - 1
         while self.slot_keys[i] >= 0:
             i = (i + 1) & (self.cap - 1)
         self.slot_keys[i], self.slot_vals[i] = key, val
