@@ -16,6 +16,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "first")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.decontaminate import digest, find_contamination
 
@@ -67,7 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     return count_tokens(table(spark, sf_dir, "documents"), str(model_path))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op9_language, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_order_minhash, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op9_language, op10_token_counts)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
