@@ -181,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, c: float
             yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([0], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["block", "n", "data"])
 
     schema = "block int, n long, data binary"
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known.hint("shuffle_hash"), "doc_id")
     parts = rows.mapInArrow(count, schema).repartitionById(BLOCKS, F.when(F.col("block") < 0, F.crc32("data") % BLOCKS).otherwise(F.col("block")).cast("int")).mapInArrow(add, schema)
     counts, n_rows, sample, label = np.zeros((2, size)), np.zeros(2), [], []
     for j, n, data in parts.toLocalIterator():
