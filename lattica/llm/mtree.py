@@ -31,7 +31,7 @@ class Node:
 
 
 class MTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 128, fan: int = 16):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 512, fan: int = 16):
         self.ids, self.vectors = ids, vectors
         self.exact = float(np.abs(vectors).max(initial=0)) < 2**22
         square = (vectors.astype(np.float64) ** 2).sum(1)
