@@ -152,6 +152,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done
     return spark.read.schema(df.schema).parquet(path)
 
 
