@@ -1,0 +1 @@
+"""No operator of this engine is a streaming one; batch DataFrames can be fed from any streaming sink."""
