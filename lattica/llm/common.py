@@ -146,6 +146,13 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that cross to Python end at 8 MB, whatever the length of their texts, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) >= 1 << 30:
+        spark.conf.set(key, str(8 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
@@ -156,7 +163,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parts_for(df: DataFrame, mb: int = 24, least: int = 12) -> int:
+def parts_for(df: DataFrame, mb: int = 8, least: int = 12) -> int:
     """How many parts to deal df's records into: in proportion to the bytes it scans, or to its text where the
     planner can't tell those."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import WORD_CLASS, Words, slices, text_buffer, written
+from lattica.llm.common import bounded_batches, WORD_CLASS, Words, slices, text_buffer, written
 
 #: Windows that one broadcast set holds; a larger benchmark is scanned in blocks of whole items.
 MAX_WINDOWS = 400_000
@@ -81,6 +81,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_w
     benchmark: (item_id, text). It is read to the driver in blocks of at most max_windows windows (or one
     item); each block is one pass over the texts, so memory doesn't grow with the benchmark. A null or empty text has no
     words; an item whose id or text is null is no item; repeated items count once; an empty table hits nothing."""
+    bounded_batches(docs.sparkSession)
     clash = {"_words", "_hits", "_items", "n_words", "hit_words", "items"} & set(docs.columns)
     docs = docs.drop(*clash).withColumn("text", F.col("text").cast("string"))
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).dropna().distinct()

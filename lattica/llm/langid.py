@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import U64, WORD_CLASS, mix, slices, text_buffer
+from lattica.llm.common import bounded_batches, U64, WORD_CLASS, mix, slices, text_buffer
 
 #: Fixed parameters. A language's n-gram enters its filter with at least MIN_SHARE of the language's n-grams
 #: (so a filter has 1 / MIN_SHARE entries at most) and at least RATIO of its highest share in any language.
@@ -128,6 +128,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     score: the best language's corrected share of the text's n-grams, 0 to 1. `und` with score 0 for a text that
     is null or has no letter, or where nothing was learned; ties go to the first language in natural order.
     Only the text is read. No shuffle."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(filters)
     base = docs.drop("lang_pred", "score")
     own = base.columns

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import U64, Words, mix, slices, text_buffer
+from lattica.llm.common import bounded_batches, U64, Words, mix, slices, text_buffer
 
 BITS = 17
 #: Added to a row's squared norm, so that the few features of a short text weigh less than the bias.
@@ -142,6 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, c: float
     A document labelled several times takes its highest label; repeated documents count each; null ids have no label."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = {r[0] for r in known.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "doc_id").limit(sample_rows).collect()}
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(chosen)
     size = 1 << BITS
     step = size // BLOCKS
@@ -199,6 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, c: float
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """docs (text; further columns ride along) with score (0 to 1; higher: label 1 likelier) and predicted
     (1 if score >= threshold). Null texts are scored as empty ones. Only the text is read. No shuffle."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("score", "predicted")
     own = base.columns

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, deal, mix, parts_for, powers, slices, text_buffer, to_parts
+from lattica.llm.common import U64, bounded_batches, deal, mix, parts_for, powers, slices, text_buffer, to_parts
 
 NO_ID = (1 << 63) - 1
 KNOWN = np.uint32(0xFFFFFFFF)
@@ -241,6 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
     Texts are UTF-8 bytes, null is empty; texts shorter than window keep all. A null doc_id comes after all others;
     texts that share a doc_id are ordered by a hash. Of equal texts the one with the smallest doc_id is searched
     for repeats, the others are repeats as a whole. Other columns are left out."""
+    bounded_batches(docs.sparkSession)
     n_parts = parts_for(docs)
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "full": F.unhex(F.md5("text"))})

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lattica.llm.common import slices, text_buffer
+from lattica.llm.common import bounded_batches, slices, text_buffer
 
 SPACE = "▁"
 #: A worker that has compiled more states than this starts over, which bounds its memory.
@@ -307,6 +307,7 @@ def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 18, l
     special tokens inside a text are ordinary text. Null and empty texts have none. The model file is read
     from model_path by each worker. No shuffle: rows are independent and long texts are cut into chunks of
     chunk_chars characters."""
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"]]).add("n_bytes", T.LongType()).add("n_tokens", T.LongType()).add("over_limit", T.BooleanType())
 
     def count(batches):
