@@ -184,8 +184,9 @@ def spatial_neighbors(points: DataFrame, k: int = 6) -> DataFrame:
     searched square; points whose slice has fewer than k others get them all."""
     own = points.select("slice", "obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     stats = own.groupBy("slice").agg(F.count("*").alias("n"), F.max("x").alias("x1"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.min("y").alias("y0"))
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))
-    stats = stats.select("slice", "n", F.sqrt(area * k / F.col("n")).alias("cell"), F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("span"))
+    stats = stats.select("slice", "n", F.greatest(F.sqrt(area * k / F.col("n")), span * k / F.col("n"), F.lit(1e-9)).alias("cell"), span.alias("span"))
     base = own.join(small(stats), "slice")
     todo, done, rings = base, None, 1
     grid = base.withColumns({"gx": F.floor(F.col("x") / F.col("cell")), "gy": F.floor(F.col("y") / F.col("cell"))})
