@@ -66,7 +66,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 21):
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 19):
     """Cut a batch so that each part holds about max_bytes of text (one row at least): the numpy
     temporaries of a part are a small multiple of it."""
     if not batch.num_rows:
@@ -147,10 +147,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Batches that cross to Python end at 8 MB, whatever the length of their texts, unless the session says otherwise."""
+    """Batches that cross to Python end at 4 MB, whatever the length of their texts, unless the session says otherwise."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).rstrip("b")) >= 1 << 30:
-        spark.conf.set(key, str(8 << 20))
+        spark.conf.set(key, str(4 << 20))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
