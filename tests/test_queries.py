@@ -3,7 +3,7 @@ from compare import connection, same
 
 from lattica.plans.queries import QUERIES, SQL, entry
 
-D = "/root/testdata/sf0.001"
+D = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
