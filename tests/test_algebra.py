@@ -308,3 +308,30 @@ def test_workflows_end_to_end(spark):
     assert both.count() == s.estimate.count() and cut.count() > 0
     with pytest.raises(RuntimeError, match="comes first"):
         Study(spark).fit()
+
+
+def test_imputation_workflow(spark):
+    from pyspark.sql import functions as F
+
+    from lattica.model import Bundle
+    from lattica.plans import fixtures as fx
+    from lattica.plans.facade import Study
+
+    d = "/root/testdata/sf0.001"
+    e, c = fx.expr(spark, d).where("gene < 'Brand#2'"), fx.cells(spark, d)
+    held = e.select("gene").distinct().orderBy("gene").limit(3)
+    seen = e.join(F.broadcast(held), "gene", "left_anti")
+    s = Study(spark).load(Bundle(seen.where("obs_id % 2 = 0"), c.where("obs_id % 2 = 0")), n_top=500).load_reference(Bundle(e.where("obs_id % 2 = 1"), c.where("obs_id % 2 = 1")))
+    s.st.expr = s.st.expr.withColumn("slice", F.lit("st"))
+    s.st.obs, s.st.counts = s.st.obs.withColumn("slice", F.lit("st")), s.st.counts.withColumn("slice", F.lit("st"))
+    s.generate_pseudo_spots(40)
+    full = s.pseudo.expr
+    s.pseudo.expr = full.join(F.broadcast(held), "gene", "left_anti")
+    s.prepare_pseudo(500)
+    s.var = s.var.withColumn("slice", F.when(F.col("slice") == "pseudo", "pseudo").otherwise("st")).dropDuplicates(["slice", "gene"])
+    s.align_genes(use_hvg=False).build_slices().build_joint_embedding(30, 5).build_reference_graph(200.0, 4)
+    s.build_gene_graph(fx.interactions(spark, d), 1).fit(rank=3, iters=1).attach_embeddings()
+    s.build_imputation_graph(full.join(F.broadcast(held), "gene", "left_semi"), knn_k=3, k_gnn=4, radius=300.0).fit_imputer(epochs=2, hidden=4)
+    out = s.predict_imputation(alpha=0.9)
+    assert out.count() == s.st.obs.count() * len(s.impute_genes) and len(s.impute_genes) == s.n_shared + 3
+    s.release()
