@@ -92,6 +92,33 @@ def test_near_duplicates_equal_brute_force_also_in_a_large_family(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_near_duplicates_search_a_large_group_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    family = [[f"w{i}" for i in range(100)]]
+    for i in range(299):  # each text is near one other and far from most
+        t = list(rng.choice(family))
+        for p in rng.sample(range(40, 100), 2):
+            t[p] = f"x{i}-{p}"
+        family.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(family)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    # one band of one sketch; the groups, and the classes by comparing all pairs of a group
+    raw, off = text_buffer(pa.array([t for _, t in rows], pa.large_string()))
+    h, doc = near_dup.labelled(raw, off, 5)
+    cut = np.searchsorted(doc, np.arange(len(rows) + 1))
+    group = near_dup.order_sketches(h, doc, len(rows), 1)[1][:, 0]
+    assert np.unique(group, return_counts=True)[1].max() > 40
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] == group[j] and root[i] != root[j] and near_dup.similarity(h[cut[i] : cut[i + 1]], h[cut[j] : cut[j + 1]], 0.8) >= 0.8 - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    for block in (400_000, 5_000):  # in one block, and in several
+        monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+        assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df, bands=1, rows=1).collect()} == dict(enumerate(root))
+
+
 def test_near_duplicates_odd_input(odd, none):
     got = near_dup.near_duplicates(odd)
     rows = got.collect()
