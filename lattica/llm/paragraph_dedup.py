@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +115,60 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=["part", "dk", "did", "data"])
 
 
+class _Lines:
+    """Different lines of one band, each compared with all before it, whatever the size of the band. Beyond FEW lines,
+    postings of their runs give the number of runs that a new line has in common with every line held."""
+
+    FEW = 12
+    __slots__ = ("at", "held", "size", "cluster", "postings")
+
+    def __init__(self):
+        self.at: dict[int, int] = {}  # all words: number
+        self.held: list[tuple] = []  # who, full, runs
+        self.postings: dict[int, array] | None = None
+
+    def similar(self, runs: np.ndarray, threshold: float) -> list[int]:
+        """Numbers of held lines that are similar to a line of these runs; beyond FEW lines, one of each cluster."""
+        if self.postings is None:
+            if len(self.held) < self.FEW:
+                fit = lambda r: min(len(r), len(runs)) >= threshold * max(len(r), len(runs))
+                return [j for j, (_, _, r) in enumerate(self.held) if fit(r) and jaccard(r, runs) >= threshold - 1e-9]
+            self.postings, self.size, self.cluster = {}, array("q"), array("q")
+            for _, _, r in self.held:
+                self.indexed(r, threshold)
+        return self.indexed(runs, threshold)
+
+    def indexed(self, runs: np.ndarray, threshold: float) -> list[int]:
+        met = [self.postings.setdefault(x, array("q")) for x in runs.tolist()]
+        n, new = len(self.size), len(self.size)
+        out: list[int] = []
+        some = [np.frombuffer(p, np.int64) for p in met if len(p)]
+        if some:
+            common = np.bincount(np.concatenate(some), minlength=n)
+            size, cluster = np.array(self.size), np.array(self.cluster)
+            near = np.flatnonzero(common / np.maximum(1, size + len(runs) - common) >= threshold - 1e-9)
+            if len(near):
+                joined, first = np.unique(cluster[near], return_index=True)
+                out, new = near[np.sort(first)].tolist(), int(joined[0])
+                if len(joined) > 1:
+                    cluster[np.isin(cluster, joined)] = new
+                    self.cluster = array("q", cluster.tobytes())
+        del some  # an array that numpy looks into can't grow
+        for p in met:
+            p.append(n)
+        self.size.append(len(runs))
+        self.cluster.append(new)
+        return out
+
+
 class _Resolver:
-    """Holds paragraphs that share keys and pairs them: blocks by equal words, lines by their run sets."""
+    """Holds paragraphs that share keys and pairs them: blocks by equal words, lines by their run sets. near: whether
+    lines that are not equal are paired as well."""
 
-    def __init__(self, threshold: float, min_match: int):
-        self.threshold, self.min_match = threshold, min_match
+    def __init__(self, threshold: float, min_match: int, near: bool = True):
+        self.threshold, self.min_match, self.near = threshold, min_match, near
         self.blocks: dict[int, tuple] = {}
-        self.lines: dict[int, list] = {}
+        self.lines: dict[int, _Lines] = {}
         self.ranges: list[tuple] = []  # did, dk, first word, end word
         self.links: list[tuple] = []  # two lines, each did, dk, number, first word, end word
 
@@ -147,24 +195,20 @@ class _Resolver:
         return int(differ[0]) if len(differ) else n
 
     def line(self, key: int, who: tuple, full: int, runs: np.ndarray) -> None:
-        """who: did, dk, number, first word, end word. In a small group all pairs are compared, in a large one each
-        with the lines that began a cluster."""
-        group = self.lines.setdefault(key, [])
-        for i, (other, f, r, lead) in enumerate(group):
-            if f == full:
-                if who < other:
-                    group[i] = (who, f, r, lead)
-                if who != other:
-                    self.links.append((who, other))
-                return
-        found = False
-        for other, _, r, lead in group:
-            if (lead or len(group) <= 12) and min(len(r), len(runs)) >= self.threshold * max(len(r), len(runs)) and jaccard(r, runs) >= self.threshold - 1e-9:
+        """who: did, dk, number, first word, end word."""
+        group = self.lines.setdefault(key, _Lines())
+        i = group.at.get(full)
+        if i is not None:
+            other = group.held[i][0]
+            if who < other:
+                group.held[i] = (who, full, group.held[i][2])
+            if who != other:
                 self.links.append((who, other))
-                found = True
-                if len(group) > 12:
-                    break
-        group.append((who, full, runs, not found))
+            return
+        if self.near and len(runs):
+            self.links += [(who, group.held[j][0]) for j in group.similar(runs, self.threshold)]
+        group.at[full] = len(group.held)
+        group.held.append((who, full, runs))
 
 
 def _pack_block(key: int, who: tuple, before: np.ndarray, after: np.ndarray) -> bytes:
@@ -267,8 +311,8 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
     lists = met.groupBy(F.col("dk").alias("_dk")).agg(F.collect_list("data").alias("lists"))
 
     def gather(batches):
-        def fresh():
-            return _Resolver(threshold, min_match)
+        def fresh():  # near lines are paired where all lines of a band meet
+            return _Resolver(threshold, min_match, near=False)
 
         held, seen, n = fresh(), set(), 0
         for batch in batches:
@@ -315,7 +359,7 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
         for key, (who, before, after) in held.blocks.items():
             put(key, _pack_block(key, who, before, after))
         for key, group in held.lines.items():
-            for who, full, runs, _ in group:
+            for who, full, runs in group.held:
                 put(key, _pack_line(key, who, full, runs))
         for q, x in out.items():
             yield _rows([(q, 0, 0, np.array([len(x), *map(len, x)], np.int64).tobytes() + b"".join(x))])

@@ -181,6 +181,33 @@ def test_paragraph_dedup_near_lines(spark):
     assert got[1].n_removed_words == 0 and got[2].text.strip() == "and a second own line that stays in the text" and len(got[2].spans) == 1
 
 
+def test_paragraph_dedup_compares_all_lines_of_a_large_band():
+    rng = random.Random(9)
+    family = [[f"w{i}" for i in range(100)]]
+    for i in range(399):  # each line is near one other and far from most
+        t = list(rng.choice(family))
+        for p in rng.sample(range(40, 100), 2):
+            t[p] = f"x{i}-{p}"
+        family.append(t)
+    p = paragraph_dedup.Paragraphs(*text_buffer(pa.array([" ".join(t) for t in family], pa.large_string())), 5, 1, 1, 8)
+    runs = [np.unique(p.run[a:b]) for a, b in zip(*p.run_cut, strict=True)]
+    assert len(runs) == 400
+
+    def clusters(pairs):
+        root = list(range(400))
+        for i, j in pairs:
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+        return root
+
+    want = clusters((i, j) for i in range(400) for j in range(i) if paragraph_dedup.jaccard(runs[i], runs[j]) >= 0.8 - 1e-9)
+    for _ in range(2):  # in any order
+        held = paragraph_dedup._Resolver(0.8, 16)
+        for i in rng.sample(range(400), 400):
+            held.line(1, (i, 0, 0, 0, 100), int(p.line_key[i]), runs[i])
+        assert clusters((x[0], y[0]) for x, y in held.links) == want
+
+
 def test_paragraph_dedup_odd_input(odd, none):
     out = paragraph_dedup.cut_repeats(odd)
     rows = out.collect()
