@@ -227,12 +227,14 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
     n_parts = parts_for(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    whole = docs.select(did.alias("did"), F.unhex(F.md5(text)).alias("full"), F.shiftright(F.xxhash64(did, F.md5(text)), 33).cast("int").alias("dk"))
+    # min_match words at least; shorter texts don't count as repeats as a whole, so they are searched
+    inside = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+    whole = docs.where(text.rlike(f"^(?:{inside.replace('[', '[^')}*+{inside}++){{{min_match}}}")).select(did.alias("did"), F.unhex(F.md5(text)).alias("full"), F.shiftright(F.xxhash64(did, F.md5(text)), 33).cast("int").alias("dk"))
     first = whole.groupBy("full").agg(F.min("did").alias("first"))
     copies = written(whole.join(first, "full").where("did <> first").select("dk", "did").distinct(), "paragraph-copies")
     texts = docs.withColumns({"_did": did, "_dk": F.shiftright(F.xxhash64(did, F.md5(text)), 33).cast("int"), "_text": text})
 
-    # only one of equal texts is searched; the others are repeats as a whole
+    # only one of equal texts of min_match words is searched; the others are repeats as a whole
     skipped = copies.groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("did").alias("_copies"))
     searched = texts.select("_dk", "_did", "_text").join(skipped.hint("shuffle_hash"), "_dk", "left").where(F.col("_copies").isNull() | ~F.array_contains("_copies", F.col("_did"))).drop("_copies")
 

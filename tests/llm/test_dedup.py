@@ -208,6 +208,14 @@ def test_paragraph_dedup_compares_all_lines_of_a_large_band():
         assert clusters((x[0], y[0]) for x, y in held.links) == want
 
 
+def test_paragraph_dedup_searches_short_copies(spark):
+    line = "a1 b2 c3 d4 e5 f6 g7 h8 i9 été"  # 10 words
+    long = " ".join(f"l{i}" for i in range(16))
+    rows = [(1, line), (2, line), (3, f"one two\n{line}"), (4, f"one two\n{line}"), (5, "x y z"), (6, "x y z"), (7, long), (8, long)]
+    got = {r.doc_id: r.n_removed_words for r in paragraph_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 10, 3: 10, 4: 10, 5: 0, 6: 0, 7: 0, 8: 16}
+
+
 def test_paragraph_dedup_odd_input(odd, none):
     out = paragraph_dedup.cut_repeats(odd)
     rows = out.collect()
