@@ -435,7 +435,7 @@ def leiden_clusters(s, d):
 
 @query()
 def register_slices(s, d):
-    e = fx.emb(s, d).where("obs_id < 200").select(F.concat(F.lit("b"), F.col("batch").cast("string")).alias("slice"), "obs_id", "vec", (F.col("obs_id") * 7919 % 100).cast("double").alias("x"), (F.col("obs_id") * 104729 % 101).cast("double").alias("y"))
+    e = fx.emb(s, d).select(F.concat(F.lit("b"), F.col("batch").cast("string")).alias("slice"), "obs_id", "vec", (F.col("obs_id") * 7919 % 100).cast("double").alias("x"), (F.col("obs_id") * 104729 % 101).cast("double").alias("y"))
     return register.stack_slices(e.select("slice", "obs_id", "x", "y"), register.align_pairs(e))
 
 

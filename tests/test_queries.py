@@ -23,3 +23,7 @@ def test_query_has_rows(spark, name):
 
 def test_entry(spark):
     assert entry(spark, D).count() > 0
+
+
+def test_register_slices_returns_every_spot(spark):
+    assert QUERIES["register_slices"](spark, D).count() == spark.read.parquet(f"{D}/embeddings.parquet").count() > 200
