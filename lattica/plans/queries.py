@@ -403,20 +403,20 @@ def joint_pca(s, d):
     return linalg.principal_components(fx.emb(s, d).select("obs_id", "vec"), 10, vec="vec", out="pc")[0].select("obs_id", "pc")
 
 
-def _small_study(s, d, genes: int = 24):
-    e = preprocess.log1p(preprocess.normalize_total(fx.expr(s, d).where("slice IN ('s0', 's1')")))
-    top = e.groupBy("gene").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gene").limit(genes)
-    table = genes_of(top)
-    rows = preprocess.dense_rows(e.join(F.broadcast(top), "gene", "left_semi"), table)
-    lap = graphs.laplacian(graphs.spatial_graph(_points(s, d).where("slice IN ('s0', 's1')"), 30.0, 10.0))
+def _study(s, d):
+    """All slices over all genes that every slice has."""
+    e = preprocess.log1p(preprocess.normalize_total(fx.expr(s, d)))
+    var = e.select("slice", "gene").distinct().withColumn("position", F.row_number().over(Window.partitionBy("slice").orderBy("gene")))
+    table = preprocess.align_genes(var, use_hvg=False)
+    rows = preprocess.dense_rows(e.join(F.broadcast(table.select("gene")), "gene", "left_semi"), table)
+    lap = graphs.laplacian(graphs.spatial_graph(_points(s, d), 30.0, 10.0))
     gene = graphs.laplacian(graphs.interaction_graph(fx.interactions(s, d), table, 5))
     return rows, lap, gene
 
 
 @query()
 def factorize_embedding(s, d):
-    f = factorize.fit(*_small_study(s, d), rank=6, iters=3)
-    return factorize.embeddings(f)
+    return factorize.embeddings(factorize.fit(*_study(s, d)))
 
 
 # --- clustering, registration

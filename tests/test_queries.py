@@ -1,6 +1,8 @@
 import pytest
 from compare import connection, same
 
+from lattica.operators import factorize
+from lattica.plans import fixtures as fx
 from lattica.plans.queries import QUERIES, SQL, entry
 
 D = "/root/testdata/sf0.01"
@@ -27,3 +29,20 @@ def test_entry(spark):
 
 def test_register_slices_returns_every_spot(spark):
     assert QUERIES["register_slices"](spark, D).count() == spark.read.parquet(f"{D}/embeddings.parquet").count() > 200
+
+
+def test_factorize_embedding_takes_all_slices_and_genes_at_the_defaults(spark, monkeypatch):
+    asked = {}
+
+    def fit(rows, row_laplacian, gene_laplacian, **options):
+        asked.update(rows=rows, options=options)
+
+    monkeypatch.setattr(factorize, "fit", fit)
+    monkeypatch.setattr(factorize, "embeddings", lambda f: f)
+    QUERIES["factorize_embedding"](spark, D)
+    e = fx.expr(spark, D).select("slice", "obs_id", "gene").toPandas()
+    common = e.groupby("gene")["slice"].nunique()
+    common = set(common[common == e["slice"].nunique()].index)
+    got = asked["rows"].selectExpr("slice", "obs_id", "size(x) AS n").toPandas()
+    assert asked["options"] == {} and set(got["n"]) == {len(common)}
+    assert set(zip(got["slice"], got["obs_id"], strict=True)) == set(zip(e["slice"], e["obs_id"], strict=True))
