@@ -615,16 +615,17 @@ def blend_with_knn_mean(s, d):
 
 @query()
 def graph_imputer(s, d):
-    """Trained for a few epochs on the embeddings' first components as features."""
+    """Features are all components of the embeddings; their graph is that of their ridge factors on joint principal components."""
     e = fx.emb(s, d)
     near = graphs.nearest_pseudo(e.where("dom = 1"), e.where("dom = 0"), 8)
-    rows = e.where("dom = 0").select("obs_id", F.slice("vec", 1, 12).alias("x"))
+    rows = e.where("dom = 0").select("obs_id", F.col("vec").alias("x"))
     tensor = impute.neighbor_tensor(near, rows, 8)
-    truth = e.where("dom = 1").select("obs_id", F.slice("vec", 1, 8).alias("y"))
-    edges = graphs.cosine_graph(s.createDataFrame([(i, [float((i * j) % 5 + 1) for j in range(4)]) for i in range(12)], "obs_id long, vec array<double>"), 3)
-    adj = impute.dense_adjacency(edges, 12)
-    model, _ = impute.fit_imputer(tensor, truth, adj, list(range(8)), 8, epochs=3, hidden=16)
-    return impute.predict_imputer(tensor, model, adj, [f"g{i}" for i in range(12)])
+    truth = e.where("dom = 1").select("obs_id", F.col("vec").alias("y"))
+    pc = linalg.principal_components(e.select("obs_id", "vec"), 10, vec="vec", out="pc")[0].select("obs_id", F.col("pc").alias("vec"))
+    b = impute.ridge_factors(pc, rows)
+    adj = impute.dense_adjacency(impute.gene_graph(s, b, b[:0]), len(b))
+    model, _ = impute.fit_imputer(tensor, truth, adj, list(range(len(b))), 8)
+    return impute.predict_imputer(tensor, model, adj, [f"g{i}" for i in range(len(b))])
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from compare import connection, same
 
-from lattica.operators import factorize
+from lattica.operators import factorize, impute
 from lattica.plans import fixtures as fx
 from lattica.plans.queries import QUERIES, SQL, entry
 
@@ -46,3 +46,19 @@ def test_factorize_embedding_takes_all_slices_and_genes_at_the_defaults(spark, m
     got = asked["rows"].selectExpr("slice", "obs_id", "size(x) AS n").toPandas()
     assert asked["options"] == {} and set(got["n"]) == {len(common)}
     assert set(zip(got["slice"], got["obs_id"], strict=True)) == set(zip(e["slice"], e["obs_id"], strict=True))
+
+
+def test_graph_imputer_uses_all_components(spark, monkeypatch):
+    asked, fit = {}, impute.fit_imputer
+
+    def fewer(tensor, truth, adj, shared, k, **options):
+        asked.update(adj=adj, shared=shared, options=options)
+        return fit(tensor, truth, adj, shared, k, **{**options, "epochs": 1})  # the test trains one epoch only
+
+    monkeypatch.setattr(impute, "fit_imputer", fewer)
+    got = QUERIES["graph_imputer"](spark, D)
+    e = fx.emb(spark, D)
+    n = len(e.first()["vec"])
+    assert got.count() == e.where("dom = 1").count() * n
+    assert asked["adj"].shape == (n, n) and (asked["adj"] > 0).any(1).all()
+    assert asked["shared"] == list(range(n)) and asked["options"] == {}
