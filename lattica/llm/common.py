@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Odd multipliers of the 64-bit hashes (fixed values, so that results repeat between runs).
@@ -136,31 +135,42 @@ class Words:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, as in tests, a local one serves a local
+    master; executors on other machines couldn't read each other's files there, so any other master is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lattica.dir", None)
     if not at:
-        at = spark.conf.get("spark.lattica.dir", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="lattica-")
-            spark.conf.set("spark.lattica.dir", at)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        spark.conf.set("spark.lattica.dir", at)
     return at.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Batches that cross to Python end at 4 MB, whatever the length of their texts, unless the session says otherwise."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) >= 1 << 30:
-        spark.conf.set(key, str(4 << 20))
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage ends there, and a lost
-    executor costs no recomputation of what came before."""
+    """Write df as Parquet into the shared folder and read it again: lineage ends there, and a lost executor costs no
+    recomputation of what came before. Spark drops the shuffle files of the plan when it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lattica/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of plans that are done
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `written` made and that no later plan reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def parts_for(df: DataFrame, mb: int = 8, least: int = 12) -> int:
@@ -186,17 +196,32 @@ def deal(part: np.ndarray, n: int, columns: dict[str, np.ndarray]):
         yield int(p), {k: v[own].tobytes() for k, v in columns.items()}
 
 
-def local_master(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[")
+def connected_spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(dk, did, spans) of each document: its spans, united where they touch, packed as int64 pairs."""
+    if not len(did):
+        return []
+    by = np.lexsort((start, dk, did))
+    did, dk, start, end = did[by], dk[by], start[by], end[by]
+    new = np.append(True, (did[1:] != did[:-1]) | (dk[1:] != dk[:-1]))
+    doc = np.cumsum(new) - 1
+    far = 1 << 40  # documents side by side, so that one running maximum does for all
+    reach = np.maximum.accumulate(end + doc * far)
+    first = np.append(True, (start + doc * far)[1:] > reach[:-1])
+    at = np.flatnonzero(first)
+    ends = np.append(reach[at[1:] - 1], reach[-1]) - doc[at] * far
+    pair = np.stack([start[at], ends], 1).astype(np.int64)
+    cut = np.append(np.flatnonzero(new[at]), len(at))
+    own = at[cut[:-1]]
+    return [(int(dk[i]), int(did[i]), pair[a:b].tobytes()) for i, a, b in zip(own, cut[:-1], cut[1:], strict=True)]
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """Components of an undirected graph given as edges (a, b), any orderable type. Returns (node, root),
     root the least node of the component; nodes without edges don't appear.
 
-    Alternating large-star and small-star steps (grouped minima and joins, no driver state); each round's
-    edges are written to the shared folder. Minima are pre-aggregated before the shuffle, and a hot
-    centre's join is split by the adaptive skew join. Stops when the edges no longer change."""
+    Alternating large-star and small-star steps (grouped minima and joins, no driver state); the minima and each round's
+    edges are written to the shared folder. Minima are pre-aggregated before the shuffle; both sides of a join
+    are read from files, so that the adaptive skew join can split a hot centre. Stops when the edges no longer change."""
     e = written(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), name)
 
     def mark(d: DataFrame) -> tuple:
@@ -205,19 +230,16 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     was = mark(e)
     while was[0]:
         both = e.union(e.selectExpr("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
-        large = both.join(low, "a").where("b > a").selectExpr("b AS u", "m AS v").where("u <> v")
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("explode(array(struct(u AS b, m AS a), struct(v AS b, m AS a))) AS x")
-        e = written(small.select("x.a", "x.b").where("a <> b").distinct(), name)
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), name)
+        large = written(both.join(low, "a").where("b > a").selectExpr("b AS u", "m AS v").where("u <> v").distinct(), name)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(least, "u").selectExpr("explode(array(struct(u AS b, m AS a), struct(v AS b, m AS a))) AS x")
+        new = written(small.select("x.a", "x.b").where("a <> b").distinct(), name)
+        discard(e, low, large, least)
+        e = new
         now = mark(e)
         if now == was:
             break
         was = now
     out = e.groupBy("b").agg(F.min("a").alias("root")).selectExpr("b AS node", "root")
     return out.union(e.selectExpr("a AS node", "a AS root")).groupBy("node").agg(F.min("root").alias("root"))
-
-
-def long_schema(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.LongType()) for n in names])

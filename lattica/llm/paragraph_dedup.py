@@ -3,35 +3,35 @@
 Two kinds of paragraphs: lines of at least `min_words` words, and blocks, which are cut by content (before a word
 whose hash is the least within a few words), so that a passage set into other text holds the same blocks.
 
-Lines get a min-hash signature over runs of `k` words in bands; lines that collide in a band are verified by the
-exact Jaccard index of their run sets. A block's one band is the hash of all its words (index 1); a match is
-extended word by word to both sides and counts from `min_match` words. Verified pairs are clustered to
-connected components, and all of a component but its first paragraph (by doc_id, then place) is cut out.
+Lines get a min-hash signature over runs of `k` words in bands. Different lines that collide in a band are searched
+for pairs whose run sets have an exact Jaccard index of `threshold` or more, whatever the size of the band; pairs are
+clustered to connected components, and all of a component but its first line (by doc_id, then place) is cut out.
 
-Only keys that occur twice leave their task with their words: first the keys, 14 bytes each, meet in parts dealt
-evenly by hash, then the paragraphs of the keys met. A task resolves what it holds itself and sends one
-paragraph for each different one, so a passage that a third of all documents share costs one record a task."""
+A block's one band is the hash of all its words. A block met twice is verified by windows around it: runs of words, of
+at least `min_match`, that reach from the block up to AROUND words to one side (in steps of two) and as far to
+the other as min_match asks for. Of equal windows all but the first are cut out.
+
+Only keys that occur twice leave their task with more than 20 bytes: first the keys meet in parts dealt evenly by hash,
+then the windows of the blocks and the run sets of the lines met. A task settles what it holds itself and sends one
+record for each different window, so a passage that a third of all documents share costs one record a task."""
 
 from __future__ import annotations
 
 import math
-import struct
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import STEP, U64, Words, bounded_batches, connected_components, deal, mix, parts_for, powers, slices, text_buffer, to_parts, written
+from lattica.llm.common import STEP, U64, Words, connected_spans, deal, discard, mix, parts_for, powers, slices, text_buffer, to_parts, written
+from lattica.llm.group_search import search_groups
 
 TOP = U64((1 << 64) - 1)
 KNOWN = np.uint32(0xFFFFFFFF)
-#: Words to both sides over which a block's match is extended, and half the width of the window that cuts blocks.
+#: Words to one side up to which a window reaches from its block, and half the width of the window that cuts blocks.
 AROUND, HALF = 20, 5
 NO_ID = (1 << 63) - 1
-BLOCK_HEAD, LINE_HEAD = "<BQqiiiBB", "<BQQqiiii"
-NO_RUNS = np.zeros(0, np.uint64)
 #: The end of a range over all words of a text, which counts for texts of min_match words at least.
 WHOLE = 1 << 40
 
@@ -84,6 +84,10 @@ class Paragraphs:
         np.cumsum(w.hash * up[:n], out=total[1:])
         whole = lambda x: mix((total[x[:, 1]] - total[x[:, 0]]) * down[x[:, 0]])
         self.block_key, self.line_key = whole(self.blocks), whole(self.lines)
+        self.up_down, self.total = (up, down), total
+        # other hashes of the words, so that equal words are told by more than 64 bits
+        self.other = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(w.hash + U64(3)) * up[:n], out=self.other[1:])
         # bands of the lines
         keys = np.zeros((len(self.lines), bands), np.uint64)
         if len(self.lines):
@@ -98,6 +102,27 @@ class Paragraphs:
         self.line_doc = w.doc[self.lines[:, 0]] if n else np.zeros(0, np.int64)
         self.block_doc = w.doc[self.blocks[:, 0]] if n else np.zeros(0, np.int64)
 
+    def ranges(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the words begin..end of each range."""
+        down = self.up_down[1][begin]
+        return tuple(mix((t[end] - t[begin]) * down) for t in (self.total, self.other))
+
+    def windows(self, block: np.ndarray, min_match: int) -> tuple[np.ndarray, ...]:
+        """Of the numbered blocks: (number in the argument, two hashes, first word, end word) of all windows around them."""
+        a, b = self.blocks[block].T
+        doc = self.block_doc[block]
+        low, high = self.words.first[doc], self.words.first[doc] + self.words.count[doc]
+        out = []
+        for reach in range(0, AROUND + 1, 2):
+            least = np.maximum(0, min_match - (b - a) - reach)
+            for begin, end in ((a - reach, b + least), (a - least, b + reach)):
+                i = np.flatnonzero((begin >= low) & (end <= high))
+                one, two = self.ranges(begin[i], end[i])
+                # the block's place in the window is part of its name
+                place = ((a[i] - begin[i]) << 32 | (b[i] - a[i])).astype(np.uint64)
+                out.append((i, mix(one + place * STEP), two, begin[i], end[i]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
     def local(self, doc: np.ndarray) -> np.ndarray:
         """Number of each paragraph within its document."""
         first = np.searchsorted(doc, doc)
@@ -115,114 +140,27 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=["part", "dk", "did", "data"])
 
 
-class _Lines:
-    """Different lines of one band, each compared with all before it, whatever the size of the band. Beyond FEW lines,
-    postings of their runs give the number of runs that a new line has in common with every line held."""
-
-    FEW = 12
-    __slots__ = ("at", "held", "size", "cluster", "postings")
-
-    def __init__(self):
-        self.at: dict[int, int] = {}  # all words: number
-        self.held: list[tuple] = []  # who, full, runs
-        self.postings: dict[int, array] | None = None
-
-    def similar(self, runs: np.ndarray, threshold: float) -> list[int]:
-        """Numbers of held lines that are similar to a line of these runs; beyond FEW lines, one of each cluster."""
-        if self.postings is None:
-            if len(self.held) < self.FEW:
-                fit = lambda r: min(len(r), len(runs)) >= threshold * max(len(r), len(runs))
-                return [j for j, (_, _, r) in enumerate(self.held) if fit(r) and jaccard(r, runs) >= threshold - 1e-9]
-            self.postings, self.size, self.cluster = {}, array("q"), array("q")
-            for _, _, r in self.held:
-                self.indexed(r, threshold)
-        return self.indexed(runs, threshold)
-
-    def indexed(self, runs: np.ndarray, threshold: float) -> list[int]:
-        met = [self.postings.setdefault(x, array("q")) for x in runs.tolist()]
-        n, new = len(self.size), len(self.size)
-        out: list[int] = []
-        some = [np.frombuffer(p, np.int64) for p in met if len(p)]
-        if some:
-            common = np.bincount(np.concatenate(some), minlength=n)
-            size, cluster = np.array(self.size), np.array(self.cluster)
-            near = np.flatnonzero(common / np.maximum(1, size + len(runs) - common) >= threshold - 1e-9)
-            if len(near):
-                joined, first = np.unique(cluster[near], return_index=True)
-                out, new = near[np.sort(first)].tolist(), int(joined[0])
-                if len(joined) > 1:
-                    cluster[np.isin(cluster, joined)] = new
-                    self.cluster = array("q", cluster.tobytes())
-        del some  # an array that numpy looks into can't grow
-        for p in met:
-            p.append(n)
-        self.size.append(len(runs))
-        self.cluster.append(new)
-        return out
-
-
-class _Resolver:
-    """Holds paragraphs that share keys and pairs them: blocks by equal words, lines by their run sets. near: whether
-    lines that are not equal are paired as well."""
-
-    def __init__(self, threshold: float, min_match: int, near: bool = True):
-        self.threshold, self.min_match, self.near = threshold, min_match, near
-        self.blocks: dict[int, tuple] = {}
-        self.lines: dict[int, _Lines] = {}
-        self.ranges: list[tuple] = []  # did, dk, first word, end word
-        self.links: list[tuple] = []  # two lines, each did, dk, number, first word, end word
-
-    def block(self, key: int, who: tuple, before: np.ndarray, after: np.ndarray) -> None:
-        """who: did, dk, first word, end word; before (nearest first), after: hashes of the words around."""
-        held = self.blocks.get(key)
-        if held is None:
-            self.blocks[key] = (who, before, after)
-            return
-        other, b, a = held
-        if who < other:
-            self.blocks[key] = (who, before, after)
-            who, other = other, who
-        if who == other:
-            return
-        left, right = (self.equal(x, y) for x, y in ((b, before), (a, after)))
-        if who[3] - who[2] + left + right >= self.min_match:
-            self.ranges.append((who[0], who[1], who[2] - left, who[3] + right))
-
-    @staticmethod
-    def equal(x: np.ndarray, y: np.ndarray) -> int:
-        n = min(len(x), len(y))
-        differ = np.flatnonzero(x[:n] != y[:n])
-        return int(differ[0]) if len(differ) else n
-
-    def line(self, key: int, who: tuple, full: int, runs: np.ndarray) -> None:
-        """who: did, dk, number, first word, end word."""
-        group = self.lines.setdefault(key, _Lines())
-        i = group.at.get(full)
-        if i is not None:
-            other = group.held[i][0]
-            if who < other:
-                group.held[i] = (who, full, group.held[i][2])
-            if who != other:
-                self.links.append((who, other))
-            return
-        if self.near and len(runs):
-            self.links += [(who, group.held[j][0]) for j in group.similar(runs, self.threshold)]
-        group.at[full] = len(group.held)
-        group.held.append((who, full, runs))
-
-
-def _pack_block(key: int, who: tuple, before: np.ndarray, after: np.ndarray) -> bytes:
-    return struct.pack(BLOCK_HEAD, 0, key, *who, len(before), len(after)) + before.tobytes() + after.tobytes()
-
-
-def _pack_line(key: int, who: tuple, full: int, runs: np.ndarray) -> bytes:
-    return struct.pack(LINE_HEAD, 1, key, full, *who) + runs.tobytes()
-
-
-def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.99, min_words: int = 8, min_match: int = 16) -> tuple[DataFrame, DataFrame]:
+#: A window's record: the low half of its first hash (the part holds of the high half), of its second, and its place.
+WINDOW = np.dtype([("h", "<u4"), ("c", "<u4"), ("did", "<i8"), ("dk", "<i4"), ("begin", "<i4"), ("end", "<i4")])
+
+
+def _first(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of window records: the first of each different window, and the others (a repeated row of a document is no other)."""
+    w = w[np.lexsort((w["begin"], w["dk"], w["did"], w["c"], w["h"]))]
+    new = np.append(True, (w["h"][1:] != w["h"][:-1]) | (w["c"][1:] != w["c"][:-1])) if len(w) else np.zeros(0, bool)
+    first = w[new]
+    own = first[np.cumsum(new) - 1]
+    return first, w[(w["did"] != own["did"]) | (w["dk"] != own["dk"]) | (w["begin"] != own["begin"])]
+
+
+def _spans(w: np.ndarray) -> list[pa.RecordBatch]:
+    """Rows (-1, dk, did, ranges) of the windows' documents."""
+    return [_rows([(-1, *x) for x in connected_spans(w["did"], w["dk"].astype(np.int64), w["begin"].astype(np.int64), w["end"].astype(np.int64))])] if len(w) else []
+
+
+def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.99, min_words: int = 16, min_match: int = 16) -> tuple[DataFrame, DataFrame]:
     """(texts, ranges): docs with their keys (_dk, _did) and `_text` (not null), and rows (dk, did, data, flat): word ranges to
     cut out of each, as packed int64 pairs or as flat pairs."""
-    bounded_batches(docs.sparkSession)
     bands = bands_for(threshold, rows, recall)
     n_parts = parts_for(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -242,70 +180,75 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
         held, n = [], 0
 
         def flush():
-            h, f, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((f, h))
-            h, f, d, p = h[order], f[order], d[order], p[order]
-            one, size, new_h = kinds(h, f)
-            n_h = np.diff(np.append(new_h, len(h)))
-            known = np.repeat((f[new_h] == 0) & (n_h > 1) | (f[new_h] > 0) & (f[new_h + n_h - 1] != f[new_h]), n_h)
-            if known.any():
-                yield answer(d[known], p[known])
-            code = np.where((f[one] == 0) & (size > 1), KNOWN, p[one])
-            own = {"h": h[one].astype(np.uint32), "d": d[one].astype(np.uint32), "p": code.astype(np.uint32), "f": f[one]}
-            yield _rows([(q, 0, 0, x["h"] + x["d"] + x["p"] + x["f"]) for q, x in deal(to_parts(h[one], n_parts), n_parts, own)])
+            for tagged in (0, 1):
+                h, f, d, p = (np.concatenate(x) for x in zip(*(x[tagged] for x in held), strict=True))
+                order = np.lexsort((f, h)) if tagged else np.argsort(h, kind="stable")
+                h, f, d, p = h[order], f[order], d[order], p[order]
+                again = several(h, f, tagged)
+                if again.any():
+                    yield answer(d[again], p[again])
+                one, size = distinct(h, f)
+                code = np.where((size > 1) & (tagged == 0), KNOWN, p[one])
+                own = {"h": h[one].astype(np.uint32), "d": d[one].astype(np.uint32), "p": code.astype(np.uint32)} | ({"f": f[one]} if tagged else {})
+                yield from (_rows([(q, 0, tagged, b"".join(x.values()))]) for q, x in deal(to_parts(h[one], n_parts), n_parts, own))
 
         for batch in batches:
             for piece in slices(batch, "_text"):
-                raw, off = text_buffer(piece.column("_text"))
-                p = Paragraphs(raw, off, k, bands, rows, min_words)
+                p = Paragraphs(*text_buffer(piece.column("_text")), k, bands, rows, min_words)
                 dk = piece.column("_dk").to_numpy()
-                # kinds: blocks, whole lines (both by all their words), lines by band; 16 bits tell a band's lines apart
-                h = np.concatenate([p.block_key, mix(p.line_key + U64(5)), p.band_key.ravel()])
-                doc = np.concatenate([p.block_doc, p.line_doc, np.repeat(p.line_doc, bands)])
+                # kinds of references: blocks, whole lines (both by all their words), and lines by band, whose key tells a band's lines apart
                 at = p.local(p.line_doc) * 3
-                ref = np.concatenate([p.local(p.block_doc) * 3, at + 1, np.repeat(at + 2, bands)])
-                f = np.zeros(len(h), np.uint16)
-                f[len(h) - len(at) * bands :] = np.repeat((p.line_key % U64(65535) + U64(1)).astype(np.uint16), bands)
-                held.append((h, f, dk[doc], ref.astype(np.uint32)))
-                n += len(h)
+                plain = np.concatenate([p.block_key, mix(p.line_key + U64(5))])
+                ref = np.concatenate([p.local(p.block_doc) * 3, at + 1])
+                banded = np.repeat(p.line_doc, bands)
+                held.append((
+                    (plain, np.zeros(len(plain), np.uint64), dk[np.concatenate([p.block_doc, p.line_doc])], ref.astype(np.uint32)),
+                    (p.band_key.ravel(), np.repeat(p.line_key, bands), dk[banded], np.repeat(at + 2, bands).astype(np.uint32)),
+                ))
+                n += len(plain) + len(banded)
                 if n > 400_000:
                     yield from flush()
                     held, n = [], 0
         if n:
             yield from flush()
 
+    def distinct(h, f):
+        """First of each (h, f) of sorted records, and how many each has."""
+        one = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1])) if len(h) else np.zeros(0, bool))
+        return one, np.diff(np.append(one, len(h)))
+
+    def several(h, f, tagged):
+        """Which records share a key with another one: any other, or for tagged ones one of another tag."""
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool))
+        size = np.diff(np.append(new, len(h)))
+        return np.repeat(f[new + size - 1] != f[new] if tagged else size > 1, size)
+
     def answer(d, p):
         both = np.unique(d.astype(np.int64) << 32 | p.astype(np.int64))
         d, p = both >> 32, (both & 0xFFFFFFFF).astype(np.uint32)
         cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
         return _rows([(-1, int(d[a]), 0, p[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)])
 
-    def kinds(h, f):
-        """Of records sorted by (h, f): first of each (h, f), their numbers, and first of each h."""
-        new_h = np.append(True, h[1:] != h[:-1])
-        one = np.flatnonzero(new_h | np.append(True, f[1:] != f[:-1]))
-        return one, np.diff(np.append(one, len(h))), np.flatnonzero(new_h)
-
     def meet(batches):
-        held = []
+        held: tuple[list, list] = ([], [])
         for batch in batches:
             own = batch.column("part").to_numpy() < 0
             if own.any():
                 yield batch.filter(pa.array(own))
-            for x, o in zip(batch.column("data"), own, strict=True):
+            for x, tagged, o in zip(batch.column("data"), batch.column("did").to_pylist(), own, strict=True):
                 if not o:
                     data = x.as_buffer()
-                    n = len(data) // 14
-                    held.append((*np.frombuffer(data, np.uint32, 3 * n).reshape(3, n), np.frombuffer(data, np.uint16, n, 12 * n)))
-        if held:
-            h, d, p, f = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((f, h))
-            h, f, d, p = h[order], f[order], d[order], p[order]
-            _, _, new_h = kinds(h, f)
-            n_h = np.diff(np.append(new_h, len(h)))
-            some = np.repeat((f[new_h] == 0) & (n_h > 1) | (f[new_h] > 0) & (f[new_h + n_h - 1] != f[new_h]), n_h) & (p != KNOWN)
-            if some.any():
-                yield answer(d[some].astype(np.int32), p[some])
+                    n = len(data) // (20 if tagged else 12)
+                    f = np.frombuffer(data, np.uint64, n, 12 * n) if tagged else np.zeros(n, np.uint64)
+                    held[tagged].append((*np.frombuffer(data, np.uint32, 3 * n).reshape(3, n), f))
+        for tagged in (0, 1):
+            if held[tagged]:
+                h, d, p, f = (np.concatenate(x) for x in zip(*held[tagged], strict=True))
+                order = np.lexsort((f, h)) if tagged else np.argsort(h, kind="stable")
+                h, f, d, p = h[order], f[order], d[order], p[order]
+                some = several(h, f, tagged) & (p != KNOWN)
+                if some.any():
+                    yield answer(d[some].astype(np.int32), p[some])
 
     packed = "part int, dk int, did long, data binary"
     dealt = F.when(F.col("part") < 0, F.pmod("dk", F.lit(n_parts))).otherwise(F.col("part")).cast("int")
@@ -313,125 +256,114 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
     lists = met.groupBy(F.col("dk").alias("_dk")).agg(F.collect_list("data").alias("lists"))
 
     def gather(batches):
-        def fresh():  # near lines are paired where all lines of a band meet
-            return _Resolver(threshold, min_match, near=False)
+        """Windows of the blocks met (dealt to parts), lines met (part -2: their places; part -3: their runs and bands)."""
+        held, n = [], 0
+        sent: set[bytes] = set()
+
+        def flush():
+            first, others = _first(np.concatenate(held))
+            yield from _spans(others)
+            part = first["part"]
+            plain = first[list(WINDOW.names)].astype(WINDOW)
+            yield from (_rows([(q, 0, 0, x["w"])]) for q, x in deal(part, n_parts, {"w": plain}))
 
-        held, seen, n = fresh(), set(), 0
         for batch in batches:
             for piece in slices(batch, "_text"):
-                raw, off = text_buffer(piece.column("_text"))
-                p = Paragraphs(raw, off, k, bands, rows, min_words)
-                w = p.words
-                small = w.hash.astype(np.uint32)
-                block_first, line_first = np.searchsorted(p.block_doc, np.arange(piece.num_rows)), np.searchsorted(p.line_doc, np.arange(piece.num_rows))
-                for i, (dk, did, data) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("_dk", "_did", "lists")), strict=True)):
-                    refs = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in data])).astype(np.int64)
-                    zero, end = int(w.first[i]), int(w.first[i] + w.count[i])
-                    for ref in refs.tolist():
-                        number, kind = divmod(ref, 3)
-                        j = (line_first if kind else block_first)[i] + number
-                        of = p.lines if kind else p.blocks
-                        if j >= len(of) or (p.line_doc if kind else p.block_doc)[j] != i:
-                            continue  # an answer meant for another document of the same dk
-                        a, b = int(of[j, 0]), int(of[j, 1])
-                        if kind == 1:
-                            held.line(int(p.line_key[j]), (did, dk, number, a - zero, b - zero), 0, NO_RUNS)
-                        elif kind == 2:
-                            runs = np.unique(p.run[p.run_cut[0][j] : p.run_cut[1][j]])
-                            for key in p.band_key[j].tolist():
-                                held.line(key, (did, dk, number, a - zero, b - zero), int(p.line_key[j]), runs)
-                        else:
-                            held.block(int(p.block_key[j]), (did, dk, a - zero, b - zero), small[max(zero, a - AROUND) : a][::-1].copy(), small[b : min(end, b + AROUND)].copy())
-                        n += 1
-                    seen.add((did, dk))
-                if n > 30_000:
-                    yield from send(held)
-                    held, n = fresh(), 0
+                p = Paragraphs(*text_buffer(piece.column("_text")), k, bands, rows, min_words)
+                zero = p.words.first
+                ids, keys = piece.column("_did").to_numpy(), piece.column("_dk").to_numpy()
+                number = np.arange(piece.num_rows)
+                firsts = [np.searchsorted(x, number) for x in (p.block_doc, p.line_doc)]
+                ends = [np.searchsorted(x, number, side="right") for x in (p.block_doc, p.line_doc)]
+                refs = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in data])).astype(np.int64) for data in piece.column("lists").to_pylist()]
+                doc = np.repeat(number, [len(x) for x in refs])
+                at, kind = np.divmod(np.concatenate(refs) if refs else np.zeros(0, np.int64), 3)
+                for lines in (0, 1):
+                    own = np.flatnonzero((kind > 0) == lines)
+                    j = firsts[lines][doc[own]] + at[own]
+                    fits = j < ends[lines][doc[own]]  # else an answer meant for another document of the same dk
+                    own, j = own[fits], j[fits]
+                    if not len(j):
+                        continue
+                    if not lines:
+                        i, one, two, begin, end = p.windows(j, min_match)
+                        d = doc[own][i]
+                        w = np.zeros(len(i), [*WINDOW.descr, ("part", "<i4")])
+                        for c, v in (("h", one.astype(np.uint32)), ("c", two.astype(np.uint32)), ("did", ids[d]), ("dk", keys[d]), ("begin", begin - zero[d]), ("end", end - zero[d]), ("part", to_parts(one, n_parts))):
+                            w[c] = v
+                        held.append(w)
+                        n += len(w)
+                        continue
+                    one, two = p.ranges(p.lines[j, 0], p.lines[j, 1])
+                    names = [x.tobytes() for x in np.stack([one, two], 1)]
+                    place = np.stack([at[own], p.lines[j, 0] - zero[doc[own]], p.lines[j, 1] - zero[doc[own]]], 1).astype(np.int32)
+                    yield _rows([(-2, int(keys[d]), int(ids[d]), x + y.tobytes()) for d, x, y in zip(doc[own], names, place, strict=True)])
+                    near = [(-3, int(keys[d]), 0, x + p.band_key[y].tobytes() + np.unique(p.run[p.run_cut[0][y] : p.run_cut[1][y]]).tobytes()) for d, x, y, z in zip(doc[own], names, j, kind[own], strict=True) if z == 2 and x not in sent]
+                    sent.update(x[3][:16] for x in near)
+                    if len(sent) > 100_000:
+                        sent.clear()
+                    if near:
+                        yield _rows(near)
+                if n > 400_000:
+                    yield from flush()
+                    held, n = [], 0
         if n:
-            yield from send(held)
-
-    def send(held: _Resolver):
-        yield from answers(held)
-        out: dict[int, list[bytes]] = {}
-
-        def put(key: int, data: bytes) -> None:
-            q = (key >> 32) * n_parts >> 32
-            out.setdefault(q, []).append(data)
-
-        for key, (who, before, after) in held.blocks.items():
-            put(key, _pack_block(key, who, before, after))
-        for key, group in held.lines.items():
-            for who, full, runs in group.held:
-                put(key, _pack_line(key, who, full, runs))
-        for q, x in out.items():
-            yield _rows([(q, 0, 0, np.array([len(x), *map(len, x)], np.int64).tobytes() + b"".join(x))])
-
-    def answers(held: _Resolver):
-        """Ranges (part -1) and links (part -2) found so far."""
-        by: dict[tuple, list] = {}
-        for did, dk, a, b in held.ranges:
-            by.setdefault((did, dk), []).append((a, b))
-        if by:
-            yield _rows([(-1, dk, did, np.array(x, np.int64).tobytes()) for (did, dk), x in by.items()])
-        if held.links:
-            yield _rows([(-2, x[1], x[0], np.array([*x, *y], np.int64).tobytes()) for x, y in dict.fromkeys(held.links)])
-        held.ranges, held.links = [], []
+            yield from flush()
 
     def resolve(batches):
-        held = _Resolver(threshold, min_match)
+        held = []
         for batch in batches:
             own = batch.column("part").to_numpy() < 0
             if own.any():
                 yield batch.filter(pa.array(own))
-            for data, o in zip(batch.column("data"), own, strict=True):
-                if o:
-                    continue
-                data = data.as_py()
-                n = int(np.frombuffer(data[:8], np.int64)[0])
-                size = np.frombuffer(data[8 : 8 + 8 * n], np.int64)
-                at = 8 + 8 * n
-                for s in size.tolist():
-                    x = data[at : at + s]
-                    at += s
-                    if x[0] == 0:
-                        _, key, did, dk, a, b, n_before, _ = struct.unpack_from(BLOCK_HEAD, x)
-                        around = np.frombuffer(x, np.uint32, offset=struct.calcsize(BLOCK_HEAD))
-                        held.block(key, (did, dk, a, b), around[:n_before], around[n_before:])
-                    else:
-                        _, key, full, *who = struct.unpack_from(LINE_HEAD, x)
-                        held.line(key, tuple(who), full, np.frombuffer(x, np.uint64, offset=struct.calcsize(LINE_HEAD)))
-                if len(held.ranges) + len(held.links) > 50_000:
-                    yield from answers(held)
-        yield from answers(held)
+            held += [np.frombuffer(x.as_buffer(), WINDOW) for x, o in zip(batch.column("data"), own, strict=True) if not o]
+        if held:
+            yield from _spans(_first(np.concatenate(held))[1])
 
     with_lists = searched.join(lists.hint("shuffle_hash"), "_dk")
     found = written(with_lists.mapInArrow(gather, packed).repartitionById(n_parts, dealt).mapInArrow(resolve, packed), "paragraph-found")
-    links = found.where("part = -2").select("data").mapInArrow(_links, "a struct<did:long,dk:int,at:int,w0:int,w1:int>, b struct<did:long,dk:int,at:int,w0:int,w1:int>")
-    roots = connected_components(links, "paragraph-components")
-    repeated = roots.where("node <> root").select(F.col("node.dk").alias("dk"), F.col("node.did").alias("did"), F.array(F.col("node.w0").cast("long"), F.col("node.w1").cast("long")).alias("r"))
-    lines = repeated.groupBy("dk", "did").agg(F.flatten(F.collect_list("r")).alias("flat"))
+    lines = found.where("part = -3").select(F.substring("data", 1, 16).alias("full"), "data").dropDuplicates(["full"])
+    lines = written(lines.mapInArrow(lambda batches: _line_runs(batches, bands), "full binary, n int, bands array<long>, seq binary"), "paragraph-lines")
+    each = lines.where("n > 0").select("full", "n", F.explode("bands").alias("key"))
+    sizes = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    bands_met = written(each.join(sizes, "key"), "paragraph-met")
+    _, roots = search_groups(bands_met, lines.select("full", "seq"), jaccard, threshold, "paragraph")
+    holders = found.where("part = -2").select(F.substring("data", 1, 16).alias("full"), "did", "dk", F.substring("data", 17, 12).alias("place"))
+    holders = holders.mapInArrow(_places, "full binary, did long, dk int, at int, w0 long, w1 long").distinct()
+    holders = written(holders.join(roots.select(F.col("node").alias("full"), "root"), "full", "left").select(F.coalesce("root", "full").alias("root"), "did", "dk", "at", "w0", "w1"), "paragraph-holders")
+    least = written(holders.groupBy("root").agg(F.min(F.struct("did", "dk", "at")).alias("least")), "paragraph-least")
+    again = holders.join(least, "root").where(F.struct("did", "dk", "at") != F.col("least"))
+    repeated = again.groupBy("dk", "did").agg(F.flatten(F.collect_list(F.array("w0", "w1"))).alias("flat"))
+    discard(bands_met)
     ranges = found.where("part = -1").select("dk", "did", "data", F.lit(None).cast("array<long>").alias("flat"))
-    ranges = ranges.unionByName(lines.select("dk", "did", F.lit(None).cast("binary").alias("data"), "flat"))
+    ranges = ranges.unionByName(repeated.select("dk", "did", F.lit(None).cast("binary").alias("data"), "flat"))
     return texts, ranges.unionByName(copies.select("dk", "did", F.lit(None).cast("binary").alias("data"), F.array(F.lit(0).cast("long"), F.lit(WHOLE).cast("long")).alias("flat")))
 
 
-def _links(batches):
-    t = pa.struct([("did", pa.int64()), ("dk", pa.int32()), ("at", pa.int32()), ("w0", pa.int32()), ("w1", pa.int32())])
+def _line_runs(batches, bands: int):
+    for batch in batches:
+        data = [x.as_buffer() for x in batch.column("data")]
+        key = [np.frombuffer(x, np.int64, bands, 16) for x in data]
+        runs = [bytes(x[16 + 8 * bands :]) for x in data]
+        yield pa.RecordBatch.from_arrays([batch.column("full"), pa.array([len(x) // 8 for x in runs], pa.int32()), pa.array(key, pa.list_(pa.int64())), pa.array(runs, pa.binary())], names=["full", "n", "bands", "seq"])
+
+
+def _places(batches):
     for batch in batches:
-        x = np.array([np.frombuffer(d.as_buffer(), np.int64) for d in batch.column("data")], np.int64).reshape(-1, 10)
-        sides = [pa.StructArray.from_arrays([pa.array(x[:, 5 * s + i]).cast(t[i].type) for i in range(5)], fields=list(t)) for s in (0, 1)]
-        yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+        at = np.frombuffer(b"".join(x.as_py() for x in batch.column("place")), np.int32).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at[:, 0]), pa.array(at[:, 1].astype(np.int64)), pa.array(at[:, 2].astype(np.int64))], names=["full", "did", "dk", "at", "w0", "w1"])
 
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text) with the repeated paragraphs cut out of text, and n_words, n_removed_words, spans
     (array<struct<start, end>>: the bytes cut out of the text as it was, in order).
 
-    Every row comes back, other columns ride along (but for clashing names). A cut goes from the first word to the
-    next word that stays, or to the text's end. Null texts stay null, empty ones empty. The first of equal or
-    similar paragraphs is the one with the least (doc_id, place), a null doc_id coming last; rows that repeat in
-    doc_id and text are one document and stay alike. Of equal texts of min_match words or more all but the first are
-    cut out as a whole."""
+    Every row comes back, other columns ride along, but for those named n_words, n_removed_words or spans. A cut goes from
+    the first word to the next word that stays, or to the text's end. Null texts stay null, empty ones empty; texts are
+    searched whole, however long; an empty table gives none. The first of equal or similar paragraphs is the one with the
+    least (doc_id, place), a null doc_id coming last; rows that repeat in doc_id and text are one document and stay
+    alike. Of equal texts of min_match words or more all but the first are cut out as a whole. Lines of under
+    min_words words and repeats of under min_match words stay. The result doesn't depend on partitions."""
     docs = docs.drop("n_words", "n_removed_words", "spans").withColumn("text", F.col("text").cast("string"))
     texts, ranges = find_repeats(docs, **options)
     names, min_match = docs.columns, options.get("min_match", 16)

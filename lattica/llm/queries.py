@@ -101,25 +101,23 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op4_mtree_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.n <> q.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rn FROM s)
 SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 20""",
     "op6_perspectives": """
 WITH base AS (SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn,
                 CASE WHEN length(trim(role)) > 0 THEN trim(role) ELSE 'unknown' END AS speaker, coalesce(text, '') AS text FROM conversations),
-b AS (SELECT *, CASE WHEN turn = 9223372036854775807 THEN -1 ELSE CAST(floor(turn / 64) AS BIGINT) END AS block FROM base),
-n AS (SELECT *, count(*) OVER (PARTITION BY conv_id, block) AS n_rows FROM b),
-p AS (SELECT *, CASE WHEN n_rows <= 256 THEN 0 ELSE CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) % CAST(ceil(n_rows / 256) AS BIGINT) END AS part FROM n),
-who AS (SELECT DISTINCT conv_id, block, part, speaker FROM p),
-r AS (SELECT p.conv_id, p.block, p.part, who.speaker, p.turn, p.speaker AS said, p.text, p.speaker = who.speaker AS own,
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, md5(text)) - 1 AS idx FROM base),
+who AS (SELECT DISTINCT conv_id, speaker FROM base),
+r AS (SELECT p.conv_id, who.speaker, p.idx, p.text, p.speaker = who.speaker AS own,
         CASE WHEN p.speaker = who.speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || p.speaker || '|>' || chr(10) END AS head
-      FROM p JOIN who ON p.conv_id IS NOT DISTINCT FROM who.conv_id AND p.block = who.block AND p.part = who.part),
-o AS (SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, block, part, speaker ORDER BY turn, said, text) - length(text) - 1 AS begin_at FROM r)
-SELECT conv_id, block, part, speaker, count(*) AS n_turns, CAST(sum(length(head) + length(text) + 1) AS BIGINT) AS n_chars,
-  CAST(sum(CASE WHEN own THEN length(text) ELSE 0 END) AS BIGINT) AS n_own_chars,
-  sha256(string_agg(head || text || chr(10), '' ORDER BY turn, said, text)) AS text_sha256,
-  coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_at AS BIGINT) + length(text) AS VARCHAR), ',' ORDER BY turn, said, text) FILTER (WHERE own AND length(text) > 0), '') AS mask
-FROM o GROUP BY conv_id, block, part, speaker""",
+      FROM p JOIN who ON p.conv_id IS NOT DISTINCT FROM who.conv_id),
+o AS (SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY idx) - length(text) - 1 AS begin_at FROM r)
+SELECT conv_id, speaker, CAST(idx // 64 AS BIGINT) AS piece, count(*) AS n_turns, CAST(min(begin_at - length(head)) AS BIGINT) AS "start",
+  CAST(sum(length(head) + length(text) + 1) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN own THEN length(text) ELSE 0 END) AS BIGINT) AS n_own_chars,
+  sha256(string_agg(head || text || chr(10), '' ORDER BY idx)) AS text_sha256,
+  coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_at AS BIGINT) + length(text) AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE own AND length(text) > 0), '') AS mask
+FROM o GROUP BY conv_id, speaker, idx // 64""",
 }

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, bounded_batches, deal, mix, parts_for, powers, slices, text_buffer, to_parts
+from lattica.llm.common import U64, connected_spans, deal, mix, parts_for, powers, slices, text_buffer, to_parts
 
 NO_ID = (1 << 63) - 1
 KNOWN = np.uint32(0xFFFFFFFF)
@@ -190,23 +190,9 @@ def repeated_windows(row: np.ndarray, group: np.ndarray, order: np.ndarray, pos:
 
 
 def _spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """A batch of rows (dk, did, spans): the spans of each document, united where they touch, packed as int64 pairs."""
-    if not len(did):
-        return None
-    by = np.lexsort((start, dk, did))
-    did, dk, start, end = did[by], dk[by], start[by], end[by]
-    new = np.append(True, (did[1:] != did[:-1]) | (dk[1:] != dk[:-1]))
-    doc = np.cumsum(new) - 1
-    far = 1 << 40  # documents side by side, so that one running maximum does for all
-    reach = np.maximum.accumulate(end + doc * far)
-    first = np.append(True, (start + doc * far)[1:] > reach[:-1])
-    at = np.flatnonzero(first)
-    ends = np.append(reach[at[1:] - 1], reach[-1]) - doc[at] * far
-    pair = np.stack([start[at], ends], 1).astype(np.int64)
-    cut = np.append(np.flatnonzero(new[at]), len(at))
-    own = at[cut[:-1]]
-    data = [pair[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(dk[own].astype(np.int32)), pa.array(did[own]), pa.array(data, pa.binary())], names=["dk", "did", "data"])
+    """A batch of rows (dk, did, spans), or None."""
+    rows = connected_spans(did, dk, start, end)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["dk", "did", "data"]) if rows else None
 
 
 def _front_code(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +227,6 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
     Texts are UTF-8 bytes, null is empty; texts shorter than window keep all. A null doc_id comes after all others;
     texts that share a doc_id are ordered by a hash. Of equal texts the one with the smallest doc_id is searched
     for repeats, the others are repeats as a whole. Other columns are left out."""
-    bounded_batches(docs.sparkSession)
     n_parts = parts_for(docs)
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "full": F.unhex(F.md5("text"))})

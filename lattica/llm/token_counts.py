@@ -6,28 +6,32 @@ a piece together with the last piece of the segmentation of every prefix inside
 is annotated with the change of the emitted-token count. States are made when first reached and kept in
 dense tables, so a batch of text is stepped through the tables, all its runs side by side.
 
-Runs: no piece joins a non-space to a following space mark, so the transducer returns to its start state
-before every space that follows a non-space. A text of any length is cut into chunks; a chunk's state map
-sends an entry state to an exit state and a count. Within a chunk only the part before its first return to
-the start state depends on the entry state, so a map is (head, count of the middle, tail), and two maps
-compose by running the table over tail + head. The maps of a text's chunks are composed pairwise, as a
-parallel prefix scan does."""
+Runs: no piece joins a non-space to a following space mark, so the transducer returns to its start state before
+every space that follows a non-space. Short runs are stepped from there, equal ones once. A longer run is cut into
+chunks, which are stepped side by side from the start state. A chunk's state map sends an entry state to an exit state
+and a count: it steps on from the entry state until it meets the chunk's own trace, as it does within a few characters,
+and takes the rest from there. Maps of neighbours compose into a map; those of a run's chunks are composed pairwise,
+as a parallel prefix scan does."""
 
 from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import bounded_batches, slices, text_buffer
+from lattica.llm.common import mix, powers, slices, text_buffer
 
 SPACE = "▁"
 #: A worker that has compiled more states than this starts over, which bounds its memory.
 MAX_STATES = 600_000
+#: Longer runs are cut into chunks, about as many as each has characters; a scan takes in this many characters.
+LONG, SCAN = 2048, 1 << 20
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -42,6 +46,10 @@ def load_pieces(path: str) -> dict[str, float]:
     return {p.piece: p.score for p in model.pieces if p.type == 1}
 
 
+class Unsegmentable(ValueError):
+    """The transducer found no segmentation of a suffix; the run is segmented by merges instead."""
+
+
 class Transducer:
     """Lazily compiled; see the module's text. step() gives (state, count change) for a state and a class."""
 
@@ -55,6 +63,8 @@ class Transducer:
         self.chars = sorted({c for p in pieces for c in p})
         if not all(c in pieces for c in self.chars):
             raise ValueError("each character of a piece must be a piece")
+        if any(b == SPACE != a for p in pieces for a, b in zip(p, p[1:], strict=False)):
+            raise ValueError("a piece joins a non-space to a space mark")
         self.class_of = {c: i for i, c in enumerate(self.chars)}
         # class len(chars): a character outside the vocabulary, which ends whatever was pending.
         self.width = len(self.chars) + 1
@@ -123,7 +133,7 @@ class Transducer:
             if p is not None and mark >= 0 and (mark < 64 or self.fit(mark >> 6, p)):
                 break
         else:
-            raise ValueError(f"no segmentation of {grown!r}")
+            raise Unsegmentable(grown)
         delta = 1 + (mark & 63) - 32
         keep = len(grown)
         while grown[len(grown) - keep :] not in self.heads:
@@ -178,8 +188,15 @@ class Transducer:
         self.slot_keys[i], self.slot_vals[i] = key, val
         self.filled += 1
 
-    def run(self, classes: np.ndarray, extra: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Counts of many runs of classes, each from the start state; extra: tokens that a class emits by itself."""
+    def next(self, state: int, c: int) -> tuple[int, int]:
+        """step(), remembered."""
+        to = self.steps.get((state, c))
+        if to is None:
+            to = self.steps[state, c] = self.step(state, c)
+        return to
+
+    def run(self, classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Counts of many runs of classes, side by side, each from the start state."""
         order = np.argsort(-length, kind="stable")
         start, length = start[order], length[order]
         state = np.zeros(len(order), np.int64)
@@ -187,26 +204,72 @@ class Transducer:
         live = len(order)
         for t in range(int(length[0]) if len(order) else 0):
             live = int(np.searchsorted(-length[:live], -t, side="left"))
-            if live <= 4 and length[0] - t > 16:  # a few long runs are left: one by one
-                for i in range(live):
-                    here = slice(start[i] + t, start[i] + length[i])
-                    s = int(state[i])
-                    for c in classes[here].tolist():
-                        to = self.steps.get((s, c))
-                        if to is None:
-                            to = self.steps[s, c] = self.step(s, c)
-                        s = to[0]
-                        count[i] += to[1]
-                    count[i] += int(extra[here].sum())
-                break
-            at = start[:live] + t
-            s, d = self.lookup(state[:live], classes[at])
-            state[:live] = s
-            count[:live] += d + extra[at]
+            state[:live], d = self.lookup(state[:live], classes[start[:live] + t])
+            count[:live] += d
         out = np.empty_like(count)
         out[order] = count
         return out
 
+    def scan(self, windows: Iterable[np.ndarray], chunk: int) -> int:
+        """Count of one long run, which comes in windows of classes, by the state maps of its chunks."""
+        state = count = 0
+        for classes in windows:
+            maps = self.maps(classes, chunk or max(64, int(len(classes) ** 0.5)))
+            while len(maps) > 1:
+                maps = [Joined(self, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            state, more = maps[0].apply(self, state)
+            count += more
+        return count
+
+    def maps(self, classes: np.ndarray, chunk: int) -> list[Chunk]:
+        """State maps of the chunks, which are stepped side by side."""
+        n = -(-len(classes) // chunk)
+        whole = np.full(n * chunk, self.width - 1, np.int64)
+        whole[: len(classes)] = classes
+        whole = whole.reshape(n, chunk).T.copy()
+        states, counts = np.zeros((chunk, n), np.int32), np.zeros((chunk, n), np.int32)
+        state, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for t in range(chunk):
+            state, d = self.lookup(state, whole[t])
+            count = count + d
+            states[t], counts[t] = state, count
+        size = [chunk] * (n - 1) + [len(classes) - chunk * (n - 1)]
+        return [Chunk(whole[:m, i].tolist(), states[:m, i].tolist(), counts[:m, i].tolist()) for i, m in enumerate(size)]
+
+
+class Chunk:
+    """State map of a chunk. exit, count: those of the start state; trace: its states and counts after each character."""
+
+    def __init__(self, classes: list[int], states: list[int], counts: list[int]):
+        self.classes, self.states, self.counts, self.exit, self.count = classes, states, counts, states[-1], counts[-1]
+
+    def apply(self, t: Transducer, state: int) -> tuple[int, int]:
+        if state == 0:
+            return self.exit, self.count
+        n = 0
+        for c, known, sofar in zip(self.classes, self.states, self.counts, strict=True):
+            state, d = t.next(state, c)
+            n += d
+            if state == known:
+                return self.exit, n + self.count - sofar
+        return state, n
+
+
+class Joined:
+    """State map of two neighbours; composing is associative."""
+
+    def __init__(self, t: Transducer, left: Chunk | Joined, right: Chunk | Joined):
+        self.left, self.right = left, right
+        self.exit, more = right.apply(t, left.exit)
+        self.count = left.count + more
+
+    def apply(self, t: Transducer, state: int) -> tuple[int, int]:
+        to, n = self.left.apply(t, state)
+        if to == self.left.exit:
+            return self.exit, n + self.count - self.left.count
+        to, more = self.right.apply(t, to)
+        return to, n + more
+
 
 class Counter:
     """Counts the tokens of texts with a Transducer."""
@@ -220,79 +283,95 @@ class Counter:
             self.lut[ord(" ")] = t.class_of[SPACE]
         self.space = t.class_of[SPACE]
 
-    def chunk_map(self, points: np.ndarray, opens: bool) -> tuple[np.ndarray, int, np.ndarray | None]:
-        """(head, count of the middle, tail): the chunk's code points before its first return to the start
-        state, the tokens of its whole runs, and its last, unfinished run (None: no return within the chunk)."""
-        cut = self.cuts(points)
-        if opens:
-            cut = np.append(0, cut[cut > 0])
-        if not len(cut):
-            return points, 0, None
-        return points[: cut[0]], int(self.count_runs(points[cut[0] : cut[-1]], cut[:-1] - cut[0]).sum()), points[cut[-1] :]
-
-    def compose(self, a, b):
-        """The map of two neighbouring chunks; associative."""
-        if b[2] is None:
-            joined = np.concatenate([a[0] if a[2] is None else a[2], b[0]])
-            return (joined, 0, None) if a[2] is None else (a[0], a[1], joined)
-        if a[2] is None:
-            return np.concatenate([a[0], b[0]]), b[1], b[2]
-        middle = np.concatenate([a[2], b[0]])
-        own = int(self.count_runs(middle, np.zeros(1, np.int64)).sum()) if len(middle) else 0
-        return a[0], a[1] + own + b[1], b[2]
-
-    def count_text(self, text: str, chunk: int) -> int:
-        """Tokens of one text through the state maps of its chunks, composed pairwise."""
-        if not text:
-            return 0
-        points = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32).astype(np.int64)
-        maps = [self.chunk_map(points[i : i + chunk], i == 0) for i in range(0, len(points), chunk)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return n + sum(int(self.count_runs(x, np.zeros(1, np.int64)).sum()) for x in (head, tail) if x is not None and len(x))
-
     def cuts(self, points: np.ndarray) -> np.ndarray:
-        """Where the transducer is surely back at its start state: before a space after a non-space (a chunk's
-        first character can't tell)."""
+        """Where the transducer is surely back at its start state: before a space after a non-space."""
         c = self.lut[points]
         here = c == self.space
         return np.flatnonzero(here[1:] & ~here[:-1]) + 1
 
-    def count_runs(self, points: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Tokens of the runs of `points` that begin at `start` (ascending, the first at 0)."""
+    def count_runs(self, points: np.ndarray, start: np.ndarray, chunk: int = 0) -> np.ndarray:
+        """Tokens of the runs of `points` that begin at `start` (ascending, the first at 0). chunk: of long runs, in
+        characters; 0: about the root of a window's length."""
         if not len(start) or not len(points):
             return np.zeros(len(start), np.int64)
+        t = self.transducer
         length = np.diff(np.append(start, len(points)))
         # equal runs are stepped once: a run's hash names it, within this call
         c = self.lut[points]
-        extra = np.zeros(len(points), np.int64)
-        alien = c == self.transducer.width - 1
-        if alien.any():
-            p = points[alien]
-            extra[alien] = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
-        from lattica.llm.common import mix, powers
-
         up, down = powers(len(points) + 1)
         total = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((c.astype(np.uint64) * np.uint64(8) + extra.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=total[1:])
         h = mix((total[start + length] - total[start]) * down[start])
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        return self.transducer.run(c, extra, start[first], length[first])[back]
+        start, length = start[first], length[first]
+        more = np.concatenate([[0], np.cumsum(self.foreign(points))])
+        out = more[start + length] - more[start]
+        brief = length <= LONG
+        try:
+            out[brief] += t.run(c, start[brief], length[brief])
+        except Unsegmentable:
+            for i in np.flatnonzero(brief).tolist():
+                out[i] += self.by_merges(points[start[i] : start[i] + length[i]])
+        for i in np.flatnonzero(~brief).tolist():
+            out[i] += self.long_run(points[start[i] : start[i] + length[i]], chunk)
+        return out[back]
+
+    def long_run(self, points: np.ndarray, chunk: int) -> int:
+        """Tokens of a run's characters in the vocabulary."""
+        try:
+            return self.transducer.scan((self.lut[points[at : at + SCAN]] for at in range(0, len(points), SCAN)), chunk)
+        except Unsegmentable:
+            return self.by_merges(points)
+
+    def count_long(self, text: str, chunk: int) -> int:
+        """Tokens of one long text, a window of whole runs at a time."""
+        points = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32)
+        total = at = 0
+        while at < len(points):
+            end = at + SCAN
+            cut = self.cuts(points[at : end + 1])
+            while not len(cut) and end < len(points):  # a run longer than the window
+                cut = self.cuts(points[end - 1 : end + SCAN]) + (end - 1 - at)
+                end += SCAN
+            if end - at <= SCAN:
+                stop = len(points) if end >= len(points) else at + int(cut[-1])
+                start = np.append(0, cut)
+                total += int(self.count_runs(points[at:stop].astype(np.int64), start[start < stop - at], chunk).sum())
+            else:
+                stop = at + int(cut[0]) if len(cut) else len(points)
+                total += self.long_run(points[at:stop], chunk) + sum(int(self.foreign(points[x : min(x + SCAN, stop)]).sum()) for x in range(at, stop, SCAN))
+            at = stop
+        return total
+
+    def foreign(self, points: np.ndarray) -> np.ndarray:
+        """Tokens that each character emits by itself: one a byte if it is outside the vocabulary."""
+        extra = np.zeros(len(points), np.int64)
+        alien = self.lut[points] == self.transducer.width - 1
+        p = points[alien]
+        extra[alien] = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
+        return extra
+
+    def by_merges(self, points: np.ndarray) -> int:
+        """Tokens of characters in the vocabulary in a run, by the merges themselves."""
+        c = self.lut[points]
+        edge = np.flatnonzero(c == self.transducer.width - 1)
+        parts = np.split(c, edge)
+        names = self.transducer.chars
+        return sum(len(self.transducer.merged("".join(names[x] for x in p.tolist() if x < len(names)))) for p in parts if len(p))
 
-    def count(self, raw: np.ndarray, off: np.ndarray, chunk: int) -> np.ndarray:
+    def count(self, raw: np.ndarray, off: np.ndarray, chunk: int = 0) -> np.ndarray:
         """Tokens of each text of a UTF-8 buffer."""
         out = np.zeros(len(off) - 1, np.int64)
         size = np.diff(off)
-        for i in np.flatnonzero(size > chunk * 4):
-            out[i] = self.count_text(raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"), chunk)
-        some = np.flatnonzero((size > 0) & (size <= chunk * 4))
+        for i in np.flatnonzero(size > 4 * SCAN):
+            out[i] = self.count_long(raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"), chunk)
+        some = np.flatnonzero((size > 0) & (size <= 4 * SCAN))
         if len(some):
             texts = [" " + raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace") for i in some]
             points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
             begin = np.cumsum([0] + [len(t) for t in texts])
             cut = np.union1d(self.cuts(points), begin[:-1])
-            n = self.count_runs(points, cut)
+            n = self.count_runs(points, cut, chunk)
             out[some] = np.add.reduceat(n, np.searchsorted(cut, begin[:-1]))
         return out
 
@@ -300,14 +379,14 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 18, limit: int = 4096) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = 0, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row of docs (doc_id, text).
 
-    Tokens are those of the model's library for the whole text, without begin or end tokens; strings of
-    special tokens inside a text are ordinary text. Null and empty texts have none. The model file is read
-    from model_path by each worker. No shuffle: rows are independent and long texts are cut into chunks of
-    chunk_chars characters."""
-    bounded_batches(docs.sparkSession)
+    Tokens are those of the model's library for the whole text, without begin or end tokens; strings of special tokens
+    inside a text are ordinary text. Null and empty texts have none; repeated rows are counted each; an empty table gives
+    none; other columns, whatever their names, are left out. The model file is read from model_path by each worker. No
+    shuffle: rows are independent. Runs of a text between spaces that are long are stepped in chunks of chunk_chars
+    characters (0: about the root of the run's length)."""
     schema = T.StructType([docs.schema["doc_id"]]).add("n_bytes", T.LongType()).add("n_tokens", T.LongType()).add("over_limit", T.BooleanType())
 
     def count(batches):
@@ -322,4 +401,4 @@ def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = 1 << 18, l
                     counter = _counters[model_path] = Counter(model_path)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(count, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, schema)

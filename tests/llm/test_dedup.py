@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from lattica.llm import near_dup, paragraph_dedup, suffix_dedup
+from lattica.llm import group_search, near_dup, paragraph_dedup, suffix_dedup
 from lattica.llm.common import text_buffer
 
 D = "/root/testdata/sf0.001"
@@ -115,7 +115,7 @@ def test_near_duplicates_search_a_large_group_whole(spark, monkeypatch):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     for block in (400_000, 5_000):  # in one block, and in several
-        monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+        monkeypatch.setattr(group_search, "BLOCK", block)
         assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df, bands=1, rows=1).collect()} == dict(enumerate(root))
 
 
@@ -171,6 +171,98 @@ def test_paragraph_dedup_finds_passages_and_spares_the_rest(spark):
     assert np.mean(share) > 0.97 and min(share) > 0.7
 
 
+def repeats_by_brute_force(rows, k=5, threshold=0.8, min_words=16, min_match=16):
+    """doc_id -> set of word numbers to cut: lines of all pairs, windows of all blocks, equal texts."""
+    cut = {did: set() for did, _ in rows}
+    rows = sorted(rows)
+    p = paragraph_dedup.Paragraphs(*text_buffer(pa.array([t for _, t in rows], pa.large_string())), k, 1, 1, min_words)
+    seen, copies = {}, set()
+    for did, t in rows:
+        if t in seen and len(t.split()) >= min_match:
+            copies.add(did)
+        seen.setdefault(t, did)
+    zero, words = p.words.first, [t.split() for _, t in rows]
+    for i, (did, _) in enumerate(rows):
+        if did in copies:
+            cut[did] = set(range(len(words[i])))
+    runs = [set(p.run[a:b].tolist()) for a, b in zip(*p.run_cut, strict=True)]
+    live = [j for j in range(len(runs)) if rows[p.line_doc[j]][0] not in copies]
+    root = {j: j for j in live}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in live:
+        for i in live:
+            if i < j and len(runs[i] & runs[j]) >= (threshold - 1e-9) * len(runs[i] | runs[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    for j in live:
+        if find(j) != j:  # lines are in order of document and place
+            d = p.line_doc[j]
+            cut[rows[d][0]] |= set(range(p.lines[j, 0] - zero[d], p.lines[j, 1] - zero[d]))
+    known: dict = {}
+    for again in (False, True):
+        for j, (a, b) in enumerate(p.blocks.tolist()):
+            d = p.block_doc[j]
+            if rows[d][0] in copies:
+                continue
+            a, b = int(a - zero[d]), int(b - zero[d])
+            for reach in range(0, 21, 2):
+                least = max(0, min_match - (b - a) - reach)
+                for x, y in ((a - reach, b + least), (a - least, b + reach)):
+                    if x >= 0 and y <= len(words[d]):
+                        key = (a - x, b - a, tuple(words[d][x:y]))
+                        who = (rows[d][0], x)
+                        if not again:
+                            known[key] = min(known.get(key, who), who)
+                        elif known[key] != who:
+                            cut[rows[d][0]] |= set(range(x, y))
+    return {d: len(x) for d, x in cut.items()}
+
+
+def family(rng, n, changes=2):
+    """Lines of 100 words, each near one other and far from most."""
+    out = [[f"w{i}" for i in range(100)]]
+    for i in range(n - 1):
+        t = list(rng.choice(out))
+        for p in rng.sample(range(40, 100), changes):
+            t[p] = f"x{i}p{p}"
+        out.append(t)
+    return [" ".join(t) for t in out]
+
+
+def test_paragraph_dedup_equals_brute_force_whatever_the_partitions(spark, monkeypatch):
+    rng = random.Random(9)
+    lines = family(rng, 200)
+    passages = [" ".join(f"p{i}q{rng.randrange(400)}" for _ in range(rng.randint(12, 60))) for i in range(6)]
+    rows = [(i, f"own{i} a b\n{t}\nc d own{i}") for i, t in enumerate(lines)]
+    for i in range(200, 280):
+        own = [f"o{rng.randrange(3000)}" for _ in range(rng.randint(0, 60))]
+        at = rng.randint(0, len(own))
+        rows.append((i, " ".join([*own[:at], rng.choice(passages), *own[at:]])))
+    rows += [(300, rows[5][1]), (301, rows[210][1]), (302, "short text"), (303, "short text")]
+    want = repeats_by_brute_force(rows)
+    assert sum(want[i] >= 100 for i in range(1, 200)) > 150
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # so many bands that every similar pair meets in one
+    for parts, block in ((1, 400_000), (8, 400_000), (3, 5_000)):
+        monkeypatch.setattr(group_search, "BLOCK", block)
+        got = {r.doc_id: r.n_removed_words for r in paragraph_dedup.cut_repeats(df.repartition(parts), recall=1 - 1e-12).collect()}
+        assert got == want, (parts, {d: (got[d], want[d]) for d in want if got[d] != want[d]})
+
+
+def test_paragraph_dedup_recall_of_lines_near_the_threshold(spark):
+    """With the bands of the query: nearly all of what brute force cuts, and nothing else."""
+    rows = list(enumerate(family(random.Random(10), 300)))
+    want = repeats_by_brute_force(rows)
+    got = {r.doc_id: r.n_removed_words for r in paragraph_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = [d for d in want if want[d] == 100]
+    assert len(whole) > 200 and np.mean([got[d] == 100 for d in whole]) >= 0.99 and all(got[d] <= want[d] for d in want)
+
+
 def test_paragraph_dedup_near_lines(spark):
     rng = random.Random(4)
     line = [f"w{rng.randrange(5000)}" for _ in range(80)]
@@ -181,39 +273,14 @@ def test_paragraph_dedup_near_lines(spark):
     assert got[1].n_removed_words == 0 and got[2].text.strip() == "and a second own line that stays in the text" and len(got[2].spans) == 1
 
 
-def test_paragraph_dedup_compares_all_lines_of_a_large_band():
-    rng = random.Random(9)
-    family = [[f"w{i}" for i in range(100)]]
-    for i in range(399):  # each line is near one other and far from most
-        t = list(rng.choice(family))
-        for p in rng.sample(range(40, 100), 2):
-            t[p] = f"x{i}-{p}"
-        family.append(t)
-    p = paragraph_dedup.Paragraphs(*text_buffer(pa.array([" ".join(t) for t in family], pa.large_string())), 5, 1, 1, 8)
-    runs = [np.unique(p.run[a:b]) for a, b in zip(*p.run_cut, strict=True)]
-    assert len(runs) == 400
-
-    def clusters(pairs):
-        root = list(range(400))
-        for i, j in pairs:
-            a, b = sorted((root[i], root[j]))
-            root = [a if r == b else r for r in root]
-        return root
-
-    want = clusters((i, j) for i in range(400) for j in range(i) if paragraph_dedup.jaccard(runs[i], runs[j]) >= 0.8 - 1e-9)
-    for _ in range(2):  # in any order
-        held = paragraph_dedup._Resolver(0.8, 16)
-        for i in rng.sample(range(400), 400):
-            held.line(1, (i, 0, 0, 0, 100), int(p.line_key[i]), runs[i])
-        assert clusters((x[0], y[0]) for x, y in held.links) == want
-
-
 def test_paragraph_dedup_searches_short_copies(spark):
     line = "a1 b2 c3 d4 e5 f6 g7 h8 i9 été"  # 10 words
     long = " ".join(f"l{i}" for i in range(16))
     rows = [(1, line), (2, line), (3, f"one two\n{line}"), (4, f"one two\n{line}"), (5, "x y z"), (6, "x y z"), (7, long), (8, long)]
-    got = {r.doc_id: r.n_removed_words for r in paragraph_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.n_removed_words for r in paragraph_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=8).collect()}
     assert got == {1: 0, 2: 10, 3: 10, 4: 10, 5: 0, 6: 0, 7: 0, 8: 16}
+    got = {r.doc_id: r.n_removed_words for r in paragraph_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0, 8: 16}
 
 
 def test_paragraph_dedup_odd_input(odd, none):

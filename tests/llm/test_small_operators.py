@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import zlib
@@ -95,31 +96,77 @@ def test_decontamination_odd_input_and_blocks(spark, odd, none):
 # --- search
 
 
-def test_search_against_brute_force_with_ties(spark):
+def test_search_against_brute_force_with_ties_and_repeated_rows(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(-2, 3, (300, 5)).astype(float)
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0]), (402, [float("nan")] * 5), (403, [float("inf")] * 5), (None, [1.0] * 5), (0, [float(v) for v in x[0]])]
-    v = mtree.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", mtree.F.lit(1)))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in mtree.top_k(v, mtree.F.col("vec_id") % 20 == 0, 7, block_rows=50, least_blocks=3).collect()}
+    ids = [*range(300), 0, 0, 40, 41, 7]
+    x = np.concatenate([x, x[0:1], x[0:1] + 1, x[40:41], x[40:41], x[7:8]])
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0]), (402, [float("nan")] * 5), (403, [float("inf")] * 5), (None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    v = mtree.whole_numbers(df.withColumns({"rank": mtree.F.lit(1), "v": mtree.F.lit(2), "row": mtree.F.lit(3)}))
     w = np.floor(64 * x).astype(int)
-    for q in range(0, 300, 20):
-        best = sorted((-int(w[q] @ w[j]), j) for j in range(300) if j != q)[:7]
-        assert [got[q, k + 1] for k in range(7)] == [(j, -s) for s, j in best]
-    assert mtree.top_k(v.limit(0), mtree.F.col("vec_id") % 20 == 0).count() == 0
-    assert mtree.top_k(v.where("vec_id < 3"), mtree.F.col("vec_id") % 20 == 0).count() == 2
+    want = []
+    for q in range(len(ids)):
+        if ids[q] % 20 == 0:
+            best = sorted((-int(w[q] @ w[j]), ids[j]) for j in range(len(ids)) if j != q)[:7]
+            want += [(ids[q], k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    for options in ({}, {"block_rows": 20, "page": 4}, {"block_rows": 50, "max_blocks": 3, "slice_queries": 5}):
+        got = [tuple(r) for r in mtree.top_k(v, mtree.F.col("vec_id") % 20 == 0, 7, **options).collect()]
+        assert sorted(got) == sorted(want)
+    for few, n in ((v.limit(0), 0), (v.where("vec_id in (20, 21, 22)"), 2), (v.where("vec_id in (21, 22)"), 0)):
+        assert mtree.top_k(few, mtree.F.col("vec_id") % 20 == 0).count() == n
+
+
+def test_search_with_one_hot_vector_and_uneven_lengths(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(600)] + [(600 + i, [float(i % 7), float(i % 5) - 3, 1.0]) for i in range(200)]
+    v = mtree.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in mtree.top_k(v, mtree.F.col("vec_id") % 20 == 0, 5, block_rows=40).collect()}
+    w = np.array([np.floor(64 * np.array([*x, 0.0][:3])) for _, x in rows]).astype(int)
+    for q in range(0, 800, 20):
+        best = sorted((-int(w[q] @ w[j]), j) for j in range(800) if j != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
+
+
+def test_search_of_large_components(spark):
+    rows = [(i, [float((i * 7919) % 1000) * 1e4, float((i * 104729) % 997) * -2e4]) for i in range(120)]
+    v = mtree.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in mtree.top_k(v, mtree.F.col("vec_id") % 20 == 0, 3).collect()}
+    w = [[int(64 * x) for x in r[1]] for r in rows]
+    for q in range(0, 120, 20):
+        best = sorted((-sum(a * b for a, b in zip(w[q], w[j], strict=True)), j) for j in range(120) if j != q)[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(j, -s) for s, j in best]
+    with pytest.raises(ValueError):
+        mtree.top_k(v.withColumn("v", mtree.F.array(mtree.F.lit(1e12))), mtree.F.lit(True))
+
+
+def tree_of(x: np.ndarray, **options) -> mtree.MTree:
+    return mtree.MTree(np.arange(len(x)), np.arange(len(x)), x, float((x**2).sum(1).max()), **options)
+
+
+def test_tree_prunes_by_radii_and_parent_distances():
+    rng = np.random.default_rng(3)
+    x = np.floor(64 * np.concatenate([rng.standard_normal((400, 4)) + c for c in (np.zeros(4), np.full(4, 50.0), np.full(4, -50.0))]))
+    t = tree_of(x)
+    q = np.array([5, 500, 1100])
+    who, hit, s = t.search(x[q], q, np.full(3, -np.inf), 5)
+    for i, own in enumerate(q):
+        score = x @ x[own]
+        score[own] = -np.inf
+        assert hit[who == i].tolist() == np.lexsort((np.arange(1200), -score))[:5].tolist()
+    assert t.avoided > 0 and t.computed < 0.7 * 3 * len(x)
 
 
-def test_tree_prunes():
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.standard_normal((400, 4)) + c for c in (np.zeros(4), np.full(4, 50.0), np.full(4, -50.0))])
-    t = mtree.MTree(np.arange(1200), np.floor(64 * x), page=50)
-    seen = []
-    dots = t.dots
-    t.dots = lambda rows, q: seen.extend(rows) or dots(rows, q)
-    got = t.search(np.floor(64 * x[500]), 500, 5)
-    s = np.floor(64 * x) @ np.floor(64 * x[500])
-    s[500] = -np.inf
-    assert [i for _, i in got] == np.lexsort((np.arange(1200), -s))[:5].tolist() and len(seen) < 900
+def test_tree_on_the_query_s_own_table():
+    import pyarrow.parquet as pq
+
+    x = np.floor(64 * np.stack(pq.read_table("/root/testdata/sf0.01/embeddings.parquet").column("embedding").to_numpy()).astype(float))
+    t = tree_of(x[:125])  # the size of a subtree of the query on this table
+    assert len(t.root.children) > 1 and t.root.radius > 0
+    # these vectors lie in no clusters: what a bound of the true answer excludes is counted, not asked for
+    score = x[:125] @ x[0]
+    who, hit, s = t.search(x[:1], np.array([0]), np.array([np.sort(score)[-6]]), 5)
+    assert sorted(s.tolist()) == sorted(score)[-6:-1] and 0 < t.computed <= 125 + t.pages()
 
 
 # --- perspectives
@@ -128,20 +175,42 @@ def test_tree_prunes():
 def test_perspectives(spark):
     rows = [(1, 0, "ann", "hi", 9), (1, 1, "bob", "yo", 9), (1, 1, "bob", "yo", 9), (1, 2, None, None, 9), (1, None, "ann", "bye", 9), (None, 0, " ", "é", 9), (2, 0, "ann", "", 9)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, speaker int")
-    out = {(r.conv_id, r.block, r.speaker): r for r in perspective.rotate(turns).collect()}
-    assert set(out) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (1, -1, "ann"), (None, 0, "unknown"), (2, 0, "ann")}
-    a = out[1, 0, "ann"]
-    assert a.text == "<|assistant|>\nhi\n<|user name=bob|>\nyo\n<|user name=unknown|>\n\n"
-    assert [a.text[s.start : s.end] for s in a.spans] == ["hi"] and a.n_turns == 3
-    assert [(m.role, m.name, m.train) for m in out[1, 0, "bob"].messages] == [("user", "ann", False), ("assistant", None, True), ("user", "unknown", False)]
-    assert out[2, 0, "ann"].spans == [] and perspective.rotate(turns.limit(0)).count() == 0
-
-
-def test_perspectives_split_large_dialogues(spark):
-    turns = spark.createDataFrame([(1, i, "ab"[i % 2], f"t{i}") for i in range(200)] + [(2, 0, "a", f"t{i}") for i in range(100)], "conv_id long, turn long, role string, text string")
-    out = perspective.rotate(turns, block_turns=16, block_rows=30).collect()
-    assert max(r.n_turns for r in out) < 60 and sum(r.n_turns for r in out if r.conv_id == 1) == 400
-    assert sum(r.n_turns for r in out if r.conv_id == 2) == 100 and len({r.part for r in out if r.conv_id == 2}) == 4
+    turns = turns.withColumns({"key": perspective.F.lit(1), "piece": perspective.F.lit(2), "part": perspective.F.lit(3)})
+    out = {(r.conv_id, r.speaker): r for r in perspective.rotate(turns).collect()}
+    assert set(out) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "unknown"), (2, "ann")}
+    a = out[1, "ann"]
+    assert a.text == "<|assistant|>\nhi\n<|user name=bob|>\nyo\n<|user name=unknown|>\n\n<|assistant|>\nbye\n"
+    assert [a.text[s.start : s.end] for s in a.spans] == ["hi", "bye"] and a.n_turns == 4
+    assert [(m.role, m.name, m.train) for m in out[1, "bob"].messages] == [("user", "ann", False), ("assistant", None, True), ("user", "unknown", False), ("user", "ann", False)]
+    assert out[2, "ann"].spans == [] and perspective.rotate(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece_turns", [7, 64])
+def test_perspectives_of_long_dialogues_against_brute_force(spark, piece_turns, monkeypatch):
+    """200 turns in which one speaker falls silent, and one turn number that many share; more pieces than a group."""
+    monkeypatch.setattr(perspective, "GROUP", 3)
+    rng = random.Random(7)
+    rows = [(1, i, "ann" if i < 40 and i % 3 == 0 else rng.choice(["bob", "cy"]), f"t{i}" * rng.randint(0, 9)) for i in range(200)]
+    rows += [(2, 0, rng.choice("ab"), f"x{i} é") for i in range(150)] + [(2, None, "a", "last")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for r in perspective.rotate(turns, piece_turns).collect():
+        got.setdefault((r.conv_id, r.speaker), {})[r.piece] = r
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for conv in (1, 2):
+        mine = sorted({r for r in rows if r[0] == conv}, key=lambda r: (r[1] is None, r[1] or 0, r[2], md5(r[3])))
+        for who in {r[2] for r in mine}:
+            text, spans = "", []
+            for _, _, role, said in mine:
+                text += "<|assistant|>\n" if role == who else f"<|user name={role}|>\n"
+                if role == who and said:
+                    spans.append((len(text), len(text) + len(said)))
+                text += said + "\n"
+            pieces = [got[conv, who][k] for k in range(-(-len(mine) // piece_turns))]
+            assert "".join(p.text for p in pieces) == text
+            assert [(s.start, s.end) for p in pieces for s in p.spans] == spans
+            assert [p.start for p in pieces] == [sum(len(q.text) for q in pieces[:k]) for k in range(len(pieces))]
+    assert set(got) == {(r[0], r[2]) for r in rows}
 
 
 # --- quality, language
@@ -227,27 +296,79 @@ def test_token_counts_equal_the_library(spark, odd, none):
     texts = ["".join(rng.choice(" abcdeehtsnoiér▁\n\t01.,;ß€😀日本語<>s/unk中") for _ in range(rng.randint(0, 120))) for _ in range(400)]
     texts += ["", " ", "<s> hi</s><unk>", "a" * 3000, " " * 300, "▁▁a"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for chunk in (7, 1 << 18):
-        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path, chunk).collect()}
-        assert [got[i] for i in range(len(texts))] == [len(lib.encode(t)) for t in texts]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(lib.encode(t)) for t in texts]
     rows = {r.doc_id: r for r in token_counts.count_tokens(odd, path).collect() if r.doc_id}
     assert rows[3].n_tokens == 0 and rows[6].over_limit and rows[7].n_bytes == 10_000
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_token_counts_of_every_document_equal_the_library(spark):
+    P, sp = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    lib = sp.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    d = "/root/testdata/sf0.1"
+    got = {r.doc_id: r.n_tokens for r in QUERIES["op10_token_counts"](spark, d).collect()}
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(got) == 10_000
+    want = lib.encode([r.text or "" for r in rows])
+    assert not [r.doc_id for r, w in zip(rows, want, strict=True) if got[r.doc_id] != len(w)]
+
+
+def space_free(rng, n: int) -> str:
+    return "".join(rng.choice(["the", "ing", "er", "a", "1", "0", "x", "é", "中", "ß", "qu", "ation", "=", "__", "€", "\u0950"]) for _ in range(n))
+
+
+def test_token_counts_of_long_texts_without_spaces(spark):
+    P, sp = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    path = P.path("piece_bpe_32k.model")
+    lib = sp.SentencePieceProcessor(model_file=path)
+    rng = random.Random(8)
+    texts = [space_free(rng, n) for n in (900, 3000, 9000)] + ["ab" * 5000, "a" * 9001, "的" * 4000, "7" * 5001]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk in (0, 5, 700):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path, chunk).collect()}
+        assert [got[i] for i in range(len(texts))] == [len(lib.encode(t)) for t in texts]
+
+
 def test_state_maps_compose_in_any_order():
     P = pytest.importorskip("public_tokenizers")
     c = token_counts.Counter(P.path("piece_bpe_32k.model"))
-    points = np.frombuffer(" the quick  brown   fox jumps".encode("utf-32-le"), np.uint32).astype(np.int64)
-    maps = [c.chunk_map(points[i : i + 4], i == 0) for i in range(0, len(points), 4)]
+    t = c.transducer
+    classes = c.lut[np.frombuffer(space_free(random.Random(9), 200).encode("utf-32-le"), np.uint32)]
+    maps = t.maps(classes, 9)
     left = maps[0]
     for m in maps[1:]:
-        left = c.compose(left, m)
+        left = token_counts.Joined(t, left, m)
     right = maps[-1]
     for m in maps[-2::-1]:
-        right = c.compose(m, right)
+        right = token_counts.Joined(t, m, right)
+    once = int(t.run(classes, np.zeros(1, np.int64), np.array([len(classes)]))[0])
+    assert left.count == right.count == once and left.exit == right.exit
+    for state in range(0, len(t.keys), 37):
+        assert left.apply(t, state) == right.apply(t, state)
+
+
+def test_very_long_texts_are_counted_in_windows(monkeypatch):
+    P, sp = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
+    path = P.path("piece_bpe_32k.model")
+    lib, c, rng = sp.SentencePieceProcessor(model_file=path), token_counts.Counter(path), random.Random(11)
+    texts = [" ".join(space_free(rng, n) for n in (3, 900, 1, 2, 400, 5, 5, 300)) + end for end in ("", " ", "€", " a  ")] + [space_free(rng, 700), "   ", "a" * 300 + " b" * 200]
+    raw, off = text_buffer(pa.array(texts))
+    monkeypatch.setattr(token_counts, "LONG", 40)
+    for window in (16, 100, 1000):
+        monkeypatch.setattr(token_counts, "SCAN", window)
+        assert [c.count_long(t, 0) for t in texts] == [len(lib.encode(t)) for t in texts] == c.count(raw, off).tolist()
+
+
+def test_what_the_transducer_cannot_segment_is_merged(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    c = token_counts.Counter(P.path("piece_bpe_32k.model"))
+    texts = ["plain words €\u0950 here", space_free(random.Random(10), 1500), "x"]
+    raw, off = text_buffer(pa.array(texts))
+    want = c.count(raw, off).tolist()
 
-    def total(m):
-        return m[1] + sum(int(c.count_runs(x, np.zeros(1, np.int64)).sum()) for x in (m[0], m[2]) if x is not None and len(x))
+    def stuck(*_):
+        raise token_counts.Unsegmentable("x")
 
-    assert total(left) == total(right) == c.count_text("the quick  brown   fox jumps", 5)
+    monkeypatch.setattr(c.transducer, "lookup", stuck)
+    assert c.count(raw, off).tolist() == want
