@@ -9,12 +9,25 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder named by spark.checkpoint.dir (where it is unset, as in tests: a local one) and read it."""
+    """Write df to the folder named by spark.checkpoint.dir and read it. Where that is unset, as in tests, a local folder
+    serves a local master; on a cluster executors couldn't read each other's files there, so that is an error."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lattica.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.lattica.dir", at)
     path = f"{at.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `written` made and that no later plan reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
