@@ -173,6 +173,17 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def bundled(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with the named columns and all others in one struct, `_rest`, so that their names clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*rest, F.lit(True).alias("_")).alias("_rest"))
+
+
+def unbundled(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The given columns again, after `bundled` with the same own ones; whatever else df has is left out."""
+    return df.select(*(c if c in own else F.col("_rest").getField(c).alias(c) for c in columns))
+
+
 def parts_for(df: DataFrame, mb: int = 8, least: int = 12) -> int:
     """How many parts to deal df's records into: in proportion to the bytes it scans, or to its text where the
     planner can't tell those."""
@@ -196,6 +207,16 @@ def deal(part: np.ndarray, n: int, columns: dict[str, np.ndarray]):
         yield int(p), {k: v[own].tobytes() for k, v in columns.items()}
 
 
+def first_of_each(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of window records (structured: hashes h and c, did, dk, begin, ...): the first of each different window, by did, dk
+    and begin, and the others; a repeated row of a document is no other."""
+    w = w[np.lexsort((w["begin"], w["dk"], w["did"], w["c"], w["h"]))]
+    new = np.append(True, (w["h"][1:] != w["h"][:-1]) | (w["c"][1:] != w["c"][:-1])) if len(w) else np.zeros(0, bool)
+    first = w[new]
+    own = first[np.cumsum(new) - 1]
+    return first, w[(w["did"] != own["did"]) | (w["dk"] != own["dk"]) | (w["begin"] != own["begin"])]
+
+
 def connected_spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, bytes]]:
     """(dk, did, spans) of each document: its spans, united where they touch, packed as int64 pairs."""
     if not len(did):
@@ -215,13 +236,18 @@ def connected_spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.
     return [(int(dk[i]), int(did[i]), pair[a:b].tobytes()) for i, a, b in zip(own, cut[:-1], cut[1:], strict=True)]
 
 
+#: Edges of a graph whose minima (two nodes an edge at most) are broadcast.
+FEW_EDGES = 100_000
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """Components of an undirected graph given as edges (a, b), any orderable type. Returns (node, root),
     root the least node of the component; nodes without edges don't appear.
 
-    Alternating large-star and small-star steps (grouped minima and joins, no driver state); the minima and each round's
-    edges are written to the shared folder. Minima are pre-aggregated before the shuffle; both sides of a join
-    are read from files, so that the adaptive skew join can split a hot centre. Stops when the edges no longer change."""
+    Alternating large-star and small-star steps (grouped minima and joins, no driver state); each round's edges are written
+    to the shared folder. Minima are pre-aggregated before the shuffle. Of up to FEW_EDGES edges the minima are broadcast;
+    else both sides of a join are read from files, so that the adaptive skew join can split a hot centre. Stops when the
+    edges no longer change."""
     e = written(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct(), name)
 
     def mark(d: DataFrame) -> tuple:
@@ -229,13 +255,23 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
 
     was = mark(e)
     while was[0]:
+        kept = [e]
+
+        def ready(d: DataFrame, few: bool = was[0] <= FEW_EDGES, kept: list = kept) -> DataFrame:
+            if few:
+                return F.broadcast(d)
+            kept.append(written(d, name))
+            return kept[-1]
+
         both = e.union(e.selectExpr("b", "a"))
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"), name)
-        large = written(both.join(low, "a").where("b > a").selectExpr("b AS u", "m AS v").where("u <> v").distinct(), name)
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        low = ready(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m"))
+        large = both.join(low, "a").where("b > a").selectExpr("b AS u", "m AS v").where("u <> v").distinct()
+        if was[0] > FEW_EDGES:
+            large = ready(large)
+        least = ready(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").selectExpr("explode(array(struct(u AS b, m AS a), struct(v AS b, m AS a))) AS x")
         new = written(small.select("x.a", "x.b").where("a <> b").distinct(), name)
-        discard(e, low, large, least)
+        discard(*kept)
         e = new
         now = mark(e)
         if now == was:

@@ -82,7 +82,7 @@ def search_groups(met: DataFrame, sequences: DataFrame, similarity: Callable[[np
         # the first of each of `leaders` hash buckets; the same texts lead wherever they are
         bucket = F.pmod(F.xxhash64("full", F.lit(1)), F.lit(leaders))
         first = members.groupBy("key", bucket.alias("bucket")).agg(F.min(who).alias("who"))
-        lead = first.groupBy("key").agg(F.collect_list("who").alias("lead"))
+        lead = written(first.groupBy("key").agg(F.collect_list("who").alias("lead")), f"{name}-leaders")  # read from files, so that a hot key's join can be split
         # a member's leaders over all its bands, each once
         other = F.filter("lead", lambda x: (x["full"] != F.col("full")) & fits(x, {"n": F.col("n")}))
         wide = members.join(lead, "key").select("full", other.alias("other")).where(F.size("other") > 0)
@@ -101,7 +101,7 @@ def search_groups(met: DataFrame, sequences: DataFrame, similarity: Callable[[np
         each = m.groupBy("key", "root").agg(F.sum(F.col("n") + OVERHEAD).alias("e"))
         parts = lambda e: F.ceil(e / BLOCK)
         groups = each.groupBy("key").agg(F.max(F.struct("e", "root")).alias("top"), F.sum("e").alias("e"), F.count("*").alias("roots")).where("roots > 1")
-        groups = groups.select("key", F.col("top.root").alias("top"), parts(F.col("e")).alias("wide"), parts(F.col("e") - F.col("top.e")).alias("high"))
+        groups = written(groups.select("key", F.col("top.root").alias("top"), parts(F.col("e")).alias("wide"), parts(F.col("e") - F.col("top.e")).alias("high")), f"{name}-groups")
         h = F.xxhash64("full", F.lit(2))
         met = m.join(groups, "key").withColumn("rest", F.col("root") != F.col("top"))
         place = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.cast("long").alias("x"), y.cast("long").alias("y"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import STEP, U64, Words, mix, slices, text_buffer, written
+from lattica.llm.common import STEP, U64, Words, bundled, mix, slices, text_buffer, unbundled, written
 from lattica.llm.group_search import search_groups
 
 TOP = U64((1 << 64) - 1)
@@ -150,10 +150,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
     """docs (doc_id, text) -> one row for each of its rows: doc_id, class_id, n_links (verified partners of its text
     among the compared pairs), first (whether its text is the class's least by doc_id), full.
 
-    Documents are in a class if a chain of pairs joins them, each equal or of similarity >= threshold. class_id: the
-    least doc_id of the class (nulls aside; null if there is no other). Words: runs of [0-9a-z] and non-ASCII after
-    lower-casing A-Z. Null is the empty text; texts without words are only equal, not similar, to others. Repeated rows
-    are copies. Other columns are left out."""
+    Documents are in a class if a chain of pairs joins them, each equal or of similarity >= threshold and met in a band.
+    class_id: the least doc_id of the class (nulls aside; null if there is no other). Words: runs of [0-9a-z] and
+    non-ASCII after lower-casing A-Z. Null is the empty text; texts without words are only equal, not similar, to others.
+    Repeated rows are copies. Texts are compared whole, however long. Ties: of runs with equal hashes in a sketch the first
+    in the text. Other columns, whatever their names, are left out. An empty table gives none."""
     features, texts, links, roots = find_links(docs, k, threshold, bands, rows)
     degree = links.selectExpr("explode(array(a, b)) AS node").groupBy("node").agg(F.count("*").alias("n_links"))
     own = texts.select("full", "d").join(roots.withColumnRenamed("node", "full"), "full", "left").join(degree.withColumnRenamed("node", "full"), "full", "left")
@@ -164,13 +165,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands:
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, in the columns of docs: the first by doc_id; of repeated rows any one."""
-    found = near_duplicates(docs, **options)
+    """One row of each class, in the columns of docs, whatever their names: the first by doc_id, of repeated rows any one;
+    of a class without any doc_id one with a null id. Nulls, texts without words, long texts and empty tables are as in
+    near_duplicates."""
+    found = near_duplicates(docs.select("doc_id", "text"), **options)
     keep = found.where("first").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("full").agg(F.min("class_id").alias("keep_id"), F.count("*").alias("times"))
-    keep = written(keep.withColumnRenamed("full", "keep_full"), "near-keep")
+    keep = written(keep.withColumnRenamed("full", "keep_full"), "near-keep").hint("shuffle_hash")
+    rows = bundled(docs, "doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keep = keep.hint("shuffle_hash")
-    rows = docs.join(keep, (F.unhex(F.md5(text)) == F.col("keep_full")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rows = rows.join(keep, (F.unhex(F.md5(text)) == F.col("keep_full")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
     once = rows.where("times = 1")
     several = rows.where("times > 1").dropDuplicates(["keep_full"])
-    return once.union(several).select(docs.columns)
+    return unbundled(once.union(several), docs.columns, "doc_id", "text")

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lattica.llm.common import STEP, U64, Words, connected_spans, deal, discard, mix, parts_for, powers, slices, text_buffer, to_parts, written
+from lattica.llm.common import STEP, U64, Words, connected_spans, deal, discard, first_of_each, mix, parts_for, powers, slices, text_buffer, to_parts, written
 from lattica.llm.group_search import search_groups
 
 TOP = U64((1 << 64) - 1)
@@ -144,15 +145,6 @@ def _rows(parts: list[tuple]) -> pa.RecordBatch:
 WINDOW = np.dtype([("h", "<u4"), ("c", "<u4"), ("did", "<i8"), ("dk", "<i4"), ("begin", "<i4"), ("end", "<i4")])
 
 
-def _first(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of window records: the first of each different window, and the others (a repeated row of a document is no other)."""
-    w = w[np.lexsort((w["begin"], w["dk"], w["did"], w["c"], w["h"]))]
-    new = np.append(True, (w["h"][1:] != w["h"][:-1]) | (w["c"][1:] != w["c"][:-1])) if len(w) else np.zeros(0, bool)
-    first = w[new]
-    own = first[np.cumsum(new) - 1]
-    return first, w[(w["did"] != own["did"]) | (w["dk"] != own["dk"]) | (w["begin"] != own["begin"])]
-
-
 def _spans(w: np.ndarray) -> list[pa.RecordBatch]:
     """Rows (-1, dk, did, ranges) of the windows' documents."""
     return [_rows([(-1, *x) for x in connected_spans(w["did"], w["dk"].astype(np.int64), w["begin"].astype(np.int64), w["end"].astype(np.int64))])] if len(w) else []
@@ -261,7 +253,7 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
         sent: set[bytes] = set()
 
         def flush():
-            first, others = _first(np.concatenate(held))
+            first, others = first_of_each(np.concatenate(held))
             yield from _spans(others)
             part = first["part"]
             plain = first[list(WINDOW.names)].astype(WINDOW)
@@ -318,7 +310,7 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
                 yield batch.filter(pa.array(own))
             held += [np.frombuffer(x.as_buffer(), WINDOW) for x, o in zip(batch.column("data"), own, strict=True) if not o]
         if held:
-            yield from _spans(_first(np.concatenate(held))[1])
+            yield from _spans(first_of_each(np.concatenate(held))[1])
 
     with_lists = searched.join(lists.hint("shuffle_hash"), "_dk")
     found = written(with_lists.mapInArrow(gather, packed).repartitionById(n_parts, dealt).mapInArrow(resolve, packed), "paragraph-found")
@@ -369,7 +361,8 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     names, min_match = docs.columns, options.get("min_match", 16)
     own = ranges.groupBy(F.col("dk").alias("_dk")).agg(F.collect_list(F.struct("did", "data", "flat")).alias("_ranges"))
     rows = texts.join(own.hint("shuffle_hash"), "_dk", "left").select(*names, "_did", "_ranges")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    spans_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
+    schema = T.StructType([*docs.schema.fields]).add("n_words", "long").add("n_removed_words", "long").add("spans", spans_type)
 
     def cut(batches):
         for batch in batches:
@@ -406,4 +399,4 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(w.count, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span)], names=[*names, "n_words", "n_removed_words", "spans"])
 
-    return rows.mapInArrow(cut, f"{types}, n_words long, n_removed_words long, spans array<struct<start:bigint,end:bigint>>")
+    return rows.mapInArrow(cut, schema)

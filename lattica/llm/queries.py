@@ -10,10 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_pack(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     from lattica.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"))
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary, pattern = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    return pack(table(spark, sf_dir, "documents"), vocabulary=vocabulary, pattern=pattern).drop("ids")
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,12 @@ window). Steps:
 3. A loser tree merges a part's runs. It keeps, for each run's head, the length of the prefix shared with
    the last winner: heads that differ in it are ordered without touching their bytes, and equal ones are
    compared from there on. Equal suffixes are merged as before.
-4. Different suffixes with the same anchor string are compared window by window: of equal windows all but
-   the first are repeats.
-5. Each document's repeated windows are united and cut out."""
+4. Different suffixes with the same anchor string are compared window by window: of equal windows (hashes propose
+   them, bytes decide) all but the first are repeats.
+5. An anchor string met very often (a frequent line, say, whose contexts all differ) would put all its suffixes into one
+   part. Its windows are dealt instead, evenly by their own hashes: a task sends one record for each different
+   window, and of equal windows (128 bits) all but the first are repeats.
+6. Each document's repeated windows are united and cut out."""
 
 from __future__ import annotations
 
@@ -27,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import U64, connected_spans, deal, mix, parts_for, powers, slices, text_buffer, to_parts
+from lattica.llm.common import U64, connected_spans, deal, first_of_each, mix, parts_for, powers, slices, text_buffer, to_parts, written
 
 NO_ID = (1 << 63) - 1
 KNOWN = np.uint32(0xFFFFFFFF)
 #: Suffixes a task sorts at once, and different suffixes compared window by window at once.
 RUN, BLOCK = 60_000, 16_000
+#: An anchor string met more often than this, or than once in HOT_BYTES bytes of the input, is one of step 5; so these are
+#: 3 million at most, whatever the input.
+HOT, HOT_BYTES = 4096, 100_000_000
+WINDOW = np.dtype([("h", "<u8"), ("c", "<u8"), ("did", "<i8"), ("dk", "<i4"), ("begin", "<i4")])
 
 
 def rolling(raw: np.ndarray, k: int) -> np.ndarray:
@@ -182,13 +189,37 @@ def repeated_windows(row: np.ndarray, group: np.ndarray, order: np.ndarray, pos:
         fits = np.flatnonzero((row[:, -1] >= o) & (row[:, window].astype(np.int64) >= window - o))
         if len(fits) > 1:
             by = fits[np.lexsort((order[fits], w[fits, o]))]
-            again[by[1:], o] = w[by[1:], o] == w[by[:-1], o]
+            for at in np.array_split(np.flatnonzero(w[by[1:], o] == w[by[:-1], o]), -(-len(by) // 4096)):
+                one, two = row[by[at + 1]], row[by[at]]
+                same = (one[:, : window - o] == two[:, : window - o]).all(1) & (one[:, window + 1 : window + 1 + o] == two[:, window + 1 : window + 1 + o]).all(1)
+                again[by[at + 1], o] = same
     edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     i, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)  # exclusive
     return i, pos[i] - (last - 1), pos[i] - first + window
 
 
+def windows(row: np.ndarray, pos: np.ndarray, did: np.ndarray, dk: np.ndarray, window: int) -> np.ndarray:
+    """Records of all windows around the suffixes' anchors."""
+    left = row.shape[1] - window - 2
+    text = np.concatenate([row[:, window + 1 : -1][:, ::-1], row[:, :window]], axis=1).astype(np.uint64)
+    up, down = powers(left + window + 1)
+    sums = []
+    for t in (text + U64(1), mix(text + U64(300))):
+        total = np.zeros((len(row), left + window + 1), np.uint64)
+        np.cumsum(t * up[: left + window], axis=1, out=total[:, 1:])
+        sums.append(total)
+    out = []
+    for o in range(left + 1):
+        i = np.flatnonzero((row[:, -1] >= o) & (row[:, window].astype(np.int64) >= window - o))
+        w = np.zeros(len(i), WINDOW)
+        for c, total in zip(("h", "c"), sums, strict=True):
+            w[c] = mix((total[i, left + window - o] - total[i, left - o]) * down[left - o])
+        w["did"], w["dk"], w["begin"] = did[i], dk[i], pos[i] - o
+        out.append(w)
+    return np.concatenate(out)
+
+
 def _spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.ndarray):
     """A batch of rows (dk, did, spans), or None."""
     rows = connected_spans(did, dk, start, end)
@@ -224,17 +255,17 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
     """docs (doc_id, text) -> one row for each of its rows: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
     keep_text the remaining bytes as `kept` (binary).
 
-    Texts are UTF-8 bytes, null is empty; texts shorter than window keep all. A null doc_id comes after all others;
-    texts that share a doc_id are ordered by a hash. Of equal texts the one with the smallest doc_id is searched
-    for repeats, the others are repeats as a whole. Other columns are left out."""
+    Texts are UTF-8 bytes, null is empty; texts shorter than window keep all; long ones are searched whole. A null doc_id
+    comes after all others; different texts that share a doc_id, which the contract doesn't order, are ordered by a hash. Of
+    equal texts the one with the smallest doc_id is searched for repeats, the others, repeated rows among them, are
+    repeats as a whole. Other columns, whatever their names, are left out. An empty table gives none."""
     n_parts = parts_for(docs)
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "full": F.unhex(F.md5("text"))})
     base = base.withColumn("dk", F.shiftright(F.xxhash64("did", "full"), 33).cast("int"))
     ids = base.select("doc_id", "did", "full", "dk", F.octet_length("text").cast("long").alias("n_bytes")).groupBy("doc_id", "did", "full", "dk", "n_bytes").agg(F.count("*").alias("times"))
-    from lattica.llm.common import written
-
     ids = written(ids, "suffix-ids")
+    hot_from = max(HOT, (ids.agg(F.sum("n_bytes")).first()[0] or 0) // HOT_BYTES)
     first = ids.groupBy("full").agg(F.min("did").alias("first"))
     marked = written(ids.join(first, "full").withColumn("own", F.col("did") == F.col("first")), "suffix-docs")
     searched = marked.where((F.col("n_bytes") >= window) & F.col("own")).groupBy("dk").agg(F.collect_list(F.struct("did", "full")).alias("searched"))
@@ -256,9 +287,10 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
             one = np.flatnonzero(new)
             code = np.where(size > 1, KNOWN, p[one].astype(np.uint32))
             part, data = [], []
-            for k, x in deal(to_parts(h[one], n_parts), n_parts, {"h": h[one].astype(np.uint32), "d": d[one].astype(np.uint32), "p": code}):
+            times = np.minimum(size, 65_535).astype(np.uint16)
+            for k, x in deal(to_parts(h[one], n_parts), n_parts, {"h": h[one].astype(np.uint32), "d": d[one].astype(np.uint32), "p": code, "n": times}):
                 part.append(k)
-                data.append(x["h"] + x["d"] + x["p"])
+                data.append(b"".join(x.values()))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([0] * len(part), pa.int32()), pa.array(data, pa.binary())], names=["part", "dk", "data"])
 
         for batch in batches:
@@ -284,28 +316,39 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
         yield pa.RecordBatch.from_arrays([pa.array([-1] * len(cut), pa.int32()), pa.array(d[cut].astype(np.int32)), pa.array([p[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["part", "dk", "data"])
 
     def meet(batches):
-        held = []
+        """Positions of anchors met twice; part -2: the keys of those met very often."""
+        held: dict[int, list] = {}
         for batch in batches:
-            for part, dk, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if part < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([dk], pa.int32()), pa.array([data], pa.binary())], names=["part", "dk", "data"])
-                else:
-                    held.append(np.frombuffer(data, np.uint32).reshape(3, -1))
-        if held:
-            h, d, p = np.concatenate(held, axis=1)
+            own = batch.column("part").to_numpy() < 0
+            if own.any():
+                yield batch.filter(pa.array(own))
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                if part >= 0:
+                    data = data.as_buffer()
+                    n = len(data) // 14
+                    held.setdefault(part, []).append((*np.frombuffer(data, np.uint32, 3 * n).reshape(3, n), np.frombuffer(data, np.uint16, n, 12 * n)))
+        for part, own in held.items():
+            h, d, p, times = (np.concatenate(x) for x in zip(*own, strict=True))
             by = np.argsort(h, kind="stable")
-            h, d, p = h[by], d[by], p[by]
-            new = np.append(True, h[1:] != h[:-1])
-            size = np.diff(np.append(np.flatnonzero(new), len(h)))
+            h, d, p, times = h[by], d[by], p[by], times[by]
+            new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(new, len(h)))
             some = np.repeat(size > 1, size) & (p != KNOWN)
             if some.any():
                 yield from positions(d[some].astype(np.int32), p[some])
+            hot = h[new[np.add.reduceat(times.astype(np.int64), new) > hot_from]]
+            if len(hot):
+                keys = (np.int64(part) << 32 | hot.astype(np.int64)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), pa.array([0], pa.int32()), pa.array([keys], pa.binary())], names=["part", "dk", "data"])
 
     packed = "part int, dk int, data binary"
     sent = texts.select("dk", "text").mapInArrow(find, packed)
     # rows with part -1 are answers already; they are dealt along by document
     met = sent.repartitionById(n_parts, F.when(F.col("part") < 0, F.pmod("dk", F.lit(n_parts))).otherwise(F.col("part")).cast("int")).mapInArrow(meet, packed)
-    lists = met.select("dk", F.lit(0).cast("long").alias("did"), "data")
+    met = written(met, "suffix-met")
+    hot = [np.frombuffer(bytes(r[0]), np.int64) for r in met.where("part = -2").select("data").toLocalIterator()]  # see HOT_BYTES
+    hot_keys = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.int64))
+    lists = met.where("part = -1").select("dk", F.lit(0).cast("long").alias("did"), "data")
 
     def cut_runs(batches):
         held, seen = Suffixes(window, gram), set()
@@ -324,6 +367,16 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
             row, did, dk, pos = (x[~same] for x in (row, did, dk, pos))
             h = rolling_rows(row[:, :gram])
             part = to_parts(h, n_parts)
+            hot = np.isin(part << 32 | h.astype(np.uint32).astype(np.int64), hot_keys.value)
+            for at in np.array_split(np.flatnonzero(hot), -(-int(hot.sum()) // 4096) or 1):
+                first, others = first_of_each(windows(row[at], pos[at], did[at], dk[at], window))
+                out = _spans(others["did"], others["dk"].astype(np.int64), others["begin"].astype(np.int64), others["begin"].astype(np.int64) + window)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1] * out.num_rows, pa.int32()), *out.columns], names=["part", "dk", "did", "data"])
+                if len(first):
+                    dealt = [(k, x["w"]) for k, x in deal(to_parts(first["h"], n_parts), n_parts, {"w": first})]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.array([1] * len(dealt), pa.int32()), pa.array([0] * len(dealt), pa.int64()), pa.array([x for _, x in dealt], pa.binary())], names=["part", "dk", "did", "data"])
+            row, did, dk, pos, part = (x[~hot] for x in (row, did, dk, pos, part))
             ks, datas = [], []
             for k in np.unique(part):
                 own = np.flatnonzero(part == k)
@@ -355,11 +408,15 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
     def merge(batches):
         size = window + (window - gram) + 2
         runs, did_, dk_, pos_ = [], [], [], []
+        hot = []
         for batch in batches:
             for part, dk, did, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part < 0:
                     yield pa.RecordBatch.from_arrays([pa.array([dk], pa.int32()), pa.array([did], pa.int64()), pa.array([data], pa.binary())], names=["dk", "did", "data"])
                     continue
+                if dk:
+                    hot.append(np.frombuffer(data, WINDOW))
+                    continue
                 n = int(np.frombuffer(data[:8], np.int64)[0])
                 ints = np.frombuffer(data[8 : 8 + 24 * n], np.int64).reshape(3, n)
                 lcp = np.frombuffer(data[8 + 24 * n : 8 + 25 * n], np.uint8).tolist()
@@ -367,6 +424,11 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
                 did_.append(ints[0])
                 dk_.append(ints[1])
                 pos_.append(ints[2])
+        if hot:
+            others = first_of_each(np.concatenate(hot))[1]
+            out = _spans(others["did"], others["dk"].astype(np.int64), others["begin"].astype(np.int64), others["begin"].astype(np.int64) + window)
+            if out is not None:
+                yield out
         if not runs:
             return
         # merged: the different suffixes, each with its first holder; copies: the holders of the others

@@ -1,14 +1,21 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from lattica.llm import group_search, near_dup, paragraph_dedup, suffix_dedup
 from lattica.llm.common import text_buffer
 
 D = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def F_(expression):
+    return corpus_pipeline.F.expr(expression)
 
 
 def by_brute_force(rows, window):
@@ -26,11 +33,15 @@ def by_brute_force(rows, window):
     return sorted(out, key=str)
 
 
-def test_suffix_dedup_equals_brute_force(spark, docs):
+@pytest.mark.parametrize("hot", [4096, 20])
+def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(1)
     rows = [(r.doc_id, r.text) for r in docs.limit(120).collect()]
     rows += [(10**6 + i, " ".join(rng.choice(["ab", "cd", "xyz é", "q" * rng.randint(1, 9)]) for _ in range(rng.randint(0, 200)))) for i in range(30)]
     rows += [(2 * 10**6 + i, "abc" * rng.randint(20, 80)) for i in range(6)] + [(3 * 10**6, None), (3 * 10**6 + 1, "")]
+    line = "a line of ninety bytes that stands in many texts, each time with other words before it, after"
+    rows += [(4 * 10**6 + i, f"{rng.choice(['', f'own {i} words ' * 3])}{line} {rng.choice(['same end of some texts', f'{i} other'])}") for i in range(120)]
     rows += [(3 * 10**6 + 2 + i, "x" * n) for i, n in enumerate((99, 100, 101, 100))] + [(None, "abc" * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_bytes", suffix_dedup.F.lit("clash")).repartition(5)
     assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(df).collect()), key=str) == by_brute_force(rows, 100)
@@ -42,6 +53,19 @@ def test_suffix_dedup_odd_input(odd, none):
     assert {r.doc_id: bytes(r.kept) for r in out if r.doc_id in (4, 5)} == {4: b"", 5: b" \n\t ... !!"}
 
 
+def test_windows_with_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
+    """With a hash that is the same for all, only the bytes can decide."""
+    s = suffix_dedup.Suffixes(100, 32)
+    texts = [b"q" * 30 + b"anchor of thirty-two bytes, equal" + bytes([x]) * 120 for x in b"abca"]
+    for i, t in enumerate(texts):
+        s.add(np.frombuffer(t, np.uint8), np.array([30]), i, 0)
+    row, did, dk, pos = s.take()
+    want = [sorted(map(tuple, np.stack(suffix_dedup.repeated_windows(row, np.zeros(4, int), np.arange(4), pos, 100), 1).tolist()))]
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: x * 0)
+    got = sorted(map(tuple, np.stack(suffix_dedup.repeated_windows(row[[0, 1]], np.zeros(2, int), np.arange(2), pos[:2], 100), 1).tolist()))
+    assert got == [] and [x[0] for x in want[0]] == [3]
+
+
 def test_merge_never_compares_known_prefixes():
     rng = random.Random(2)
     rows = sorted({bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(400)})
@@ -303,9 +327,50 @@ def test_pipeline_stages(spark, docs):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in now.select("doc_id").collect()}
 
 
-def test_pipeline_stages_on_odd_input(spark, odd, none):
-    for table in (odd, none):
-        now = table
-        for _, stage in corpus_pipeline.STAGES:
-            now = corpus_pipeline.written(stage(spark, now, D), "test")
-        assert now.count() >= 0
+def test_pipeline_stages_keep_the_values_of_clashing_columns(spark, odd, none):
+    """`odd` has columns named as results of operators; more of them here, each with a value of its own."""
+    F = corpus_pipeline.F
+    clash = ["times", "n_words", "items", "lang_pred", "_rest", "_words", "_hits", "spans", "keep_id", "full", "a b.c"]
+    table = odd.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in clash})
+    kept = {"language_id": [1, 1, 2, 6, 7, None], "near_dedup": [1, 6, 7], "substring_dedup": [1, 6, 7], "decontamination": [1, 6, 7]}
+    now = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.written(stage(spark, now, D), "test")
+        rows = now.collect()
+        assert now.schema.names == table.schema.names
+        assert sorted((r.doc_id for r in rows), key=lambda x: (x is None, x)) == kept[name], name
+        for r in rows:
+            assert all(r[c] == f"{c}:{'null' if r.doc_id is None else r.doc_id}" for c in clash), name
+            assert r.score == {1: 0.5, 6: 0.1, 7: 0.1}.get(r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, D).collect()} == {1, 6, 7}
+    now = none
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.written(stage(spark, now, D), "test")
+        assert now.count() == 0 and (name == "packing" or now.columns == odd.columns)
+
+
+def test_pipeline_equals_brute_force(spark, docs):
+    """The stages that choose documents, one after the other, by all pairs and all windows; n_chars follows the text."""
+    rows = docs.where("doc_id % 2 = 0").orderBy("doc_id").limit(90)
+    rows = rows.union(rows.where("doc_id % 6 = 0").withColumn("doc_id", F_("doc_id + 100000"))).union(spark.createDataFrame([(200_000, None, "en", "x", 0), (200_001, " .. ", "en", "x", 0)], docs.schema))
+    bench = [r.text for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    found, now = {}, rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in now.collect()}
+        now = corpus_pipeline.written(stage(spark, now, D), "test")
+        found[name] = before, {r.doc_id: r.text for r in now.collect()}
+    before, after = found["language_id"]
+    assert set(before) - set(after) >= {200_000, 200_001} and len(after) > 0.9 * len(before)
+    before, after = found["near_dedup"]
+    assert set(after) == set(classes_by_brute_force(list(before.items())).values())
+    before, after = found["substring_dedup"]
+    plain = {d: " ".join(WORD.findall(t.lower())) for d, t in before.items()}
+    lines = {d: "\n".join(" ".join(WORD.findall(x.lower())) for x in t.split("\n")) for d, t in before.items()}
+    want = repeats_by_brute_force(list(lines.items()))
+    size = {d: len(plain[d].split()) for d in plain}
+    assert {d: len(WORD.findall(t.lower())) for d, t in after.items()} == {d: size[d] - want[d] for d in want if want[d] < size[d] or not want[d]}
+    before, after = found["decontamination"]
+    windows = {tuple(w[i : i + 10]) for t in bench for w in [WORD.findall(t.lower())] for i in range(max(1, len(w) - 9)) if w}
+    hit = lambda t: any(tuple(w[i : i + n]) in windows for w in [WORD.findall(t.lower())] for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+    assert set(after) == {d for d, t in before.items() if not hit(t)}
+    assert all(r.n_chars == len(r.text) for r in now.collect())

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import itertools
 import random
@@ -9,7 +10,7 @@ import pytest
 from compare import connection, same
 
 
-from lattica.llm import decontaminate, langid, mtree, packing, perspective, quality, token_counts
+from lattica.llm import common, decontaminate, langid, mtree, packing, perspective, quality, token_counts
 from lattica.llm.common import Words, connected_components, text_buffer
 from lattica.llm.queries import QUERIES, SQL
 
@@ -28,7 +29,9 @@ def test_words_never_cross_texts():
     assert Words(*text_buffer(pa.array(["AB"], pa.string()))).hash[0] == w.hash[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     rng = random.Random(0)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(40)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
@@ -68,11 +71,55 @@ def test_pack_covers_every_token_within_budget(docs):
     assert (b.slot.max() + 1 == b.size()).all()
 
 
+def test_pack_by_brute_force_with_a_vocabulary(spark, docs):
+    """Every piece's ids are the library's, the buckets are the optimum over all pieces, and batches fill up in order."""
+    P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = docs.select("doc_id", "text").collect()
+    some = [*[(r.doc_id, r.text) for r in rows], *[(None, f"null id {i} " + "word " * (i % 5)) for i in range(60)], (7, "again"), (7, "again"), (8, "<|endoftext|>")]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    want = sorted(((d, k // 300, k, tuple(ids[k : k + 300])) for d, t in some for ids in [lib.encode_ordinary(t)] for k in range(0, max(1, len(ids)), 300)), key=str)
+    assert max(len(t) for _, t in some) <= packing.Encoder.STRETCH
+    out = packing.pack(df, 300, 5, 1000, 4, str(path), P.PATTERN).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, tuple(r.ids)) for r in out), key=str) == want
+    length, count = np.unique([len(x[3]) for x in want if x[3]], return_counts=True)
+    bounds = packing.best_bounds(length, count, 5)
+    batches: dict = {}
+    for r in out:
+        assert r.n_tokens == len(r.ids)
+        if r.n_tokens:
+            assert r.bucket_len == min(b for b in bounds if b >= r.n_tokens) == bounds[r.bucket]
+            batches.setdefault((r.bucket, r.shard), {}).setdefault(r.batch, []).append(r)
+    for (bucket, _), own in batches.items():
+        room = max(1, 1000 // bounds[bucket])
+        sizes = [len(own[k]) for k in range(len(own))]
+        assert all(n == room for n in sizes[:-1]) and 0 < sizes[-1] <= room
+        assert all(sorted(r.slot for r in own[k]) == list(range(len(own[k]))) for k in own)
+    for bucket in {b for b, _ in batches}:
+        pieces = sum(len(x) for (b, _), own in batches.items() if b == bucket for x in own.values())
+        room = max(1, 1000 // bounds[bucket])
+        assert len({s for b, s in batches if b == bucket}) <= max(1, -(-pieces // (room * 4)))
+
+
+def test_long_texts_are_encoded_in_stretches():
+    P = pytest.importorskip("public_tokenizers")
+    e = packing.Encoder(str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    text = "some words\nin lines " * 8000 + "x" * 150_000 + " " * 70_000
+    assert e.encoding.decode(e.encode(text).tolist()) == text and len(e.encode("")) == 0
+
+
 def test_pack_odd_input(odd, none):
+    P = pytest.importorskip("public_tokenizers")
     rows = packing.pack(odd).collect()
-    assert sum(r.n_tokens == 0 and r.bucket is None and r.batch is None for r in rows) == 3
+    assert sum(r.n_tokens == 0 and r.bucket is None and r.batch is None and r.slot is None for r in rows) == 4
     assert sum(r.n_tokens for r in rows if r.doc_id == 6) == 30_000 and sum(r.doc_id == 1 for r in rows) == 2
-    assert packing.pack(none).count() == 0
+    options = {"vocabulary": str(P.path("byte_bpe_50k.tiktoken")), "pattern": P.PATTERN}
+    rows = packing.pack(odd, **options).collect()
+    assert sum(r.n_tokens == 0 and r.bucket is None and r.slot is None and r.ids == [] for r in rows) == 3 and sum(r.doc_id == 1 for r in rows) == 2
+    assert packing.pack(none).count() == 0 and packing.pack(none, **options).count() == 0
 
 
 # --- decontamination
