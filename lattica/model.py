@@ -36,6 +36,8 @@ class Bundle:
     emb: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
     comp: dict[str, DataFrame] = field(default_factory=dict)
+    #: Raw counts beside normalised ones in expr.
+    counts: DataFrame | None = None
 
     def __post_init__(self) -> None:
         require(self.expr, "expr")

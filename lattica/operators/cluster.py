@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.functions.columns import scrub
 from lattica.operators.graphs import knn
 from lattica.operators.linalg import column, summed
+from lattica.plans.tables import written
 
 #: Edges of one graph that a clustering task holds, and rows that seed the mixture.
 MAX_EDGES, SEED_ROWS = 20_000_000, 5_000
@@ -31,9 +32,9 @@ def _seeded_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 def tied_mixture(emb: DataFrame, k: int, seed: int = 42, iters: int = 100, tol: float = 1e-6) -> DataFrame:
     """(obs_id, cluster 1..k): a Gaussian mixture with one full covariance for all components, by expectation
-    maximisation. A row's responsibilities are computed where it lies; an iteration moves k (d + 1) + d^2 sums. Means
+    maximisation. Rows are written once and read in each iteration. A row's responsibilities are computed where it lies; an iteration moves k (d + 1) + d^2 sums. Means
     are seeded on up to 5,000 rows, the first by a hash. Components that aren't finite count as 0."""
-    rows = emb.select("obs_id", F.transform("vec", scrub).alias("vec"))
+    rows = written(emb.select("obs_id", F.transform("vec", scrub).alias("vec")), "mixture-rows")
     seeds = rows.orderBy(F.xxhash64("obs_id"), "obs_id").limit(SEED_ROWS).toArrow()
     x = np.array(seeds.column("vec").to_pylist(), float)
     if len(x) < k:

@@ -16,8 +16,8 @@ MAX_TRAINING_ROWS = 200_000
 
 
 def wide_rows(comp: DataFrame, types: list[str]) -> DataFrame:
-    """(obs_id, y array<double>) in the order of types, absent ones 0."""
-    m = comp.groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("cell_type", "value"))).alias("m"))
+    """(obs_id, y array<double>) in the order of types, absent ones 0, repeated ones added up."""
+    m = comp.where("cell_type IS NOT NULL").groupBy("obs_id", "cell_type").agg(F.sum("value").alias("value")).groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct("cell_type", "value"))).alias("m"))
     return m.select("obs_id", F.array(*(F.coalesce(F.col("m")[t], F.lit(0.0)) for t in types)).alias("y"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import small
+from lattica.plans.tables import written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -181,7 +182,8 @@ def spatial_neighbors(points: DataFrame, k: int = 6) -> DataFrame:
     """(src, dst, w=1): the k nearest points of the same slice in the plane, by distance, then id.
 
     Each point's search is widened in rings of grid cells of about k points until its k-th distance lies within the
-    searched square; points whose slice has fewer than k others get them all."""
+    searched square; points whose slice has fewer than k others get them all. What a round finds, and what it leaves, is
+    written, so that no round repeats those before."""
     own = points.select("slice", "obs_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     stats = own.groupBy("slice").agg(F.count("*").alias("n"), F.max("x").alias("x1"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.min("y").alias("y0"))
     span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
@@ -201,9 +203,10 @@ def spatial_neighbors(points: DataFrame, k: int = 6) -> DataFrame:
         sure = near.withColumns({"worst": F.max("d").over(Window.partitionBy("slice", "src")), "got": F.count("*").over(Window.partitionBy("slice", "src"))})
         whole = F.lit(rings) * F.col("cell") >= F.col("span")
         ok = whole | ((F.col("got") == F.least(F.lit(k), F.col("n") - 1)) & (F.col("worst") <= F.lit(rings) * F.col("cell")))
-        found = sure.where(ok).select("slice", "src", "dst")
+        found = written(sure.where(ok).select("slice", "src", "dst"), "grid-found")
         done = found if done is None else done.unionAll(found)
         left = todo.join(found.select("slice", F.col("src").alias("obs_id")).distinct(), ["slice", "obs_id"], "left_anti").where((F.col("n") > 1) & (F.lit(rings) * F.col("cell") < F.col("span")))
+        left = written(left, "grid-left")
         if not left.take(1):
             return done.select("src", "dst", F.lit(1.0).alias("w"))
         todo, rings = left, rings * 2

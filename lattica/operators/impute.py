@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,22 +69,25 @@ class GraphImputer:
         for n, (a, b) in (("1", (k, 2 * hidden)), ("2", (2 * hidden, hidden)), ("3", (hidden, 1))):
             self.p |= {f"m{n}": uniform(a, b), f"b{n}": rng.uniform(-1, 1, b) / np.sqrt(a)}
 
-    def forward(self, x: np.ndarray, adj: np.ndarray, spatial: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
+    def forward(self, x: np.ndarray, adj: np.ndarray, spatial: np.ndarray | None = None, keep: list | None = None, dropout: tuple[float, np.random.Generator] | None = None) -> np.ndarray:
         """x: spots x k x G; adj: row-normalised feature graph, G x G; spatial: the neighbouring spots' mean of x (for one
-        layer). Returns spots x G; keep collects what backward needs."""
+        layer). Returns spots x G; keep collects what backward needs. dropout: the share of a layer's inputs that is left
+        out (the rest is scaled up), in training only."""
         h = x.transpose(2, 0, 1)  # G, B, k
         ns = np.zeros_like(h) if spatial is None else spatial.transpose(2, 0, 1)
         p = self.p
         for i in range(self.layers):
             ng = np.einsum("ij,jbk->ibk", adj, h, optimize=True)
             cat = np.concatenate([h, ng, ns], axis=2)
+            mask = None if dropout is None else (dropout[1].random(cat.shape) >= dropout[0]) / (1 - dropout[0])
+            cat = cat if mask is None else cat * mask
             z = cat @ p[f"w{i}"]
             r = h + np.maximum(z, 0)
             mean, var = r.mean(2, keepdims=True), r.var(2, keepdims=True)
             inv = 1 / np.sqrt(var + 1e-5)
             unit = (r - mean) * inv
             if keep is not None:
-                keep.append((cat, z, unit, inv))
+                keep.append((cat, z, unit, inv, mask))
             h = unit * p[f"s{i}"] + p[f"t{i}"]
         a1 = h @ p["m1"] + p["b1"]
         h1 = np.maximum(a1, 0)
@@ -92,9 +97,9 @@ class GraphImputer:
             keep.append((h, a1, h1, a2, h2))
         return (h2 @ p["m3"] + p["b3"])[..., 0].T
 
-    def gradient(self, x: np.ndarray, adj: np.ndarray, y: np.ndarray, shared: np.ndarray, weight: float, spatial: np.ndarray | None = None) -> tuple[float, dict]:
+    def gradient(self, x: np.ndarray, adj: np.ndarray, y: np.ndarray, shared: np.ndarray, weight: float, spatial: np.ndarray | None = None, dropout: tuple[float, np.random.Generator] | None = None) -> tuple[float, dict]:
         keep: list = []
-        out = self.forward(x, adj, spatial, keep)
+        out = self.forward(x, adj, spatial, keep, dropout)
         loss, d_shared = shared_loss(out[:, shared], y, weight)
         d = np.zeros_like(out)
         d[:, shared] = d_shared
@@ -113,13 +118,14 @@ class GraphImputer:
         g["m1"], g["b1"] = outer(h, d), d.sum((0, 1))
         d = d @ p["m1"].T
         for i in reversed(range(self.layers)):
-            cat, z, unit, inv = keep.pop()
+            cat, z, unit, inv, mask = keep.pop()
             g[f"s{i}"], g[f"t{i}"] = (d * unit).sum((0, 1)), d.sum((0, 1))
             d = d * p[f"s{i}"]
             d = inv * (d - d.mean(2, keepdims=True) - unit * (d * unit).mean(2, keepdims=True))
             dz = d * (z > 0)
             g[f"w{i}"] = outer(cat, dz)
             back = dz @ p[f"w{i}"].T
+            back = back if mask is None else back * mask
             k = self.k
             d = d + back[..., :k] + np.einsum("ji,jbk->ibk", adj, back[..., k : 2 * k], optimize=True)
         return loss, g
@@ -158,12 +164,15 @@ def dense_adjacency(edges: DataFrame, g: int) -> np.ndarray:
     return adj
 
 
-def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray, shared: list[int], k: int, epochs: int = 50, lr: float = 1e-3, decay: float = 1e-2, layers: int = 1, hidden: int = 128, sim_weight: float = 0.5, batch_rows: int = 64, spatial: DataFrame | None = None, seed: int = 0) -> tuple[GraphImputer, list[float]]:
+def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray, shared: list[int], k: int, epochs: int = 50, lr: float = 1e-3, decay: float = 1e-2, layers: int = 1, hidden: int = 128, sim_weight: float = 0.5, batch_rows: int = 64, spatial: DataFrame | None = None, seed: int = 0, mini_batches: int = 1, dropout: float = 0.0) -> tuple[GraphImputer, list[float]]:
     """Train on the shared features. tensor: obs_id, f (k x G); truth: obs_id, y (dense over shared); spatial: obs_id, s.
+    Returns the model and the mean loss of each epoch.
 
-    Data-parallel: in each epoch every task adds up the gradients of its blocks of batch_rows spots, the driver averages
-    them over blocks and takes an AdamW step. Neighbouring spots enter through their mean, joined beforehand, which
-    serves one layer."""
+    Data-parallel: in each step every task adds up the gradients of its blocks of batch_rows spots, the driver averages
+    them over blocks and takes an AdamW step. An epoch deals the spots anew, by a hash, into mini_batches steps.
+    Neighbouring spots enter through their mean, joined beforehand, which serves one layer and takes whole epochs."""
+    if spatial is not None and mini_batches != 1:
+        raise ValueError("a graph of spots takes whole epochs")
     if spatial is not None and layers != 1:
         raise ValueError("a graph of spots works with one layer")
     from lattica.operators.linalg import summed
@@ -171,7 +180,7 @@ def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray, shared: li
 
     rows = tensor.join(truth, "obs_id")
     rows = rows.join(spatial, "obs_id") if spatial is not None else rows
-    rows = written(rows.select("f", "y", *(["s"] if spatial is not None else [])), "imputer-rows")
+    rows = written(rows.select("obs_id", "f", "y", *(["s"] if spatial is not None else [])), "imputer-rows")
     model = GraphImputer(k, layers, hidden, seed)
     names = sorted(model.p)
     shapes = {n: model.p[n].shape for n in names}
@@ -184,21 +193,26 @@ def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray, shared: li
     def flat(d):
         return np.concatenate([d[n].ravel() for n in names])
 
-    for step in range(1, epochs + 1):
+    for step in range(1, epochs * mini_batches + 1):
+        epoch, turn = divmod(step - 1, mini_batches)
+        part = rows if mini_batches == 1 else rows.where(F.pmod(F.xxhash64("obs_id", F.lit(seed), F.lit(epoch)), F.lit(mini_batches)) == turn)
 
-        def kernel(batch, model=model):
+        def kernel(batch, model=model, step=step):
             total = np.zeros(size + 2)
             for a in range(0, batch.num_rows, batch_rows):
                 own = batch.slice(a, batch_rows)
                 x = column(own, "f").reshape(own.num_rows, k, g)
                 s = column(own, "s").reshape(own.num_rows, k, g) if "s" in own.schema.names else None
-                loss, d = model.gradient(x, held.value, column(own, "y"), index, sim_weight, s)
+                drop = (dropout, np.random.default_rng([seed, step, zlib.crc32(str(own.column("obs_id")[0]).encode())])) if dropout else None
+                loss, d = model.gradient(x, held.value, column(own, "y"), index, sim_weight, s, drop)
                 total += np.concatenate([flat(d), [loss, 1.0]])
             return total
 
-        total = summed(rows, kernel, size + 2)
-        n = max(1.0, total[-1])
-        losses.append(total[-2] / n)
+        total = summed(part, kernel, size + 2)
+        if not total[-1]:
+            continue
+        n = total[-1]
+        losses.append((epoch, total[-2], n))
         d = total[:-2] / n
         m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
         w = flat(model.p)
@@ -210,7 +224,8 @@ def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray, shared: li
             fresh.p[name] = w[at : at + c].reshape(shapes[name])
             at += c
         model = fresh
-    return model, losses
+    means = [[(x, n) for e, x, n in losses if e == epoch] for epoch in range(epochs)]
+    return model, [sum(x for x, _ in m) / sum(n for _, n in m) for m in means if m]
 
 
 def predict_imputer(tensor: DataFrame, model: GraphImputer, adj: np.ndarray, genes: list[str], spatial: DataFrame | None = None, batch_rows: int = 128) -> DataFrame:

@@ -111,11 +111,6 @@ def f1_lisi(emb: DataFrame, batches: DataFrame, labels: DataFrame, n_neighbors:
     return f1_from_lisi(graph_lisi(emb, batches, neighbors=near), graph_lisi(emb, labels, neighbors=near))
 
 
-def summarize(df: DataFrame, column: str, summary: str = "median") -> DataFrame:
-    how = {"median": F.percentile(column, 0.5), "mean": F.avg(column)}
-    return df if summary == "none" else df.agg(how[summary].alias(column))
-
-
 def row_normalize(comp: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Composition rows clipped at 0 and divided by (their sum + eps)."""
     v = F.greatest(F.col("value"), F.lit(0.0))
@@ -124,15 +119,17 @@ def row_normalize(comp: DataFrame, eps: float = 1e-12) -> DataFrame:
 
 def paired(truth: DataFrame, pred: DataFrame) -> DataFrame:
     """(obs_id, cell_type, p, q) over all pairs of an observation that both have and a type that both have; absent is 0.
-    Observations with a value that isn't finite are left out."""
-    types = truth.select("cell_type").intersect(pred.select("cell_type"))
-    ids = truth.select("obs_id").intersect(pred.select("obs_id"))
-    bad = truth.select("obs_id", "value").union(pred.select("obs_id", "value")).where(F.col("value").isNotNull() & finite(F.col("value")).isNull()).select("obs_id").distinct()
-    every = types.agg(F.array_sort(F.collect_set("cell_type")).alias("t"))  # types are few
-    grid = ids.join(bad, "obs_id", "left_anti").crossJoin(F.broadcast(every)).select("obs_id", F.explode("t").alias("cell_type"))
-    p = truth.select("obs_id", "cell_type", F.col("value").alias("p"))
-    q = pred.select("obs_id", "cell_type", F.col("value").alias("q"))
-    return grid.join(p, ["obs_id", "cell_type"], "left").join(q, ["obs_id", "cell_type"], "left").fillna(0.0, ["p", "q"])
+    Observations with a value that isn't finite are left out; repeated cells are added up."""
+    value, none = F.col("value").cast("double"), F.lit(None).cast("double")
+    bad = F.col("value").isNotNull() & finite(F.col("value")).isNull()
+    sides = [d.select("obs_id", "cell_type", p.alias("p"), q.alias("q"), F.lit(a).alias("a"), F.lit(not a).alias("b"), bad.alias("bad")) for d, p, q, a in ((truth, value, none, True), (pred, none, value, False))]
+    has = [F.bool_or(c).alias(c) for c in ("a", "b")]
+    cells = sides[0].union(sides[1]).where("cell_type IS NOT NULL").groupBy("obs_id", "cell_type").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), *has, F.bool_or("bad").alias("bad"))
+    # types are few, and so are the cells of an observation
+    every = cells.groupBy("cell_type").agg(*has).where("a AND b").agg(F.array_sort(F.collect_set("cell_type")).alias("t"))
+    rows = cells.groupBy("obs_id").agg(*has, F.bool_or("bad").alias("bad"), F.map_from_entries(F.collect_list(F.struct("cell_type", F.struct("p", "q")))).alias("m")).where("a AND b AND NOT bad")
+    grid = rows.crossJoin(F.broadcast(every)).select("obs_id", F.explode("t").alias("cell_type"), "m")
+    return grid.select("obs_id", "cell_type", *(F.coalesce(F.col("m")[F.col("cell_type")][c], F.lit(0.0)).alias(c) for c in ("p", "q")))
 
 
 def normalized_pair(pair: DataFrame, eps: float = 1e-12) -> DataFrame:
@@ -150,26 +147,25 @@ def jsd_per_spot(pair: DataFrame, eps: float = 1e-12) -> DataFrame:
 
 
 def jsd_binary_per_type(pair: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """(cell_type, jsd): mean over observations of the divergence of (share, rest)."""
+    """(cell_type, jsd): mean over observations of the divergence of (share, rest), shares clipped to [eps, 1 - eps]."""
     n = normalized_pair(pair, eps)
 
-    def clip(v):
-        return F.least(F.greatest(v, F.lit(eps)), F.lit(1.0))
-
+    p, q = (F.least(F.greatest(F.col(c), F.lit(eps)), F.lit(1 - eps)) for c in ("p", "q"))
     total = F.lit(0.0)
-    for a, b in ((clip(F.col("p")), clip(F.col("q"))), (clip(1 - F.col("p")), clip(1 - F.col("q")))):
+    for a, b in ((p, q), (1 - p, 1 - q)):
         m = (a + b) / 2
         total = total + (a * F.log(a / m) + b * F.log(b / m)) / 2
     return n.groupBy("cell_type").agg(F.avg(total).alias("jsd"))
 
 
 def spearman(pair: DataFrame, by: str) -> DataFrame:
-    """(by, rho): rank correlation of p and q within a type or an observation, average ranks for ties; null where one
-    side is constant."""
+    """(by, rho): rank correlation of p and q within a type or an observation, average ranks for ties (values equal to 9
+    digits, so that rounding breaks none); null where one side is constant."""
 
     def rank(c: str):
         return F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / F.lit(2.0)
 
+    pair = pair.withColumns({c: F.round(c, 9) for c in ("p", "q")})
     r = pair.select(by, rank("p").alias("rp"), rank("q").alias("rq"))
     varied = (F.max("rp") > F.min("rp")) & (F.max("rq") > F.min("rq"))
     return r.groupBy(by).agg(F.when(varied, F.corr("rp", "rq")).alias("rho"))

@@ -60,8 +60,8 @@ def draw_cells(cells: DataFrame, spots: int, low: int = 2, high: int = 15, max_t
     spark = cells.sparkSession
     n = F.lit(low) + F.pmod(mix(F.col("spot"), F.lit(seed)), F.lit(high - low + 1))
     draws = spark.range(spots).withColumnRenamed("id", "spot").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))))
-    # a cell's number within its label: numbered by label and hash bucket, so that no task numbers a whole label
-    bucket = F.pmod(F.xxhash64("obs_id"), F.lit(64)).cast("int")
+    # a cell's number within its label: numbered by label and drawn bucket, so that no task numbers a whole label
+    bucket = F.pmod(mix(F.col("obs_id")), F.lit(64)).cast("int")
     own = own.withColumn("bucket", bucket)
     group = ["label", "bucket"]
     sizes = own.groupBy(*group).agg(F.count("*").alias("n"))

@@ -119,6 +119,50 @@ def hvg_dispersion(expr: DataFrame, obs: DataFrame, n_top: int, bins: int = 20)
     return m.withColumn("highly_variable", (F.row_number().over(order) <= n_top) & F.col("dispersion_norm").isNotNull()).select("gene", "x", "d", "dispersion_norm", "highly_variable")
 
 
+#: Edges of the bins of hvg_percentiles (fixed values), and the scale of a median absolute deviation.
+MEAN_PERCENTILES, MAD_SCALE = tuple(x / 100 for x in range(10, 105, 5)), 0.6744897501960817
+
+
+def hvg_percentiles(expr: DataFrame, obs: DataFrame, n_top: int) -> DataFrame:
+    """Feature selection on log-normalised values (flavour cell_ranger): variance over mean, less its median within bins
+    between percentiles of the means, over its median absolute deviation there. A bin without spread gives an infinite
+    value to what lies off its median and none to the rest."""
+    m = gene_moments(expr, obs).groupBy("gene").agg(F.avg("mean").alias("mean"), F.avg("variance").alias("variance"))
+    m = m.select("gene", F.col("mean").alias("x"), (F.col("variance") / F.greatest("mean", F.lit(1e-12))).alias("d"))
+    edges = m.agg(F.percentile("x", F.array(*(F.lit(p) for p in MEAN_PERCENTILES))).alias("edges"))
+    m = m.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("x")))).drop("edges")  # one row
+    m = m.join(F.broadcast(m.groupBy("bin").agg(F.percentile("d", 0.5).alias("median"))), "bin").withColumn("off", F.col("d") - F.col("median"))  # 20 bins
+    m = m.join(F.broadcast(m.groupBy("bin").agg((F.percentile(F.abs("off"), 0.5) / MAD_SCALE).alias("mad"))), "bin")
+    flat = F.when(F.col("off") != 0, F.sign("off") * F.lit(float("inf")))
+    m = m.withColumn("dispersion_norm", F.when(F.col("mad") == 0, flat).otherwise(F.col("off") / F.col("mad")))
+    order = Window.orderBy(F.col("dispersion_norm").desc_nulls_last(), "gene")
+    return m.withColumn("highly_variable", (F.row_number().over(order) <= n_top) & F.col("dispersion_norm").isNotNull()).select("gene", "x", "d", "dispersion_norm", "highly_variable")
+
+
+def concat_observations(parts: dict[str, DataFrame], label: str = "batch", suffix: bool = True) -> DataFrame:
+    """Rows of several observation tables under a `label` column; suffix: obs_name gets -<key>, so names stay unique.
+    Columns that only some tables have are null elsewhere."""
+    out = None
+    for name, o in parts.items():
+        o = o.withColumn(label, F.lit(name))
+        o = o.withColumn("obs_name", F.concat_ws("-", F.col("obs_name").cast("string"), F.lit(name))) if suffix else o
+        out = o if out is None else out.unionByName(o, allowMissingColumns=True)
+    return out
+
+
+def merge_same(parts: list[DataFrame], key: str = "gene") -> DataFrame:
+    """Feature tables joined on the features that all have, with those columns that all tables have and in which they agree
+    for every such feature."""
+    columns = [c for c in parts[0].columns if c != key and all(c in p.columns for p in parts)]
+    every = parts[0].select(key, *columns)
+    for p in parts[1:]:
+        every = every.unionByName(p.select(key, *columns))
+    joined = every.groupBy(key).agg(F.count("*").alias("_n"), *(F.min(F.struct(F.col(c).isNull(), F.col(c))).alias(c) for c in columns), *((F.count_distinct(c) + F.max(F.col(c).isNull().cast("int")) <= 1).alias(f"_{c}") for c in columns))
+    joined = joined.where(F.col("_n") == len(parts))
+    agree = joined.agg(F.lit(True).alias("_"), *(F.bool_and(f"_{c}").alias(c) for c in columns)).first()
+    return joined.select(key, *(F.col(c)[c].alias(c) for c in columns if agree[c] is not False))
+
+
 def align_genes(var: DataFrame, use_hvg: bool = True, reference: str | None = None) -> DataFrame:
     """(gene_id, gene): features that every slice has (with use_hvg: has as highly variable), in the order of the
     reference slice (the first in natural order if none is named). var: slice, gene, position, highly_variable. An
@@ -152,9 +196,10 @@ def concat_domains(parts: dict[str, DataFrame], inner: bool = True) -> DataFrame
 
 
 def dense_rows(expr: DataFrame, genes: DataFrame) -> DataFrame:
-    """(slice, obs_id, x array<double>): one dense row for each observation over the features of genes (gene_id, gene)."""
+    """(slice, obs_id, x array<double>): one dense row for each observation over the features of genes (gene_id, gene);
+    repeated cells are added up."""
     g = genes.count()
-    own = expr.join(small(genes), "gene").groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m"))
+    own = expr.join(small(genes), "gene").groupBy(*ROW, "gene_id").agg(F.sum("value").alias("value")).groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m"))
     return own.select(*ROW, F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("x"))
 
 

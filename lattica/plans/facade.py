@@ -45,12 +45,10 @@ class Study:
         var = None
         for r in obs.select("slice").distinct().orderBy("slice").collect():
             one, own = (counts if flavor == "seurat_v3" else norm).where(F.col("slice") == r[0]), obs.where(F.col("slice") == r[0])
-            h = preprocess.hvg_counts(one, own, n_top) if flavor == "seurat_v3" else preprocess.hvg_dispersion(one, own, n_top)
+            h = {"seurat_v3": preprocess.hvg_counts, "seurat": preprocess.hvg_dispersion, "cell_ranger": preprocess.hvg_percentiles}[flavor](one, own, n_top)
             h = h.select(F.lit(r[0]).alias("slice"), "gene", (F.row_number().over(Window.orderBy("gene")) - 1).alias("position"), "highly_variable")
             var = h if var is None else var.unionAll(h)
-        out = Bundle(norm, obs)
-        out.counts = counts
-        return out, written(var, "var")
+        return Bundle(norm, obs, counts=counts), written(var, "var")
 
     def load_reference(self, cells: Bundle, label: str = "label") -> Study:
         """Labelled single cells; rows with a null label are never drawn."""
@@ -175,10 +173,10 @@ class Study:
         self.spatial = written(impute.spatial_mean(self.tensor, graphs.radius_graph(self.st.obs, radius)), "spatial") if radius is not None else None
         return self
 
-    def fit_imputer(self, epochs: int = 50, lr: float = 1e-3, decay: float = 1e-2, layers: int = 1, hidden: int = 128, sim_weight: float = 0.5) -> Study:
+    def fit_imputer(self, epochs: int = 50, lr: float = 1e-3, decay: float = 1e-2, layers: int = 1, hidden: int = 128, sim_weight: float = 0.5, **options) -> Study:
         self._need(build_imputation_graph=getattr(self, "tensor", None))
         truth = self.rows.where("slice <> 'pseudo'").select("obs_id", F.col("x").alias("y"))
-        self.imputer, self.losses = impute.fit_imputer(self.tensor, truth, self.adjacency, list(range(self.n_shared)), self.k_gnn, epochs, lr, decay, layers, hidden, sim_weight, spatial=self.spatial, seed=self.seed)
+        self.imputer, self.losses = impute.fit_imputer(self.tensor, truth, self.adjacency, list(range(self.n_shared)), self.k_gnn, epochs, lr, decay, layers, hidden, sim_weight, spatial=self.spatial, seed=self.seed, **options)
         return self
 
     def predict_imputation(self, alpha: float = 1.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import cluster, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register
 from lattica.plans import fixtures as fx
+from lattica.plans import tables
 from lattica.sources import readers
 
 QUERIES: dict = {}
@@ -47,6 +48,36 @@ def unique_names(s, d):
     return readers.unique_names(p, "name", "p_partkey")
 
 
+def _bundle(s, d, where: str = "true") -> str:
+    """A bundle's files, in the shared folder."""
+    path = tables.new_path(s, "bundle")
+    readers.write_table(fx.expr(s, d).where(where), f"{path}/expr", by="slice")
+    readers.write_table(fx.cells(s, d).where(where), f"{path}/obs", by="slice")
+    return path
+
+
+@query(f"WITH {fx.EXPR} SELECT slice, obs_id, gene, value FROM expr WHERE slice IN ('s1', 's3')")
+def bundle_slices(s, d):
+    """A written bundle, of which two slices are read; the others are pruned."""
+    return readers.read_bundle(s, _bundle(s, d), ["s1", "s3"]).expr.select("slice", "obs_id", "gene", "value")
+
+
+@query(f"WITH {fx.EXPR}, e AS (SELECT obs_id, count(*) AS n_genes, sum(value) AS total FROM expr GROUP BY 1) SELECT CASE slice WHEN 's0' THEN 'left' ELSE 'right' END AS slice, obs_id, label, x, y, coalesce(n_genes, 0) AS n_genes, coalesce(total, 0) AS total FROM cells LEFT JOIN e USING (obs_id) WHERE slice IN ('s0', 's2')")
+def load_slices(s, d):
+    """Two bundles under slice names of their own, also observations without counts."""
+    b = readers.load_slices(s, {"left": _bundle(s, d, "slice = 's0'"), "right": _bundle(s, d, "slice = 's2'")})
+    n = b.expr.groupBy("slice", "obs_id").agg(F.count("*").alias("n_genes"), F.sum("value").alias("total"))
+    return b.obs.join(n, ["slice", "obs_id"], "left").select("slice", "obs_id", "label", "x", "y", F.coalesce("n_genes", F.lit(0)).alias("n_genes"), F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+@query(f"WITH {fx.PPI} SELECT gene1, gene2, CAST(combined_score AS INTEGER) AS combined_score FROM ppi")
+def interactions_csv(s, d):
+    """The interaction table from CSV files with a header."""
+    path = tables.new_path(s, "interactions")
+    fx.interactions(s, d).write.csv(path, header=True)
+    return readers.read_interactions(s, path)
+
+
 QC = """t AS (SELECT slice, obs_id FROM expr GROUP BY 1, 2 HAVING sum(value) >= 200),
 c AS (SELECT expr.* FROM expr JOIN t USING (slice, obs_id)),
 k AS (SELECT slice, gene FROM c WHERE value > 0 GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -119,6 +150,33 @@ def hvg_seurat(s, d):
     return preprocess.hvg_dispersion(e, fx.cells(s, d), 60).select("gene", r("dispersion_norm", 4).alias("dispersion_norm"))
 
 
+@query(f"""WITH {fx.EXPR}, t AS (SELECT slice, obs_id, gene, ln(1 + value * 1e4 / sum(value) OVER (PARTITION BY slice, obs_id)) AS value FROM expr), n AS (SELECT slice, CAST(count(*) AS DOUBLE) AS n FROM cells GROUP BY 1),
+m AS (SELECT slice, gene, sum(value) / n AS mean, (sum(value * value) - n * (sum(value) / n) ** 2) / (n - 1) AS variance FROM t JOIN n USING (slice) GROUP BY slice, gene, n),
+g AS (SELECT gene, avg(mean) AS x, avg(variance) / greatest(avg(mean), 1e-12) AS d FROM m GROUP BY 1),
+e AS (SELECT quantile_cont(x, [{", ".join(str(p) for p in preprocess.MEAN_PERCENTILES)}]) AS edges FROM g),
+b AS (SELECT gene, d, len(list_filter(edges, lambda v: v < x)) AS bin FROM g, e), o AS (SELECT gene, bin, d - median(d) OVER (PARTITION BY bin) AS off FROM b),
+s AS (SELECT gene, off, median(abs(off)) OVER (PARTITION BY bin) / {preprocess.MAD_SCALE} AS mad FROM o)
+SELECT gene, round(off / mad, 4) AS dispersion_norm FROM s""")
+def hvg_cell_ranger(s, d):
+    e = preprocess.log1p(preprocess.normalize_total(fx.expr(s, d)))
+    return preprocess.hvg_percentiles(e, fx.cells(s, d), 60).select("gene", r("dispersion_norm", 4).alias("dispersion_norm"))
+
+
+@query(f"""WITH {fx.CELLS} SELECT obs_id, 'c' || (obs_id % 10) || '-' || slice AS obs_name, slice AS batch, CASE WHEN slice = 's0' THEN label END AS label, CASE WHEN slice = 's1' THEN x END AS x FROM cells WHERE slice IN ('s0', 's1')""")
+def concat_with_suffix(s, d):
+    """Two observation tables with different columns; names get the batch as a suffix."""
+    c = fx.cells(s, d).withColumn("obs_name", F.concat(F.lit("c"), (F.col("obs_id") % 10).cast("string")))
+    parts = {"s0": c.where("slice = 's0'").select("obs_id", "obs_name", "label"), "s1": c.where("slice = 's1'").select("obs_id", "obs_name", "x")}
+    return preprocess.concat_observations(parts)
+
+
+@query("SELECT p_partkey AS gene, p_brand AS brand FROM part WHERE p_partkey % 3 = 0")
+def merge_same_columns(s, d):
+    """Feature tables that agree in one column and differ in another."""
+    p = fx.table(s, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    return preprocess.merge_same([p, p.where("gene % 3 = 0").withColumn("size", F.col("size") + F.col("gene") % 2).withColumn("own", F.lit(1))])
+
+
 VAR = """var AS (SELECT slice, gene, row_number() OVER (PARTITION BY slice ORDER BY gene) AS position, count(*) >= 60 AS highly_variable FROM expr GROUP BY slice, gene)"""
 
 
@@ -188,9 +246,10 @@ def obs_size_factor_norm(s, d):
     return preprocess.normalize_by_observed(preprocess.hold_out(e, held), e.join(held, "gene", "left_semi"), 1000.0).withColumn("value", r("value"))
 
 
-@query(f"""WITH {fx.CELLS} SELECT label, round(n / t, 6) AS share FROM (SELECT label, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS t FROM (SELECT CASE WHEN label = 'BUILDING' AND obs_id % 9 > 0 THEN 'rare' WHEN label = 'rare' THEN label ELSE label END AS label FROM cells WHERE label <> 'BUILDING' OR obs_id % 9 = 0) GROUP BY 1) WHERE n / t >= 0.03""")
+@query(f"""WITH {fx.CELLS} SELECT label, round(n / t, 6) AS share FROM (SELECT label, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER () AS t FROM (SELECT CASE WHEN label = 'BUILDING' AND obs_id % 9 > 0 THEN 'MACHINERY' ELSE label END AS label FROM cells) GROUP BY 1) WHERE n / t >= 0.03""")
 def rare_labels(s, d):
-    c = fx.cells(s, d).where("label <> 'BUILDING' OR obs_id % 9 = 0")
+    """One label is made rare: most of its cells get another one."""
+    c = fx.cells(s, d).withColumn("label", F.expr("CASE WHEN label = 'BUILDING' AND obs_id % 9 > 0 THEN 'MACHINERY' ELSE label END"))
     return preprocess.rare_labels(c)[1].withColumn("share", r("share"))
 
 
@@ -223,10 +282,6 @@ def grid_bin_spots(s, d):
     return mixture.bin_spots(fx.binned(s, d)).withColumns({"x": r("x"), "y": r("y")})
 
 
-def _number(by: str, prior: str = "") -> str:
-    return f"row_number() OVER (PARTITION BY {by} ORDER BY {prior}obs_id)"
-
-
 DRAWN = """sizes AS (SELECT label, count(*) AS size, row_number() OVER (ORDER BY label) - 1 AS k FROM cells GROUP BY 1),
 spots AS (SELECT range AS spot, 2 + (7919 * range) % 14 AS n FROM range(500)),
 draws AS (SELECT spot, unnest(range(1, n + 1)) AS draw FROM spots),
@@ -246,14 +301,20 @@ def pseudo_spot_fractions(s, d):
     return mixture.pseudo_fractions(_draws(s, d)).withColumn("value", r("value"))
 
 
-@query()
+PICKED = """numbered AS (SELECT obs_id, label, row_number() OVER (PARTITION BY label ORDER BY (7919 * obs_id) % 64, obs_id) - 1 AS place FROM cells)"""
+
+
+@query(f"""WITH {fx.EXPR}, {DRAWN}, {PICKED}, picked AS (SELECT spot, obs_id FROM drawn JOIN numbered ON numbered.label = drawn.label AND place = pick)
+SELECT spot, gene, sum(value) AS value FROM picked JOIN expr USING (obs_id) GROUP BY 1, 2""")
 def pseudo_spot_counts(s, d):
-    return mixture.pseudo_counts(mixture.draw_cells(fx.cells(s, d), 500), fx.expr(s, d))
+    return mixture.pseudo_counts(_draws(s, d), fx.expr(s, d))
 
 
-@query()
+@query(f"""WITH {fx.CELLS}, {DRAWN}, {PICKED}, placed AS (SELECT obs_id, numbered.label, place + before AS place FROM numbered JOIN
+  (SELECT label, coalesce(sum(size) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes) b ON b.label = numbered.label)
+SELECT spot, draw, obs_id, label FROM draws JOIN placed ON place = (7919 * spot + 104729 * draw + 1299709) % (SELECT count(*) FROM cells)""")
 def pseudo_spot_cells(s, d):
-    return mixture.draw_cells(fx.cells(s, d), 500, method="cell")
+    return mixture.draw_cells(fx.cells(s, d), 500, method="cell", mix=mixture.arithmetic)
 
 
 # --- graphs
@@ -307,7 +368,7 @@ def laplacian_sym_norm(s, d):
 
 
 def _near(k: int, score: str, where: str = "a.obs_id <> b.obs_id") -> str:
-    return f"""near AS (SELECT * FROM (SELECT a.obs_id AS src, b.obs_id AS dst, {score} AS s, row_number() OVER (PARTITION BY a.obs_id ORDER BY {score} DESC, b.obs_id) AS rank FROM emb a JOIN emb b ON {where}) WHERE rank <= {k})"""
+    return f"""near AS MATERIALIZED (SELECT * FROM (SELECT a.obs_id AS src, b.obs_id AS dst, {score} AS s, row_number() OVER (PARTITION BY a.obs_id ORDER BY {score} DESC, b.obs_id) AS rank FROM emb a JOIN emb b ON {where}) WHERE rank <= {k})"""
 
 
 COS = "list_cosine_similarity(a.vec, b.vec)"
@@ -354,9 +415,9 @@ def row_normalized_adjacency(s, d):
     return graphs.row_normalize(graphs.radius_graph(_points(s, d), 30.0)).withColumn("w", r("w"))
 
 
-@query(f"""WITH {fx.EXPR}, e AS (SELECT * FROM {INTRA}), v AS (SELECT obs_id, gene AS key, value FROM expr WHERE gene LIKE 'Brand#1%') SELECT src AS obs_id, key, round(sum(value), 6) AS value FROM e JOIN v ON dst = obs_id GROUP BY 1, 2""")
+@query(f"""WITH {fx.EXPR}, e AS (SELECT * FROM {INTRA}), v AS (SELECT obs_id, gene AS key, value FROM expr) SELECT src AS obs_id, key, round(sum(value), 6) AS value FROM e JOIN v ON dst = obs_id GROUP BY 1, 2""")
 def sparse_multiply(s, d):
-    v = fx.expr(s, d).where("gene LIKE 'Brand#1%'").select("obs_id", F.col("gene").alias("key"), "value")
+    v = fx.expr(s, d).select("obs_id", F.col("gene").alias("key"), "value")
     return graphs.multiply(graphs.radius_graph(_points(s, d), 30.0), v).withColumn("value", r("value"))
 
 
@@ -403,6 +464,37 @@ def joint_pca(s, d):
     return linalg.principal_components(fx.emb(s, d).select("obs_id", "vec"), 10, vec="vec", out="pc")[0].select("obs_id", "pc")
 
 
+@query(f"WITH {fx.EMB} SELECT f AS feature, i, CAST(0 AS DOUBLE) AS residual FROM range(3) t(f), range(64) u(i)")
+def ridge_residual(s, d):
+    """S^T (S b - x) + b of the ridge factors b, which vanishes at the solution."""
+    e = fx.emb(s, d).select("obs_id", "vec", F.array(*((F.col("obs_id") % k).cast("double") for k in (3, 5, 7))).alias("x"))
+    b = impute.ridge_factors(e.select("obs_id", "vec"), e.select("obs_id", "x"))
+    table = s.createDataFrame([(f, i, float(v)) for f, row in enumerate(b) for i, v in enumerate(row)], "f long, i long, b double")
+    long = e.select("obs_id", "x", F.posexplode("vec").alias("i", "v"))
+    fitted = long.join(F.broadcast(table), "i").groupBy("obs_id", "f").agg(F.sum(F.col("v") * F.col("b")).alias("y"))  # 192 rows
+    gap = e.join(fitted, "obs_id").select("obs_id", "f", (F.col("y") - F.get("x", F.col("f").cast("int"))).alias("gap"))
+    total = long.select("obs_id", "i", "v").join(gap, "obs_id").groupBy("f", "i").agg(F.sum(F.col("v") * F.col("gap")).alias("g"))
+    zero = lambda c: F.round(c, 6) + F.lit(0.0)
+    return total.withColumn("i", F.col("i").cast("long")).join(F.broadcast(table), ["f", "i"]).select(F.col("f").alias("feature"), "i", zero(F.col("g") + F.col("b")).alias("residual"))
+
+
+@query(f"""WITH {fx.EMB}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM emb), l AS (SELECT obs_id, unnest(range(0, 64)) AS i, unnest(vec) AS v FROM emb), m AS (SELECT i, avg(v) AS m FROM l GROUP BY 1),
+c AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.v * b.v) / (n - 1) - ma.m * mb.m * n / (n - 1) AS c FROM l a JOIN l b USING (obs_id) JOIN m ma ON ma.i = a.i JOIN m mb ON mb.i = b.i, n GROUP BY a.i, b.i, ma.m, mb.m, n),
+c2 AS MATERIALIZED (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)
+SELECT 1 AS power, round(sum(c), 7) AS moment FROM c WHERE i = j UNION ALL SELECT 2, round(sum(c * c), 7) FROM c
+UNION ALL SELECT 3, round(sum(c2.c * c.c), 8) FROM c2 JOIN c ON c2.i = c.i AND c2.j = c.j UNION ALL SELECT 4, round(sum(c * c), 9) FROM c2 UNION ALL SELECT 0, CAST(0 AS DOUBLE)""")
+def joint_pca_moments(s, d):
+    """Sums of powers of the components' variances, all 64 of them, which fix the spectrum's moments; power 0: the greatest
+    covariance of two different components, which vanishes."""
+    pc, _, variance = linalg.principal_components(fx.emb(s, d).select("obs_id", "vec"), 64, vec="vec", out="pc")
+    g = linalg.gram(pc, "pc") / max(1, pc.count() - 1)
+    own = [float(x) for x in g.diagonal()]
+    off = max(abs(float(g[i, j])) for i in range(len(g)) for j in range(len(g)) if i != j)
+    digits = {1: 7, 2: 7, 3: 8, 4: 9}
+    rows = [(0, round(off, 9) + max(abs(a - float(b)) for a, b in zip(own, variance, strict=True)).__round__(9))] + [(p, round(sum(x**p for x in own), k)) for p, k in digits.items()]
+    return s.createDataFrame(rows, "power int, moment double")
+
+
 def _study(s, d):
     """All slices over all genes that every slice has."""
     e = preprocess.log1p(preprocess.normalize_total(fx.expr(s, d)))
@@ -419,6 +511,15 @@ def factorize_embedding(s, d):
     return factorize.embeddings(factorize.fit(*_study(s, d)))
 
 
+@query(f"""WITH {fx.EXPR} SELECT slice, i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS dot FROM (SELECT DISTINCT slice FROM expr), range(8) t(i), range(8) u(j)""")
+def factorize_orthonormal(s, d):
+    """Each slice's row factors Q have orthonormal columns (rank 8, 4 sweeps, all slices and aligned genes)."""
+    f = factorize.fit(*_study(s, d), rank=8, iters=4)
+    q = f.rows.select("slice", "obs_id", F.posexplode("q").alias("i", "a"))
+    both = q.join(q.select("slice", "obs_id", F.col("i").alias("j"), F.col("a").alias("b")), ["slice", "obs_id"])
+    return both.groupBy("slice", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg((F.round(F.sum(F.col("a") * F.col("b")), 6) + F.lit(0.0)).alias("dot"))
+
+
 # --- clustering, registration
 
 
@@ -439,6 +540,14 @@ def register_slices(s, d):
     return register.stack_slices(e.select("slice", "obs_id", "x", "y"), register.align_pairs(e))
 
 
+@query(f"""WITH {fx.EMB}, p AS (SELECT 'b' || batch AS slice, CAST((obs_id * 7919) % 100 AS DOUBLE) AS x, CAST((obs_id * 104729) % 101 AS DOUBLE) AS y FROM emb)
+SELECT slice, count(*) AS n, round(var_pop(x) + var_pop(y), 5) AS spread FROM p GROUP BY 1""")
+def register_rigid(s, d):
+    """Registration turns and shifts slices, so the spread of each one's spots stays."""
+    p = register_slices(s, d)
+    return p.groupBy("slice").agg(F.count("*").alias("n"), F.round(F.var_pop("px") + F.var_pop("py"), 5).alias("spread"))
+
+
 # --- compositions
 
 
@@ -493,6 +602,12 @@ def lle_deconvolve(s, d):
     return deconvolve.deconvolve(*_mixture_tables(s, d), method="lle", k=10)
 
 
+@query(f"WITH {fx.EMB} SELECT obs_id, CAST(4 AS BIGINT) AS n, CAST(1 AS DOUBLE) AS total, false AS negative FROM emb WHERE dom = 1")
+def lle_simplex(s, d):
+    """Estimated compositions have all types, no negative share, and shares that add up to 1."""
+    return lle_deconvolve(s, d).groupBy("obs_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"), (F.min("value") < 0).alias("negative"))
+
+
 @query()
 def gbdt_deconvolve(s, d):
     return deconvolve.deconvolve(*_mixture_tables(s, d), method="gbdt", iters=20)
@@ -543,7 +658,7 @@ def jsd_per_spot(s, d):
     return metrics.jsd_per_spot(metrics.paired(fx.truth(s, d), fx.estimate(s, d))).withColumn("jsd", r("jsd"))
 
 
-@query(f"""WITH {fx.PAIR}, b AS (SELECT cell_type, least(greatest(p, 1e-12), 1) AS p1, least(greatest(q, 1e-12), 1) AS q1, least(greatest(1 - p, 1e-12), 1) AS p2, least(greatest(1 - q, 1e-12), 1) AS q2 FROM norm)
+@query(f"""WITH {fx.PAIR}, b AS (SELECT cell_type, p AS p1, q AS q1, 1 - p AS p2, 1 - q AS q2 FROM (SELECT cell_type, least(greatest(p, 1e-12), 1 - 1e-12) AS p, least(greatest(q, 1e-12), 1 - 1e-12) AS q FROM norm))
 SELECT cell_type, round(avg((p1 * ln(p1 / ((p1 + q1) / 2)) + q1 * ln(q1 / ((p1 + q1) / 2)) + p2 * ln(p2 / ((p2 + q2) / 2)) + q2 * ln(q2 / ((p2 + q2) / 2))) / 2), 6) AS jsd FROM b GROUP BY 1""")
 def jsd_binary_per_type(s, d):
     return metrics.jsd_binary_per_type(metrics.paired(fx.truth(s, d), fx.estimate(s, d))).withColumn("jsd", r("jsd"))
@@ -561,9 +676,31 @@ def rmse_global_and_normalized(s, d):
     return metrics.evaluate_composition(fx.truth(s, d), fx.estimate(s, d))[0].select(*(r(c).alias(c) for c in ("rmse", "spot_rmse_mean", "type_rmse_median")))
 
 
-@query()
+_JS = "({0} * ln({0} / (({0} + {1}) / 2)) + {1} * ln({1} / (({0} + {1}) / 2))) / 2"
+
+
+def _ranks(by: str) -> str:
+    side = "rank() OVER (PARTITION BY {by} ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY {by}, round({c}, 9)) - 1) / 2.0"
+    rows = ", ".join(f"{side.format(by=by, c=c)} AS r{c}" for c in "pq")
+    return f"SELECT {by}, CASE WHEN max(rp) > min(rp) AND max(rq) > min(rq) THEN corr(CAST(rp AS DOUBLE), CAST(rq AS DOUBLE)) END AS rho FROM (SELECT {by}, {rows} FROM norm) GROUP BY 1"
+
+
+EVALUATED = f"""{fx.PAIR}, cl AS (SELECT obs_id, cell_type, least(greatest(p, 1e-12), 1) AS p, least(greatest(q, 1e-12), 1) AS q, least(greatest(p, 1e-12), 1 - 1e-12) AS bp, least(greatest(q, 1e-12), 1 - 1e-12) AS bq FROM norm),
+spot AS (SELECT * FROM (SELECT obs_id, sqrt(avg((p - q) ** 2)) AS rmse FROM norm GROUP BY 1) JOIN (SELECT obs_id, sum({_JS.format("p", "q")}) AS jsd FROM cl GROUP BY 1) USING (obs_id) JOIN ({_ranks("obs_id")}) USING (obs_id)),
+kind AS (SELECT * FROM (SELECT cell_type, sqrt(avg((p - q) ** 2)) AS rmse FROM norm GROUP BY 1) JOIN (SELECT cell_type, avg({_JS.format("bp", "bq")} + {_JS.format("(1 - bp)", "(1 - bq)")}) AS jsd FROM cl GROUP BY 1) USING (cell_type) JOIN ({_ranks("cell_type")}) USING (cell_type))"""
+
+
+@query(f"WITH {EVALUATED} SELECT (SELECT round(sqrt(avg((p - q) ** 2)), 6) FROM pair) AS rmse, " + ", ".join(f"(SELECT round({f}, 5) FROM {t}) AS {n}_{c}_{m}" for n, t in (("spot", "spot"), ("type", "kind")) for c in ("rmse", "jsd", "rho") for m, f in (("mean", f"avg({c})"), ("median", f"quantile_cont({c}, 0.5)"))))
+def evaluation_figures(s, d):
+    """All figures of the evaluation of a composition."""
+    out = metrics.evaluate_composition(fx.truth(s, d), fx.estimate(s, d))[0]
+    return out.select(*(r(c, 6 if c == "rmse" else 5).alias(c) for c in out.columns))
+
+
+@query(f"WITH {EVALUATED} SELECT round(avg(rmse), 6) AS rmse, round(avg(jsd), 6) AS jsd, round(avg(rho), 5) AS rho FROM kind")
 def type_means(s, d):
-    return metrics.type_means(metrics.evaluate_composition(fx.truth(s, d), fx.estimate(s, d))[2])
+    means = metrics.type_means(metrics.evaluate_composition(fx.truth(s, d), fx.estimate(s, d))[2])
+    return means.select(r("rmse").alias("rmse"), r("jsd").alias("jsd"), r("rho", 5).alias("rho"))
 
 
 PRED = "pred AS (SELECT obs_id, gene, value * (1 + obs_id % 3) / 2 AS value FROM expr WHERE obs_id % 4 <> 1)"
@@ -590,14 +727,14 @@ def cross_validation_summary(s, d):
 # --- imputation
 
 
-PSEUDO_EXPR = "pe AS (SELECT obs_id * 2 AS obs_id, gene, value FROM expr WHERE obs_id <= 1000)"
+PSEUDO_EXPR = "pe AS (SELECT obs_id * 2 AS obs_id, gene, value FROM expr)"
 DOT_NEAR = _near(10, "list_dot_product(a.vec, b.vec)", "a.dom = 1 AND b.dom = 0")
 
 
 def _near_and_expr(s, d):
     e = fx.emb(s, d)
     near = graphs.nearest_pseudo(e.where("dom = 1"), e.where("dom = 0"), 10)
-    return near, fx.expr(s, d).where("obs_id <= 1000").select((F.col("obs_id") * 2).alias("obs_id"), "gene", "value")
+    return near, fx.expr(s, d).select((F.col("obs_id") * 2).alias("obs_id"), "gene", "value")
 
 
 @query(f"WITH {fx.EXPR}, {fx.EMB}, {PSEUDO_EXPR}, {DOT_NEAR} SELECT src AS obs_id, gene, round(sum(value) / 10, 6) AS value FROM near JOIN pe ON pe.obs_id = dst GROUP BY 1, 2")
@@ -605,11 +742,11 @@ def knn_mean_impute(s, d):
     return impute.knn_mean(*_near_and_expr(s, d), 10).withColumn("value", r("value"))
 
 
-@query(f"""WITH {fx.EXPR}, {fx.EMB}, {PSEUDO_EXPR}, {DOT_NEAR}, m AS (SELECT src AS obs_id, gene, sum(value) / 10 AS b FROM near JOIN pe ON pe.obs_id = dst GROUP BY 1, 2), n AS (SELECT obs_id, gene, value AS a FROM expr WHERE obs_id % 2 = 1 AND obs_id < 400)
+@query(f"""WITH {fx.EXPR}, {fx.EMB}, {PSEUDO_EXPR}, {DOT_NEAR}, m AS (SELECT src AS obs_id, gene, sum(value) / 10 AS b FROM near JOIN pe ON pe.obs_id = dst GROUP BY 1, 2), n AS (SELECT obs_id, gene, value AS a FROM expr WHERE obs_id % 2 = 1)
 SELECT coalesce(m.obs_id, n.obs_id) AS obs_id, coalesce(m.gene, n.gene) AS gene, round(0.9 * coalesce(a, 0) + (1 - 0.9) * coalesce(b, 0), 6) AS value FROM m FULL JOIN n ON m.obs_id = n.obs_id AND m.gene = n.gene""")
 def blend_with_knn_mean(s, d):
     near, e = _near_and_expr(s, d)
-    model = fx.expr(s, d).where("obs_id % 2 = 1 AND obs_id < 400")
+    model = fx.expr(s, d).where("obs_id % 2 = 1")
     return impute.blend(model, impute.knn_mean(near, e, 10), 0.9).withColumn("value", r("value"))
 
 

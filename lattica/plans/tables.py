@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder named by spark.checkpoint.dir and read it. Where that is unset, as in tests, a local folder
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for new files in the folder named by spark.checkpoint.dir. Where that is unset, as in tests, a local folder
     serves a local master; on a cluster executors couldn't read each other's files there, so that is an error."""
-    spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lattica.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.lattica.dir", at)
-    path = f"{at.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df into the shared folder and read it."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

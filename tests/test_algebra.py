@@ -278,6 +278,22 @@ def test_imputer_gradient_by_differences():
         assert abs((up - down) / (2 * h) - g[name][at]) < 1e-5, name
 
 
+def test_imputer_gradient_with_dropout():
+    rng = np.random.default_rng(12)
+    x, y, adj, shared = rng.random((4, 3, 5)), rng.random((4, 3)), rng.random((5, 5)), np.array([0, 2, 4])
+    model = impute.GraphImputer(3, layers=2, hidden=4, seed=1)
+    drop = lambda: (0.3, np.random.default_rng(5))
+    _, g = model.gradient(x, adj, y, shared, 0.5, None, drop())
+    for name, p in model.p.items():
+        at = tuple(rng.integers(0, n) for n in p.shape)
+        keep, h, loss = p[at], 1e-6, []
+        for v in (keep + h, keep - h):
+            p[at] = v
+            loss.append(impute.shared_loss(model.forward(x, adj, None, None, drop())[:, shared], y, 0.5)[0])
+        p[at] = keep
+        assert abs((loss[0] - loss[1]) / (2 * h) - g[name][at]) < 1e-5, name
+
+
 def test_imputer_learns(spark):
     rng = np.random.default_rng(11)
     base = rng.random((64, 6))
@@ -288,6 +304,10 @@ def test_imputer_learns(spark):
     model, losses = impute.fit_imputer(t, y, adj, [0, 1, 2, 3], 3, epochs=12, lr=0.02, hidden=8)
     assert losses[-1] < losses[0]
     assert impute.predict_imputer(t, model, adj, list("abcdef")).count() == 64 * 6
+    _, shuffled = impute.fit_imputer(t, y, adj, [0, 1, 2, 3], 3, epochs=6, lr=0.02, hidden=8, mini_batches=4, dropout=0.1)
+    assert len(losses) == 12 and len(shuffled) == 6 and shuffled[-1] < shuffled[0]
+    with pytest.raises(ValueError):
+        impute.fit_imputer(t, y, adj, [0], 3, spatial=t.withColumnRenamed("f", "s"), mini_batches=2)
 
 
 def test_workflows_end_to_end(spark):
