@@ -94,14 +94,17 @@ def search_groups(met: DataFrame, sequences: DataFrame, similarity: Callable[[np
         r = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         return d.join(r, F.col(name) == F.col("_n"), "left").withColumn("root", F.coalesce("_r", name)).drop("_n", "_r")
 
-    def search(members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Links (a, b) between the components of a group, at least one wherever two of its members are similar. Members
-        outside a group's largest component (side 0) meet all members (side 1), block by block."""
+    def search(members: DataFrame, roots: DataFrame) -> DataFrame | None:
+        """Links (a, b) between the components of a group, at least one wherever two of its members are similar (None: each
+        group is one component). Members outside a group's largest component (side 0) meet all members (side 1), block by
+        block."""
         m = written(rooted(members.select("key", "full", "n"), "full", roots), f"{name}-members")
         each = m.groupBy("key", "root").agg(F.sum(F.col("n") + OVERHEAD).alias("e"))
         parts = lambda e: F.ceil(e / BLOCK)
         groups = each.groupBy("key").agg(F.max(F.struct("e", "root")).alias("top"), F.sum("e").alias("e"), F.count("*").alias("roots")).where("roots > 1")
         groups = written(groups.select("key", F.col("top.root").alias("top"), parts(F.col("e")).alias("wide"), parts(F.col("e") - F.col("top.e")).alias("high")), f"{name}-groups")
+        if not groups.take(1):
+            return None
         h = F.xxhash64("full", F.lit(2))
         met = m.join(groups, "key").withColumn("rest", F.col("root") != F.col("top"))
         place = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.cast("long").alias("x"), y.cast("long").alias("y"))
@@ -155,6 +158,8 @@ def search_groups(met: DataFrame, sequences: DataFrame, similarity: Callable[[np
         largest = left.groupBy("full").agg(F.max(F.struct("size", "key", "n")).alias("g")).select("g.key", "full", "g.n")
         for members in (largest, left):
             new = search(members, roots)
+            if new is None or not new.take(1):
+                continue
             found = found.union(new)
             # new links join components: only their roots are clustered again
             joined = rooted(rooted(new, "a", roots).withColumnRenamed("root", "ra"), "b", roots).select(F.col("ra").alias("a"), F.col("root").alias("b"))
