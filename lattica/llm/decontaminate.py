@@ -40,10 +40,22 @@ def _windows(items: list[tuple[str, str]], n: int) -> dict[int, dict[int, list[t
     return {k: dict(v) for k, v in out.items()}
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], n: int) -> DataFrame:
+def _pieces(text: str, n: int, most: int):
+    """The text, or where it has more than `most` windows, stretches of it that have no more each and all together."""
+    words = Words(*text_buffer(pa.array([text], pa.large_string())))
+    last = len(words.hash) - n + 1  # windows
+    if last <= most:
+        yield text
+        return
+    raw = text.encode()
+    for i in range(0, last, most):
+        yield raw[words.start[i] : words.end[min(i + most, last) + n - 2]].decode()
+
+
+def _scan(docs: DataFrame, items: list[tuple[str, str]], n: int, keep_text: bool = True) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(_windows(items, n))
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("_words", "_hits", "_items")])
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("_words", "_hits", "_items") and (keep_text or f.name != "text")])
     schema = schema.add("_words", T.LongType()).add("_hits", T.ArrayType(T.LongType())).add("_items", T.ArrayType(T.StringType()))
     again = "_hits" in docs.columns
 
@@ -74,27 +86,30 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], n: int) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs (doc_id, text; further columns ride along) with n_words, hit_words (numbers, from 0, of the words
-    inside an occurring window), items (ids, as strings, of items with occurring windows, distinct and sorted).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = MAX_WINDOWS, keep_text: bool = True) -> DataFrame:
+    """docs (doc_id, text; further columns ride along, but for those named as results) with n_words, hit_words (numbers,
+    from 0, of the words inside an occurring window), items (ids, as strings, of items with occurring windows, distinct and
+    sorted); without text unless keep_text.
 
-    benchmark: (item_id, text). It is read to the driver in blocks of at most max_windows windows (or one
-    item); each block is one pass over the texts, so memory doesn't grow with the benchmark. A null or empty text has no
-    words; an item whose id or text is null is no item; repeated items count once; an empty table hits nothing."""
+    benchmark: (item_id, text). It is read to the driver in blocks of at most max_windows windows (a longer item in
+    several); each block is one pass over the texts, so memory doesn't grow with the benchmark. A null or empty text has no
+    words; very long ones are scanned whole; repeated rows are alike; an item whose id or text is null is no item;
+    repeated items count once; an empty table hits nothing."""
     clash = {"_words", "_hits", "_items", "n_words", "hit_words", "items"} & set(docs.columns)
     docs = docs.drop(*clash).withColumn("text", F.col("text").cast("string"))
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).dropna().distinct()
     blocks: list[list] = [[]]
     size = 0
     for row in rows.toLocalIterator():  # one block is held at a time but the last: see below
-        more = max(1, len(row[1]) // 2)
-        if size + more > max_windows and blocks[-1]:
-            docs = written(_scan(docs, blocks.pop(), n), "decontaminate")
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += more
-    out = _scan(docs, blocks[-1], n)
+        for text in _pieces(row[1], n, max_windows):
+            more = max(1, len(text) // 2)  # no fewer than its windows
+            if size + more > max_windows and blocks[-1]:
+                docs = written(_scan(docs, blocks.pop(), n), "decontaminate")
+                blocks.append([])
+                size = 0
+            blocks[-1].append((row[0], text))
+            size += more
+    out = _scan(docs, blocks[-1], n, keep_text)
     return out.withColumnsRenamed({"_words": "n_words", "_hits": "hit_words", "_items": "items"})
 
 

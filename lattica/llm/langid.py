@@ -123,11 +123,11 @@ def learn(docs: DataFrame) -> Filters:
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs (text; further columns ride along) with lang_pred and score.
+    """docs (text; further columns ride along, but for those named lang_pred or score) with lang_pred and score.
 
     score: the best language's corrected share of the text's n-grams, 0 to 1. `und` with score 0 for a text that
-    is null or has no letter, or where nothing was learned; ties go to the first language in natural order.
-    Only the text is read. No shuffle."""
+    is null or has no letter, or where nothing was learned; ties go to the first language in natural order. Very long texts
+    are read whole, repeated rows are alike, an empty table gives none. Only the text is read. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(filters)
     base = docs.drop("lang_pred", "score")
     own = base.columns

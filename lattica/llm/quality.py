@@ -6,6 +6,8 @@ cover all training rows; the linear model is fitted on a bounded sample (`sample
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,8 +140,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, c: float
     """Learn from all rows of docs (doc_id, text) with a non-null label of labels (doc_id, quality 0 or 1).
 
     Counts: each task adds up its rows' indicators and sends 2 x 2**17 sums in blocks, so neither shuffle nor driver
-    grows with the vocabulary. The linear model sees the sample_rows labelled rows that come first by a hash of doc_id.
-    A document labelled several times takes its highest label; repeated documents count each; null ids have no label."""
+    grows with the vocabulary. The linear model sees one row for each of the sample_rows labelled ids that come first by a
+    hash of doc_id (ties by doc_id; of rows that share an id the one whose features come first); repeated rows count each in
+    the sums. A document labelled several times takes its highest label; null ids, null labels and ids without a document teach nothing; null
+    and empty texts have no features, very long ones are read whole; with empty tables the score is constant."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = {r[0] for r in known.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "doc_id").limit(sample_rows).collect()}
     held = docs.sparkSession.sparkContext.broadcast(chosen)
@@ -147,6 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, c: float
     step = size // BLOCKS
 
     def count(batches):
+        picked: dict[int, tuple[bytes, int]] = {}
         sums = np.zeros((2, size), np.int64)
         rows = np.zeros(2, np.int64)
         ids = held.value
@@ -159,35 +164,44 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, c: float
                     sums[k] += np.bincount(feature[label[doc] == k], minlength=size)
                     rows[k] += (label == k).sum()
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                mine = [i for i, x in enumerate(part.column("doc_id").to_pylist()) if x in ids]
-                if mine:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([-1] * len(mine), pa.int32()), pa.array([int(label[i]) for i in mine], pa.int64()), pa.array([feature[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in mine], pa.binary())], names=["block", "n", "data"]
-                    )
+                for i, x in enumerate(part.column("doc_id").to_pylist()):
+                    if x in ids:
+                        own = feature[cut[i] : cut[i + 1]].astype(np.int32).tobytes(), int(label[i])
+                        name = int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=7).digest())
+                        picked[name] = min(picked.get(name, own), own)
+        yield from sampled(picked)
         for j in range(BLOCKS):
             block = np.concatenate([sums[:, j * step : (j + 1) * step], rows[:, None] if j == 0 else np.zeros((2, 1), np.int64)], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([0], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=["block", "n", "data"])
 
+    def sampled(picked):
+        """Rows (-1, twice the id's hash plus the label, features)."""
+        if picked:
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(picked), pa.int32()), pa.array([2 * x + label for x, (_, label) in picked.items()], pa.int64()), pa.array([data for data, _ in picked.values()], pa.binary())], names=["block", "n", "data"])
+
     def add(batches):
         total: dict = {}
+        picked: dict[int, tuple[bytes, int]] = {}
         for batch in batches:
             for j, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if j < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["block", "n", "data"])
+                    own = data, n & 1
+                    picked[n >> 1] = min(picked.get(n >> 1, own), own)
                 else:
                     own = np.frombuffer(data, np.int64)
                     total[j] = total[j] + own if j in total else own.copy()
+        yield from sampled(picked)
         for j, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([0], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["block", "n", "data"])
 
     schema = "block int, n long, data binary"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known.hint("shuffle_hash"), "doc_id")
-    parts = rows.mapInArrow(count, schema).repartitionById(BLOCKS, F.when(F.col("block") < 0, F.crc32("data") % BLOCKS).otherwise(F.col("block")).cast("int")).mapInArrow(add, schema)
+    parts = rows.mapInArrow(count, schema).repartitionById(BLOCKS, F.when(F.col("block") < 0, F.shiftright("n", 1) % BLOCKS).otherwise(F.col("block")).cast("int")).mapInArrow(add, schema)
     counts, n_rows, sample, label = np.zeros((2, size)), np.zeros(2), [], []
     for j, n, data in parts.toLocalIterator():
         if j < 0:
             sample.append(np.frombuffer(bytes(data), np.int32))
-            label.append(n)
+            label.append(n & 1)
         else:
             block = np.frombuffer(bytes(data), np.int64).reshape(2, step + 1)
             counts[:, j * step : (j + 1) * step] = block[:, :-1]
@@ -197,8 +211,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, c: float
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """docs (text; further columns ride along) with score (0 to 1; higher: label 1 likelier) and predicted
-    (1 if score >= threshold). Null texts are scored as empty ones. Only the text is read. No shuffle."""
+    """docs (text; further columns ride along, but for those named score or predicted) with score (0 to 1; higher: label 1
+    likelier) and predicted (1 if score >= threshold, also at a tie). Null texts are scored as empty ones, very long ones
+    whole, repeated rows alike; an empty table gives none. Only the text is read. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("score", "predicted")
     own = base.columns

@@ -29,7 +29,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.decontaminate import digest, find_contamination
 
-    return digest(find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+    return digest(find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
 def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import base64
+import collections
 import hashlib
 import itertools
 import random
@@ -114,7 +115,7 @@ def test_long_texts_are_encoded_in_stretches():
 def test_pack_odd_input(odd, none):
     P = pytest.importorskip("public_tokenizers")
     rows = packing.pack(odd).collect()
-    assert sum(r.n_tokens == 0 and r.bucket is None and r.batch is None and r.slot is None for r in rows) == 4
+    assert sum(r.n_tokens == 0 and r.bucket is None and r.batch is None and r.slot is None for r in rows) == 3
     assert sum(r.n_tokens for r in rows if r.doc_id == 6) == 30_000 and sum(r.doc_id == 1 for r in rows) == 2
     options = {"vocabulary": str(P.path("byte_bpe_50k.tiktoken")), "pattern": P.PATTERN}
     rows = packing.pack(odd, **options).collect()
@@ -284,6 +285,62 @@ def test_quality_odd_input(spark, odd, none):
     assert {round(r.score, 6) for r in quality.score(odd, constant).collect()} == {0.5}
 
 
+def test_quality_sample_has_one_row_an_id_and_sums_have_all(spark, monkeypatch):
+    rows = [(1, f"text {i} of one id") for i in range(50)] + [(i, "other words" if i % 2 else "some more words") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit_model", lambda counts, n, sample, label, c, epochs: seen.update(n=n, sample=sample, label=label, counts=counts))
+    quality.learn(docs, labels)
+    assert len(seen["sample"]) == 11 and seen["label"].sum() == 6 and seen["n"].tolist() == [5, 55]
+    # counts by brute force over all rows
+    raw, off = text_buffer(pa.array([t for _, t in rows]))
+    doc, feature = quality.indicators(raw, off)
+    label = np.array([i % 2 for i, _ in rows])[doc]
+    assert all((np.bincount(feature[label == k], minlength=1 << quality.BITS) == seen["counts"][k]).all() for k in (0, 1))
+
+
+def test_quality_scores_by_brute_force(spark):
+    """The query's scores, from its model: each text by itself, features as a set, in plain sums."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held = langid.held_out(quality.F.col("doc_id"))
+    model = quality.learn(docs.where(~held), spark.read.parquet(f"{d}/labels.parquet").where(~held))
+    got = {r.doc_id: r for r in QUERIES["op7_quality"](spark, d).collect()}
+    for r in docs.collect():
+        f = sorted(set(quality.indicators(*text_buffer(pa.array([r.text])))[1].tolist()))
+        margin = sum(model.scaled[f]) / np.sqrt(sum(model.square[f]) + quality.SHRINK) + model.bias
+        want = 1 / (1 + np.exp(-(model.a * margin + model.b)))
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == int(want >= 0.7)
+
+
+def test_language_by_brute_force(spark):
+    """Learned grams and predictions, with sets and counters in place of filters and arrays."""
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").collect()
+    grams = lambda t: langid.gram_codes(*text_buffer(pa.array([t or ""])))[0].tolist()
+    counts: dict = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang and r.text is not None:
+            counts.setdefault(r.lang, collections.Counter()).update(grams(r.text))
+    share = {x: {g: n / c.total() for g, n in c.items()} for x, c in counts.items()}
+    best = collections.Counter()
+    for s in share.values():
+        for g, v in s.items():
+            best[g] = max(best[g], v)
+    known = {x: {g for g, v in s.items() if v >= langid.MIN_SHARE and v >= langid.RATIO * best[g]} for x, s in share.items()}
+    got = {r.doc_id: r for r in QUERIES["op9_language"](spark, d).collect()}
+    off = []
+    for r in rows:
+        own = grams(r.text)
+        if own:
+            exact = {x: np.mean([g in k for g in own]) for x, k in known.items()}
+            off.append(abs(got[r.doc_id].score - max(exact.values())))
+            if sorted(exact.values())[-1] - sorted(exact.values())[-2] > 0.05:
+                assert got[r.doc_id].lang_pred == max(exact, key=exact.get)
+    assert max(off) < 0.05 and np.mean(off) < 0.01
+
+
 def test_dual_coordinate_descent_finds_the_optimum():
     rng = np.random.default_rng(4)
     rows = [np.flatnonzero(rng.random(8) < 0.5) for _ in range(40)]
