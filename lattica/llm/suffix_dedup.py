@@ -77,6 +77,11 @@ def anchors(raw: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[n
     return at, h[at]
 
 
+def anchor_parts(h: np.ndarray, n: int) -> np.ndarray:
+    """Parts of anchors: their hashes, the least of many, are small, so they are hashed again."""
+    return to_parts(mix(h + U64(9)), n)
+
+
 def shared(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of equally long a and b, of which `known` bytes are known to be common."""
     x = int.from_bytes(a[known:], "big") ^ int.from_bytes(b[known:], "big")
@@ -288,7 +293,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
             code = np.where(size > 1, KNOWN, p[one].astype(np.uint32))
             part, data = [], []
             times = np.minimum(size, 65_535).astype(np.uint16)
-            for k, x in deal(to_parts(h[one], n_parts), n_parts, {"h": h[one].astype(np.uint32), "d": d[one].astype(np.uint32), "p": code, "n": times}):
+            for k, x in deal(anchor_parts(h[one], n_parts), n_parts, {"h": h[one].astype(np.uint32), "d": d[one].astype(np.uint32), "p": code, "n": times}):
                 part.append(k)
                 data.append(b"".join(x.values()))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([0] * len(part), pa.int32()), pa.array(data, pa.binary())], names=["part", "dk", "data"])
@@ -366,7 +371,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
                 yield pa.RecordBatch.from_arrays([pa.array([-1] * out.num_rows, pa.int32()), *out.columns], names=["part", "dk", "did", "data"])
             row, did, dk, pos = (x[~same] for x in (row, did, dk, pos))
             h = rolling_rows(row[:, :gram])
-            part = to_parts(h, n_parts)
+            part = anchor_parts(h, n_parts)
             hot = np.isin(part << 32 | h.astype(np.uint32).astype(np.int64), hot_keys.value)
             for at in np.array_split(np.flatnonzero(hot), -(-int(hot.sum()) // 4096) or 1):
                 first, others = first_of_each(windows(row[at], pos[at], did[at], dk[at], window))
