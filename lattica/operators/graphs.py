@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import small
+from lattica.operators import nearest
+from lattica.operators.nearest import by_pivots
 from lattica.plans.tables import written
 
 
@@ -80,68 +82,49 @@ def knn(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine", exclu
     (score: greater is nearer) or `euclidean` (score: minus the distance). Ties go to the smaller id; exclude_self leaves
     out the row of the same id. Null vectors and vectors with a non-finite component take no part.
 
-    Exact, in blocks of at most about block_rows rows: each task holds one block of right and streams one block of left
-    past it with matrix products; only k rows a block and left row are shuffled."""
+    Exact. Up to block_rows rows of right are held by each task, which streams a block of left past them; more are searched
+    by pivots (see nearest.by_pivots), where bounds exclude most of what is far."""
     if metric not in ("cosine", "dot", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
     fine = F.col("vec").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     lo, ro = (d.where(fine).select("obs_id", F.col("vec").cast("array<double>").alias("vec")) for d in (left, right))
     n_left, n_right = lo.count(), ro.count()
-    lb, rb = (max(1, math.ceil(n / block_rows)) for n in (n_left, n_right))
-    if lb * rb < 8:
-        lb = max(lb, min(8, math.ceil(n_left / 256)))
-    own = F.pmod(F.xxhash64("obs_id"), F.lit(rb))
-    every = F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))
-    held = ro.select(F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(lb - 1))).alias("l"), own.cast("int").alias("r"), "obs_id", "vec")
-    asked = lo.select(F.lit(1).alias("side"), F.pmod(F.xxhash64("obs_id"), F.lit(lb)).cast("int").alias("l"), every.alias("r"), "obs_id", "vec")
-    dealt = held.union(asked).withColumn("part", F.col("l") * rb + F.col("r")).repartitionById(lb * rb, F.col("part").cast("int")).sortWithinPartitions("side", "obs_id")
-    id_type = right.schema["obs_id"].dataType.simpleString()
-    left_type = left.schema["obs_id"].dataType.simpleString()
-
-    def arrays(batch):
-        vec = batch.column("vec")
-        width = len(vec[0]) if len(vec) else 0
-        return vec.flatten().to_numpy().reshape(-1, width)
-
-    def scaled(x):
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12) if metric == "cosine" else x
+    found = by_pivots(lo, ro, n_left, n_right, k, metric, exclude_self, block_rows) if n_right > block_rows else _one_block(lo, ro, n_left, k, metric, exclude_self, block_rows)
+    order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "score")
+
+
+def _one_block(lo: DataFrame, ro: DataFrame, n_left: int, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
+    """(src, dst, score), a superset of the k best: each task holds all of right (block_rows rows at most)."""
+    lb = max(1, math.ceil(n_left / block_rows), min(8, math.ceil(n_left / 256)))
+    id_type, left_type = (d.schema["obs_id"].dataType.simpleString() for d in (ro, lo))
+    held = ro.select(F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(lb - 1))).alias("l"), "obs_id", "vec")
+    asked = lo.select(F.lit(1).alias("side"), F.pmod(F.xxhash64("obs_id"), F.lit(lb)).cast("int").alias("l"), "obs_id", "vec")
+    dealt = held.union(asked).repartitionById(lb, F.col("l")).sortWithinPartitions("side", "obs_id")
 
     def run(batches):
-        ids, rows, table, table_ids = [], [], None, None
+        ids, rows, table = [], [], None
         for batch in batches:
-            side = batch.column("side").to_numpy()
-            if not len(side):
-                continue
-            cut = int(np.searchsorted(side, 1))
+            cut = int(np.searchsorted(batch.column("side").to_numpy(), 1))
             if cut:
                 ids.append(batch.column("obs_id").slice(0, cut).to_numpy(zero_copy_only=False))
-                rows.append(arrays(batch.slice(0, cut)))
-            if cut == len(side):
+                rows.append(nearest.matrix(batch.slice(0, cut)))
+            if cut == batch.num_rows or not rows:
                 continue
             if table is None:
-                if not rows:
-                    return
-                table, table_ids = scaled(np.concatenate(rows)), np.concatenate(ids)
+                table, table_ids = nearest.scaled(np.concatenate(rows), metric), np.concatenate(ids)
                 square = (table * table).sum(1)
             q_ids = batch.column("obs_id").slice(cut).to_numpy(zero_copy_only=False)
-            q = scaled(arrays(batch.slice(cut)))
-            for a in range(0, len(q), 512):
-                part = q[a : a + 512]
-                s = part @ table.T
-                if metric == "euclidean":
-                    s = -np.sqrt(np.maximum((part * part).sum(1)[:, None] + square[None, :] - 2 * s, 0))
+            q = nearest.scaled(nearest.matrix(batch.slice(cut)), metric)
+            for a in range(0, len(q), nearest.TOGETHER):
+                own = q_ids[a : a + nearest.TOGETHER]
+                s = nearest.scores(q[a : a + nearest.TOGETHER], table, square, metric)
                 if exclude_self:
-                    s[q_ids[a : a + 512, None] == table_ids[None, :]] = -np.inf
-                m = min(k, s.shape[1])
-                floor = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-                i, j = np.nonzero(s >= floor[:, None])  # ties at the edge come along
-                v = s[i, j]
-                good = v > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a : a + 512][i[good]]), pa.array(table_ids[j[good]]), pa.array(v[good], pa.float64())], names=["src", "dst", "score"])
-
-    found = dealt.select("side", "obs_id", "vec").mapInArrow(run, f"src {left_type}, dst {id_type}, score double")
-    best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("src", "dst", "rank", "score")
+                    s[own[:, None] == table_ids[None, :]] = -np.inf
+                i, j = nearest.best(s, k, np.full(len(own), -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(table_ids[j]), pa.array(s[i, j], pa.float64())], names=["src", "dst", "score"])
+
+    return dealt.select("side", "obs_id", "vec").mapInArrow(run, f"src {left_type}, dst {id_type}, score double")
 
 
 def mutual_knn(emb: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:

@@ -126,6 +126,28 @@ def test_knn_against_brute_force(spark):
     assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(-s[i], kind="stable")[:4])}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_knn_by_pivots_against_brute_force(spark, metric):
+    """More rows than a block: clustered ones, a hot vector, a zero vector, and left rows that aren't right ones."""
+    rng = np.random.default_rng(31)
+    x = np.concatenate([rng.standard_normal((60, 5)) + c for c in rng.standard_normal((5, 5)) * 20] + [np.tile(rng.standard_normal(5), (90, 1)), np.zeros((1, 5))])
+    q = np.concatenate([x[::9], rng.standard_normal((30, 5)) * 20])
+    right = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "obs_id long, vec array<double>").repartition(3)
+    left = spark.createDataFrame([(9 * i if 9 * i < len(x) else 10_000 + i, [float(v) for v in r]) for i, r in enumerate(q)], "obs_id long, vec array<double>")
+    ids = [9 * i if 9 * i < len(x) else 10_000 + i for i in range(len(q))]
+    unit = (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)) if metric == "cosine" else lambda m: m
+    s = unit(q) @ unit(x).T if metric != "euclidean" else -np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    got: dict = {}
+    for r in graphs.knn(left, right, 6, metric, exclude_self=True, block_rows=40).collect():
+        got.setdefault(r.src, {})[r.rank] = r
+    for i, me in enumerate(ids):
+        if me < len(x):
+            s[i, me] = -np.inf
+        want = np.sort(s[i])[::-1][:6]
+        mine = [got[me][k] for k in range(1, 7)]
+        assert np.allclose([r.score for r in mine], want, atol=1e-7) and np.allclose([s[i, r.dst] for r in mine], want, atol=1e-7) and len({r.dst for r in mine}) == 6
+
+
 def test_knn_odd_input(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0])], "obs_id long, vec array<double>")
     got = sorted((r.src, r.dst) for r in graphs.knn(df, df, 5, exclude_self=True).collect())
