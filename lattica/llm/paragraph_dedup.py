@@ -160,7 +160,7 @@ def find_repeats(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int
     # min_match words at least; shorter texts don't count as repeats as a whole, so they are searched
     inside = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
     whole = docs.where(text.rlike(f"^(?:{inside.replace('[', '[^')}*+{inside}++){{{min_match}}}")).select(did.alias("did"), F.unhex(F.md5(text)).alias("full"), F.shiftright(F.xxhash64(did, F.md5(text)), 33).cast("int").alias("dk"))
-    first = whole.groupBy("full").agg(F.min("did").alias("first"))
+    first = written(whole.groupBy("full").agg(F.min("did").alias("first")), "paragraph-first")  # read from files, so that the join of a text with many copies can be split
     copies = written(whole.join(first, "full").where("did <> first").select("dk", "did").distinct(), "paragraph-copies")
     texts = docs.withColumns({"_did": did, "_dk": F.shiftright(F.xxhash64(did, F.md5(text)), 33).cast("int"), "_text": text})
 

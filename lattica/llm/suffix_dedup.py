@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
     ids = base.select("doc_id", "did", "full", "dk", F.octet_length("text").cast("long").alias("n_bytes")).groupBy("doc_id", "did", "full", "dk", "n_bytes").agg(F.count("*").alias("times"))
     ids = written(ids, "suffix-ids")
     hot_from = max(HOT, (ids.agg(F.sum("n_bytes")).first()[0] or 0) // HOT_BYTES)
-    first = ids.groupBy("full").agg(F.min("did").alias("first"))
+    first = written(ids.groupBy("full").agg(F.min("did").alias("first")), "suffix-first")  # read from files, so that the join of a text with many copies can be split
     marked = written(ids.join(first, "full").withColumn("own", F.col("did") == F.col("first")), "suffix-docs")
     searched = marked.where((F.col("n_bytes") >= window) & F.col("own")).groupBy("dk").agg(F.collect_list(F.struct("did", "full")).alias("searched"))
     texts = base.where(F.octet_length("text") >= window).select("dk", "did", "full", "text").join(searched.hint("shuffle_hash"), "dk")
