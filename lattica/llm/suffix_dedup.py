@@ -39,6 +39,7 @@ RUN, BLOCK = 60_000, 16_000
 #: An anchor string met more often than this, or than once in HOT_BYTES bytes of the input, is one of step 5; so these are
 #: 3 million at most, whatever the input.
 HOT, HOT_BYTES = 4096, 100_000_000
+SPAN = np.dtype([("did", "<i8"), ("dk", "<i4"), ("begin", "<i4"), ("end", "<i4")])
 WINDOW = np.dtype([("h", "<u8"), ("c", "<u8"), ("did", "<i8"), ("dk", "<i4"), ("begin", "<i4")])
 
 
@@ -225,10 +226,52 @@ def windows(row: np.ndarray, pos: np.ndarray, did: np.ndarray, dk: np.ndarray, w
     return np.concatenate(out)
 
 
-def _spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """A batch of rows (dk, did, spans), or None."""
-    rows = connected_spans(did, dk, start, end)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["dk", "did", "data"]) if rows else None
+def _spans(did: np.ndarray, dk: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """The spans of all documents, united, as records in one packed row for each of n buckets of documents."""
+    if not len(did):
+        return []
+    w = np.zeros(len(did), SPAN)
+    for c, v in (("did", did), ("dk", dk), ("begin", start), ("end", end)):
+        w[c] = v
+    w = united(w)
+    return [(k, x["w"]) for k, x in deal(np.mod(w["dk"].astype(np.int64), n), n, {"w": w})]
+
+
+def united(w: np.ndarray) -> np.ndarray:
+    rows = connected_spans(w["did"], w["dk"].astype(np.int64), w["begin"].astype(np.int64), w["end"].astype(np.int64))
+    out = []
+    for dk, did, data in rows:
+        pair = np.frombuffer(data, np.int64).reshape(-1, 2)
+        own = np.zeros(len(pair), SPAN)
+        own["did"], own["dk"], own["begin"], own["end"] = did, dk, pair[:, 0], pair[:, 1]
+        out.append(own)
+    return np.concatenate(out) if out else w[:0]
+
+
+def unpack_spans(batches):
+    """Packed rows of a bucket -> a row (dk, did, data: spans as int64 pairs) for each document."""
+    held = [np.frombuffer(x.as_buffer(), SPAN) for batch in batches for x in batch.column("data")]
+    if held:
+        w = np.concatenate(held)
+        rows = connected_spans(w["did"], w["dk"].astype(np.int64), w["begin"].astype(np.int64), w["end"].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["dk", "did", "data"])
+
+
+def unpack_positions(batches):
+    """Packed rows of a bucket -> a row (dk, did 0, data: positions as uint32) for each document."""
+    held = []
+    for batch in batches:
+        for x in batch.column("data"):
+            data = x.as_buffer()
+            n = len(data) // 8
+            held.append((np.frombuffer(data, np.int32, n), np.frombuffer(data, np.uint32, n, 4 * n)))
+    if held:
+        d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.argsort(d, kind="stable")
+        d, p = d[by], p[by]
+        cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        data = [p[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(np.zeros(len(cut), np.int64)), pa.array(data, pa.binary())], names=["dk", "did", "data"])
 
 
 def _front_code(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,11 +357,10 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
             yield from flush()
 
     def positions(d, p):
-        by = np.argsort(d, kind="stable")
-        d, p = d[by], p[by].astype(np.uint32)
-        cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        ends = np.append(cut[1:], len(d))
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(cut), pa.int32()), pa.array(d[cut].astype(np.int32)), pa.array([p[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["part", "dk", "data"])
+        """Rows (-1, bucket, documents and positions): one for each bucket of documents, not for each document."""
+        own = {"d": d.astype(np.int32), "p": p.astype(np.uint32)}
+        dealt = [(k, x["d"] + x["p"]) for k, x in deal(np.mod(own["d"].astype(np.int64), n_parts), n_parts, own)]
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(dealt), pa.int32()), pa.array([k for k, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["part", "dk", "data"])
 
     def meet(batches):
         """Positions of anchors met twice; part -2: the keys of those met very often."""
@@ -353,7 +395,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
     met = written(met, "suffix-met")
     hot = [np.frombuffer(bytes(r[0]), np.int64) for r in met.where("part = -2").select("data").toLocalIterator()]  # see HOT_BYTES
     hot_keys = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.int64))
-    lists = met.where("part = -1").select("dk", F.lit(0).cast("long").alias("did"), "data")
+    lists = met.where("part = -1").repartitionById(n_parts, F.col("dk")).select("data").mapInArrow(unpack_positions, "dk int, did long, data binary")
 
     def cut_runs(batches):
         held, seen = Suffixes(window, gram), set()
@@ -366,18 +408,14 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
             row, did, dk, pos = row[by], did[by], dk[by], pos[by]
             same = np.append(False, (row[1:] == row[:-1]).all(1))
             start, end, any_ = whole_span(row, pos, window)
-            out = _spans(*(x[same & any_] for x in (did, dk, start, end)))
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * out.num_rows, pa.int32()), *out.columns], names=["part", "dk", "did", "data"])
+            yield from answers(_spans(*(x[same & any_] for x in (did, dk, start, end)), n_parts))
             row, did, dk, pos = (x[~same] for x in (row, did, dk, pos))
             h = rolling_rows(row[:, :gram])
             part = anchor_parts(h, n_parts)
             hot = np.isin(part << 32 | h.astype(np.uint32).astype(np.int64), hot_keys.value)
             for at in np.array_split(np.flatnonzero(hot), -(-int(hot.sum()) // 4096) or 1):
                 first, others = first_of_each(windows(row[at], pos[at], did[at], dk[at], window))
-                out = _spans(others["did"], others["dk"].astype(np.int64), others["begin"].astype(np.int64), others["begin"].astype(np.int64) + window)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1] * out.num_rows, pa.int32()), *out.columns], names=["part", "dk", "did", "data"])
+                yield from answers(_spans(others["did"], others["dk"], others["begin"], others["begin"] + window, n_parts))
                 if len(first):
                     dealt = [(k, x["w"]) for k, x in deal(to_parts(first["h"], n_parts), n_parts, {"w": first})]
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.array([1] * len(dealt), pa.int32()), pa.array([0] * len(dealt), pa.int64()), pa.array([x for _, x in dealt], pa.binary())], names=["part", "dk", "did", "data"])
@@ -406,18 +444,27 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
         if held.n:
             yield from flush()
 
+    def answers(spans):
+        """Rows (-1, bucket, 0, spans), which the next step hands on."""
+        if spans:
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(spans), pa.int32()), pa.array([k for k, _ in spans], pa.int32()), pa.array([0] * len(spans), pa.int64()), pa.array([x for _, x in spans], pa.binary())], names=["part", "dk", "did", "data"])
+
     def rolling_rows(x):
         up, _ = powers(64)
         return mix(((x.astype(np.uint64) + U64(1)) * up[: x.shape[1]]).sum(1, dtype=np.uint64))
 
     def merge(batches):
+        def told(spans):
+            if spans:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in spans], pa.int32()), pa.array([x for _, x in spans], pa.binary())], names=["bucket", "data"])
+
         size = window + (window - gram) + 2
         runs, did_, dk_, pos_ = [], [], [], []
         hot = []
         for batch in batches:
             for part, dk, did, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([dk], pa.int32()), pa.array([did], pa.int64()), pa.array([data], pa.binary())], names=["dk", "did", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([dk], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
                     continue
                 if dk:
                     hot.append(np.frombuffer(data, WINDOW))
@@ -431,9 +478,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
                 pos_.append(ints[2])
         if hot:
             others = first_of_each(np.concatenate(hot))[1]
-            out = _spans(others["did"], others["dk"].astype(np.int64), others["begin"].astype(np.int64), others["begin"].astype(np.int64) + window)
-            if out is not None:
-                yield out
+            yield from told(_spans(others["did"], others["dk"], others["begin"], others["begin"] + window, n_parts))
         if not runs:
             return
         # merged: the different suffixes, each with its first holder; copies: the holders of the others
@@ -450,7 +495,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
         def flush_copies():
             row, did, dk, pos = spans_of(copies)
             start, end, any_ = whole_span(row, pos, window)
-            return _spans(*(x[any_] for x in (did, dk, start, end)))
+            return told(_spans(*(x[any_] for x in (did, dk, start, end)), n_parts))
 
         def flush_groups():
             row, did, dk, pos = spans_of([x for g in todo for x in g])
@@ -458,7 +503,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
             rank = np.empty(len(row), np.int64)
             rank[np.lexsort((pos, dk, did))] = np.arange(len(row))
             i, start, end = repeated_windows(row, number, rank, pos, window)
-            return _spans(did[i], dk[i], start, end)
+            return told(_spans(did[i], dk[i], start, end, n_parts))
 
         last = None
         for r, i, lcp in merge_runs(runs):
@@ -469,8 +514,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
                     group[-1] = last
                 copies.append(x)
                 if len(copies) >= 50_000:
-                    if (out := flush_copies()) is not None:
-                        yield out
+                    yield from flush_copies()
                     copies = []
                 continue
             if last is not None and lcp < gram:
@@ -478,8 +522,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
                     todo.append(group)
                     n_todo += len(group)
                     if n_todo >= BLOCK:
-                        if (out := flush_groups()) is not None:
-                            yield out
+                        yield from flush_groups()
                         todo, n_todo = [], 0
                 group = []
             group.append(x)
@@ -487,11 +530,12 @@ def remove_repeats(docs: DataFrame, window: int = 100, gram: int = 32, keep_text
         if len(group) > 1:
             todo.append(group)
         for some, flush in ((copies, flush_copies), (todo, flush_groups)):
-            if some and (out := flush()) is not None:
-                yield out
+            if some:
+                yield from flush()
 
     runs = _with_text(texts, lists, "lists").where("lists IS NOT NULL").mapInArrow(cut_runs, "part int, dk int, did long, data binary")
-    spans = runs.repartitionById(n_parts, F.when(F.col("part") < 0, F.pmod("dk", F.lit(n_parts))).otherwise(F.col("part")).cast("int")).mapInArrow(merge, "dk int, did long, data binary")
+    spans = runs.repartitionById(n_parts, F.when(F.col("part") < 0, F.pmod("dk", F.lit(n_parts))).otherwise(F.col("part")).cast("int")).mapInArrow(merge, "bucket int, data binary")
+    spans = spans.repartitionById(n_parts, F.col("bucket")).select("data").mapInArrow(unpack_spans, "dk int, did long, data binary")
     schema = "did long, full binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def cut(batches):
