@@ -85,7 +85,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     return count_tokens(table(spark, sf_dir, "documents"), str(model_path))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_order_minhash, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op8_paragraph_dedup, op9_language, op10_token_counts)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_order_minhash, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op8_paragraph_dedup, op9_language, op10_token_counts, op13_phrases)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -124,4 +130,22 @@ SELECT conv_id, speaker, CAST(idx // 64 AS BIGINT) AS piece, count(*) AS n_turns
   sha256(string_agg(head || text || chr(10), '' ORDER BY idx)) AS text_sha256,
   coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_at AS BIGINT) + length(text) AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE own AND length(text) > 0), '') AS mask
 FROM o GROUP BY conv_id, speaker, idx // 64""",
+    "op13_phrases": """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k AS size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cut AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS p1, array_to_string(list_slice(w, k + 1, size), ' ') AS p2
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+sc AS (SELECT cut.lang, cut.phrase, cut.a, k, f1.f AS l, f2.f AS r, CAST((2000000::HUGEINT * cut.a) // (f1.f::HUGEINT + f2.f) AS BIGINT) AS score
+       FROM cut JOIN f f1 ON f1.lang = cut.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = cut.lang AND f2.phrase = p2),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS rn FROM sc),
+inn AS (SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longer
+        FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM c, (VALUES (2), (3)) AS t(m) WHERE m < size) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inn USING (lang, phrase) WHERE rn = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM rk JOIN tot USING (lang) WHERE rank <= 2000""",
 }
