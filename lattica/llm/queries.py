@@ -85,16 +85,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     return count_tokens(table(spark, sf_dir, "documents"), str(model_path))
 
 
+def op12_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.pair_maxscore import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.phrases import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_order_minhash, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op8_paragraph_dedup, op9_language, op10_token_counts, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_order_minhash, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op8_paragraph_dedup, op9_language, op10_token_counts, op12_pair_maxscore, op13_phrases)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_TERMS = "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), [])"
+
 SQL = {
     "op3_decontaminate": f"""
 WITH dw AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
@@ -130,6 +138,19 @@ SELECT conv_id, speaker, CAST(idx // 64 AS BIGINT) AS piece, count(*) AS n_turns
   sha256(string_agg(head || text || chr(10), '' ORDER BY idx)) AS text_sha256,
   coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_at AS BIGINT) + length(text) AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE own AND length(text) > 0), '') AS mask
 FROM o GROUP BY conv_id, speaker, idx // 64""",
+    "op12_pair_maxscore": f"""
+WITH d AS (SELECT row_number() OVER () AS dn, doc_id, {_TERMS} AS w FROM documents),
+st AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d),
+tf AS (SELECT dn, t, count(*) AS tf FROM (SELECT dn, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, st),
+m AS (SELECT dn, doc_id, 50 + (50 * len(w) * nn) // ll AS m FROM d, st WHERE len(w) > 0),
+q AS (SELECT row_number() OVER () AS qn, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+qt AS (SELECT DISTINCT qn, item_id, unnest({_TERMS}) AS t FROM q),
+s AS (SELECT qn, item_id, doc_id, dn, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM qt JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (dn) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM rk WHERE rank <= 50""",
     "op13_phrases": """
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
