@@ -85,6 +85,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     return count_tokens(table(spark, sf_dir, "documents"), str(model_path))
 
 
+def op11_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.cap_filters import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.pair_maxscore import ranked_search
 
@@ -97,7 +103,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_order_minhash, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op8_paragraph_dedup, op9_language, op10_token_counts, op12_pair_maxscore, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_order_minhash, op3_decontaminate, op4_mtree_topk, op5_suffix_dedup, op6_perspectives, op7_quality, op8_paragraph_dedup, op9_language, op10_token_counts, op11_cap_filters, op12_pair_maxscore, op13_phrases)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -138,6 +144,15 @@ SELECT conv_id, speaker, CAST(idx // 64 AS BIGINT) AS piece, count(*) AS n_turns
   sha256(string_agg(head || text || chr(10), '' ORDER BY idx)) AS text_sha256,
   coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begin_at AS BIGINT) + length(text) AS VARCHAR), ',' ORDER BY idx) FILTER (WHERE own AND length(text) > 0), '') AS mask
 FROM o GROUP BY conv_id, speaker, idx // 64""",
+    "op11_cap_filters": """
+WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ok AS (SELECT n, vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM e
+       WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.n, b.n AS m, b.vec_id AS other FROM ok a JOIN ok b ON a.n <> b.n AND list_dot_product(a.u, b.u) >= 0.9),
+reach(n, m) AS (SELECT n, n FROM e UNION SELECT reach.n, link.m FROM reach JOIN link ON link.n = reach.m),
+comp AS (SELECT reach.n, min(e.vec_id) AS component_id FROM reach JOIN e ON e.n = reach.m GROUP BY 1),
+cnt AS (SELECT n, count(*) AS k FROM link GROUP BY 1)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM e JOIN comp USING (n) LEFT JOIN cnt USING (n)""",
     "op12_pair_maxscore": f"""
 WITH d AS (SELECT row_number() OVER () AS dn, doc_id, {_TERMS} AS w FROM documents),
 st AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d),
