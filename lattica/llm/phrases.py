@@ -25,7 +25,7 @@ LOWER[0x41:0x5B] += 0x20
 
 LONGEST = 4
 #: Bytes of text cut into words at once; different phrases that a task holds before it deals them out.
-SLICE, HELD = 1 << 21, 1 << 21
+SLICE, HELD = 1 << 20, 1 << 21
 #: Bits of a round's bitmap: 16 for each survivor, up to this many (32 MB).
 MOST_BITS = 28
 
@@ -169,12 +169,12 @@ def search_round(docs: DataFrame, sizes: tuple[int, ...], sieves: dict, least: i
 
         def flush():
             h, c = summed_up(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            return h, c
+            return h, c  # a task's counts between two flushes stay under 2**32
 
         def rows(h, c):
             part = to_parts(h, n)
             mass = np.bincount(part, c, n)
-            got = list(deal(part, n, {"h": h, "c": c.astype(np.int64)}))
+            got = list(deal(part, n, {"h": h, "c": c.astype(np.uint32)}))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([x["h"] for _, x in got], pa.binary()), pa.array([x["c"] for _, x in got], pa.binary()), pa.array([int(mass[p]) for p, _ in got], pa.int64())], names=["part", "h", "c", "mass"])
 
         for batch in batches:
@@ -213,7 +213,7 @@ def search_round(docs: DataFrame, sizes: tuple[int, ...], sieves: dict, least: i
                 if part not in held:
                     held[part] = Summary(mass.value[part] // least + 1)
                 h = np.frombuffer(h.as_buffer(), np.uint64).copy()
-                waiting.setdefault(part, []).append((h, np.frombuffer(c.as_buffer(), np.int64).copy()))
+                waiting.setdefault(part, []).append((h, np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)))
                 sizes_[part] = sizes_.get(part, 0) + len(h)
                 if sizes_[part] > max(1 << 17, held[part].capacity):
                     settle(part)
