@@ -25,7 +25,7 @@ LOWER[0x41:0x5B] += 0x20
 
 LONGEST = 4
 #: Bytes of text cut into words at once; different phrases that a task holds before it deals them out.
-SLICE, HELD = 1 << 20, 1 << 21
+SLICE, HELD = 1 << 20, 1 << 19
 #: Bits of a round's bitmap: 16 for each survivor, up to this many (32 MB).
 MOST_BITS = 28
 
