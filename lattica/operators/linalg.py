@@ -54,6 +54,41 @@ def summed(df: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray], size:
     return out
 
 
+def summed_by(df: DataFrame, key: str, vec: str) -> dict:
+    """key -> the sum of its rows' array<double> columns, all of one length; rows are few and long. Each task adds up its own;
+    the tasks' sums meet in pieces."""
+
+    def local(batches):
+        total: dict = {}
+        for batch in batches:
+            for k, x in zip(batch.column(key).to_pylist(), batch.column(vec), strict=True):
+                x = x.values.to_numpy()
+                total[k] = total[k] + x if k in total else x.copy()
+        for k, x in total.items():
+            cut = range(0, len(x), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(cut)), pa.array(cut, pa.int32()), pa.array([x[a : a + BLOCK].tobytes() for a in cut], pa.binary())], names=[key, "at", "data"])
+
+    def add(batches):
+        total: dict = {}
+        for batch in batches:
+            for k, at, data in zip(batch.column(key).to_pylist(), batch.column("at").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                own = np.frombuffer(data, np.float64)
+                total[k, at] = total[k, at] + own if (k, at) in total else own
+        for (k, at), x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=[key, "at", "data"])
+
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, at int, data binary"
+    pieces: dict = {}
+    for r in df.select(key, vec).mapInArrow(local, schema).repartition(key, "at").mapInArrow(add, schema).toLocalIterator():
+        pieces.setdefault(r[key], {})[r["at"]] = np.frombuffer(bytes(r["data"]), np.float64)
+    return {k: np.concatenate([x[a] for a in sorted(x)]) for k, x in pieces.items()}
+
+
+def triangles(r: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    """The triangle of a tall matrix: r, that of the rows before, joined with more rows."""
+    return np.linalg.qr(rows if r is None else np.concatenate([r, rows]), mode="r")
+
+
 def gram(df: DataFrame, a: str, b: str | None = None, shape: tuple[int, int] | None = None) -> np.ndarray:
     """A^T B over the rows of df (array<double> columns)."""
     b = b or a
@@ -87,23 +122,21 @@ def polar_factors(df: DataFrame, name: str, by: str, rank: int) -> dict:
     Tall-skinny QR: each task factors its rows of each group, the small triangles meet on the driver (R x R for each
     task and group). A nearly singular group gets the pseudo-inverse of its triangle."""
 
-    def triangles(batches):
+    def run(batches):
         held: dict = {}
         for batch in batches:
             keys = np.array(batch.column(by).to_pylist(), object)
             m = column(batch, name)
             for k in dict.fromkeys(keys.tolist()):
-                own = m[keys == k]
-                r = np.linalg.qr(np.concatenate([held[k], own]) if k in held else own, mode="r")
-                held[k] = r
+                held[k] = triangles(held.get(k), m[keys == k])
         for k, r in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([r.tobytes()], pa.binary())], names=[by, "r"])
 
     kind = df.schema[by].dataType.simpleString()
     stacks: dict = {}
-    for row in df.select(by, name).mapInArrow(triangles, f"{by} {kind}, r binary").toLocalIterator():
+    for row in df.select(by, name).mapInArrow(run, f"{by} {kind}, r binary").toLocalIterator():
         r = np.frombuffer(bytes(row["r"]), np.float64).reshape(-1, rank)
-        stacks[row[by]] = np.linalg.qr(np.concatenate([stacks[row[by]], r]) if row[by] in stacks else r, mode="r")
+        stacks[row[by]] = triangles(stacks.get(row[by]), r)
     out = {}
     for k, r in stacks.items():
         u, _, vh = np.linalg.svd(r, full_matrices=False)

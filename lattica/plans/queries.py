@@ -497,7 +497,7 @@ def joint_pca_moments(s, d):
 
 def _study(s, d):
     """All slices over all genes that every slice has."""
-    e = preprocess.log1p(preprocess.normalize_total(fx.expr(s, d)))
+    e = tables.written(preprocess.log1p(preprocess.normalize_total(fx.expr(s, d))), "study")
     var = e.select("slice", "gene").distinct().withColumn("position", F.row_number().over(Window.partitionBy("slice").orderBy("gene")))
     table = preprocess.align_genes(var, use_hvg=False)
     rows = preprocess.dense_rows(e.join(F.broadcast(table.select("gene")), "gene", "left_semi"), table)
@@ -508,7 +508,7 @@ def _study(s, d):
 
 @query()
 def factorize_embedding(s, d):
-    return factorize.embeddings(factorize.fit(*_study(s, d)))
+    return factorize.embeddings(factorize.fit(*_study(s, d), points=_points(s, d)))
 
 
 @query(f"""WITH {fx.EXPR} SELECT slice, i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS dot FROM (SELECT DISTINCT slice FROM expr), range(8) t(i), range(8) u(j)""")

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from lattica.operators import cluster, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register
+from lattica.operators import cluster, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register, row_solve
+from lattica.plans import tables
 
 
 def vec_table(spark, x, **more):
@@ -42,7 +43,8 @@ def test_columns_solver_equals_dense():
     lap = np.diag(a.sum(1)) - a
     src, dst = np.nonzero(lap)
     lam, rhs = rng.random(5), rng.standard_normal((n, 5))
-    y = factorize.solve_columns(factorize.RowGraph(n, src, dst, lap[src, dst]), rho + 2 * gamma * lam, gamma, rhs, np.zeros((n, 5)))
+    y, first = row_solve.solve_columns(row_solve.RowGraph(n, src, dst, lap[src, dst]), rho + 2 * gamma * lam, gamma, rhs, np.zeros((n, 5)))
+    assert np.allclose(first, rhs)
     for j in range(5):
         assert np.allclose(y[:, j], np.linalg.solve((rho + 2 * gamma * lam[j]) * np.eye(n) + 2 * gamma * lap, rhs[:, j]), atol=1e-6)
 
@@ -84,7 +86,40 @@ def dense_fit(xs, ls, lg, rank, gamma, iters, rho, seed):
     return b, w, out
 
 
-def test_factorization_equals_dense(spark):
+@pytest.mark.parametrize("cut", ["tiles", "hashed", "one"])
+def test_solver_in_blocks_equals_dense(spark, cut):
+    """A lattice with some long edges, in tiles with halo rows, in blocks that share nearly all rows, and in one."""
+    rng = np.random.default_rng(12)
+    side, c = 24, 5
+    n = side * side
+    at = np.arange(n).reshape(side, side)
+    a = np.zeros((n, n))
+    for i, j in ((at[1:], at[:-1]), (at[:, 1:], at[:, :-1])):
+        a[i.ravel(), j.ravel()] = a[j.ravel(), i.ravel()] = rng.random(i.size)
+    for _ in range(10):
+        i, j = rng.integers(0, n, 2)
+        a[i, j] = a[j, i] = 0.5
+    np.fill_diagonal(a, 0)
+    lap = np.diag(a.sum(1)) - a
+    shift, gamma = 1 + rng.random(c), 0.5
+    r, z = rng.standard_normal((2, n, c))
+    gid = rng.permutation(n)
+    rows = spark.createDataFrame([(int(gid[i]), int(i), r[i].tolist(), z[i].tolist()) for i in range(n)], "gid long, obs_id long, r array<double>, z array<double>").repartition(3)
+    points = spark.createDataFrame([(int(at[i, j]), float(i), float(j)) for i in range(side) for j in range(side)], "obs_id long, x double, y double")
+    edges = tables.written(spark.createDataFrame([(int(gid[i]), int(gid[j]), float(lap[i, j])) for i, j in zip(*np.nonzero(lap), strict=True)], "i long, j long, w double"), "edges")
+    own, k = row_solve.tiles(rows, points if cut == "tiles" else None, n, n if cut == "one" else 64)
+    own = tables.written(own, "rows")
+    assert k == own.select("block").distinct().count() and (k == 1) == (cut == "one")
+    blocks = row_solve.cut_blocks(own, edges, k)
+    assert (blocks.members is None) == (cut == "one") and (cut != "tiles" or blocks.most < n / 2)
+    got = {x.gid: x.z for x in row_solve.solve(blocks, own.select("gid", "block", "r", "z"), shift, gamma).collect()}
+    y = np.array([got[g] for g in gid.tolist()])
+    want = np.stack([np.linalg.solve(shift[j] * np.eye(n) + 2 * gamma * lap, r[:, j]) for j in range(c)], 1)
+    assert len(got) == n and np.abs(y - want).max() < 1e-7
+
+
+@pytest.mark.parametrize("block_rows", [None, 6])
+def test_factorization_equals_dense(spark, block_rows):
     rng = np.random.default_rng(3)
     xs = [rng.random((12, 3)) @ rng.random((3, 7)) + 0.01 * rng.random((12, 7)), rng.random((9, 3)) @ rng.random((3, 7))]
     n = 21
@@ -97,7 +132,7 @@ def test_factorization_equals_dense(spark):
     rows = [("s0" if i < 12 else "s1", i, [float(v) for v in np.concatenate(xs)[i]]) for i in range(n)]
     df = spark.createDataFrame(rows, "slice string, obs_id long, x array<double>").repartition(3)
     lap = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "src long, dst long, w double")
-    f = factorize.fit(df, lap(ls), lap(lg), rank=3, gamma=0.3, iters=2, seed=5)
+    f = factorize.fit(df, lap(ls), lap(lg), rank=3, gamma=0.3, iters=2, seed=5, block_rows=block_rows)
     # rows are numbered by a hash: bring the dense run into the same order
     gid = {r.obs_id: r.gid for r in f.rows.collect()}
     order = sorted(range(n), key=lambda i: gid[i])
@@ -105,6 +140,9 @@ def test_factorization_equals_dense(spark):
     b, w, res = dense_fit([x[:12], x[12:]], ls[np.ix_(order, order)], lg, 3, 0.3, 2, 1.0, 5)
     assert np.allclose(f.b, b, atol=1e-5) and np.allclose(f.w["s1"], w[1], atol=1e-5)
     assert np.allclose(f.residuals, res, atol=1e-6)
+    q = {r.gid: np.array(r.q) for r in f.rows.collect()}
+    gap = [x[i] - (q[i] @ f.h * f.w["s0" if i < 12 else "s1"]) @ f.b.T for i in range(n)]
+    assert abs(f.objective[-1] - 0.5 * np.sum(np.square(gap))) < 1e-6
     e = factorize.embeddings(f).collect()
     assert len(e) == n and all(abs(np.linalg.norm(r.unit) - 1) < 1e-5 for r in e)
 
