@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import finite
 from lattica.operators.graphs import knn
+from lattica.plans.tables import discard, written
 
 
 def adjusted_rand_index(obs: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -44,10 +41,7 @@ def scale_lisi(lisi: DataFrame, labels: DataFrame) -> DataFrame:
 
 def graph_neighbors(emb: DataFrame, n_neighbors: int = 15, k0: int = 90, include_self: bool = False, standardize: bool = False) -> DataFrame:
     """(src, dst): the k0 nodes nearest to each by path length in the undirected k-nearest-neighbour graph of emb
-    (obs_id, vec), ties by id; fewer if fewer are reachable.
-
-    Each task walks a slice of sources; the graph's arrays (n x n_neighbors edges) are broadcast after their size is
-    checked (32 million edges at most)."""
+    (obs_id, vec), ties by id; fewer if fewer are reachable."""
     if standardize:
         size = emb.select(F.size("vec")).first()[0]
         stats = emb.agg(*(f(F.get("vec", i)).alias(f"{n}{i}") for i in range(size) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
@@ -55,42 +49,37 @@ def graph_neighbors(emb: DataFrame, n_neighbors: int = 15, k0: int = 90, include
     near = knn(emb, emb, n_neighbors, "euclidean", exclude_self=True)
     e = near.select("src", "dst", (-F.col("score")).alias("d"))
     e = e.union(e.select("dst", "src", "d")).groupBy("src", "dst").agg(F.min("d").alias("d"))
-    n_edges = e.count()
-    if n_edges > 32_000_000:
-        raise ValueError(f"{n_edges} edges are too many to hold in one task")
-    t = e.toArrow()
-    src, dst, d = (t.column(c).to_numpy() for c in ("src", "dst", "d"))
-    ids = np.unique(np.concatenate([src, dst])) if len(src) else src
-    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-    order = np.lexsort((b, a))
-    spark = emb.sparkSession
-    held = spark.sparkContext.broadcast((ids, np.searchsorted(a[order], np.arange(len(ids) + 1)), b[order], d[order]))
-
-    def walk(batches):
-        ids, start, to, dist = held.value
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for x in batch.column(0).to_pylist():
-                s = int(np.searchsorted(ids, x))
-                got, best, heap, n = set(), {s: 0.0}, [(0.0, s)], 0
-                while heap and n < k0 + (not include_self):
-                    far, u = heapq.heappop(heap)
-                    if u in got:
-                        continue
-                    got.add(u)
-                    n += 1
-                    if u != s or include_self:
-                        out[0].append(x)
-                        out[1].append(int(ids[u]))
-                    for i in range(start[u], start[u + 1]):
-                        v, f = int(to[i]), far + float(dist[i])
-                        if f < best.get(v, np.inf):
-                            best[v] = f
-                            heapq.heappush(heap, (f, v))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["src", "dst"])
-
-    sources = spark.createDataFrame([(int(x),) for x in ids], "obs_id long").repartition(max(1, min(256, len(ids) // 64))) if len(ids) else emb.select(F.col("obs_id").cast("long")).limit(0)
-    return sources.mapInArrow(walk, "src long, dst long")
+    found = nearest_by_path(e, k0 + (not include_self))
+    return found.select("src", "dst") if include_self else found.where("src <> dst").select("src", "dst")
+
+
+def nearest_by_path(edges: DataFrame, k: int) -> DataFrame:
+    """(src, dst, d): for each node that has an edge the k nodes nearest by path length, itself included with 0, ties by id.
+    edges: src, dst, d >= 0, in both directions, each pair once.
+
+    All sources go on together, edge by edge. A source keeps its k nearest nodes so far; in a round those that are new or nearer than
+    before pass on to their neighbours, unless the k-th of the source is nearer still. A path to one of the k nearest goes only
+    over others of them, so nothing is lost, and no more than a node's k nearest neighbours can matter. A round is a join of
+    the sources' new nodes with their neighbours and a grouped minimum; rounds end when nothing is new."""
+    order = lambda a, b: F.when(a["d"] < b["d"], -1).when(a["d"] > b["d"], 1).when(a["node"] < b["node"], -1).when(a["node"] > b["node"], 1).otherwise(0)
+    first = lambda c: F.slice(F.array_sort(c, order), 1, k)
+    lists = written(edges.groupBy("src").agg(first(F.collect_list(F.struct("d", F.col("dst").alias("node")))).alias("near")).withColumnRenamed("src", "u"), "path-neighbours")
+    start = F.array(F.struct(F.lit(0.0).alias("d"), F.col("u").alias("node"), F.lit(True).alias("new")))
+    now = written(lists.select(F.col("u").alias("src"), start.alias("best")), "path-nearest")
+    while True:
+        bound = F.when(F.size("best") >= k, F.element_at("best", k)["d"]).otherwise(float("inf"))
+        one = now.select("src", bound.alias("bound"), F.explode("best").alias("x"))
+        ahead = one.where("x.new").select("src", "bound", F.col("x.d").alias("d0"), F.col("x.node").alias("u"))
+        steps = ahead.join(lists, "u").select("src", "bound", F.explode(F.transform("near", lambda y: F.struct((F.col("d0") + y["d"]).alias("d"), y["node"].alias("node")))).alias("y"))
+        steps = steps.where("y.d <= bound").select("src", "y.node", "y.d", F.lit(None).cast("double").alias("was"))
+        both = one.select("src", "x.node", "x.d", F.col("x.d").alias("was")).union(steps).repartition("src")
+        least = both.groupBy("src", "node").agg(F.min("d").alias("d"), F.min("was").alias("was"))
+        item = F.struct("d", "node", (F.col("was").isNull() | (F.col("d") < F.col("was"))).alias("new"))
+        new = written(least.groupBy("src").agg(first(F.collect_list(item)).alias("best")), "path-nearest")
+        discard(now)
+        now = new
+        if not now.where(F.exists("best", lambda x: x["new"])).take(1):
+            return now.select("src", F.explode("best").alias("x")).select("src", F.col("x.node").alias("dst"), "x.d")
 
 
 def graph_lisi(emb: DataFrame, labels: DataFrame, n_neighbors: int = 15, k0: int = 90, scale: bool = True, neighbors: DataFrame | None = None, **options) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import cluster, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register, row_solve
 from lattica.plans import tables
@@ -147,6 +148,50 @@ def test_factorization_equals_dense(spark, block_rows):
     assert len(e) == n and all(abs(np.linalg.norm(r.unit) - 1) < 1e-5 for r in e)
 
 
+def test_optimality_sees_a_wrong_step(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((30, 2)) @ rng.random((2, 6)) + 0.1 * rng.random((30, 6))
+    df = spark.createDataFrame([("a" if i < 18 else "b", i, x[i].tolist()) for i in range(30)], "slice string, obs_id long, x array<double>")
+    lap = lambda n: spark.createDataFrame([(i, j, 2.0 if i == j else -1.0) for i in range(n) for j in (i, (i + 1) % n, (i - 1) % n)], "src long, dst long, w double")
+    f = factorize.fit(df, lap(30), lap(6), rank=2, iters=3)
+    part = lambda: {(r.part, r.of): r.residual for r in factorize.optimality(f, lap(6)).collect()}
+    right = part()
+    assert len(right) == 2 * 6 + 2 * 2 and not any(right.values())
+    f.b = f.b * 1.01
+    f.rows = f.rows.withColumn("q", F.transform("q", lambda v: v * 0.99))
+    f.state = f.state.withColumn("y", F.transform("y", lambda v: v * 1.01))
+    wrong = part()
+    assert min(v for (p, _), v in wrong.items() if p != "nearest") > 1e-4
+
+
+@pytest.mark.parametrize("k", [3, 7, 200])
+def test_nearest_by_path_equals_dijkstra(spark, k):
+    """Random graphs with a hub, zero lengths, ties and parts that don't meet."""
+    rng = np.random.default_rng(k)
+    n, d = 60, {}
+    for i in range(n):
+        for j in rng.integers(0, n, 3):
+            if i != j and (i < 50) == (j < 50):
+                d[i, int(j)] = d[int(j), i] = float(rng.choice([0.0, 1.0, 1.0, 2.5, rng.random()]))
+    for i in range(1, 50):
+        d[0, i] = d[i, 0] = 4.0
+    far = np.full((n, n), np.inf)
+    np.fill_diagonal(far, 0)
+    for (i, j), w in d.items():
+        far[i, j] = w
+    for m in range(n):
+        far = np.minimum(far, far[:, m : m + 1] + far[m : m + 1])
+    edges = spark.createDataFrame([(i, j, w) for (i, j), w in d.items()], "src long, dst long, d double")
+    got: dict = {}
+    for r in metrics.nearest_by_path(edges, k).collect():
+        got.setdefault(r.src, []).append((round(r.d, 9), r.dst))
+    for i in {i for i, _ in d}:
+        want = sorted((round(float(far[i, j]), 9), j) for j in range(n) if np.isfinite(far[i, j]))[:k]
+        assert [x for x, _ in sorted(got[i])] == [x for x, _ in want]
+        edge = want[-1][0]
+        assert {j for x, j in got[i] if x < edge} == {j for x, j in want if x < edge}
+
+
 def test_slice_smaller_than_rank_is_an_error(spark):
     df = spark.createDataFrame([("a", 1, [1.0, 2.0])], "slice string, obs_id long, x array<double>")
     e = spark.createDataFrame([], "src long, dst long, w double")
