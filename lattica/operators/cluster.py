@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import scrub
+from lattica.operators.communities import communities
 from lattica.operators.graphs import knn
 from lattica.operators.linalg import column, summed
 from lattica.plans.tables import written
 
-#: Edges of one graph that a clustering task holds, and rows that seed the mixture.
-MAX_EDGES, SEED_ROWS = 20_000_000, 5_000
+#: Rows that seed the mixture.
+SEED_ROWS = 5_000
 
 
 def _seeded_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -76,103 +77,10 @@ def tied_mixture(emb: DataFrame, k: int, seed: int = 42, iters: int = 100, tol:
     return rows.mapInArrow(assign, f"obs_id {emb.schema['obs_id'].dataType.simpleString()}, cluster int")
 
 
-def leiden(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 0, rounds: int = 10) -> np.ndarray:
-    """Communities of an undirected graph (each edge in both directions) by modularity: nodes move to the best
-    neighbouring community, communities are refined into well-connected parts, parts become nodes, and again.
-    Labels 0.. by falling size."""
-    rng = np.random.default_rng(seed)
-    member = np.arange(n)  # node of the current level for each original node
-    start_from = None
-    two_m = max(float(w.sum()), 1e-300)
-    for _ in range(rounds):
-        size = int(member.max()) + 1 if n else 0
-        order = np.lexsort((dst, src))
-        s, t, x = src[order], dst[order], w[order]
-        at = np.searchsorted(s, np.arange(size + 1))
-        degree = np.bincount(s, x, size)
-        adj = [(t[at[i] : at[i + 1]].tolist(), x[at[i] : at[i + 1]].tolist()) for i in range(size)]
-
-        def move(labels, allowed=None, size=size, degree=degree, adj=adj):
-            total = np.bincount(labels, degree, size).tolist()
-            labels = labels.tolist()
-            queue, queued, any_move = rng.permutation(size).tolist(), [True] * size, False
-            head = 0
-            while head < len(queue):
-                i = queue[head]
-                head += 1
-                queued[i] = False
-                if allowed is not None and singles[i] > 1:
-                    continue
-                to: dict[int, float] = {}
-                for j, v in zip(*adj[i], strict=True):
-                    if j != i and (allowed is None or allowed[j] == allowed[i]):
-                        to[labels[j]] = to.get(labels[j], 0.0) + v
-                own, d = labels[i], degree[i]
-                total[own] -= d
-                best, gain = own, to.get(own, 0.0) - resolution * d * total[own] / two_m
-                for c, v in to.items():
-                    g = v - resolution * d * total[c] / two_m
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                total[best] += d
-                if best != own:
-                    labels[i], any_move = best, True
-                    if allowed is not None:
-                        singles[i] = 2
-                        for j in adj[i][0]:
-                            if labels[j] == best:
-                                singles[j] = 2
-                    else:
-                        for j in adj[i][0]:
-                            if labels[j] != best and not queued[j]:
-                                queue.append(j)
-                                queued[j] = True
-            return np.array(labels, np.int64), any_move
-
-        labels, moved = move(np.arange(size) if start_from is None else start_from)
-        _, labels = np.unique(labels, return_inverse=True)
-        if not moved or labels.max(initial=-1) + 1 == size:
-            member = labels[member]
-            break
-        singles = [1] * size
-        parts, _ = move(np.arange(size), allowed=labels.tolist())
-        _, parts = np.unique(parts, return_inverse=True)
-        if parts.max() + 1 == size:
-            parts = labels
-        start_from = np.zeros(int(parts.max()) + 1, np.int64)
-        start_from[parts] = labels
-        _, start_from = np.unique(start_from, return_inverse=True)
-        member = parts[member]
-        key = parts[src] * (int(parts.max()) + 1) + parts[dst]
-        u, back = np.unique(key, return_inverse=True)
-        w = np.bincount(back, w)
-        src, dst = u // (int(parts.max()) + 1), u % (int(parts.max()) + 1)
-    else:
-        member = start_from[member] if start_from is not None else member
-    count = np.bincount(member) if n else np.zeros(0)
-    rank = np.empty(len(count), np.int64)
-    rank[np.lexsort((np.arange(len(count)), -count))] = np.arange(len(count))
-    return rank[member] if n else member
-
-
 def cluster_graph(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
-    """(slice, obs_id, cluster): communities of each slice's graph, slices side by side. edges: slice, src, dst, w in both
-    directions; nodes: slice, obs_id. A graph of over MAX_EDGES edges is refused: one task holds it."""
-    most = edges.groupBy("slice").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > MAX_EDGES:
-        raise ValueError(f"a graph of {most} edges is too large for one task")
-    a = nodes.select("slice", F.col("obs_id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("w"))
-    rows = a.unionAll(edges.select("slice", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")))
-
-    def run(t: pa.Table) -> pa.Table:
-        own = t.column("dst").is_null().to_numpy(zero_copy_only=False)
-        src, w = t.column("src").to_numpy(), t.column("w").to_numpy()
-        ids = np.unique(src[own])
-        dst = t.column("dst").fill_null(0).to_numpy()
-        labels = leiden(len(ids), np.searchsorted(ids, src[~own]), np.searchsorted(ids, dst[~own]), w[~own], resolution, seed)
-        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()] * len(ids), t.schema.field("slice").type), "obs_id": pa.array(ids, pa.int64()), "cluster": pa.array(labels, pa.int32())})
-
-    return rows.groupBy("slice").applyInArrow(run, f"slice {nodes.schema['slice'].dataType.simpleString()}, obs_id long, cluster int")
+    """(slice, obs_id, cluster): communities of each slice's graph, slices side by side; see communities. edges: slice, src,
+    dst, w in both directions; nodes: slice, obs_id."""
+    return communities(edges.select("slice", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")), nodes.select("slice", F.col("obs_id").cast("long").alias("obs_id")), resolution, seed)
 
 
 def neighbor_graph(emb: DataFrame, n_neighbors: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import cluster, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register
+from lattica.operators import cluster, communities, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register
 from lattica.plans import fixtures as fx
 from lattica.plans import tables
 from lattica.sources import readers
@@ -530,10 +530,27 @@ def gmm_tied(s, d):
     return cluster.tied_mixture(fx.emb(s, d).select("obs_id", "vec"), 10)
 
 
+def _leiden(s, d):
+    e = fx.emb(s, d).select("obs_id", "vec")
+    edges = tables.written(cluster.neighbor_graph(e, 10).select(F.lit("all").alias("slice"), "src", "dst", "w"), "neighbour-graph")
+    return edges, cluster.cluster_graph(edges, e.select(F.lit("all").alias("slice"), "obs_id"))
+
+
 @query()
 def leiden_clusters(s, d):
-    e = fx.emb(s, d).select(F.concat(F.lit("b"), F.col("batch").cast("string")).alias("slice"), "obs_id", "vec")
-    return cluster.cluster_leiden(e, 10, per_slice=False)
+    return _leiden(s, d)[1].drop("slice")
+
+
+@query(f"WITH {fx.EMB} SELECT count(*) AS n, CAST(0 AS BIGINT) AS improving, true AS fewer, CAST(0 AS BIGINT) AS empty FROM emb")
+def leiden_local_optimum(s, d):
+    """No node would gain by a move to a neighbour's community; there are fewer communities than a tenth of the nodes, numbered
+    without gaps. Single nodes, one community for all, or random ones fail this."""
+    edges, found = _leiden(s, d)
+    found = tables.written(found, "clusters")
+    improving = communities.improving_moves(edges, found).count()
+    better = communities.modularity(edges, found).first().modularity > 0.2
+    k = F.count_distinct("cluster")
+    return found.agg(F.count("*").alias("n"), F.lit(improving).cast("long").alias("improving"), ((k * 10 < F.count("*")) & F.lit(better)).alias("fewer"), (F.max("cluster") + 1 - k).cast("long").alias("empty"))
 
 
 @query()

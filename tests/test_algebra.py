@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from one_task_leiden import leiden
 from pyspark.sql import functions as F
 
-from lattica.operators import cluster, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register, row_solve
+from lattica.operators import cluster, communities, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register, row_solve
 from lattica.plans import tables
 
 
@@ -292,13 +293,59 @@ def test_mixture_finds_blobs(spark):
     assert len(pairs) == 3
 
 
-def test_leiden_finds_cliques():
-    edges = [(i, j) for c in range(4) for i in range(c * 6, c * 6 + 6) for j in range(c * 6, c * 6 + 6) if i != j]
-    edges += [(5, 6), (6, 5), (11, 12), (12, 11), (17, 18), (18, 17)]
-    a = np.array(edges)
-    labels = cluster.leiden(24, a[:, 0], a[:, 1], np.ones(len(a)))
-    assert [len(set(labels[c * 6 : c * 6 + 6])) for c in range(4)] == [1] * 4 and len(set(labels)) == 4
-    assert len(cluster.leiden(0, a[:0, 0], a[:0, 1], np.ones(0))) == 0
+def community_tables(spark, pairs, n, slices=("a",)):
+    rows = [(c, int(i), int(j), float(w)) for c in slices for i, j, w in pairs] + [(c, int(j), int(i), float(w)) for c in slices for i, j, w in pairs]
+    return spark.createDataFrame(rows, "slice string, src long, dst long, w double"), spark.createDataFrame([(c, i) for c in slices for i in range(n)], "slice string, obs_id long")
+
+
+def test_communities_are_cliques_whatever_the_partitions(spark):
+    """Three cliques in a ring, an isolated node, two slices at once."""
+    pairs = [(8 * c + i, 8 * c + j, 1.0) for c in range(3) for i in range(8) for j in range(i)] + [(8 * c, (8 * c + 9) % 24, 1.0) for c in range(3)]
+    edges, nodes = community_tables(spark, pairs, 25, ("a", "b"))
+    want = None
+    for n in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            got = sorted(map(tuple, cluster.cluster_graph(edges.repartition(n), nodes.repartition(n)).select("slice", "obs_id", "cluster").collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert want in (None, got)
+        want = got
+    for s in "ab":
+        label = {i: c for x, i, c in got if x == s}
+        assert len(label) == 25 and len(set(label.values())) == 4 and all(len({label[8 * c + i] for i in range(8)}) == 1 for c in range(3)) and label[24] == 3
+
+
+def test_communities_are_as_good_as_in_one_task(spark):
+    """A neighbour graph of overlapping groups: modularity, connected communities, no node that would gain by a move."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((40, 4)) + 3 * rng.standard_normal(4) for _ in range(7)])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    near = np.argsort(d, axis=1)[:, 1:9]
+    w = {tuple(sorted((i, int(j)))): float(np.exp(-d[i, j] / 4)) for i in range(len(x)) for j in near[i]}
+    pairs = [(i, j, v) for (i, j), v in w.items()]
+    edges, nodes = community_tables(spark, pairs, len(x))
+    found = tables.written(cluster.cluster_graph(edges, nodes), "found")
+    a = np.array([(i, j) for i, j, _ in pairs] + [(j, i) for i, j, _ in pairs])
+    one = leiden(len(x), a[:, 0], a[:, 1], np.array([v for _, _, v in pairs] * 2))
+    other = spark.createDataFrame([("a", i, int(c)) for i, c in enumerate(one)], "slice string, obs_id long, cluster int")
+    q, q1 = (communities.modularity(edges, f).first().modularity for f in (found, other))
+    assert q >= 0.98 * q1 and communities.improving_moves(edges, found).count() == 0
+    assert communities.improving_moves(edges, other.withColumn("cluster", F.col("obs_id").cast("int"))).count() > 100
+    label = {r.obs_id: r.cluster for r in found.collect()}
+    for c in set(label.values()):
+        own = {i for i in label if label[i] == c}
+        reach, todo = set(), [min(own)]
+        while todo:
+            i = todo.pop()
+            reach.add(i)
+            todo += [j for p in w for i2, j in (p, p[::-1]) if i2 == i and j in own and j not in reach]
+        assert reach == own
+
+
+def test_leiden_in_one_task_finds_cliques():
+    a = np.array([(8 * c + i, 8 * c + j) for c in range(3) for i in range(8) for j in range(8) if i != j])
+    assert len(set(zip(leiden(24, a[:, 0], a[:, 1], np.ones(len(a))).tolist(), np.arange(24) // 8, strict=True))) == 3
 
 
 def test_booster_and_lle(spark):
