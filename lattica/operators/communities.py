@@ -17,7 +17,9 @@ from lattica.plans.tables import discard, written
 
 UNIT = 1 << 20
 #: Rounds of one local moving, rounds of one refinement, levels. Far more than are needed; each moves half of what would gain.
-MOVES, MERGES, LEVELS = 60, 12, 20
+MOVES, MERGES, LEVELS = 60, 6, 20
+#: A level is left when no more than this share of its nodes would still gain; the last moving ends when none would.
+ENOUGH = 0.2
 
 
 class Graph:
@@ -51,20 +53,24 @@ def best_moves(g: Graph, labels: DataFrame) -> DataFrame:
     return ranked.where(F.col("best.other") & (-F.col("best.loss") > F.col("now") + 1e-9 * F.abs("now") + 1e-9)).select("u", "best.to")
 
 
-def move(g: Graph, labels: DataFrame, salt: int) -> tuple[DataFrame, int]:
-    """Labels after local moving, and how many moves there were."""
-    moved = 0
+def move(g: Graph, labels: DataFrame, salt: int, left: float = 0.0) -> DataFrame:
+    """Labels (u, d, c) after local moving; it ends when at most the share `left` of the nodes would gain."""
     for i in range(MOVES):
-        wants = written(best_moves(g, labels).withColumn("go", g.drawn(salt + i)), "community-moves")
-        n = wants.agg(F.count("*"), F.count_if("go")).first()
-        if not n[0]:
-            discard(wants)
+        wanted = labels.join(best_moves(g, labels), "u", "left").withColumn("go", F.col("to").isNotNull() & g.drawn(salt + i))
+        new = written(wanted.select("u", "d", F.when(F.col("go"), F.col("to")).otherwise(F.col("c")).alias("c"), F.col("to").isNotNull().alias("wants")), "community-labels")
+        n, wants = new.agg(F.count("*"), F.count_if("wants")).first()
+        discard(labels)
+        labels = of_file(new, "u", "d", "c")
+        if wants <= left * n:
             break
-        go = wants.where("go").select("u", "to") if n[1] else wants.select("u", "to")
-        new = written(labels.join(go, "u", "left").select("u", "d", F.coalesce("to", "c").alias("c")), "community-labels")
-        discard(wants, labels)
-        labels, moved = new, moved + (n[1] or n[0])
-    return labels, moved
+    return labels
+
+
+def of_file(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a written table, which can still be discarded."""
+    out = df.select(*columns)
+    out.written_to = df.written_to
+    return out
 
 
 def refine(g: Graph, labels: DataFrame, salt: int) -> DataFrame:
@@ -78,13 +84,13 @@ def refine(g: Graph, labels: DataFrame, salt: int) -> DataFrame:
         rest = state.where(~F.col("goes")).select(F.col("u").alias("v"), "s", "total")
         around = inside.join(movers, "u").join(rest, "v").groupBy("u", "s").agg(F.sum("w").alias("k"), F.first("d").alias("d"), F.first("total").alias("total"))
         scored = g.with_scale(around).withColumn("gain", g.gain(F.col("k"), F.col("d"), F.col("total"))).where("gain > 0")
-        joins = written(scored.groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "s")).alias("best")).select("u", F.col("best.s").alias("to")), "community-joins")
-        if not joins.take(1) and i % 2:
-            discard(joins)
+        joins = scored.groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "s")).alias("best")).select("u", F.col("best.s").alias("to"))
+        new = written(parts.join(joins, "u", "left").select("u", "d", "c", F.coalesce("to", "s").alias("s"), F.col("to").isNotNull().alias("moved")), "community-parts")
+        n, moved = new.agg(F.count("*"), F.count_if("moved")).first()
+        discard(parts)
+        parts = of_file(new, "u", "d", "c", "s")
+        if i % 2 and moved <= n // 50:
             break
-        new = written(parts.join(joins, "u", "left").select("u", "d", "c", F.coalesce("to", "s").alias("s")), "community-parts")
-        discard(joins, parts)
-        parts = new
     discard(inside)
     return parts
 
@@ -104,7 +110,7 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, see
     labels = written(base.select("u", "d", F.col("u").alias("c")), "community-labels")
     g = whole
     for level in range(LEVELS):
-        labels, _ = move(g, labels, 1000 * level)
+        labels = move(g, labels, 1000 * level, ENOUGH)
         n, k = labels.agg(F.count("*"), F.count_distinct("c")).first()
         if n == k:
             break
@@ -123,7 +129,7 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, see
         discard(member, labels, parts, up)
         g, member, labels = above, grown, new
     found = written(member.join(labels.select("u", "c"), "u").select(F.col("node").alias("u"), "c").join(base, "u").select("u", "d", "c"), "community-labels")
-    found, _ = move(whole, found, 1000 * LEVELS)
+    found = move(whole, found, 1000 * LEVELS)
     sizes = found.groupBy("c").agg(F.count("*").alias("n"), F.min("u.obs_id").alias("first"))
     rank = F.row_number().over(Window.partitionBy("c.slice").orderBy(F.desc("n"), "first")) - 1
     return found.join(sizes.select("c", rank.cast("int").alias("cluster")), "c").select("u.slice", "u.obs_id", "cluster")
