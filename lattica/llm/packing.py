@@ -4,6 +4,7 @@ bucket boundaries with the least padding; inside a bucket, batches are formed to
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,13 @@ def best_bounds(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int
         j, k = int(back[k][j]) - 1, k - 1
 
 
+#: Runs of at least 1,000 characters with the Unicode property White_Space.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
+
 class Encoder:
     """Token ids by a public byte-pair vocabulary: a file of base64 tokens and their ranks."""
 
-    #: A longer text is encoded in stretches that begin at a white space (or after this many characters without one).
-    STRETCH = 1 << 16
-
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
@@ -58,13 +60,16 @@ class Encoder:
         self.encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
+        """The library's ids of the whole text. Its pattern engine runs out of stack in very long runs of white space, so those are
+        cut off where the pattern itself cuts: before a run, and before its last character if more text follows."""
         out, at = [], 0
-        while at < len(text):
-            end = len(text) if len(text) - at <= self.STRETCH else max(text.rfind(" ", at + 1, at + self.STRETCH), text.rfind("\n", at + 1, at + self.STRETCH))
-            end = end if end > at else at + self.STRETCH
-            out.append(np.array(self.encoding.encode_ordinary(text[at:end]), np.int32))
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.encoding.encode_ordinary(text[at : run.start()])
+            out += self.encoding.encode_single_piece(text[run.start() : end])
             at = end
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+        out += self.encoding.encode_ordinary(text[at:])
+        return np.array(out, np.int32)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -83,7 +83,6 @@ def test_pack_by_brute_force_with_a_vocabulary(spark, docs):
     some = [*[(r.doc_id, r.text) for r in rows], *[(None, f"null id {i} " + "word " * (i % 5)) for i in range(60)], (7, "again"), (7, "again"), (8, "<|endoftext|>")]
     df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
     want = sorted(((d, k // 300, k, tuple(ids[k : k + 300])) for d, t in some for ids in [lib.encode_ordinary(t)] for k in range(0, max(1, len(ids)), 300)), key=str)
-    assert max(len(t) for _, t in some) <= packing.Encoder.STRETCH
     out = packing.pack(df, 300, 5, 1000, 4, str(path), P.PATTERN).collect()
     assert sorted(((r.doc_id, r.piece, r.start, tuple(r.ids)) for r in out), key=str) == want
     length, count = np.unique([len(x[3]) for x in want if x[3]], return_counts=True)
@@ -105,11 +104,20 @@ def test_pack_by_brute_force_with_a_vocabulary(spark, docs):
         assert len({s for b, s in batches if b == bucket}) <= max(1, -(-pieces // (room * 4)))
 
 
-def test_long_texts_are_encoded_in_stretches():
+def test_ids_of_long_texts_are_those_of_the_library():
+    """Whole texts of up to a million characters, with and without white space; beyond what the library can take, runs of white
+    space against what it gives for the pattern's pieces."""
     P = pytest.importorskip("public_tokenizers")
     e = packing.Encoder(str(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
-    text = "some words\nin lines " * 8000 + "x" * 150_000 + " " * 70_000
-    assert e.encoding.decode(e.encode(text).tolist()) == text and len(e.encode("")) == 0
+    rng = np.random.default_rng(1)
+    words = "".join(rng.choice(["lorem", "Ipsum", "dolor", "sit", "42", "é", "ß"], 30_000))
+    texts = ["", "0123456789" * 7000, words, "abcdefg" * 10_000, "x" * 1_000_000, "some words\nin lines " * 50_000, "-" * 100_000 + " a"]
+    texts += [a + c * n + b for n in (999, 1000, 1001, 5000) for c in (" ", "\n", "\u3000", " \n\t", "\x1c") for a, b in (("", ""), ("ab", ""), ("ab", "cd"), ("'s ", " 12"), ("", "-x"))]
+    for t in texts:
+        assert e.encode(t).tolist() == e.encoding.encode_ordinary(t)
+    many = "ab" + " " * 2_000_000 + "cd " + "\n" * 1_500_000
+    parts = ["ab", " " * 1_999_999, " cd", " " + "\n" * 1_500_000]
+    assert e.encode(many).tolist() == [i for p in parts for i in e.encoding.encode_single_piece(p)]
 
 
 def test_pack_odd_input(odd, none):
