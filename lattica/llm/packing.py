@@ -66,7 +66,7 @@ class Encoder:
         for run in LONG_SPACE.finditer(text):
             end = run.end() if run.end() == len(text) else run.end() - 1
             out += self.encoding.encode_ordinary(text[at : run.start()])
-            out += self.encoding.encode_single_piece(text[run.start() : end])
+            out += self.encoding._encode_single_piece(text[run.start() : end])
             at = end
         out += self.encoding.encode_ordinary(text[at:])
         return np.array(out, np.int32)

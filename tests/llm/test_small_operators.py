@@ -117,7 +117,7 @@ def test_ids_of_long_texts_are_those_of_the_library():
         assert e.encode(t).tolist() == e.encoding.encode_ordinary(t)
     many = "ab" + " " * 2_000_000 + "cd " + "\n" * 1_500_000
     parts = ["ab", " " * 1_999_999, " cd", " " + "\n" * 1_500_000]
-    assert e.encode(many).tolist() == [i for p in parts for i in e.encoding.encode_single_piece(p)]
+    assert e.encode(many).tolist() == [i for p in parts for i in e.encoding._encode_single_piece(p)]
 
 
 def test_pack_odd_input(odd, none):
