@@ -153,7 +153,8 @@ class Booster:
 
 def deconvolve_boosted(st: DataFrame, ps: DataFrame, comp: DataFrame, eps: float = 1e-4, **options) -> DataFrame:
     """One boosted model a cell type on centred log-ratios of the pseudo-spots' compositions, then a softmax. The types
-    train side by side, each task on the pseudo-spot table, whose size is a parameter of the run and is checked."""
+    train side by side, a task each, on the pseudo-spot table, whose size is a parameter of the run and is checked; the table is
+    shuffled to them, not collected."""
     types = [r[0] for r in comp.select("cell_type").distinct().orderBy("cell_type").collect()]
     full = long_rows(wide_rows(comp, types), types)
     target = wide_rows(clr_transform(full, eps), types)
@@ -161,22 +162,19 @@ def deconvolve_boosted(st: DataFrame, ps: DataFrame, comp: DataFrame, eps: float
     n = train.count()
     if n > MAX_TRAINING_ROWS:
         raise ValueError(f"{n} pseudo-spots are too many for one training task")
-    t = train.orderBy("obs_id").toArrow()
-    x, y = (np.array(t.column(c).to_pylist(), float) for c in ("vec", "y"))
     spark = st.sparkSession
-    held = spark.sparkContext.broadcast((x, y))
+    each = train.select("obs_id", "vec", F.posexplode("y").alias("i", "y"))
 
-    def learn(batches):
+    def learn(t: pa.Table) -> pa.Table:
         import pickle
 
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                model = Booster(**options).fit(held.value[0], held.value[1][:, i])
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pickle.dumps(model)], pa.binary())], names=["i", "model"])
+        t = t.sort_by("obs_id").combine_chunks()
+        model = Booster(**options).fit(column(t.select(["vec"]).to_batches()[0], "vec"), t.column("y").to_numpy())
+        return pa.table({"i": pa.array([t.column("i")[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(model)], pa.binary())})
 
     import pickle
 
-    models = {r.i: pickle.loads(bytes(r.model)) for r in spark.range(0, len(types), 1, max(1, len(types))).mapInArrow(learn, "i long, model binary").collect()}
+    models = {r.i: pickle.loads(bytes(r.model)) for r in each.groupBy("i").applyInArrow(learn, "i int, model binary").collect()}
     shared = spark.sparkContext.broadcast([models[i] for i in range(len(types))])
 
     def predict(batches):

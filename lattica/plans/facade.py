@@ -91,7 +91,7 @@ class Study:
         self._need(build_slices=getattr(self, "rows", None))
         at = self.st.obs.select("slice", "obs_id", "x", "y")
         rows = at.join(self.rows.select("slice", "obs_id", F.col("x").alias("vec")), ["slice", "obs_id"])
-        placed = register.stack_slices(at, register.align_pairs(rows, alpha))
+        placed = register.register(rows, alpha)
         self.st.obs = written(self.st.obs.drop("px", "py").join(placed.select("obs_id", "px", "py"), "obs_id"), "aligned")
         return self
 

@@ -556,7 +556,22 @@ def leiden_local_optimum(s, d):
 @query()
 def register_slices(s, d):
     e = fx.emb(s, d).select(F.concat(F.lit("b"), F.col("batch").cast("string")).alias("slice"), "obs_id", "vec", (F.col("obs_id") * 7919 % 100).cast("double").alias("x"), (F.col("obs_id") * 104729 % 101).cast("double").alias("y"))
-    return register.stack_slices(e.select("slice", "obs_id", "x", "y"), register.align_pairs(e))
+    return register.register(e)
+
+
+@query("""WITH p AS (SELECT vec_id AS obs_id, CAST((vec_id * 7919) % 100 AS DOUBLE) AS x, CAST((vec_id * 104729) % 101 AS DOUBLE) AS y FROM embeddings)
+SELECT 'a' AS slice, obs_id, x AS px, y AS py FROM p UNION ALL SELECT 'b', obs_id + 1000000, x, y FROM p""")
+def register_turned_copy(s, d):
+    """A slice and its copy, turned by 30 degrees and shifted, with the same expression: registration lays each copied spot
+    onto its original."""
+    x, y = (F.col("obs_id") * 7919 % 100).cast("double"), (F.col("obs_id") * 104729 % 101).cast("double")
+    smooth = [1 + F.sin(F.col("x") / 20), 1 + F.cos(F.col("y") / 25), 1 + F.sin((F.col("x") + 2 * F.col("y")) / 40), F.col("x") / 50, F.col("y") / 50, F.col("x") * F.col("y") / 5000]
+    own = [F.abs(F.get("vec", i)) / 10 for i in range(4)]
+    a = fx.emb(s, d).withColumns({"x": x, "y": y}).select(F.lit("a").alias("slice"), "obs_id", "x", "y", F.array(*smooth, *own).alias("vec"))
+    cos, sin = 3**0.5 / 2, 0.5
+    b = a.select(F.lit("b").alias("slice"), (F.col("obs_id") + 1_000_000).alias("obs_id"), (cos * F.col("x") - sin * F.col("y") + 40).alias("x"), (sin * F.col("x") + cos * F.col("y") - 15).alias("y"), "vec")
+    out = register.register(a.union(b))
+    return out.select("slice", "obs_id", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("px", "py")))
 
 
 @query(f"""WITH {fx.EMB}, p AS (SELECT 'b' || batch AS slice, CAST((obs_id * 7919) % 100 AS DOUBLE) AS x, CAST((obs_id * 104729) % 101 AS DOUBLE) AS y FROM emb)
@@ -627,9 +642,28 @@ def lle_simplex(s, d):
     return lle_deconvolve(s, d).groupBy("obs_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"), (F.min("value") < 0).alias("negative"))
 
 
+_LLE2 = f"""WITH {fx.EMB}, {_near(2, COS, "a.dom = 1 AND b.dom = 0")},
+z AS (SELECT src, rank, dst, list_transform(range(1, 65), lambda i: b.vec[i] - a.vec[i]) AS z FROM near JOIN emb a ON a.obs_id = src JOIN emb b ON b.obs_id = dst),
+g AS (SELECT p.src, p.dst AS d1, q.dst AS d2, list_dot_product(p.z, p.z) AS a, list_dot_product(q.z, q.z) AS b, list_dot_product(p.z, q.z) AS c FROM z p JOIN z q ON p.src = q.src AND p.rank = 1 AND q.rank = 2),
+h AS (SELECT src, d1, d2, a + (1e-3 * (a + b) / 2 + 1e-8) AS a, b + (1e-3 * (a + b) / 2 + 1e-8) AS b, c FROM g),
+r AS (SELECT src, d1, d2, (b - c) / (a * b - c * c) AS u, (a - c) / (a * b - c * c) AS v FROM h),
+s AS (SELECT src, d1, d2, greatest(u / (u + v + 1e-8), 0) AS u, greatest(v / (u + v + 1e-8), 0) AS v FROM r),
+w AS (SELECT src, unnest([d1, d2]) AS dst, unnest([u / (u + v + 1e-8), v / (u + v + 1e-8)]) AS w FROM s),
+y AS (SELECT obs_id, 't' || (label % 3) AS cell_type, 0.75 AS y FROM emb WHERE dom = 0 UNION ALL SELECT obs_id, 't3', 0.25 FROM emb WHERE dom = 0),
+o AS (SELECT src, cell_type, sum(w * y) AS v FROM w JOIN y ON y.obs_id = dst GROUP BY 1, 2),
+t AS (SELECT DISTINCT cell_type FROM y)
+SELECT src AS obs_id, t.cell_type, round(coalesce(v, 0) / (sum(coalesce(v, 0)) OVER (PARTITION BY src) + 1e-8), 5) AS value FROM (SELECT DISTINCT src FROM o) CROSS JOIN t LEFT JOIN o USING (src, cell_type)"""
+
+
+@query(_LLE2)
+def lle_two_neighbors(s, d):
+    """Local linear weights over the two nearest pseudo-spots, where SQL has the solution of the 2 x 2 system."""
+    return deconvolve.deconvolve(*_mixture_tables(s, d), method="lle", k=2).withColumn("value", F.round("value", 5) + F.lit(0.0))
+
+
 @query()
 def gbdt_deconvolve(s, d):
-    return deconvolve.deconvolve(*_mixture_tables(s, d), method="gbdt", iters=20)
+    return deconvolve.deconvolve(*_mixture_tables(s, d), method="gbdt")
 
 
 # --- metrics

@@ -412,6 +412,20 @@ def test_registration_recovers_a_turn(spark):
     assert max(np.hypot(out[i][0] - out[100 + i][0], out[i][1] - out[100 + i][1]) for i in range(40)) < 0.5
 
 
+def test_registration_of_more_spots_than_cells(spark):
+    """Cell means first, then single spots: a turn and shift are found to 1e-3, with smooth noisy expression and without a tenth of
+    the copied spots."""
+    rng = np.random.default_rng(15)
+    a = rng.random((1500, 2)) * [80, 50]
+    turn = np.array([[0.6, -0.8], [0.8, 0.6]])
+    b = a @ turn.T + [30, -12]
+    v = np.stack([1 + np.sin(a[:, 0] / 15), 1 + np.cos(a[:, 1] / 12), a[:, 0] / 40, a[:, 1] / 25, 1 + np.sin((a[:, 0] + a[:, 1]) / 20), *(0.1 * rng.random((2, 1500)))], 1)
+    rows = [("s0", i, *a[i].tolist(), v[i].tolist()) for i in range(1500)] + [("s1", 10_000 + i, *b[i].tolist(), v[i].tolist()) for i in range(1500) if i % 10]
+    df = spark.createDataFrame(rows, "slice string, obs_id long, x double, y double, vec array<double>")
+    out = {r.obs_id: (r.px, r.py) for r in register.register(df, cells=300).collect()}
+    assert len(out) == len(rows) and max(np.hypot(out[i][0] - out[10_000 + i][0], out[i][1] - out[10_000 + i][1]) for i in range(1500) if i % 10) < 1e-3
+
+
 def test_imputer_gradient_by_differences():
     rng = np.random.default_rng(10)
     x, y = rng.random((4, 3, 5)), rng.random((4, 3))
