@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import STEP, U64, Words, bundled, mix, slices, text_buffer, unbundled, written
+from lattica.llm.common import STEP, U64, Words, bundled, discard, mix, slices, text_buffer, unbundled, written
 from lattica.llm.group_search import search_groups
 
 TOP = U64((1 << 64) - 1)
@@ -143,25 +143,26 @@ def find_links(docs: DataFrame, k: int, threshold: float, bands: int, rows: int,
     sequences = written(own.mapInArrow(seq, "full binary, seq binary").dropDuplicates(["full"]), "near-sequences")
 
     links, roots = search_groups(met, sequences, lambda x, y: similarity(x, y, threshold), threshold, "near", small)
+    discard(met, sequences)
     return features, texts, links, roots
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 3) -> DataFrame:
-    """docs (doc_id, text) -> one row for each of its rows: doc_id, class_id, n_links (verified partners of its text
-    among the compared pairs), first (whether its text is the class's least by doc_id), full.
+    """docs (doc_id, text) -> one row for each of its rows: doc_id, class_id, first (whether its text is
+    the class's least by doc_id), full.
 
     Documents are in a class if a chain of pairs joins them, each equal or of similarity >= threshold and met in a band.
     class_id: the least doc_id of the class (nulls aside; null if there is no other). Words: runs of [0-9a-z] and
     non-ASCII after lower-casing A-Z. Null is the empty text; texts without words are only equal, not similar, to others.
     Repeated rows are copies. Texts are compared whole, however long. Ties: of runs with equal hashes in a sketch the first
     in the text. Other columns, whatever their names, are left out. An empty table gives none."""
-    features, texts, links, roots = find_links(docs, k, threshold, bands, rows)
-    degree = links.selectExpr("explode(array(a, b)) AS node").groupBy("node").agg(F.count("*").alias("n_links"))
-    own = texts.select("full", "d").join(roots.withColumnRenamed("node", "full"), "full", "left").join(degree.withColumnRenamed("node", "full"), "full", "left")
-    own = written(own.select("full", "d", F.coalesce("root", "full").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "near-classes")
+    features, texts, _, roots = find_links(docs, k, threshold, bands, rows)
+    own = texts.select("full", "d").join(roots.withColumnRenamed("node", "full"), "full", "left")
+    own = written(own.select("full", "d", F.coalesce("root", "full").alias("root")), "near-classes")
+    discard(texts, roots)
     least = own.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("none"), F.col("d"), F.col("full"))).alias("m"))
-    own = own.join(least, "root").select("full", F.col("m.d").alias("class_id"), "n_links", (F.col("m.full") == F.col("full")).alias("first"))
-    return features.select("doc_id", "full").join(own, "full").select("doc_id", "class_id", "n_links", "first", "full")
+    own = own.join(least, "root").select("full", F.col("m.d").alias("class_id"), (F.col("m.full") == F.col("full")).alias("first"))
+    return features.select("doc_id", "full").join(own, "full").select("doc_id", "class_id", "first", "full")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

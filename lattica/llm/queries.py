@@ -23,7 +23,7 @@ def op1_pack(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pa
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.near_dup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "first")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "first")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
