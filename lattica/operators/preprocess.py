@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,21 +48,21 @@ def gene_moments(expr: DataFrame, obs: DataFrame) -> DataFrame:
 
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3, anchors: int = 256) -> np.ndarray:
     """Local quadratic regression with tricube weights over the nearest span of points, evaluated at anchors spread
-    over the points and joined by straight lines."""
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
+    over the points (at all of so many) and joined by straight lines. Points as far as the last of the span take part as well, so ties
+    don't depend on the order of points."""
+    xs = np.sort(x)
     n = len(xs)
     k = min(n, max(3, int(np.ceil(span * n))))
     at = np.unique(xs[np.unique(np.linspace(0, n - 1, min(n, anchors)).astype(int))])
     fit = np.empty(len(at))
     for i, c in enumerate(at):
-        d = np.abs(xs - c)
-        near = np.argpartition(d, k - 1)[:k]
-        h = max(d[near].max(), 1e-12)
-        w = np.sqrt((1 - np.minimum(1, d[near] / h) ** 3) ** 3 + 1e-12)
-        t = xs[near] - c
-        a = np.stack([np.ones(k), t, t * t], 1) * w[:, None]
-        fit[i] = np.linalg.lstsq(a, ys[near] * w, rcond=None)[0][0]
+        d = np.abs(x - c)
+        h = max(np.partition(d, k - 1)[k - 1], 1e-12)
+        near = d <= h
+        w = np.sqrt((1 - (d[near] / h) ** 3) ** 3 + 1e-12)
+        t = (x[near] - c) / h
+        a = np.stack([np.ones(len(t)), t, t * t], 1) * w[:, None]
+        fit[i] = np.linalg.lstsq(a, y[near] * w, rcond=None)[0][0]
     return np.interp(x, at, fit)
 
 
@@ -78,18 +79,18 @@ def hvg_counts(expr: DataFrame, obs: DataFrame, n_top: int, span: float = 0.3) -
     """Feature selection on raw counts (flavour seurat_v3): per slice, a quadratic local regression of log10 variance
     on log10 mean gives each feature's expected spread; the clipped variance ranks. With several slices features are
     ordered by their median rank among the top ones, then by the number of slices that have them on top.
-    Returns (gene, rank, n_slices, variance_norm, highly_variable). The per-feature table passes the driver."""
-    m = gene_moments(expr, obs).where("variance > 0").toPandas()
-    parts = []
-    for _, g in m.groupby("slice", sort=True):
-        with np.errstate(divide="ignore"):
-            sd = np.sqrt(10 ** loess(np.log10(g["mean"].to_numpy()), np.log10(g["variance"].to_numpy()), span)) if len(g) > 3 else np.sqrt(g["variance"].to_numpy())
-        parts.append(g.assign(sd=sd))
-    spark = expr.sparkSession
-    schema = "slice string, gene string, n double, mean double, variance double, sd double"
-    rows = [tuple(r) for p in parts for r in p.astype({"slice": str})[["slice", "gene", "n", "mean", "variance", "sd"]].itertuples(index=False)]
-    fitted = spark.createDataFrame(rows, schema)
-    return rank_genes(clipped_variance(expr.withColumn("slice", F.col("slice").cast("string")), fitted), n_top)
+    Returns (gene, rank, n_slices, variance_norm, highly_variable). A slice's regression is a task over a row for each of its
+    features; a feature of the greatest means or the least ones is fitted from one side."""
+    m = gene_moments(expr, obs).where("variance > 0").select("slice", "gene", "n", "mean", "variance")
+
+    def fit(t: pa.Table) -> pa.Table:
+        mean, variance = (t.column(c).to_numpy() for c in ("mean", "variance"))
+        sd = np.sqrt(10 ** loess(np.log10(mean), np.log10(variance), span)) if len(mean) > 3 else np.sqrt(variance)
+        return t.drop_columns(["variance"]).append_column("sd", pa.array(sd))
+
+    kind = {f.name: f.dataType.simpleString() for f in m.schema.fields}
+    fitted = m.groupBy("slice").applyInArrow(fit, f"slice {kind['slice']}, gene {kind['gene']}, n double, mean double, sd double")
+    return rank_genes(clipped_variance(expr, fitted), n_top)
 
 
 def rank_genes(variance: DataFrame, n_top: int) -> DataFrame:

@@ -134,9 +134,23 @@ def gene_rank_topn_by_batch(s, d):
     return preprocess.rank_genes(_clipped(s, d).withColumn("variance_norm", r("variance_norm")), 40).drop("variance_norm")
 
 
-@query()
+LOESS = """f0 AS (SELECT slice, gene, n, mean, log10(mean) AS x, log10(variance) AS y FROM m WHERE variance > 0),
+kk AS (SELECT slice, greatest(3, ceil(0.3 * count(*))) AS k FROM f0 GROUP BY 1),
+p AS MATERIALIZED (SELECT a.slice, a.gene, a.n, a.mean, b.x - a.x AS t, b.y, abs(b.x - a.x) AS d, row_number() OVER (PARTITION BY a.slice, a.gene ORDER BY abs(b.x - a.x)) AS rn FROM f0 a JOIN f0 b USING (slice)),
+h AS (SELECT slice, gene, greatest(max(d), 1e-12) AS h FROM p JOIN kk USING (slice) WHERE rn <= k GROUP BY 1, 2),
+w AS (SELECT slice, gene, n, mean, t / h AS t, y, (1 - (d / h) ** 3) ** 3 + 1e-12 AS w FROM p JOIN h USING (slice, gene) WHERE d <= h),
+q AS (SELECT slice, gene, any_value(n) AS n, any_value(mean) AS mean, sum(w) AS s0, sum(w * t) AS s1, sum(w * t ** 2) AS s2, sum(w * t ** 3) AS s3, sum(w * t ** 4) AS s4, sum(w * y) AS b0, sum(w * t * y) AS b1, sum(w * t * t * y) AS b2 FROM w GROUP BY 1, 2),
+f AS (SELECT slice, gene, n, mean, sqrt(10 ** ((b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - b2 * s3) + s2 * (b1 * s3 - b2 * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)))) AS sd FROM q)"""
+
+
+@query(f"""WITH {fx.EXPR}, {MOMENTS}, {LOESS}, {CLIPPED[CLIPPED.index("s AS (") :]},
+k AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY variance_norm DESC, gene) - 1 AS r FROM v),
+g AS (SELECT gene, quantile_cont(CASE WHEN r < 60 THEN r END, 0.5) AS rank, count(*) FILTER (WHERE r < 60) AS n_slices, avg(variance_norm) AS variance_norm FROM k GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY rank NULLS LAST, n_slices DESC, variance_norm DESC, gene) AS place FROM g)
+SELECT gene, CAST(rank AS DOUBLE) AS rank, n_slices, round(variance_norm, 5) AS variance_norm, place <= 60 AND rank IS NOT NULL AS highly_variable FROM o""")
 def hvg_seurat_v3(s, d):
-    return preprocess.hvg_counts(fx.expr(s, d), fx.cells(s, d), 60)
+    """A slice here has fewer features than the regression has anchors, so SQL can say it."""
+    return preprocess.hvg_counts(fx.expr(s, d), fx.cells(s, d), 60).withColumn("variance_norm", r("variance_norm", 5))
 
 
 @query(f"""WITH {fx.EXPR}, t AS (SELECT slice, obs_id, gene, value * 1e4 / sum(value) OVER (PARTITION BY slice, obs_id) AS value FROM expr), n AS (SELECT slice, CAST(count(*) AS DOUBLE) AS n FROM cells GROUP BY 1),
@@ -374,7 +388,7 @@ def _near(k: int, score: str, where: str = "a.obs_id <> b.obs_id") -> str:
 COS = "list_cosine_similarity(a.vec, b.vec)"
 
 
-@query(f"WITH {fx.EMB}, {_near(10, COS)} SELECT n.src, n.dst, CAST(1 AS DOUBLE) AS w FROM near n JOIN near m ON n.src = m.dst AND n.dst = m.src")
+@query(f"WITH {fx.EMB}, {_near(10, COS)}, b AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v FROM near GROUP BY 1, 2 HAVING count(*) = 2) SELECT unnest([u, v]) AS src, unnest([v, u]) AS dst, CAST(1 AS DOUBLE) AS w FROM b")
 def mutual_knn(s, d):
     return graphs.mutual_knn(fx.emb(s, d).select("obs_id", "vec"), 10)
 
@@ -618,6 +632,21 @@ def sharpen_winsor(s, d):
     return deconvolve.sharpen(_full(s, d), 5, 95, "winsor").select("obs_id", "cell_type", r("value").alias("value"))
 
 
+@query(f"""WITH {fx.PAIR}, c AS (SELECT cell_type, quantile_cont(p, 0.05) AS lo, quantile_cont(p, 0.95) AS hi FROM pair GROUP BY 1),
+x AS (SELECT obs_id, cell_type, CASE WHEN p >= lo AND p <= hi THEN p ELSE 0 END ** 2 AS sharp FROM pair JOIN c USING (cell_type)),
+o AS (SELECT DISTINCT obs_id, CAST(split_part(obs_id, '_', 2) AS BIGINT) AS bx, CAST(split_part(obs_id, '_', 3) AS BIGINT) AS by_ FROM x),
+e AS (SELECT a.obs_id AS src, b.obs_id AS dst FROM o a JOIN o b ON abs(a.bx - b.bx) + abs(a.by_ - b.by_) <= 1)
+SELECT src AS obs_id, n.cell_type, round(any_value(m.sharp), 6) AS sharp, round(avg(n.sharp), 6) AS smooth FROM e JOIN x n ON n.obs_id = dst JOIN x m ON m.obs_id = src AND m.cell_type = n.cell_type GROUP BY 1, 2""")
+def sharpened_and_smoothed(s, d):
+    """All types at once, smoothed over the bins that share a side."""
+    full = _full(s, d)
+    at = full.select("obs_id").distinct().select("obs_id", *(F.split("obs_id", "_")[i].cast("long").alias(c) for i, c in ((1, "bx"), (2, "by"))))
+    sides = F.explode(F.array(*(F.struct((F.col("bx") + i).alias("bx"), (F.col("by") + j).alias("by")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)))))
+    edges = at.select(F.col("obs_id").alias("src"), sides.alias("n")).select("src", "n.bx", "n.by").join(at.withColumnRenamed("obs_id", "dst"), ["bx", "by"]).select("src", "dst", F.lit(1.0).alias("w"))
+    both, _ = deconvolve.sharpen_and_smooth(full, edges, p_lo=5, p_hi=95)
+    return both.select("obs_id", "cell_type", r("sharp").alias("sharp"), r("smooth").alias("smooth"))
+
+
 @query(f"""WITH {fx.EXPR}, {fx.BINS}, {fx.TRUTH} SELECT obs_id, {", ".join(f"max(CASE WHEN cell_type = '{t}' THEN round(value, 6) END) AS {t}" for t in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))} FROM truth GROUP BY 1""")
 def pivot_composition(s, d):
     return deconvolve.pivoted(fx.truth(s, d).withColumn("value", r("value")), ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])

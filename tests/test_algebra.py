@@ -426,6 +426,19 @@ def test_registration_of_more_spots_than_cells(spark):
     assert len(out) == len(rows) and max(np.hypot(out[i][0] - out[10_000 + i][0], out[i][1] - out[10_000 + i][1]) for i in range(1500) if i % 10) < 1e-3
 
 
+def test_loess_does_not_depend_on_order_and_takes_ties():
+    rng = np.random.default_rng(21)
+    x = np.round(rng.random(90), 1)
+    y = 2 + x - 3 * x * x
+    for order in (np.arange(90), rng.permutation(90)):
+        assert np.allclose(preprocess.loess(x[order], y[order]), y[order], atol=1e-6)
+    y = rng.random(90)
+    fit, order = preprocess.loess(x, y), rng.permutation(90)
+    assert np.allclose(preprocess.loess(x[order], y[order]), fit[order], atol=1e-9)
+    x = np.sort(rng.random(1000))
+    assert np.allclose(preprocess.loess(x, np.sin(x), 0.2), np.sin(x), atol=1e-3)
+
+
 def test_imputer_gradient_by_differences():
     rng = np.random.default_rng(10)
     x, y = rng.random((4, 3, 5)), rng.random((4, 3))
