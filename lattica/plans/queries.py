@@ -388,6 +388,13 @@ def _near(k: int, score: str, where: str = "a.obs_id <> b.obs_id") -> str:
 COS = "list_cosine_similarity(a.vec, b.vec)"
 
 
+@query(f"WITH {fx.EMB}, {_near(10, COS)} SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM near")
+def knn_by_pivots(s, d):
+    """With blocks of 100 rows, so that pivots and bounds decide which of them a row meets."""
+    e = fx.emb(s, d).select("obs_id", "vec")
+    return graphs.knn(e, e, 10, exclude_self=True, block_rows=100).select("src", "dst", F.col("rank").cast("int").alias("rank"), r("score").alias("score"))
+
+
 @query(f"WITH {fx.EMB}, {_near(10, COS)}, b AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v FROM near GROUP BY 1, 2 HAVING count(*) = 2) SELECT unnest([u, v]) AS src, unnest([v, u]) AS dst, CAST(1 AS DOUBLE) AS w FROM b")
 def mutual_knn(s, d):
     return graphs.mutual_knn(fx.emb(s, d).select("obs_id", "vec"), 10)

@@ -20,11 +20,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it."""
+    """Write df into the shared folder and read it: lineage ends there. Spark drops the shuffle files of the plan when it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
