@@ -144,6 +144,24 @@ class Summary:
         return self.h[self.c + self.lowered >= least]
 
 
+def packed(part: np.ndarray, h: np.ndarray, c: np.ndarray, n: int) -> tuple[np.ndarray, int, dict]:
+    """Seven bytes for each of a task's counts: the upper 48 bits of a hash, and up to 255 of its count; a greater count comes
+    in several."""
+    times = -(-c // 255)
+    last = np.cumsum(times) - 1
+    of = np.repeat(np.arange(len(h)), times)
+    count = np.full(len(of), 255, np.uint8)
+    count[last] = c - 255 * (times - 1)
+    return part[of], n, {"h": np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[of, 2:], "c": count}
+
+
+def unpacked(data) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, 2:] = rows
+    return out.view(np.uint64).ravel()
+
+
 def passing(p: Pieces, k: int, seed: np.ndarray, sieves: dict) -> np.ndarray:
     """First words of the runs of k words whose parts all pass: single words, or pairs from 3 words on."""
     at = p.runs(k)
@@ -174,7 +192,7 @@ def search_round(docs: DataFrame, sizes: tuple[int, ...], sieves: dict, least: i
         def rows(h, c):
             part = to_parts(h, n)
             mass = np.bincount(part, c, n)
-            got = list(deal(part, n, {"h": h, "c": c.astype(np.uint32)}))
+            got = list(deal(*packed(part, h, c, n)))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([x["h"] for _, x in got], pa.binary()), pa.array([x["c"] for _, x in got], pa.binary()), pa.array([int(mass[p]) for p, _ in got], pa.int64())], names=["part", "h", "c", "mass"])
 
         for batch in batches:
@@ -212,8 +230,8 @@ def search_round(docs: DataFrame, sizes: tuple[int, ...], sieves: dict, least: i
             for part, h, c in zip(batch.column("part").to_pylist(), batch.column("h"), batch.column("c"), strict=True):
                 if part not in held:
                     held[part] = Summary(mass.value[part] // least + 1)
-                h = np.frombuffer(h.as_buffer(), np.uint64).copy()
-                waiting.setdefault(part, []).append((h, np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)))
+                h = unpacked(h.as_buffer())
+                waiting.setdefault(part, []).append((h, np.frombuffer(c.as_buffer(), np.uint8).astype(np.int64)))
                 sizes_[part] = sizes_.get(part, 0) + len(h)
                 if sizes_[part] > max(1 << 17, held[part].capacity):
                     settle(part)

@@ -87,6 +87,18 @@ def test_a_summary_loses_no_frequent_key_however_it_is_merged():
     assert all(count[h] - small.lowered <= c <= count[h] for h, c in zip(small.h.tolist(), small.c.tolist(), strict=True))
 
 
+def test_packed_counts_come_back_whole():
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64)) << np.uint64(1)
+    c = np.concatenate([rng.integers(1, 5, len(h) - 6), [254, 255, 256, 510, 511, 1_000_000]])
+    part = ph.to_parts(h, 7)
+    back = Counter()
+    for _, x in ph.deal(*ph.packed(part, h, c, 7)):
+        for k, v in zip(ph.unpacked(x["h"]).tolist(), np.frombuffer(x["c"], np.uint8).tolist(), strict=True):
+            back[k] += v
+    assert back == dict(zip((h >> np.uint64(16) << np.uint64(16)).tolist(), c.tolist(), strict=True))
+
+
 def test_words_of_one_hash_stay_apart(monkeypatch):
     raw = np.frombuffer(b"aa bb aa cc dd bb", np.uint8)
     p = ph.Pieces(raw, np.array([0, len(raw)]))
