@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import small
-from lattica.operators import nearest
+from lattica.operators import descent, nearest
 from lattica.operators.nearest import by_pivots
 from lattica.plans.tables import written
 
@@ -86,14 +86,25 @@ def knn(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine", exclu
     by pivots (see nearest.by_pivots), where bounds exclude most of what is far."""
     if metric not in ("cosine", "dot", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
-    fine = F.col("vec").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
-    lo, ro = (d.where(fine).select("obs_id", F.col("vec").cast("array<double>").alias("vec")) for d in (left, right))
+    lo, ro = _complete(left), _complete(right)
     n_left, n_right = lo.count(), ro.count()
     found = by_pivots(lo, ro, n_left, n_right, k, metric, exclude_self, block_rows) if n_right > block_rows else _one_block(lo, ro, n_left, k, metric, exclude_self, block_rows)
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "dst", "rank", "score")
 
 
+def _complete(rows: DataFrame) -> DataFrame:
+    """obs_id, vec array<double> of the rows whose vector is there and finite."""
+    fine = F.col("vec").isNotNull() & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
+    return rows.where(fine).select("obs_id", F.col("vec").cast("array<double>").alias("vec"))
+
+
+def knn_by_descent(rows: DataFrame, k: int, metric: str = "cosine", **options) -> DataFrame:
+    """(src, dst, rank, score): about the k nearest other rows of each row, for tables where exact search can't exclude
+    enough. metric: `cosine` or `euclidean`; options: see descent.descend. Ids are unique; scores are exact."""
+    return descent.descend(_complete(rows), k, metric, **options)
+
+
 def _one_block(lo: DataFrame, ro: DataFrame, n_left: int, k: int, metric: str, exclude_self: bool, block_rows: int) -> DataFrame:
     """(src, dst, score), a superset of the k best: each task holds all of right (block_rows rows at most)."""
     lb = max(1, math.ceil(n_left / block_rows), min(8, math.ceil(n_left / 256)))
@@ -127,9 +138,9 @@ def _one_block(lo: DataFrame, ro: DataFrame, n_left: int, k: int, metric: str, e
     return dealt.select("side", "obs_id", "vec").mapInArrow(run, f"src {left_type}, dst {id_type}, score double")
 
 
-def mutual_knn(emb: DataFrame, k: int = 20, metric: str = "cosine") -> DataFrame:
-    """(src, dst, w=1): pairs that are among each other's k nearest, self excluded by id."""
-    near = knn(emb, emb, k, metric, exclude_self=True).select("src", "dst")
+def mutual_knn(emb: DataFrame, k: int = 20, metric: str = "cosine", approximate: bool = False) -> DataFrame:
+    """(src, dst, w=1): pairs that are among each other's k nearest, self excluded by id; approximate: found by descent."""
+    near = (knn_by_descent(emb, k, metric) if approximate else knn(emb, emb, k, metric, exclude_self=True)).select("src", "dst")
     back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return near.join(back, ["src", "dst"], "left_semi").select("src", "dst", F.lit(1.0).alias("w"))
 
@@ -149,10 +160,11 @@ def coalesce_max(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
-def cosine_graph(factors: DataFrame, k: int = 20, symmetric: bool = True) -> DataFrame:
+def cosine_graph(factors: DataFrame, k: int = 20, symmetric: bool = True, approximate: bool = False) -> DataFrame:
     """(src, dst, w): the k most similar rows of factors (obs_id, vec) to each by cosine, without self loops; symmetric:
-    both directions with the larger weight. One row or none: no edges."""
-    e = knn(factors, factors, k, "cosine", exclude_self=True).select("src", "dst", F.col("score").alias("w")).where(~F.isnan("w"))
+    both directions with the larger weight. One row or none: no edges. approximate: found by descent."""
+    near = knn_by_descent(factors, k) if approximate else knn(factors, factors, k, "cosine", exclude_self=True)
+    e = near.select("src", "dst", F.col("score").alias("w")).where(~F.isnan("w"))
     return coalesce_max(_both(e)) if symmetric else e
 
 

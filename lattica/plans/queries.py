@@ -395,6 +395,20 @@ def knn_by_pivots(s, d):
     return graphs.knn(e, e, 10, exclude_self=True, block_rows=100).select("src", "dst", F.col("rank").cast("int").alias("rank"), r("score").alias("score"))
 
 
+@query(f"""WITH {fx.EMB}, {_near(10, COS)} SELECT src, count(*) AS n_links, round(sum(s), 6) AS nearest_total, TRUE AS recall_95 FROM near GROUP BY 1""")
+def knn_by_descent(s, d):
+    """Of each row the number of links found and the sum of its 10 best scores by exact search; and whether descent found
+    95 of 100 of all those links, with equal scores."""
+    e = fx.emb(s, d).select("obs_id", "vec")
+    found = tables.written(graphs.knn_by_descent(e, 10).select("src", "dst", "score"), "descent-links")
+    exact = graphs.knn(e, e, 10, exclude_self=True).select("src", "dst", F.col("score").alias("exact"))
+    both = exact.join(found, ["src", "dst"], "full")
+    hit = F.coalesce(F.abs(F.col("score") - F.col("exact")) < 1e-9, F.lit(False))
+    share = both.agg((F.sum(F.when(hit, 1).otherwise(0)) / F.count("exact")).alias("share")).select((F.col("share") >= 0.95).alias("recall_95"))
+    out = both.groupBy("src").agg(F.count("score").alias("n_links"), F.sum("exact").alias("t"))
+    return out.crossJoin(F.broadcast(share)).select("src", "n_links", r("t").alias("nearest_total"), "recall_95")  # one row
+
+
 @query(f"WITH {fx.EMB}, {_near(10, COS)}, b AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v FROM near GROUP BY 1, 2 HAVING count(*) = 2) SELECT unnest([u, v]) AS src, unnest([v, u]) AS dst, CAST(1 AS DOUBLE) AS w FROM b")
 def mutual_knn(s, d):
     return graphs.mutual_knn(fx.emb(s, d).select("obs_id", "vec"), 10)

@@ -232,6 +232,37 @@ def test_knn_by_pivots_against_brute_force(spark, metric):
         assert np.allclose([r.score for r in mine], want, atol=1e-7) and np.allclose([s[i, r.dst] for r in mine], want, atol=1e-7) and len({r.dst for r in mine}) == 6
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_knn_by_descent_recall(spark, metric):
+    """Clusters that no block holds whole, unclustered rows, and a hot vector."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([*(rng.standard_normal((300, 12)) + c for c in rng.standard_normal((4, 12)) * 4), rng.standard_normal((900, 12)), np.tile(rng.standard_normal(12), (200, 1))])
+    df = vec_table(spark, x).repartition(3)
+    got: dict = {}
+    for r in graphs.knn_by_descent(df, 8, metric).collect():
+        got.setdefault(r.src, {})[r.rank] = r
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T if metric == "cosine" else -np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    np.fill_diagonal(s, -np.inf)
+    hits = 0
+    for i in range(len(x)):
+        mine = [got[i][k] for k in range(1, 9)]
+        assert len({r.dst for r in mine}) == 8 and all(abs(r.score - s[i, r.dst]) < 1e-6 for r in mine)
+        hits += sum(r.score >= np.sort(s[i])[-8] - 1e-6 for r in mine)
+    assert hits >= 0.95 * 8 * len(x)
+
+
+def test_knn_by_descent_odd_input(spark):
+    """No row, one row, fewer than k others, nulls, and a metric that descent can't take."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [float("nan"), 1.0]), (5, [0.0, 1.0])], "obs_id long, vec array<double>")
+    assert graphs.knn_by_descent(df.where("obs_id = 9"), 3).count() == 0
+    assert graphs.knn_by_descent(df.where("obs_id = 1"), 3).count() == 0
+    assert {(r.src, r.rank, r.dst) for r in graphs.knn_by_descent(df, 3).collect()} == {(1, 1, 2), (1, 2, 5), (2, 1, 1), (2, 2, 5), (5, 1, 2), (5, 2, 1)}
+    assert {(r.src, r.dst) for r in graphs.mutual_knn(df, 1, approximate=True).collect()} == {(1, 2), (2, 1)}
+    with pytest.raises(ValueError, match="descent"):
+        graphs.knn_by_descent(df, 3, "dot")
+
+
 def test_knn_odd_input(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0])], "obs_id long, vec array<double>")
     got = sorted((r.src, r.dst) for r in graphs.knn(df, df, 5, exclude_self=True).collect())
