@@ -153,21 +153,66 @@ def fixed_signs(v: np.ndarray) -> np.ndarray:
     return v * np.where(s == 0, 1, s)
 
 
-def principal_components(rows: DataFrame, n: int, centered: bool = True, vec: str = "x", out: str = "vec") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(rows with `out`, loadings, explained variances). The G x G Gram matrix is added up in blocks; its eigenvectors are
-    found on the driver, so G is limited to a few thousand. Not centred: a truncated singular decomposition."""
+#: Vectors of more features than this have their components found without a G x G matrix.
+GRAM_FEATURES = 8192
+
+
+def leading(rows: DataFrame, vec: str, mean: np.ndarray, n: int, tol: float = 1e-9, most: int = 60, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The n greatest eigenvalues and their vectors (G x n) of (X - mean)^T (X - mean), by block Krylov spaces.
+
+    A pass over the rows applies the matrix to a block of n + 8 columns, random ones at first; the next block is what a pass
+    brings beyond all blocks before. Eigenpairs of the matrix on the space of all blocks are taken once their residuals are under tol
+    times the greatest value. The driver holds G x (n + 8) doubles twice for each pass; a task holds one block and its sum."""
+    g = len(mean)
+    n = min(n, g)
+    width = min(g, n + 8)
+    spark = rows.sparkSession
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((g, width)))[0]
+    basis, images = np.zeros((g, 0)), np.zeros((g, 0))
+    for _ in range(most):
+        held = spark.sparkContext.broadcast((q, mean))
+
+        def apply(batch, held=held):
+            block, center = held.value
+            x = column(batch, vec) - center
+            return (x.T @ (x @ block)).ravel()
+
+        z = summed(rows.select(vec), apply, q.size).reshape(q.shape)
+        held.unpersist()
+        basis, images = np.concatenate([basis, q], 1), np.concatenate([images, z], 1)
+        h = basis.T @ images
+        values, s = np.linalg.eigh((h + h.T) / 2)
+        values, s = values[::-1][:n], s[:, ::-1][:, :n]
+        gap = np.linalg.norm(images @ s - (basis @ s) * values, axis=0).max()
+        if gap <= tol * max(values[0], 0) or not values[0] > 0:
+            return values, basis @ s
+        size = np.linalg.norm(z, axis=0).max()
+        for _ in range(2):
+            z = z - basis @ (basis.T @ z)
+        u, d, _ = np.linalg.svd(z, full_matrices=False)
+        q = u[:, d > 1e-12 * size]
+        if not q.shape[1]:  # the space is closed: what it holds is exact
+            return values, basis @ s
+    raise ValueError(f"components did not settle in {most} passes: residual {gap:.3g}")
+
+
+def principal_components(rows: DataFrame, n: int, centered: bool = True, vec: str = "x", out: str = "vec", gram_features: int = GRAM_FEATURES) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(rows with `out`, loadings, explained variances). Up to gram_features features the G x G Gram matrix is added up in blocks and
+    its eigenvectors are found on the driver; of more features the n leading vectors are found in passes over the rows (`leading`),
+    equal to within rounding. Not centred: a truncated singular decomposition."""
     g = rows.select(F.size(vec)).first()
     if g is None:
         raise ValueError("there are no rows")
     g = g[0]
-    if g > 8192:
-        raise ValueError(f"{g} features are too many for a Gram matrix on the driver; select features first")
     m = rows.count()
     mean = summed(rows.select(vec), lambda b: column(b, vec).sum(0), g) / m if centered else np.zeros(g)
-    cov = gram(rows, vec, shape=(g, g)) - m * np.outer(mean, mean)
-    values, v = np.linalg.eigh((cov + cov.T) / 2)
     n = min(n, g)
-    load = fixed_signs(v[:, ::-1][:, :n])
+    if g > gram_features:
+        values, v = leading(rows, vec, mean, n)
+    else:
+        cov = gram(rows, vec, shape=(g, g)) - m * np.outer(mean, mean)
+        values, v = (x[..., ::-1][..., :n] for x in np.linalg.eigh((cov + cov.T) / 2))
+    load = fixed_signs(v)
     held = rows.sparkSession.sparkContext.broadcast((load, mean))
     names = [c for c in rows.columns if c != out]
 
@@ -177,4 +222,4 @@ def principal_components(rows: DataFrame, n: int, centered: bool = True, vec: st
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), vectors((column(batch, vec) - c) @ w if batch.num_rows else np.zeros((0, w.shape[1])))], names=[*names, out])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != out)
-    return rows.mapInArrow(project, f"{types}, {out} array<double>"), load, values[::-1][:n] / max(1, m - 1)
+    return rows.mapInArrow(project, f"{types}, {out} array<double>"), load, values / max(1, m - 1)

@@ -530,6 +530,30 @@ def joint_pca_moments(s, d):
     return s.createDataFrame(rows, "power int, moment double")
 
 
+@query(f"""WITH {fx.EXPR}, wide AS (SELECT gene, dense_rank() OVER (ORDER BY gene) - 1 AS i, obs_id, value FROM expr), g AS (SELECT DISTINCT i FROM wide)
+SELECT CAST(k AS INTEGER) AS component, CAST(i AS INTEGER) AS i, CAST(0 AS DOUBLE) AS residual, round((SELECT sum(value * value) FROM expr), 4) AS squares, TRUE AS ordered FROM range(5) c(k), g""")
+def wide_components(s, d):
+    """Truncated singular decomposition of all observations' counts without a G x G matrix: X^T (X v) - value v, relative to the greatest
+    value, from the long table by joins; the sum of squares; and whether values descend, the first is at least the greatest
+    squared length of a single feature, and loadings are orthonormal: residuals alone hold for any eigenvectors."""
+    e = fx.expr(s, d)
+    genes = genes_of(e)
+    rows = preprocess.dense_rows(e, genes)
+    _, load, variance = linalg.principal_components(rows.select("obs_id", "x"), 5, centered=False, out="pc", gram_features=0)
+    values = [float(v) * max(1, rows.count() - 1) for v in variance]
+    table = F.broadcast(s.createDataFrame([(k, i, float(v)) for i, row in enumerate(load) for k, v in enumerate(row)], "component int, i int, v double"))  # five for each feature
+    long = e.join(F.broadcast(genes), "gene").select("obs_id", F.col("gene_id").alias("i"), "value")
+    scores = long.join(table, "i").groupBy("obs_id", "component").agg(F.sum(F.col("value") * F.col("v")).alias("y"))
+    back = long.join(scores, "obs_id").groupBy("component", "i").agg(F.sum(F.col("value") * F.col("y")).alias("back"))
+    own = table.join(back, ["component", "i"]).withColumn("value", F.element_at(F.array(*(F.lit(v) for v in values)), F.col("component") + 1))
+    longest = long.groupBy("i").agg(F.sum(F.col("value") ** 2).alias("l")).agg(F.max("l")).first()[0]
+    squares = long.agg(F.sum(F.col("value") ** 2)).first()[0]
+    gap = max(abs(float(load[:, a] @ load[:, b]) - (a == b)) for a in range(5) for b in range(5))
+    ordered = values == sorted(values, reverse=True) and longest <= values[0] * (1 + 1e-9) and sum(values) <= squares * (1 + 1e-9) and gap < 1e-9
+    residual = F.round((F.col("back") - F.col("value") * F.col("v")) / F.lit(values[0]), 7) + F.lit(0.0)
+    return own.select("component", "i", residual.alias("residual"), F.round(F.lit(float(squares)), 4).alias("squares"), F.lit(ordered).alias("ordered"))
+
+
 def _study(s, d):
     """All slices over all genes that every slice has."""
     e = tables.written(preprocess.log1p(preprocess.normalize_total(fx.expr(s, d))), "study")

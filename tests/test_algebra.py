@@ -23,6 +23,24 @@ def test_gram_and_components(spark):
     assert np.allclose(load.T @ load, np.eye(3))
 
 
+@pytest.mark.parametrize("centered", [True, False])
+def test_components_of_wide_rows(spark, centered):
+    """More features than rows and a slowly falling spectrum, a table of rank 3, equal values, zeros: as a dense decomposition."""
+    rng = np.random.default_rng(5)
+    flat = rng.standard_normal((70, 400)) * np.linspace(1, 0.5, 400) + 2
+    low = rng.standard_normal((40, 3)) @ rng.standard_normal((3, 90))
+    twins = np.tile(np.linalg.qr(rng.standard_normal((30, 30)))[0], (2, 1))
+    for x, n in ((flat, 6), (low, 3), (low, 8), (twins, 4), (np.zeros((5, 20)), 2)):
+        df = vec_table(spark, x).repartition(3)
+        pc, load, variance = linalg.principal_components(df, n, centered, vec="vec", out="pc", gram_features=0)
+        u, s, vh = np.linalg.svd(x - x.mean(0) * centered, full_matrices=False)
+        assert np.allclose(variance, s[:n] ** 2 / (len(x) - 1), atol=1e-8 * max(1, s[0] ** 2)) and np.allclose(load.T @ load, np.eye(n))
+        got = np.array([r.pc for r in pc.orderBy("obs_id").collect()])
+        assert np.allclose((got**2).sum(0), s[:n] ** 2, atol=1e-8 * max(1, s[0] ** 2))
+        if x is flat:
+            assert np.allclose(np.abs(got), np.abs(u[:, :n] * s[:n]), atol=1e-6)
+
+
 def test_polar_factors_are_orthonormal_and_partition_free(spark):
     m = np.random.default_rng(1).standard_normal((40, 4))
     df = vec_table(spark, m, slice=["a"] * 40)
