@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from lattica.operators.graphs import cosine_graph, nearest_pseudo, row_normalize
 from lattica.operators.linalg import column, gram, solve_spd, vectors
 
+#: Edges of a feature graph at most (they go to every task, 24 bytes each).
+MAX_EDGES = 20_000_000
+
 
 def ridge_factors(s: DataFrame, x: DataFrame, lam: float = 1.0) -> np.ndarray:
     """B_u = ((S^T S + lam I)^-1 S^T X)^T. s: obs_id, vec (embedding); x: obs_id, x (dense rows of the unshared features)."""
@@ -52,6 +56,40 @@ def neighbor_tensor(neighbors: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return g.select("obs_id", F.flatten(F.col("n.x")).alias("f"))
 
 
+class SparseGraph:
+    """A row-normalised feature graph as edges in order of src, which goes to every task: some tens of edges for each feature."""
+
+    #: Doubles gathered at once.
+    ROOM = 1 << 22
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int):
+        order = np.lexsort((dst, src))
+        self.src, self.dst, self.w, self.n = src[order], dst[order], w[order], n
+
+    def __len__(self) -> int:
+        return self.n
+
+    @cached_property
+    def T(self) -> SparseGraph:
+        return SparseGraph(self.dst, self.src, self.w, self.n)
+
+    def times(self, h: np.ndarray) -> np.ndarray:
+        """The graph times h (features first): gathered and summed in runs of one src, as many edges at once as fit ROOM."""
+        flat = h.reshape(self.n, -1)
+        out = np.zeros(flat.shape)
+        step = max(1, self.ROOM // max(1, flat.shape[1]))
+        for a in range(0, len(self.src), step):
+            src = self.src[a : a + step]
+            heads = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+            out[src[heads]] += np.add.reduceat(flat[self.dst[a : a + step]] * self.w[a : a + step, None], heads, axis=0)
+        return out.reshape(h.shape)
+
+
+def mixed(adj: np.ndarray | SparseGraph, h: np.ndarray) -> np.ndarray:
+    """The feature graph times h: features, spots, values."""
+    return adj.times(h) if isinstance(adj, SparseGraph) else np.einsum("ij,jbk->ibk", adj, h, optimize=True)
+
+
 class GraphImputer:
     """Layers that mix each (spot, feature) vector of k neighbour values with those of neighbouring features and
     spots, then a small network to one value. Forward and backward passes over a block of spots."""
@@ -69,7 +107,7 @@ class GraphImputer:
         for n, (a, b) in (("1", (k, 2 * hidden)), ("2", (2 * hidden, hidden)), ("3", (hidden, 1))):
             self.p |= {f"m{n}": uniform(a, b), f"b{n}": rng.uniform(-1, 1, b) / np.sqrt(a)}
 
-    def forward(self, x: np.ndarray, adj: np.ndarray, spatial: np.ndarray | None = None, keep: list | None = None, dropout: tuple[float, np.random.Generator] | None = None) -> np.ndarray:
+    def forward(self, x: np.ndarray, adj: np.ndarray | SparseGraph, spatial: np.ndarray | None = None, keep: list | None = None, dropout: tuple[float, np.random.Generator] | None = None) -> np.ndarray:
         """x: spots x k x G; adj: row-normalised feature graph, G x G; spatial: the neighbouring spots' mean of x (for one
         layer). Returns spots x G; keep collects what backward needs. dropout: the share of a layer's inputs that is left
         out (the rest is scaled up), in training only."""
@@ -77,7 +115,7 @@ class GraphImputer:
         ns = np.zeros_like(h) if spatial is None else spatial.transpose(2, 0, 1)
         p = self.p
         for i in range(self.layers):
-            ng = np.einsum("ij,jbk->ibk", adj, h, optimize=True)
+            ng = mixed(adj, h)
             cat = np.concatenate([h, ng, ns], axis=2)
             mask = None if dropout is None else (dropout[1].random(cat.shape) >= dropout[0]) / (1 - dropout[0])
             cat = cat if mask is None else cat * mask
@@ -97,7 +135,7 @@ class GraphImputer:
             keep.append((h, a1, h1, a2, h2))
         return (h2 @ p["m3"] + p["b3"])[..., 0].T
 
-    def gradient(self, x: np.ndarray, adj: np.ndarray, y: np.ndarray, shared: np.ndarray, weight: float, spatial: np.ndarray | None = None, dropout: tuple[float, np.random.Generator] | None = None) -> tuple[float, dict]:
+    def gradient(self, x: np.ndarray, adj: np.ndarray | SparseGraph, y: np.ndarray, shared: np.ndarray, weight: float, spatial: np.ndarray | None = None, dropout: tuple[float, np.random.Generator] | None = None) -> tuple[float, dict]:
         keep: list = []
         out = self.forward(x, adj, spatial, keep, dropout)
         loss, d_shared = shared_loss(out[:, shared], y, weight)
@@ -127,7 +165,7 @@ class GraphImputer:
             back = dz @ p[f"w{i}"].T
             back = back if mask is None else back * mask
             k = self.k
-            d = d + back[..., :k] + np.einsum("ji,jbk->ibk", adj, back[..., k : 2 * k], optimize=True)
+            d = d + back[..., :k] + mixed(adj.T, back[..., k : 2 * k])
         return loss, g
 
 
@@ -164,7 +202,31 @@ def dense_adjacency(edges: DataFrame, g: int) -> np.ndarray:
     return adj
 
 
-def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray, shared: list[int], k: int, epochs: int = 50, lr: float = 1e-3, decay: float = 1e-2, layers: int = 1, hidden: int = 128, sim_weight: float = 0.5, batch_rows: int = 64, spatial: DataFrame | None = None, seed: int = 0, mini_batches: int = 1, dropout: float = 0.0) -> tuple[GraphImputer, list[float]]:
+def feature_adjacency(edges: DataFrame, g: int, dense_features: int = 1024) -> np.ndarray | SparseGraph:
+    """The row-normalised graph (src, dst, w; by position) of g features: as a matrix up to dense_features of them, else as edges.
+    Both give equal results. It passes the driver: k edges or so for each feature, and MAX_EDGES at most."""
+    if g <= dense_features:
+        return dense_adjacency(edges, g)
+    t = row_normalize(edges).select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("w").cast("double")).limit(MAX_EDGES + 1).toArrow()
+    if t.num_rows > MAX_EDGES:
+        raise ValueError(f"a feature graph of more than {MAX_EDGES} edges")
+    return SparseGraph(*(t.column(c).to_numpy() for c in ("src", "dst", "w")), g)
+
+
+def feature_means(rows: DataFrame, adj: np.ndarray | SparseGraph) -> DataFrame:
+    """(obs_id, x): each row's mean over neighbouring features. rows: obs_id, x array<double>."""
+    held = rows.sparkSession.sparkContext.broadcast(adj)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = mixed(held.value, np.ascontiguousarray(column(batch, "x").T)[..., None])
+                yield pa.RecordBatch.from_arrays([batch.column("obs_id"), vectors(x[..., 0].T)], names=["obs_id", "x"])
+
+    return rows.select("obs_id", "x").mapInArrow(run, f"obs_id {rows.schema['obs_id'].dataType.simpleString()}, x array<double>")
+
+
+def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray | SparseGraph, shared: list[int], k: int, epochs: int = 50, lr: float = 1e-3, decay: float = 1e-2, layers: int = 1, hidden: int = 128, sim_weight: float = 0.5, batch_rows: int = 64, spatial: DataFrame | None = None, seed: int = 0, mini_batches: int = 1, dropout: float = 0.0) -> tuple[GraphImputer, list[float]]:
     """Train on the shared features. tensor: obs_id, f (k x G); truth: obs_id, y (dense over shared); spatial: obs_id, s.
     Returns the model and the mean loss of each epoch.
 
@@ -228,7 +290,7 @@ def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray, shared: li
     return model, [sum(x for x, _ in m) / sum(n for _, n in m) for m in means if m]
 
 
-def predict_imputer(tensor: DataFrame, model: GraphImputer, adj: np.ndarray, genes: list[str], spatial: DataFrame | None = None, batch_rows: int = 128) -> DataFrame:
+def predict_imputer(tensor: DataFrame, model: GraphImputer, adj: np.ndarray | SparseGraph, genes: list[str], spatial: DataFrame | None = None, batch_rows: int = 128) -> DataFrame:
     """(obs_id, gene, value) for all features."""
     held = tensor.sparkSession.sparkContext.broadcast((model, adj))
     rows = tensor.join(spatial, "obs_id") if spatial is not None else tensor

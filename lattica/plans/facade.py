@@ -168,7 +168,7 @@ class Study:
         edges, near, self.unshared_factors = impute.imputation_graph(st, ps, self.factors.b, full.select("obs_id", "x"), lam, knn_k, k_gnn)
         self.impute_genes, self.n_shared, self.k_gnn = [*shared, *names], len(shared), k_gnn
         self.neighbors = written(near, "neighbors")
-        self.adjacency = impute.dense_adjacency(edges, len(self.impute_genes))
+        self.adjacency = impute.feature_adjacency(edges, len(self.impute_genes))
         self.tensor = written(impute.neighbor_tensor(self.neighbors, full.select("obs_id", F.concat("shared", "x").alias("x")), k_gnn), "tensor")
         self.spatial = written(impute.spatial_mean(self.tensor, graphs.radius_graph(self.st.obs, radius)), "spatial") if radius is not None else None
         return self

@@ -886,6 +886,26 @@ def blend_with_knn_mean(s, d):
     return impute.blend(model, impute.knn_mean(near, e, 10), 0.9).withColumn("value", r("value"))
 
 
+@query(f"""WITH {fx.EXPR}, v AS (SELECT gene, label, sum(value) AS s FROM expr JOIN cells USING (slice, obs_id) GROUP BY 1, 2),
+emb AS MATERIALIZED (SELECT gene AS obs_id, list(coalesce(s, 0) ORDER BY label) AS vec FROM (SELECT DISTINCT gene FROM expr) CROSS JOIN (SELECT DISTINCT label FROM cells) LEFT JOIN v USING (gene, label) GROUP BY 1), {_near(5, COS)},
+sym AS (SELECT src, dst, max(s) AS w FROM (SELECT src, dst, s FROM near UNION ALL SELECT dst, src, s FROM near) GROUP BY 1, 2),
+n AS MATERIALIZED (SELECT src, dst, w / (sum(w) OVER (PARTITION BY src) + 1e-12) AS w FROM sym)
+SELECT expr.obs_id, n.src AS gene, round(sum(n.w * value), 6) AS value FROM expr JOIN n ON expr.gene = n.dst GROUP BY 1, 2""")
+def feature_neighbor_means(s, d):
+    """Each observation's counts averaged over neighbouring features, the graph held as edges; features are near by their totals by label."""
+    e = fx.expr(s, d)
+    genes = genes_of(e)
+    names = [x.gene for x in genes.orderBy("gene_id").collect()]  # the vocabulary of features
+    totals = e.join(fx.cells(s, d).select("slice", "obs_id", "label"), ["slice", "obs_id"]).groupBy("gene", "label").agg(F.sum("value").alias("v"))
+    labels = fx.cells(s, d).select("label").distinct()
+    factors = genes.crossJoin(F.broadcast(labels)).join(totals, ["gene", "label"], "left").groupBy(F.col("gene_id").alias("obs_id"))  # a few labels
+    factors = factors.agg(F.array_sort(F.collect_list(F.struct("label", F.coalesce("v", F.lit(0.0)).cast("double").alias("v")))).alias("a")).select("obs_id", F.col("a.v").alias("vec"))
+    adj = impute.feature_adjacency(graphs.cosine_graph(factors, 5), len(names), dense_features=0)
+    out = impute.feature_means(preprocess.dense_rows(e, genes).select("obs_id", "x"), adj)
+    named = F.explode(F.arrays_zip(F.array(*(F.lit(x) for x in names)).alias("gene"), F.col("x").alias("value")))
+    return out.select("obs_id", named.alias("z")).where("z.value <> 0").select("obs_id", "z.gene", r("z.value").alias("value"))
+
+
 @query()
 def graph_imputer(s, d):
     """Features are all components of the embeddings; their graph is that of their ridge factors on joint principal components."""

@@ -522,6 +522,41 @@ def test_imputer_gradient_with_dropout():
         assert abs((loss[0] - loss[1]) / (2 * h) - g[name][at]) < 1e-5, name
 
 
+def test_sparse_feature_graph_equals_dense(monkeypatch):
+    """Products, and a model's loss and gradient, also where runs of one feature are cut and features have no edges."""
+    rng = np.random.default_rng(12)
+    adj = rng.random((9, 9)) * (rng.random((9, 9)) < 0.5)
+    adj[4], adj[:, 7] = 0, 0
+    src, dst = np.nonzero(adj)
+    graph = impute.SparseGraph(src, dst, adj[src, dst], 9)
+    x, y = rng.standard_normal((5, 3, 9)), rng.standard_normal((5, 4))
+    model = impute.GraphImputer(3, layers=2, hidden=4)
+    want = model.gradient(x, adj, y, np.arange(4), 0.5)
+    for room in (1, 40, 1 << 22):
+        monkeypatch.setattr(impute.SparseGraph, "ROOM", room)
+        h = x.transpose(2, 0, 1)
+        assert np.allclose(impute.mixed(graph, h), np.einsum("ij,jbk->ibk", adj, h))
+        assert np.allclose(impute.mixed(graph.T, h), np.einsum("ji,jbk->ibk", adj, h))
+        loss, g = model.gradient(x, graph, y, np.arange(4), 0.5)
+        assert np.isclose(loss, want[0]) and all(np.allclose(g[n], want[1][n]) for n in g)
+    assert not impute.SparseGraph(src[:0], dst[:0], adj[0, :0], 9).times(x.transpose(2, 0, 1)).any()
+
+
+def test_imputer_with_many_features(spark):
+    """30,000 features, whose dense graph would take 7 GB."""
+    rng = np.random.default_rng(13)
+    n = 30_000
+    ids = F.col("id")
+    edges = spark.range(n).select(ids.alias("src"), F.explode(F.array((ids + 1) % n, (ids * 7 + 3) % n)).alias("dst"), F.lit(1.0).alias("w")).where("src <> dst")
+    graph = impute.feature_adjacency(edges, n)
+    tensor = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((4, 2 * n)).tolist())], "obs_id long, f array<double>")
+    truth = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((4, 50)).tolist())], "obs_id long, y array<double>")
+    model, losses = impute.fit_imputer(tensor, truth, graph, list(range(50)), 2, epochs=3, hidden=4)
+    assert len(losses) == 3 and losses[2] < losses[0]
+    out = impute.predict_imputer(tensor, model, graph, [f"g{i}" for i in range(n)])
+    assert out.count() == 4 * n
+
+
 def test_imputer_learns(spark):
     rng = np.random.default_rng(11)
     base = rng.random((64, 6))
