@@ -3,7 +3,7 @@
 A graph starts from the best within small random blocks of rows, dealt twice. In each round every node introduces its neighbours, and
 a sample of the nodes that have it as a neighbour, to each other; pairs of two links that were introduced before are
 left out. Each row keeps the best it has met. Rounds end when few links change. A round's work is bounded for each
-node, whatever the data, and the number of rounds grows with the logarithm of the number of rows; where exact search can
+node, whatever the data, and rounds are few (MAX_ROUNDS at most); where exact search can
 exclude little (unclustered vectors of many dimensions) it would be rows times rows."""
 
 from __future__ import annotations
