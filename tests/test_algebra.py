@@ -3,7 +3,7 @@ import pytest
 from one_task_leiden import leiden
 from pyspark.sql import functions as F
 
-from lattica.operators import cluster, communities, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, preprocess, register, row_solve
+from lattica.operators import cluster, communities, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, nearest, preprocess, register, row_solve
 from lattica.plans import tables
 
 
@@ -618,3 +618,23 @@ def test_imputation_workflow(spark):
     out = s.predict_imputation(alpha=0.9)
     assert out.count() == s.st.obs.count() * len(s.impute_genes) and len(s.impute_genes) == s.n_shared + 3
     s.release()
+
+
+def test_pivot_search_ships_a_row_once_a_shelf_and_scores_in_pieces(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 16))
+    x[300:] = x[:300]  # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obs_id long, vec array<double>")
+    asked, deal = [], Classic.repartitionById
+    monkeypatch.setattr(Classic, "repartitionById", lambda self, *a: (asked.append(self.where("side = 1").count()), deal(self, *a))[1])
+    got = {(r.src, r["rank"]): r.dst for r in graphs.knn(rows, rows, 5, "euclidean", exclude_self=True, block_rows=10).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, n + 1): int(j) for i in range(600) for n, j in enumerate(np.lexsort((np.arange(600), d[i].round(9)))[:5])}
+    assert asked[0] == 600 and asked[1] <= 600
+    assert nearest.together(65_536) * 65_536 <= 1 << 21
+    s = rng.integers(0, 40, (7, 1000)).astype(float)
+    i, j = nearest.best(s, 6, np.full(7, -np.inf))
+    assert [sorted(j[i == a]) for a in range(7)] == [sorted(np.argsort(-s[a], kind="stable")[:6]) for a in range(7)]
