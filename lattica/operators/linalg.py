@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.tables import discard, written
+
 BLOCK = 1 << 16
 
 
@@ -167,6 +169,7 @@ def leading(rows: DataFrame, vec: str, mean: np.ndarray, n: int, tol: float = 1e
     n = min(n, g)
     width = min(g, n + 8)
     spark = rows.sparkSession
+    rows = written(rows.select(vec), "krylov-rows")  # read in each pass
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((g, width)))[0]
     basis, images = np.zeros((g, 0)), np.zeros((g, 0))
     for _ in range(most):
@@ -177,7 +180,7 @@ def leading(rows: DataFrame, vec: str, mean: np.ndarray, n: int, tol: float = 1e
             x = column(batch, vec) - center
             return (x.T @ (x @ block)).ravel()
 
-        z = summed(rows.select(vec), apply, q.size).reshape(q.shape)
+        z = summed(rows, apply, q.size).reshape(q.shape)
         held.unpersist()
         basis, images = np.concatenate([basis, q], 1), np.concatenate([images, z], 1)
         h = basis.T @ images
@@ -185,6 +188,7 @@ def leading(rows: DataFrame, vec: str, mean: np.ndarray, n: int, tol: float = 1e
         values, s = values[::-1][:n], s[:, ::-1][:, :n]
         gap = np.linalg.norm(images @ s - (basis @ s) * values, axis=0).max()
         if gap <= tol * max(values[0], 0) or not values[0] > 0:
+            discard(rows)
             return values, basis @ s
         size = np.linalg.norm(z, axis=0).max()
         for _ in range(2):
@@ -192,6 +196,7 @@ def leading(rows: DataFrame, vec: str, mean: np.ndarray, n: int, tol: float = 1e
         u, d, _ = np.linalg.svd(z, full_matrices=False)
         q = u[:, d > 1e-12 * size]
         if not q.shape[1]:  # the space is closed: what it holds is exact
+            discard(rows)
             return values, basis @ s
     raise ValueError(f"components did not settle in {most} passes: residual {gap:.3g}")
 

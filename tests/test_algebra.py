@@ -638,3 +638,17 @@ def test_pivot_search_ships_a_row_once_a_shelf_and_scores_in_pieces(spark, monke
     s = rng.integers(0, 40, (7, 1000)).astype(float)
     i, j = nearest.best(s, 6, np.full(7, -np.inf))
     assert [sorted(j[i == a]) for a in range(7)] == [sorted(np.argsort(-s[a], kind="stable")[:6]) for a in range(7)]
+
+
+def test_leading_vectors_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    x = np.random.default_rng(3).standard_normal((200, 40))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").mapInArrow(count, "x array<double>")
+    values, _ = linalg.leading(rows, "x", np.zeros(40), 3)
+    assert np.allclose(values, np.linalg.eigvalsh(x.T @ x)[::-1][:3]) and made.value == 200
