@@ -652,3 +652,22 @@ def test_leading_vectors_make_their_rows_once(spark):
     rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").mapInArrow(count, "x array<double>")
     values, _ = linalg.leading(rows, "x", np.zeros(40), 3)
     assert np.allclose(values, np.linalg.eigvalsh(x.T @ x)[::-1][:3]) and made.value == 200
+
+
+def test_radius_laplacian_and_adjacency_shuffle_no_edges(spark):
+    rng = np.random.default_rng(8)
+    p = spark.createDataFrame([(f"s{i % 3}", i, *map(float, rng.integers(0, 30, 2))) for i in range(300)], "slice string, obs_id long, x double, y double").selectExpr("*", "x AS px", "y AS py")
+
+    def rows(df):
+        return sorted((r.src, r.dst, round(r.w, 9)) for r in df.collect())
+
+    twice = p.union(p.where("obs_id < 40"))  # ids that repeat
+    for points in (p, twice):
+        lap = graphs.laplacian(graphs.radius_graph(points, 6.0))
+        assert rows(graphs.radius_laplacian(points, 6.0)) == rows(lap)
+        assert rows(graphs.radius_laplacian(points, 6.0, normalized=True)) == rows(graphs.normalize_laplacian(lap))
+        assert rows(graphs.radius_adjacency(points, 6.0)) == rows(graphs.row_normalize(graphs.radius_graph(points, 6.0)))
+        assert rows(graphs.radius_laplacian(points, 6.0, 3.0)) == rows(graphs.laplacian(graphs.spatial_graph(points, 6.0, 3.0)))
+    for df in (graphs.radius_laplacian(p, 6.0, 3.0), graphs.radius_laplacian(p, 6.0, normalized=True), graphs.radius_adjacency(p, 6.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" not in plan and "Window" not in plan and plan.count("Join") <= 7
