@@ -671,3 +671,16 @@ def test_radius_laplacian_and_adjacency_shuffle_no_edges(spark):
     for df in (graphs.radius_laplacian(p, 6.0, 3.0), graphs.radius_laplacian(p, 6.0, normalized=True), graphs.radius_adjacency(p, 6.0)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" not in plan and "Window" not in plan and plan.count("Join") <= 7
+
+
+def test_radius_products_equal_those_over_edges(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "PIECE", 64)
+    rng = np.random.default_rng(9)
+    p = spark.createDataFrame([(f"s{i % 3}", i, *map(float, rng.integers(-20, 60, 2))) for i in range(300)], "slice string, obs_id long, x double, y double")
+    twice = p.union(p.where("obs_id < 40"))  # ids that repeat
+    v = p.selectExpr("obs_id", "explode(array('a', 'b', concat('g', cast(obs_id % 7 AS string)))) AS key", "cast(obs_id % 5 AS double) AS value").where("obs_id % 4 > 0")
+    cells = lambda df: sorted((r.obs_id, r.key, round(r.value, 9)) for r in df.collect())
+    for points in (p, twice):
+        assert cells(graphs.radius_multiply(points, 6.0, v)) == cells(graphs.multiply(graphs.radius_graph(points, 6.0), v))
+        t = v.where("key = 'a'")
+        assert cells(graphs.radius_smooth(points, 6.0, t)) == cells(graphs.smooth(graphs.radius_graph(points, 6.0), t))
