@@ -684,3 +684,27 @@ def test_radius_products_equal_those_over_edges(spark, monkeypatch):
         assert cells(graphs.radius_multiply(points, 6.0, v)) == cells(graphs.multiply(graphs.radius_graph(points, 6.0), v))
         t = v.where("key = 'a'")
         assert cells(graphs.radius_smooth(points, 6.0, t)) == cells(graphs.smooth(graphs.radius_graph(points, 6.0), t))
+
+
+def test_row_graph_takes_neighbours_together():
+    """Most entries of a graph of points in the plane lie in dense pieces; products equal those of the whole matrix."""
+    rng = np.random.default_rng(3)
+    at = rng.uniform(0, 12, (900, 2))
+    near = ((at[:, None] - at[None]) ** 2).sum(2) <= 1
+    np.fill_diagonal(near, False)
+    near[5] = near[:, 5] = False
+    for w in (1.0, 0.3, 300.0):
+        lap = np.diag(near.sum(1) * w) - near * w
+        src, dst = np.nonzero(lap)
+        mix = rng.permutation(len(src))
+        graph = row_solve.RowGraph(900, src[mix], dst[mix], lap[src, dst][mix])
+        y = rng.standard_normal((4, 900))
+        np.testing.assert_allclose(graph.times(y), y @ lap, atol=1e-9 * w)
+        assert sum(np.count_nonzero(d) for _, _, d in graph.pieces) > 0.9 * near.sum()
+        assert (graph.pieces[0][2].dtype == np.int8) == (w == 1.0)
+    src, dst = rng.integers(0, 4000, (2, 8000))  # nothing near: entries stay
+    graph = row_solve.RowGraph(4000, src, dst, np.ones(8000))
+    want = np.zeros((2, 4000))
+    y = rng.standard_normal((2, 4000))
+    np.add.at(want.T, src, y.T[dst])
+    np.testing.assert_allclose(graph.times(y), want, atol=1e-9)
