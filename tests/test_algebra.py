@@ -708,3 +708,29 @@ def test_row_graph_takes_neighbours_together():
     y = rng.standard_normal((2, 4000))
     np.add.at(want.T, src, y.T[dst])
     np.testing.assert_allclose(graph.times(y), want, atol=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_search_in_single_precision_is_exact(monkeypatch, metric):
+    """The k best equal those of all scores in double precision, where single precision can't tell rows apart too; only then are
+    all scores found."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((3000, 16))
+    close = base[:1] + 1e-9 * rng.standard_normal((300, 16))
+    full, calls = nearest.scores, []
+    monkeypatch.setattr(nearest, "scores", lambda *a: calls.append(1) or full(*a))
+    for rows in (base, np.concatenate([base, close]), base + 1e5, np.concatenate([base, np.zeros((5, 16))]), base[:7], base * 1e25):
+        rows = nearest.scaled(rows, metric)
+        ids = np.arange(len(rows))
+        q = rows[:40]
+        table = nearest.Table(rows, metric, 1)
+        calls.clear()
+        i, j, s = table.nearest(q, 5, np.full(len(q), -np.inf), lambda i, j: ids[i] != ids[j])
+        assert bool(calls) == (np.abs(rows).max() > 1e20)
+        want = -np.sqrt(((q[:, None] - rows[None]) ** 2).sum(2)) if metric == "euclidean" else np.einsum("ik,jk->ij", q, rows)
+        want[ids[: len(q), None] == ids[None]] = -np.inf
+        top = -np.sort(-want, axis=1)[:, :5]
+        atol = (1e-6 if calls else 1e-9) * max(1.0, np.abs(top).max())
+        assert (np.bincount(i) == 5).all()
+        np.testing.assert_allclose(s.reshape(-1, 5), top, rtol=0, atol=atol)
+        np.testing.assert_allclose(want[i, j], s, rtol=0, atol=atol)
