@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import small
+from lattica.operators.linalg import vectors
 
 ROW = ("slice", "obs_id")
+#: Values of dense rows made at once.
+DENSE_VALUES = 1 << 20
 
 
 def filter_cells(expr: DataFrame, min_counts: float = 1.0) -> DataFrame:
@@ -200,8 +203,23 @@ def dense_rows(expr: DataFrame, genes: DataFrame) -> DataFrame:
     """(slice, obs_id, x array<double>): one dense row for each observation over the features of genes (gene_id, gene);
     repeated cells are added up."""
     g = genes.count()
-    own = expr.join(small(genes), "gene").groupBy(*ROW, "gene_id").agg(F.sum("value").alias("value")).groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m"))
-    return own.select(*ROW, F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("x"))
+    cells = expr.join(small(genes), "gene").groupBy(*ROW, "gene_id").agg(F.sum("value").cast("double").alias("value"))
+    own = cells.groupBy(*ROW).agg(F.collect_list(F.struct(F.col("gene_id").cast("int").alias("gene_id"), F.coalesce("value", F.lit(0.0)).alias("value"))).alias("c")).select(*ROW, "c.gene_id", "c.value")
+
+    def run(batches):
+        step = max(1, DENSE_VALUES // max(1, g))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                ids, values = part.column("gene_id"), part.column("value")
+                x = np.zeros((part.num_rows, g))
+                at = ids.flatten().to_numpy()
+                on = (at >= 0) & (at < g)
+                x[np.repeat(np.arange(part.num_rows), ids.value_lengths().to_numpy())[on], at[on]] = values.flatten().to_numpy()[on]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ROW), vectors(x)], names=[*ROW, "x"])
+
+    kinds = ", ".join(f"{c} {expr.schema[c].dataType.simpleString()}" for c in ROW)
+    return own.mapInArrow(run, f"{kinds}, x array<double>")
 
 
 def row_offsets(rows: DataFrame) -> DataFrame:
