@@ -734,3 +734,30 @@ def test_search_in_single_precision_is_exact(monkeypatch, metric):
         assert (np.bincount(i) == 5).all()
         np.testing.assert_allclose(s.reshape(-1, 5), top, rtol=0, atol=atol)
         np.testing.assert_allclose(want[i, j], s, rtol=0, atol=atol)
+
+
+def test_dense_rows_are_filled_in_arrays(spark):
+    """Equal to a dense table, repeated cells added up, null as 0; no map is searched for each feature."""
+    cells = [("a", 1, "g0", 2.0), ("a", 1, "g2", 1.5), ("a", 1, "g0", 1.0), ("b", 2, "g1", None), ("b", 3, "g1", -1.0), ("b", 4, "other", 1.0)]
+    genes = spark.createDataFrame([(0, "g0"), (1, "g1"), (2, "g2")], "gene_id int, gene string")
+    out = preprocess.dense_rows(spark.createDataFrame(cells, "slice string, obs_id long, gene string, value double"), genes)
+    assert {tuple(r)[:2]: r.x for r in out.collect()} == {("a", 1): [3.0, 0.0, 1.5], ("b", 2): [0.0, 0.0, 0.0], ("b", 3): [0.0, -1.0, 0.0]}
+    assert "map_from_entries" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reference_graph_carries_degrees(spark, monkeypatch):
+    """Equal to the Laplacian of all edges, which is made only where pairs could be of both kinds."""
+    rng = np.random.default_rng(8)
+    n = 60
+    emb = spark.createDataFrame([(i, rng.standard_normal(4).tolist(), "st" if i % 2 else "ps") for i in range(n)], "obs_id long, vec array<double>, domain string").cache()
+    rows = lambda df: {(r.src, r.dst): round(r.w, 9) for r in df.collect()}
+    full, calls = graphs.laplacian, []
+    monkeypatch.setattr(graphs, "laplacian", lambda e: calls.append(1) or full(e))
+    for step, general in ((2, False), (1, True)):
+        points = spark.createDataFrame([("st", i, float(i * 7 % 10), float(i * 3 % 11)) for i in range(1, n, step)], "slice string, obs_id long, x double, y double").cache()
+        dom = {r.obs_id: r.domain for r in emb.collect()}
+        mutual = [(r.src, r.dst, r.w) for r in graphs.mutual_knn(emb, 5).collect() if dom[r.src] != "st" or dom[r.dst] != "st"]
+        both = graphs.radius_graph(points, 2.5).unionAll(spark.createDataFrame(mutual, "src long, dst long, w double"))
+        want = rows(graphs.normalize_laplacian(full(both)))
+        calls.clear()
+        assert rows(graphs.reference_graph(points, emb, 2.5, 5)) == want and bool(calls) == general
