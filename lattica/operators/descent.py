@@ -31,7 +31,7 @@ def _top(links: DataFrame, k: int) -> DataFrame:
 
 def _start(rows: DataFrame, n: int, k: int, metric: str, seed: Column, kind: str) -> DataFrame:
     blocks = max(1, n // max(START_ROWS, 2 * k))
-    parts = min(blocks, 1 << 14)
+    parts = min(blocks, 1 << 14, max(4 * rows.sparkSession.sparkContext.defaultParallelism, n >> 15))  # a task has many blocks
     block = F.pmod(F.xxhash64("obs_id", seed), F.lit(blocks)).cast("int")
     dealt = rows.select("obs_id", "vec", block.alias("block")).repartitionById(parts, F.pmod("block", F.lit(parts))).sortWithinPartitions("block", "obs_id")
 
