@@ -73,10 +73,13 @@ class SparseGraph:
     def T(self) -> SparseGraph:
         return SparseGraph(self.dst, self.src, self.w, self.n)
 
+    def single(self) -> SparseGraph:
+        return SparseGraph(self.src, self.dst, self.w.astype(np.float32), self.n)
+
     def times(self, h: np.ndarray) -> np.ndarray:
         """The graph times h (features first): gathered and summed in runs of one src, as many edges at once as fit ROOM."""
         flat = h.reshape(self.n, -1)
-        out = np.zeros(flat.shape)
+        out = np.zeros(flat.shape, np.result_type(flat, self.w))
         step = max(1, self.ROOM // max(1, flat.shape[1]))
         for a in range(0, len(self.src), step):
             src = self.src[a : a + step]
@@ -107,6 +110,12 @@ class GraphImputer:
         for n, (a, b) in (("1", (k, 2 * hidden)), ("2", (2 * hidden, hidden)), ("3", (hidden, 1))):
             self.p |= {f"m{n}": uniform(a, b), f"b{n}": rng.uniform(-1, 1, b) / np.sqrt(a)}
 
+    def single(self) -> GraphImputer:
+        """The same in single precision."""
+        own = object.__new__(GraphImputer)
+        own.k, own.layers, own.p = self.k, self.layers, {n: v.astype(np.float32) for n, v in self.p.items()}
+        return own
+
     def forward(self, x: np.ndarray, adj: np.ndarray | SparseGraph, spatial: np.ndarray | None = None, keep: list | None = None, dropout: tuple[float, np.random.Generator] | None = None) -> np.ndarray:
         """x: spots x k x G; adj: row-normalised feature graph, G x G; spatial: the neighbouring spots' mean of x (for one
         layer). Returns spots x G; keep collects what backward needs. dropout: the share of a layer's inputs that is left
@@ -117,7 +126,7 @@ class GraphImputer:
         for i in range(self.layers):
             ng = mixed(adj, h)
             cat = np.concatenate([h, ng, ns], axis=2)
-            mask = None if dropout is None else (dropout[1].random(cat.shape) >= dropout[0]) / (1 - dropout[0])
+            mask = None if dropout is None else ((dropout[1].random(cat.shape) >= dropout[0]) / (1 - dropout[0])).astype(cat.dtype)
             cat = cat if mask is None else cat * mask
             z = cat @ p[f"w{i}"]
             r = h + np.maximum(z, 0)
@@ -230,8 +239,8 @@ def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray | SparseGra
     """Train on the shared features. tensor: obs_id, f (k x G); truth: obs_id, y (dense over shared); spatial: obs_id, s.
     Returns the model and the mean loss of each epoch.
 
-    Data-parallel: in each step every task adds up the gradients of its blocks of batch_rows spots, the driver averages
-    them over blocks and takes an AdamW step. An epoch deals the spots anew, by a hash, into mini_batches steps.
+    Data-parallel: in each step every task finds the gradients of its blocks of batch_rows spots in single precision and adds
+    them up in double; the driver averages them over blocks and takes an AdamW step in double. An epoch deals the spots anew, by a hash, into mini_batches steps.
     Neighbouring spots enter through their mean, joined beforehand, which serves one layer and takes whole epochs."""
     if spatial is not None and mini_batches != 1:
         raise ValueError("a graph of spots takes whole epochs")
@@ -249,7 +258,7 @@ def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray | SparseGra
     size = sum(int(np.prod(s)) for s in shapes.values())
     g = len(adj)
     index = np.array(shared)
-    held = tensor.sparkSession.sparkContext.broadcast(adj)
+    held = tensor.sparkSession.sparkContext.broadcast(adj.single() if isinstance(adj, SparseGraph) else adj.astype(np.float32))
     m, v, losses = np.zeros(size), np.zeros(size), []
 
     def flat(d):
@@ -259,12 +268,12 @@ def fit_imputer(tensor: DataFrame, truth: DataFrame, adj: np.ndarray | SparseGra
         epoch, turn = divmod(step - 1, mini_batches)
         part = rows if mini_batches == 1 else rows.where(F.pmod(F.xxhash64("obs_id", F.lit(seed), F.lit(epoch)), F.lit(mini_batches)) == turn)
 
-        def kernel(batch, model=model, step=step):
+        def kernel(batch, model=model.single(), step=step):
             total = np.zeros(size + 2)
             for a in range(0, batch.num_rows, batch_rows):
                 own = batch.slice(a, batch_rows)
-                x = column(own, "f").reshape(own.num_rows, k, g)
-                s = column(own, "s").reshape(own.num_rows, k, g) if "s" in own.schema.names else None
+                x = column(own, "f").reshape(own.num_rows, k, g).astype(np.float32)
+                s = column(own, "s").reshape(own.num_rows, k, g).astype(np.float32) if "s" in own.schema.names else None
                 drop = (dropout, np.random.default_rng([seed, step, zlib.crc32(str(own.column("obs_id")[0]).encode())])) if dropout else None
                 loss, d = model.gradient(x, held.value, column(own, "y"), index, sim_weight, s, drop)
                 total += np.concatenate([flat(d), [loss, 1.0]])

@@ -761,3 +761,18 @@ def test_reference_graph_carries_degrees(spark, monkeypatch):
         want = rows(graphs.normalize_laplacian(full(both)))
         calls.clear()
         assert rows(graphs.reference_graph(points, emb, 2.5, 5)) == want and bool(calls) == general
+
+
+def test_imputer_trains_in_single_precision():
+    """No step of the gradient falls back to double precision, and it is that of double precision to 4 digits."""
+    rng = np.random.default_rng(6)
+    net, x, y = impute.GraphImputer(3, 2, 8), rng.standard_normal((10, 3, 6)), rng.standard_normal((10, 4))
+    adj = rng.random((6, 6)) * (rng.random((6, 6)) < 0.5)
+    src, dst = np.nonzero(adj)
+    sparse = impute.SparseGraph(src, dst, adj[src, dst], 6)
+    loss, g = net.gradient(x, adj, y, np.arange(4), 0.5)
+    for graph in (adj.astype(np.float32), sparse.single()):
+        few, own = net.single().gradient(x.astype(np.float32), graph, y, np.arange(4), 0.5)
+        assert abs(few - loss) < 1e-4 * abs(loss) and all(v.dtype == np.float32 for v in own.values())
+        for n, v in own.items():
+            np.testing.assert_allclose(v, g[n], rtol=0, atol=1e-4 * max(1e-3, np.abs(g[n]).max()))
