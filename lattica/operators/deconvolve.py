@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from lattica.operators.linalg import column, vectors
 
 #: Rows of the pseudo-spot table that a boosting task may hold.
 MAX_TRAINING_ROWS = 200_000
+#: Numbers of neighbours' vectors, or of their compositions, that are held at once.
+ROOM = 1 << 18
 
 
 def wide_rows(comp: DataFrame, types: list[str]) -> DataFrame:
@@ -26,22 +29,17 @@ def long_rows(rows: DataFrame, types: list[str]) -> DataFrame:
     return rows.select("obs_id", named.alias("z")).select("obs_id", F.col("z.cell_type").alias("cell_type"), F.col("z.value").alias("value"))
 
 
-def deconvolve_lle(st: DataFrame, ps: DataFrame, comp: DataFrame, k: int = 30, reg: float = 1e-3) -> DataFrame:
-    """Mixing weights that rebuild each spot's embedding from its k nearest pseudo-spots (cosine), applied to their
-    compositions. st, ps: obs_id, vec; comp: of the pseudo-spots. The neighbours' rows are joined, not broadcast."""
-    types = [r[0] for r in comp.select("cell_type").distinct().orderBy("cell_type").collect()]
-    n = knn(st, ps, k, "cosine").select("src", "dst", "rank")
-    right = ps.select(F.col("obs_id").alias("dst"), F.col("vec").cast("array<double>").alias("v")).join(wide_rows(comp, types).select(F.col("obs_id").alias("dst"), "y"), "dst")
-    near = n.join(right, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "v", "y"))).alias("near"))
-    rows = near.join(st.select(F.col("obs_id").alias("src"), F.col("vec").cast("array<double>").alias("x")), "src")
-    rows = rows.select(F.col("src").alias("obs_id"), "x", F.flatten(F.col("near.v")).alias("v"), F.flatten(F.col("near.y")).alias("y"), F.size("near").alias("k"))
-    n_types = len(types)
-
-    def solve(batches):
-        for batch in batches:
-            counts = batch.column("k").to_numpy()
+def mixed(batches, n_types: int, reg: float):
+    """Compositions (obs_id, y) of rows obs_id, x, and the vectors v and compositions y of their k neighbours. A few rows are solved at
+    once, as many as ROOM numbers make, whatever the length of a batch."""
+    for batch in batches:
+        widest = max([1, *(pc.max(pc.list_value_length(batch.column(c))).as_py() or 1 for c in ("v", "y"))])
+        step = max(1, ROOM // widest)
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            counts = part.column("k").to_numpy()
             for m in np.unique(counts).tolist():
-                own = batch.filter(pa.array(counts == m))
+                own = part.filter(pa.array(counts == m))
                 x = column(own, "x")
                 z = column(own, "v").reshape(len(x), m, -1) - x[:, None, :]
                 y = column(own, "y").reshape(len(x), m, n_types)
@@ -55,8 +53,19 @@ def deconvolve_lle(st: DataFrame, ps: DataFrame, comp: DataFrame, k: int = 30, r
                 out /= out.sum(1, keepdims=True) + 1e-8
                 yield pa.RecordBatch.from_arrays([own.column("obs_id"), vectors(out)], names=["obs_id", "y"])
 
+
+def deconvolve_lle(st: DataFrame, ps: DataFrame, comp: DataFrame, k: int = 30, reg: float = 1e-3) -> DataFrame:
+    """Mixing weights that rebuild each spot's embedding from its k nearest pseudo-spots (cosine), applied to their
+    compositions. st, ps: obs_id, vec; comp: of the pseudo-spots. The neighbours' rows are joined, not broadcast."""
+    types = [r[0] for r in comp.select("cell_type").distinct().orderBy("cell_type").collect()]
+    n = knn(st, ps, k, "cosine").select("src", "dst", "rank")
+    right = ps.select(F.col("obs_id").alias("dst"), F.col("vec").cast("array<double>").alias("v")).join(wide_rows(comp, types).select(F.col("obs_id").alias("dst"), "y"), "dst")
+    near = n.join(right, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "v", "y"))).alias("near"))
+    rows = near.join(st.select(F.col("obs_id").alias("src"), F.col("vec").cast("array<double>").alias("x")), "src")
+    rows = rows.select(F.col("src").alias("obs_id"), "x", F.flatten(F.col("near.v")).alias("v"), F.flatten(F.col("near.y")).alias("y"), F.size("near").alias("k"))
+    n_types = len(types)
     kind = st.schema["obs_id"].dataType.simpleString()
-    return long_rows(rows.mapInArrow(solve, f"obs_id {kind}, y array<double>"), types)
+    return long_rows(rows.mapInArrow(lambda batches: mixed(batches, n_types, reg), f"obs_id {kind}, y array<double>"), types)
 
 
 def clr_transform(comp: DataFrame, eps: float = 1e-4) -> DataFrame:

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from one_task_leiden import leiden
 from pyspark.sql import functions as F
@@ -776,3 +779,25 @@ def test_imputer_trains_in_single_precision():
         assert abs(few - loss) < 1e-4 * abs(loss) and all(v.dtype == np.float32 for v in own.values())
         for n, v in own.items():
             np.testing.assert_allclose(v, g[n], rtol=0, atol=1e-4 * max(1e-3, np.abs(g[n]).max()))
+
+
+def test_local_weights_hold_a_few_rows_at_once():
+    """A batch of 10,000 rows takes no more memory than its first rows, and its result is that of the rows one by one."""
+    rng = np.random.default_rng(3)
+    n, k, d, types = 10_000, 10, 64, 4
+    counts = np.where(np.arange(n) % 7, k, k - 3)
+    lists = lambda x: pa.array([v.ravel() for v in x], pa.list_(pa.float64()))
+    x, v, y = rng.standard_normal((n, d)), [rng.standard_normal((m, d)) for m in counts], [rng.random((m, types)) for m in counts]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists(x), lists(v), lists(y), pa.array(counts)], names=["obs_id", "x", "v", "y", "k"])
+    got = {}
+    tracemalloc.start()
+    for out in deconvolve.mixed([batch], types, 1e-3):
+        got |= dict(zip(out.column("obs_id").to_pylist(), out.column("y").to_pylist(), strict=True))
+        if len(got) < 500:
+            first = tracemalloc.get_traced_memory()[1]
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n and held < first + 16e6  # the results themselves are 4 MB
+    for i in (0, 1, 7, n - 1):
+        alone = next(deconvolve.mixed([batch.slice(i, 1)], types, 1e-3)).column("y")[0].as_py()
+        assert np.allclose(got[i], alone, rtol=0, atol=1e-12)
