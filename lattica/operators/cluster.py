@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from lattica.plans.tables import written
 
 #: Rows that seed the mixture.
 SEED_ROWS = 5_000
+#: Rows whose weights are found at once.
+TOGETHER = 1024
 
 
 def _seeded_means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -83,6 +86,25 @@ def cluster_graph(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, s
     return communities(edges.select("slice", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("w").cast("double").alias("w")), nodes.select("slice", F.col("obs_id").cast("long").alias("obs_id")), resolution, seed)
 
 
+def fuzzy_weights(d: np.ndarray, n_neighbors: int) -> np.ndarray:
+    """exp(-(d - nearest) / scale) of rows of distances, where each row's scale is searched by halving."""
+    rho = np.where(d > 0, d, np.inf).min(1)
+    over = np.maximum(d - np.where(np.isfinite(rho), rho, 0.0)[:, None], 0)
+    goal = np.log2(max(2, n_neighbors))
+    lo, hi, sigma = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+    left = np.arange(len(d))
+    for _ in range(64):
+        total = np.exp(-over[left] / sigma[left, None]).sum(1)
+        on = np.abs(total - goal) >= 1e-5
+        left, high = left[on], total[on] > goal
+        if not len(left):
+            break
+        hi[left[high]], lo[left[~high]] = sigma[left[high]], sigma[left[~high]]
+        sigma[left] = np.where(np.isinf(hi[left]), sigma[left] * 2, (lo[left] + hi[left]) / 2)
+    sigma = np.maximum(sigma, 1e-3 * np.maximum(d.mean(1), 1e-12))
+    return np.exp(-over / sigma[:, None])
+
+
 def neighbor_graph(emb: DataFrame, n_neighbors: int = 10) -> DataFrame:
     """(src, dst, w): k-nearest-neighbour graph with fuzzy weights exp(-(d - nearest) / scale), the scale chosen so that a
     node's weights add up to log2(k), united by a + b - a b. Both directions."""
@@ -91,29 +113,17 @@ def neighbor_graph(emb: DataFrame, n_neighbors: int = 10) -> DataFrame:
 
     def weigh(batches):
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for src, n in zip(batch.column("src").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                d = np.array([x["d"] for x in n])
-                positive = d[d > 0]
-                rho = positive.min() if len(positive) else 0.0
-                lo, hi, goal = 0.0, np.inf, np.log2(max(2, n_neighbors))
-                sigma = 1.0
-                for _ in range(64):
-                    total = np.exp(-np.maximum(d - rho, 0) / sigma).sum()
-                    if abs(total - goal) < 1e-5:
-                        break
-                    if total > goal:
-                        hi = sigma
-                        sigma = (lo + hi) / 2
-                    else:
-                        lo = sigma
-                        sigma = sigma * 2 if hi == np.inf else (lo + hi) / 2
-                sigma = max(sigma, 1e-3 * max(d.mean(), 1e-12))
-                w = np.exp(-np.maximum(d - rho, 0) / sigma)
-                out[0].extend([src] * len(n))
-                out[1].extend(x["dst"] for x in n)
-                out[2].extend(w.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["src", "dst", "w"])
+            near = batch.column("n")
+            counts, flat = pc.list_value_length(near).to_numpy(), near.flatten()
+            far, to = flat.field("d").to_numpy(), flat.field("dst")
+            first = np.cumsum(counts) - counts
+            for k in np.unique(counts).tolist():
+                rows = np.flatnonzero(counts == k)
+                for at in range(0, len(rows), TOGETHER):
+                    own = rows[at : at + TOGETHER]
+                    places = first[own][:, None] + np.arange(k)
+                    w = fuzzy_weights(far[places], n_neighbors)
+                    yield pa.RecordBatch.from_arrays([batch.column("src").take(pa.array(np.repeat(own, k))), to.take(pa.array(places.ravel())), pa.array(w.ravel())], names=["src", "dst", "w"])
 
     one = lists.select(F.col("src").cast("long").alias("src"), F.transform("n", lambda x: F.struct(x["d"].alias("d"), x["dst"].cast("long").alias("dst"))).alias("n")).mapInArrow(weigh, "src long, dst long, w double")
     both = one.select("src", "dst", "w").unionAll(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))

@@ -23,44 +23,45 @@ ENOUGH = 0.2
 
 
 class Graph:
-    """edges: u, v, w (long), both directions, without loops; nodes: u, d (long, loops included); scale: slice, m2, the sum of
-    all degrees. Nodes are structs (slice, obs_id)."""
+    """Nodes are the ids of a slice, whose number is sl. edges: sl, u, v, w (long), d (long), both directions, without loops; d is
+    u's degree, loops included; scale: sl, slice, m2, the sum of all degrees."""
 
-    def __init__(self, edges: DataFrame, nodes: DataFrame, scale: DataFrame, resolution: float, seed: int):
-        self.edges, self.nodes, self.scale, self.resolution, self.seed = edges, nodes, scale, resolution, seed
+    def __init__(self, edges: DataFrame, scale: DataFrame, resolution: float, seed: int):
+        self.edges, self.scale, self.resolution, self.seed = edges, scale, resolution, seed
 
     def gain(self, k: Column, d: Column, total: Column) -> Column:
         return k.cast("double") - F.lit(self.resolution) * d.cast("double") * total.cast("double") / F.greatest(F.col("m2"), F.lit(1)).cast("double")
 
     def with_scale(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.scale), F.col("u.slice") == F.col("slice")).drop("slice")  # a row a slice
+        return df.join(F.broadcast(self.scale), "sl")  # a row a slice
 
     def drawn(self, salt: int) -> Column:
-        return F.pmod(F.xxhash64("u", F.lit(self.seed * 1_000_003 + salt)), F.lit(2)) == 0
+        return F.pmod(F.xxhash64("slice", "u", F.lit(self.seed * 1_000_003 + salt)), F.lit(2)) == 0
 
 
 def best_moves(g: Graph, labels: DataFrame) -> DataFrame:
-    """(u, to): nodes whose best community isn't theirs. labels: u, d, c."""
-    totals = labels.groupBy("c").agg(F.sum("d").alias("total"))
-    around = g.edges.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("k"))
-    own = labels.select("u", F.col("c"), F.lit(0).cast("long").alias("k"))
-    sums = around.union(own).groupBy("u", "c").agg(F.sum("k").alias("k"))
-    known = g.with_scale(sums.join(totals, "c").join(labels.select("u", "d", F.col("c").alias("own")), "u"))
-    stays = F.col("c") == F.col("own")
-    gain = g.gain(F.col("k"), F.col("d"), F.col("total") - F.when(stays, F.col("d")).otherwise(0))
-    ranked = known.groupBy("u").agg(F.min(F.struct((-gain).alias("loss"), (~stays).alias("other"), F.col("c").alias("to"))).alias("best"), F.max(F.when(stays, gain)).alias("now"))
+    """(sl, u, to): nodes whose best community isn't theirs. labels: sl, u, d, c. Edges are shuffled twice: to the label of one end,
+    which brings its community's total, and to the other end, where all of a node is added up and compared."""
+    totals = labels.groupBy("c", "sl").agg(F.sum("d").alias("total"))
+    known = labels.join(totals, ["c", "sl"])
+    around = g.edges.join(known.select(F.col("u").alias("v"), "sl", "c", "total"), ["v", "sl"]).select("u", "sl", "c", F.col("w").alias("k"), "d", "total", F.lit(False).alias("own"))
+    own = known.select("u", "sl", "c", F.lit(0).cast("long").alias("k"), "d", "total", F.lit(True).alias("own"))
+    sums = around.union(own).repartition("u", "sl").groupBy("u", "sl", "c").agg(F.sum("k").alias("k"), F.max("d").alias("d"), F.max("total").alias("total"), F.max("own").alias("own"))
+    gain = g.gain(F.col("k"), F.col("d"), F.col("total") - F.when(F.col("own"), F.col("d")).otherwise(0))
+    scored = g.with_scale(sums).select("u", "sl", "c", "own", gain.alias("gain"))
+    ranked = scored.groupBy("u", "sl").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (~F.col("own")).alias("other"), F.col("c").alias("to"))).alias("best"), F.max(F.when(F.col("own"), F.col("gain"))).alias("now"))
     # a gain of a billionth of the weights is none
-    return ranked.where(F.col("best.other") & (-F.col("best.loss") > F.col("now") + 1e-9 * F.abs("now") + 1e-9)).select("u", "best.to")
+    return ranked.where(F.col("best.other") & (-F.col("best.loss") > F.col("now") + 1e-9 * F.abs("now") + 1e-9)).select("sl", "u", "best.to")
 
 
 def move(g: Graph, labels: DataFrame, salt: int, left: float = 0.0) -> DataFrame:
-    """Labels (u, d, c) after local moving; it ends when at most the share `left` of the nodes would gain."""
+    """Labels (sl, u, d, c) after local moving; it ends when at most the share `left` of the nodes would gain."""
     for i in range(MOVES):
-        wanted = labels.join(best_moves(g, labels), "u", "left").withColumn("go", F.col("to").isNotNull() & g.drawn(salt + i))
-        new = written(wanted.select("u", "d", F.when(F.col("go"), F.col("to")).otherwise(F.col("c")).alias("c"), F.col("to").isNotNull().alias("wants")), "community-labels")
+        wanted = g.with_scale(labels.join(best_moves(g, labels), ["u", "sl"], "left")).withColumn("go", F.col("to").isNotNull() & g.drawn(salt + i))
+        new = written(wanted.select("sl", "u", "d", F.when(F.col("go"), F.col("to")).otherwise(F.col("c")).alias("c"), F.col("to").isNotNull().alias("wants")), "community-labels")
         n, wants = new.agg(F.count("*"), F.count_if("wants")).first()
         discard(labels)
-        labels = of_file(new, "u", "d", "c")
+        labels = of_file(new, "sl", "u", "d", "c")
         if wants <= left * n:
             break
     return labels
@@ -74,75 +75,86 @@ def of_file(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def refine(g: Graph, labels: DataFrame, salt: int) -> DataFrame:
-    """(u, d, c, s): s is the part of its community that a node belongs to; parts are connected."""
-    inside = written(g.edges.join(labels.select("u", F.col("c").alias("cu")), "u").join(labels.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v", "w"), "community-inside")
-    parts = written(labels.select("u", "d", "c", F.col("u").alias("s")), "community-parts")
+    """(sl, u, d, c, s): s is the part of its community that a node belongs to; parts are connected."""
+    at = lambda node, c: labels.select("sl", F.col("u").alias(node), F.col("c").alias(c))
+    inside = written(g.edges.join(at("v", "cv"), ["v", "sl"]).join(at("u", "cu"), ["u", "sl"]).where("cu = cv").select("sl", "u", "v", "w"), "community-inside")
+    parts = written(labels.select("sl", "u", "d", "c", F.col("u").alias("s")), "community-parts")
     for i in range(MERGES):
-        sizes = parts.groupBy("s").agg(F.sum("d").alias("total"), F.count("*").alias("n"))
-        state = parts.join(sizes, "s").withColumn("goes", (F.col("n") == 1) & g.drawn(salt + i))
-        movers = state.where("goes").select("u", "d")
-        rest = state.where(~F.col("goes")).select(F.col("u").alias("v"), "s", "total")
-        around = inside.join(movers, "u").join(rest, "v").groupBy("u", "s").agg(F.sum("w").alias("k"), F.first("d").alias("d"), F.first("total").alias("total"))
-        scored = g.with_scale(around).withColumn("gain", g.gain(F.col("k"), F.col("d"), F.col("total"))).where("gain > 0")
-        joins = scored.groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "s")).alias("best")).select("u", F.col("best.s").alias("to"))
-        new = written(parts.join(joins, "u", "left").select("u", "d", "c", F.coalesce("to", "s").alias("s"), F.col("to").isNotNull().alias("moved")), "community-parts")
+        sizes = parts.groupBy("s", "sl").agg(F.sum("d").alias("total"), F.count("*").alias("n"))
+        state = g.with_scale(parts.join(sizes, ["s", "sl"])).withColumn("goes", (F.col("n") == 1) & g.drawn(salt + i))
+        movers = state.where("goes").select("u", "sl", "d", "m2")
+        rest = state.where(~F.col("goes")).select(F.col("u").alias("v"), "sl", "s", "total")
+        # joined on u last, the sums stay where they are
+        around = inside.join(rest, ["v", "sl"]).join(movers, ["u", "sl"]).groupBy("u", "sl", "s").agg(F.sum("w").alias("k"), *(F.max(c).alias(c) for c in ("d", "total", "m2")))
+        scored = around.withColumn("gain", g.gain(F.col("k"), F.col("d"), F.col("total"))).where("gain > 0")
+        joins = scored.groupBy("u", "sl").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "s")).alias("best")).select("u", "sl", F.col("best.s").alias("to"))
+        new = written(parts.join(joins, ["u", "sl"], "left").select("sl", "u", "d", "c", F.coalesce("to", "s").alias("s"), F.col("to").isNotNull().alias("moved")), "community-parts")
         n, moved = new.agg(F.count("*"), F.count_if("moved")).first()
         discard(parts)
-        parts = of_file(new, "u", "d", "c", "s")
+        parts = of_file(new, "sl", "u", "d", "c", "s")
         if i % 2 and moved <= n // 50:
             break
     discard(inside)
     return parts
 
 
+def _numbered(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges sl, u, v, w with loops; nodes sl, u, d; scale sl, slice, m2) of edges slice, src, dst, w and nodes slice, obs_id."""
+    slices = written(nodes.select("slice").distinct().select("slice", F.row_number().over(Window.orderBy("slice")).alias("sl")), "community-slices")  # a row a slice
+    of = lambda df: df.join(F.broadcast(slices.withColumnRenamed("slice", "name")), F.col("slice").eqNullSafe(F.col("name")))
+    every = written(of(edges).select("sl", F.col("src").alias("u"), F.col("dst").alias("v"), F.round(F.col("w") * UNIT).cast("long").alias("w")).groupBy("u", "sl", "v").agg(F.sum("w").alias("w")).where("w > 0"), "community-edges")
+    degree = every.groupBy("u", "sl").agg(F.sum("w").alias("d"))
+    base = written(of(nodes).select("sl", F.col("obs_id").alias("u")).distinct().join(degree, ["u", "sl"], "left").select("sl", "u", F.coalesce("d", F.lit(0)).alias("d")), "community-nodes")
+    scale = written(base.groupBy("sl").agg(F.sum("d").alias("m2")).join(F.broadcast(slices), "sl").select("sl", "slice", "m2"), "community-scale")
+    return every, base, scale
+
+
+def _with_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return written(edges.where("u <> v").join(nodes.select("u", "sl", "d"), ["u", "sl"]).select("sl", "u", "v", "w", "d"), "community-edges")
+
+
 def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
     """(slice, obs_id, cluster): communities of each slice's graph, 0.. by falling size. edges: slice, src, dst, w >= 0, in both
-    directions; nodes: slice, obs_id. A node without edges is a community of its own; edges of unknown nodes are an error of
+    directions; nodes: slice, obs_id (not null). A node without edges is a community of its own; edges of unknown nodes are an error of
     the caller. Loops count as weight of their node."""
-    name = lambda c: F.struct(F.col("slice").alias("slice"), F.col(c).alias("obs_id"))
-    every = written(edges.select(name("src").alias("u"), name("dst").alias("v"), F.round(F.col("w") * UNIT).cast("long").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")).where("w > 0"), "community-edges")
-    degree = every.groupBy("u").agg(F.sum("w").alias("d"))
-    base = written(nodes.select(name("obs_id").alias("u")).distinct().join(degree, "u", "left").select("u", F.coalesce("d", F.lit(0)).alias("d")), "community-nodes")
-    scale = written(base.groupBy("u.slice").agg(F.sum("d").alias("m2")), "community-scale")
-    whole = Graph(written(every.where("u <> v"), "community-edges"), base, scale, resolution, seed)
+    every, base, scale = _numbered(edges, nodes)
+    whole = Graph(_with_degrees(every, base), scale, resolution, seed)
     discard(every)
-    member = written(base.select(F.col("u").alias("node"), "u"), "community-members")
-    labels = written(base.select("u", "d", F.col("u").alias("c")), "community-labels")
+    member = written(base.select("sl", F.col("u").alias("node"), "u"), "community-members")
+    labels = written(base.select("sl", "u", "d", F.col("u").alias("c")), "community-labels")
     g = whole
     for level in range(LEVELS):
         labels = move(g, labels, 1000 * level, ENOUGH)
-        n, k = labels.agg(F.count("*"), F.count_distinct("c")).first()
+        n, k = labels.agg(F.count("*"), F.count_distinct("sl", "c")).first()
         if n == k:
             break
         parts = refine(g, labels, 1000 * level + 500)
-        fewer = parts.select("s").distinct().count()
+        fewer = parts.select("sl", "s").distinct().count()
         # where no part has two nodes, the communities become nodes
-        up = written(parts.select("u", "c", F.col("s" if fewer < n else "c").alias("s"), "d"), "community-parts")
-        lower = up.select("u", "s")
-        e = g.edges.withColumnsRenamed({"u": "a", "v": "b"}).join(lower.withColumnsRenamed({"u": "a", "s": "u"}), "a").join(lower.withColumnsRenamed({"u": "b", "s": "v"}), "b")
-        above = Graph(written(e.where("u <> v").groupBy("u", "v").agg(F.sum("w").alias("w")), "community-edges"), base, scale, resolution, seed)
-        grown = written(member.join(lower, "u").select("node", F.col("s").alias("u")), "community-members")
-        first = up.groupBy("s").agg(F.sum("d").alias("d"), F.first("c").alias("c"))
-        new = written(first.select(F.col("s").alias("u"), "d", "c"), "community-labels")
+        up = written(parts.select("sl", "u", "c", F.col("s" if fewer < n else "c").alias("s"), "d"), "community-parts")
+        first = up.groupBy("s", "sl").agg(F.sum("d").alias("d"), F.first("c").alias("c"))
+        new = written(first.select("sl", F.col("s").alias("u"), "d", "c"), "community-labels")
+        to = lambda node, s, up=up: up.select("sl", F.col("u").alias(node), F.col("s").alias(s))
+        e = g.edges.join(to("v", "b"), ["v", "sl"]).join(to("u", "a"), ["u", "sl"]).where("a <> b").groupBy("a", "sl", "b").agg(F.sum("w").alias("w"))
+        above = Graph(_with_degrees(e.select("sl", F.col("a").alias("u"), F.col("b").alias("v"), "w"), new), scale, resolution, seed)
+        grown = written(member.join(to("u", "s"), ["u", "sl"]).select("sl", "node", F.col("s").alias("u")), "community-members")
         if g is not whole:
             discard(g.edges)
         discard(member, labels, parts, up)
         g, member, labels = above, grown, new
-    found = written(member.join(labels.select("u", "c"), "u").select(F.col("node").alias("u"), "c").join(base, "u").select("u", "d", "c"), "community-labels")
-    found = move(whole, found, 1000 * LEVELS)
-    sizes = found.groupBy("c").agg(F.count("*").alias("n"), F.min("u.obs_id").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("c.slice").orderBy(F.desc("n"), "first")) - 1
-    return found.join(sizes.select("c", rank.cast("int").alias("cluster")), "c").select("u.slice", "u.obs_id", "cluster")
+    found = member.join(labels.select("sl", "u", "c"), ["u", "sl"]).select("sl", F.col("node").alias("u"), "c")
+    found = move(whole, written(found.join(base, ["u", "sl"]).select("sl", "u", "d", "c"), "community-labels"), 1000 * LEVELS)
+    sizes = found.groupBy("c", "sl").agg(F.count("*").alias("n"), F.min("u").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("sl").orderBy(F.desc("n"), "first")) - 1
+    return whole.with_scale(found.join(sizes.select("c", "sl", rank.cast("int").alias("cluster")), ["c", "sl"])).select("slice", F.col("u").alias("obs_id"), "cluster")
 
 
 def improving_moves(edges: DataFrame, found: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(slice, obs_id): nodes of a partition (slice, obs_id, cluster) that would gain by moving to a neighbour's community."""
-    name = lambda c: F.struct(F.col("slice").alias("slice"), F.col(c).alias("obs_id"))
-    every = edges.select(name("src").alias("u"), name("dst").alias("v"), F.round(F.col("w") * UNIT).cast("long").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")).where("w > 0")
-    degree = every.groupBy("u").agg(F.sum("w").alias("d"))
-    labels = found.select(name("obs_id").alias("u"), F.struct("slice", "cluster").alias("c")).join(degree, "u", "left").select("u", F.coalesce("d", F.lit(0)).alias("d"), "c")
-    scale = labels.groupBy("u.slice").agg(F.sum("d").alias("m2"))
-    return best_moves(Graph(every.where("u <> v"), labels, scale, resolution, 0), labels).select("u.slice", "u.obs_id")
+    every, base, scale = _numbered(edges, found.select("slice", "obs_id"))
+    own = found.join(F.broadcast(scale.select("sl", F.col("slice").alias("name"))), F.col("slice").eqNullSafe(F.col("name"))).select("sl", F.col("obs_id").alias("u"), F.col("cluster").cast("long").alias("c"))
+    g = Graph(_with_degrees(every, base), scale, resolution, 0)
+    return g.with_scale(best_moves(g, base.join(own, ["u", "sl"]))).select("slice", F.col("u").alias("obs_id"))
 
 
 def modularity(edges: DataFrame, found: DataFrame, resolution: float = 1.0) -> DataFrame:

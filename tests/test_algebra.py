@@ -801,3 +801,61 @@ def test_local_weights_hold_a_few_rows_at_once():
     for i in (0, 1, 7, n - 1):
         alone = next(deconvolve.mixed([batch.slice(i, 1)], types, 1e-3)).column("y")[0].as_py()
         assert np.allclose(got[i], alone, rtol=0, atol=1e-12)
+
+
+def test_a_round_of_moves_shuffles_an_edge_twice(spark):
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges, nodes = community_tables(spark, [(0, 1, 1.0), (1, 2, 1.0)], 4)
+        every, base, scale = communities._numbered(edges, nodes)
+        g = communities.Graph(communities._with_degrees(every, base), scale, 1.0, 0)
+        labels = tables.written(base.selectExpr("sl", "u", "d", "u AS c"), "labels")
+        plan = communities.best_moves(g, labels)._jdf.queryExecution().executedPlan()
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+
+    def exchanges(node, above=0):
+        """How many exchanges lie over each scan of the edges."""
+        above += node.nodeName() == "Exchange"
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if not below:
+            return [above] if "w#" in node.output().mkString(",") else []
+        return [n for b in below for n in exchanges(b, above)]
+
+    assert exchanges(plan) == [2]
+
+
+def test_fuzzy_weights_are_those_of_single_rows():
+    def one(d, k):  # a row by itself
+        rho, lo, hi, goal, sigma = min(d[d > 0], default=0.0), 0.0, np.inf, np.log2(max(2, k)), 1.0
+        for _ in range(64):
+            total = np.exp(-np.maximum(d - rho, 0) / sigma).sum()
+            if abs(total - goal) < 1e-5:
+                break
+            if total > goal:
+                hi, sigma = sigma, (lo + sigma) / 2
+            else:
+                lo, sigma = sigma, sigma * 2 if hi == np.inf else (sigma + hi) / 2
+        return np.exp(-np.maximum(d - rho, 0) / max(sigma, 1e-3 * max(d.mean(), 1e-12)))
+
+    rng = np.random.default_rng(4)
+    for k in (1, 3, 10):
+        d = np.sort(rng.random((300, k)) * 10.0 ** rng.integers(-3, 3, (300, 1)), 1)
+        d[:20, : (k + 1) // 2] = 0
+        d[20:25] = 0
+        assert np.allclose(cluster.fuzzy_weights(d, 10), [one(r, 10) for r in d], rtol=1e-12, atol=0)
+
+
+def test_communities_of_many_slices_do_not_meet(spark):
+    """The same graph in two slices, ids shared: each slice has the communities that it has by itself, also a slice without a name."""
+    pairs = [(i, j, 1.0) for b in (0, 6) for i in range(b, b + 6) for j in range(i + 1, b + 6)] + [(0, 6, 1.0)]
+    edges, nodes = community_tables(spark, pairs, 13, ("a", "b"))
+    unnamed = lambda df: df.unionByName(df.where("slice = 'a'").withColumn("slice", F.lit(None).cast("string")))
+    found = communities.communities(unnamed(edges), unnamed(nodes)).toPandas()
+    for _, own in found.groupby("slice", dropna=False):
+        c = own.sort_values("obs_id")["cluster"].tolist()
+        assert len(c) == 13 and len(set(c[:6])) == len(set(c[6:12])) == 1 and sorted({c[0], c[6], c[12]}) == [0, 1, 2]
+    assert found["slice"].nunique(dropna=False) == 3
