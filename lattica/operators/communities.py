@@ -20,6 +20,16 @@ UNIT = 1 << 20
 MOVES, MERGES, LEVELS = 60, 6, 20
 #: A level is left when no more than this share of its nodes would still gain; the last moving ends when none would.
 ENOUGH = 0.2
+#: Stands for an id that is null, so that joins keep its node: the least long, which sorts first as null does.
+NO_ID = -(1 << 63)
+
+
+def _known(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(NO_ID))
+
+
+def _given(c: str) -> Column:
+    return F.when(F.col(c) != NO_ID, F.col(c))
 
 
 class Graph:
@@ -102,9 +112,9 @@ def _numbered(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame,
     """(edges sl, u, v, w with loops; nodes sl, u, d; scale sl, slice, m2) of edges slice, src, dst, w and nodes slice, obs_id."""
     slices = written(nodes.select("slice").distinct().select("slice", F.row_number().over(Window.orderBy("slice")).alias("sl")), "community-slices")  # a row a slice
     of = lambda df: df.join(F.broadcast(slices.withColumnRenamed("slice", "name")), F.col("slice").eqNullSafe(F.col("name")))
-    every = written(of(edges).select("sl", F.col("src").alias("u"), F.col("dst").alias("v"), F.round(F.col("w") * UNIT).cast("long").alias("w")).groupBy("u", "sl", "v").agg(F.sum("w").alias("w")).where("w > 0"), "community-edges")
+    every = written(of(edges).select("sl", _known("src").alias("u"), _known("dst").alias("v"), F.round(F.col("w") * UNIT).cast("long").alias("w")).groupBy("u", "sl", "v").agg(F.sum("w").alias("w")).where("w > 0"), "community-edges")
     degree = every.groupBy("u", "sl").agg(F.sum("w").alias("d"))
-    base = written(of(nodes).select("sl", F.col("obs_id").alias("u")).distinct().join(degree, ["u", "sl"], "left").select("sl", "u", F.coalesce("d", F.lit(0)).alias("d")), "community-nodes")
+    base = written(of(nodes).select("sl", _known("obs_id").alias("u")).distinct().join(degree, ["u", "sl"], "left").select("sl", "u", F.coalesce("d", F.lit(0)).alias("d")), "community-nodes")
     scale = written(base.groupBy("sl").agg(F.sum("d").alias("m2")).join(F.broadcast(slices), "sl").select("sl", "slice", "m2"), "community-scale")
     return every, base, scale
 
@@ -115,7 +125,7 @@ def _with_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
     """(slice, obs_id, cluster): communities of each slice's graph, 0.. by falling size. edges: slice, src, dst, w >= 0, in both
-    directions; nodes: slice, obs_id (not null). A node without edges is a community of its own; edges of unknown nodes are an error of
+    directions; nodes: slice, obs_id. A node without edges is a community of its own; edges of unknown nodes are an error of
     the caller. Loops count as weight of their node."""
     every, base, scale = _numbered(edges, nodes)
     whole = Graph(_with_degrees(every, base), scale, resolution, seed)
@@ -146,15 +156,15 @@ def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, see
     found = move(whole, written(found.join(base, ["u", "sl"]).select("sl", "u", "d", "c"), "community-labels"), 1000 * LEVELS)
     sizes = found.groupBy("c", "sl").agg(F.count("*").alias("n"), F.min("u").alias("first"))
     rank = F.row_number().over(Window.partitionBy("sl").orderBy(F.desc("n"), "first")) - 1
-    return whole.with_scale(found.join(sizes.select("c", "sl", rank.cast("int").alias("cluster")), ["c", "sl"])).select("slice", F.col("u").alias("obs_id"), "cluster")
+    return whole.with_scale(found.join(sizes.select("c", "sl", rank.cast("int").alias("cluster")), ["c", "sl"])).select("slice", _given("u").alias("obs_id"), "cluster")
 
 
 def improving_moves(edges: DataFrame, found: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(slice, obs_id): nodes of a partition (slice, obs_id, cluster) that would gain by moving to a neighbour's community."""
     every, base, scale = _numbered(edges, found.select("slice", "obs_id"))
-    own = found.join(F.broadcast(scale.select("sl", F.col("slice").alias("name"))), F.col("slice").eqNullSafe(F.col("name"))).select("sl", F.col("obs_id").alias("u"), F.col("cluster").cast("long").alias("c"))
+    own = found.join(F.broadcast(scale.select("sl", F.col("slice").alias("name"))), F.col("slice").eqNullSafe(F.col("name"))).select("sl", _known("obs_id").alias("u"), F.col("cluster").cast("long").alias("c"))
     g = Graph(_with_degrees(every, base), scale, resolution, 0)
-    return g.with_scale(best_moves(g, base.join(own, ["u", "sl"]))).select("slice", F.col("u").alias("obs_id"))
+    return g.with_scale(best_moves(g, base.join(own, ["u", "sl"]))).select("slice", _given("u").alias("obs_id"))
 
 
 def modularity(edges: DataFrame, found: DataFrame, resolution: float = 1.0) -> DataFrame:

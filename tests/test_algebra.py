@@ -859,3 +859,12 @@ def test_communities_of_many_slices_do_not_meet(spark):
         c = own.sort_values("obs_id")["cluster"].tolist()
         assert len(c) == 13 and len(set(c[:6])) == len(set(c[6:12])) == 1 and sorted({c[0], c[6], c[12]}) == [0, 1, 2]
     assert found["slice"].nunique(dropna=False) == 3
+
+
+def test_a_node_without_an_id_keeps_its_row(spark):
+    pairs = [(i, j, 1.0) for b in (0, 5) for i in range(b, b + 5) for j in range(i + 1, b + 5)] + [(0, 5, 0.5)]
+    edges, nodes = community_tables(spark, pairs, 11)
+    blank = lambda c: F.when(F.col(c) != 3, F.col(c)).alias(c)
+    found = communities.communities(edges.select("slice", blank("src"), blank("dst"), "w"), nodes.select("slice", blank("obs_id"))).toPandas()
+    at = {None if c != c else int(c): k for c, k in zip(found["obs_id"], found["cluster"], strict=True)}
+    assert len(found) == 11 and at[None] == at[0] == at[4] and at[5] == at[9] and len({at[0], at[5], at[10]}) == 3
