@@ -868,3 +868,51 @@ def test_a_node_without_an_id_keeps_its_row(spark):
     found = communities.communities(edges.select("slice", blank("src"), blank("dst"), "w"), nodes.select("slice", blank("obs_id"))).toPandas()
     at = {None if c != c else int(c): k for c, k in zip(found["obs_id"], found["cluster"], strict=True)}
     assert len(found) == 11 and at[None] == at[0] == at[4] and at[5] == at[9] and len({at[0], at[5], at[10]}) == 3
+
+
+@pytest.mark.parametrize("block_rows", [None, 40])
+def test_disks_equal_the_laplacian_of_edges(spark, block_rows):
+    """Two slices in one plane; some rows have no point, some points are no rows but count in degrees. No edge is listed."""
+    rng = np.random.default_rng(40)
+    n = 150
+    at = rng.integers(0, 40, (n, 2)).astype(float)
+    points = spark.createDataFrame([("a" if i % 3 else "b", i, float(at[i, 0]), float(at[i, 1])) for i in range(n) if i % 29], "slice string, obs_id long, x double, y double").withColumns({"px": F.col("x"), "py": F.col("y")})
+    rows = tables.written(spark.createDataFrame([(i, i, rng.standard_normal(4).tolist(), rng.standard_normal(4).tolist()) for i in range(n) if i % 11], "obs_id long, gid long, r array<double>, z array<double>").repartition(3), "rows")
+    own, k = row_solve.tiles(rows, points, n, block_rows)
+    own = tables.written(own, "rows")
+    disks = graphs.row_graph(points, 4.0, 2.0)
+    assert isinstance(disks, row_solve.Disks)
+    blocks = row_solve.cut_disks(own, disks, k, 1)
+    assert (blocks.members is None) == (block_rows is None) and blocks.n == k
+    edges = graphs.radius_laplacian(points, 4.0, 2.0).collect()
+    lap = np.zeros((n, n))
+    for e in edges:
+        lap[e.src, e.dst] += e.w
+    keep = [i for i in range(n) if i % 11]
+    lap = lap[np.ix_(keep, keep)]
+    held = {x.gid: x for x in rows.collect()}
+    r, z = (np.array([held[i][c] for i in keep]) for c in ("r", "z"))
+    got = {x.gid: x.z for x in row_solve.multiply(blocks, own.select("gid", "block", F.col("z").alias("y")), 4).collect()}
+    assert np.abs(np.array([got[i] for i in keep]) - lap @ z).max() < 1e-9
+    shift = np.array([0.05, 1.0, 3.0, 150.0])
+    got = {x.gid: x.z for x in row_solve.solve(blocks, own.select("gid", "block", "r", "z"), shift, 0.5).collect()}
+    want = np.stack([np.linalg.solve(shift[j] * np.eye(len(keep)) + lap, r[:, j]) for j in range(4)], 1)
+    assert len(got) == len(keep) and np.abs(np.array([got[i] for i in keep]) - want).max() < 1e-6 * np.abs(want).max()
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_disk_graph_in_bits_and_runs_equals_pairs(many, monkeypatch):
+    """Points in a lattice, some on one place, some far off, and given ones, whose rows are not in the matrix."""
+    rng = np.random.default_rng(41)
+    monkeypatch.setattr(row_solve.DiskGraph, "MANY", 0 if many else 1e9)
+    monkeypatch.setattr(row_solve.DiskGraph, "BYTES", 0 if many else 1 << 26)
+    x, y = rng.integers(0, 30, (2, 400)).astype(float)
+    x[:50], y[:50], x[50] = 3.0, 4.0, 9000.0
+    s, solved = rng.integers(-1, 3, 400), rng.random(400) < 0.8
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= np.where(s[:, None] == s, 25.0, 9.0)
+    near &= (s[:, None] >= 0) & (s >= 0)
+    np.fill_diagonal(near, False)
+    lap = (np.diag(near.sum(1)) - near) * solved[:, None]
+    g = row_solve.DiskGraph(x, y, s, 5.0, 3.0, solved)
+    v = rng.standard_normal((3, 400))
+    assert np.abs(g.times(v[:, g.order])[:, g.back] - v @ lap.T).max() < 1e-9
