@@ -59,7 +59,7 @@ def _start(rows: DataFrame, n: int, k: int, metric: str, seed: Column, kind: str
 
 
 def _meet(metric: str):
-    """For each node (m: members with id, kth, fresh, vec) the pairs of members that beat one's k-th score."""
+    """For each node (m: members with id, kth, fresh, vec) the pairs of a fresh member and another that beat one's k-th score."""
 
     def run(batches):
         for batch in batches:
@@ -68,16 +68,18 @@ def _meet(metric: str):
             ids, kth, fresh = (flat.field(c) for c in ("id", "kth", "fresh"))
             kth, fresh = kth.to_numpy(), fresh.to_numpy(zero_copy_only=False)
             vec = flat.field("vec")
-            x = scaled(vec.flatten().to_numpy().reshape(len(flat), -1), metric) if len(flat) else np.zeros((0, 1))
+            x = scaled(vec.flatten().to_numpy().reshape(len(flat), -1).astype(np.float64, copy=False), metric) if len(flat) else np.zeros((0, 1))
             at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             out = []
             for a, b in zip(at[:-1], at[1:], strict=True):
-                own = x[a:b]
-                s = scores(own, own, (own * own).sum(1), metric)
-                go = (s > kth[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b])
-                np.fill_diagonal(go, False)
-                i, j = np.nonzero(go)
-                out.append((i + a, j + a, s[i, j]))
+                own, new = x[a:b], np.flatnonzero(fresh[a:b])
+                s = scores(own[new], own, (own * own).sum(1) if metric == "euclidean" else None, metric)
+                s[np.arange(len(new)), new] = -np.inf
+                i, j = np.nonzero(s > kth[a + new, None])
+                out.append((new[i] + a, j + a, s[i, j]))
+                s[:, new] = -np.inf  # pairs of two fresh ones were met from both ends
+                i, j = np.nonzero(s > kth[None, a:b])
+                out.append((j + a, new[i] + a, s[i, j]))
             if out:
                 i, j, s = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s), pa.array(np.ones(len(i), bool))], names=["src", "dst", "score", "fresh"])
@@ -96,7 +98,10 @@ def descend(rows: DataFrame, k: int, metric: str = "cosine", width: int | None =
     width = max(k + 16, 32) if width is None else max(width, k)
     kind = rows.schema["obs_id"].dataType.simpleString()
     rows = written(rows.select("obs_id", F.col("vec").cast("array<double>").alias("vec")), "descent-rows")
-    n = rows.count()
+    # vectors of single precision are shipped as such
+    single = F.forall("vec", lambda v: v.cast("float").cast("double").eqNullSafe(v))
+    n, exact = rows.agg(F.count("*"), F.coalesce(F.min(single), F.lit(True))).first()
+    shipped = rows.select("obs_id", F.col("vec").cast("array<float>").alias("vec")) if exact else rows
     # two deals: the blocks of one alone would be islands, where no neighbour knows of another block
     first, second = (_start(rows, n, width, metric, F.lit(2 * seed + i), kind) for i in (0, 1))
     graph = written(_top(first.unionAll(second), width), "descent-graph")
@@ -104,9 +109,11 @@ def descend(rows: DataFrame, k: int, metric: str = "cosine", width: int | None =
         pick = Window.partitionBy("v").orderBy(F.xxhash64("id", F.lit(seed), F.lit(turn)), "id")
         back = graph.select(F.col("dst").alias("v"), F.col("src").alias("id"), "fresh").withColumn("n", F.row_number().over(pick)).where(F.col("n") <= width).drop("n")
         own = rows.select(F.col("obs_id").alias("v"), F.col("obs_id").alias("id"), F.lit(False).alias("fresh"))
-        members = graph.select(F.col("src").alias("v"), F.col("dst").alias("id"), "fresh").unionAll(back).unionAll(own).groupBy("v", "id").agg(F.max("fresh").alias("fresh"))
+        members = graph.select(F.col("src").alias("v"), F.col("dst").alias("id"), "fresh").unionAll(back).unionAll(own).repartition("v").groupBy("v", "id").agg(F.max("fresh").alias("fresh"))
+        # who has no fresh member would introduce nobody
+        members = members.withColumn("any", F.max("fresh").over(Window.partitionBy("v"))).where("any").drop("any")
         kth = graph.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= width, F.min("score")).alias("kth"))
-        known = rows.withColumnRenamed("obs_id", "id").join(kth, "id", "left").select("id", F.coalesce("kth", F.lit(-math.inf)).alias("kth"), "vec")
+        known = shipped.withColumnRenamed("obs_id", "id").join(kth, "id", "left").select("id", F.coalesce("kth", F.lit(-math.inf)).alias("kth"), "vec")
         met = members.join(known, "id").groupBy("v").agg(F.collect_list(F.struct("id", "kth", "fresh", "vec")).alias("m"))  # 2 width + 1 members at most
         found = met.select("m").mapInArrow(_meet(metric), f"src {kind}, dst {kind}, score double, fresh boolean")
         after = written(_top(graph.withColumn("fresh", F.lit(False)).unionAll(found), width), "descent-graph")

@@ -6,7 +6,7 @@ import pytest
 from one_task_leiden import leiden
 from pyspark.sql import functions as F
 
-from lattica.operators import cluster, communities, deconvolve, factorize, graphs, impute, linalg, metrics, mixture, nearest, preprocess, register, row_solve
+from lattica.operators import cluster, communities, deconvolve, descent, factorize, graphs, impute, linalg, metrics, mixture, nearest, preprocess, register, row_solve
 from lattica.plans import tables
 
 
@@ -916,3 +916,36 @@ def test_disk_graph_in_bits_and_runs_equals_pairs(many, monkeypatch):
     g = row_solve.DiskGraph(x, y, s, 5.0, 3.0, solved)
     v = rng.standard_normal((3, 400))
     assert np.abs(g.times(v[:, g.order])[:, g.back] - v @ lap.T).max() < 1e-9
+
+
+def test_descent_ships_only_what_can_meet(spark, monkeypatch):
+    """Nodes without a fresh member take no part in a round; vectors of single precision travel as such; results stay whole."""
+    x = np.random.default_rng(42).standard_normal((900, 6)).astype(np.float32).astype(float)
+    seen, meet = [], descent._meet
+
+    def spied(metric):
+        run = meet(metric)
+
+        def checked(batches):
+            def look():
+                for batch in batches:
+                    kind = batch.column("m").type.value_type
+                    assert kind.field("vec").type.value_type == pa.float32()
+                    assert all(any(m["fresh"] for m in node) for node in batch.column("m").to_pylist())
+                    yield batch
+
+            yield from run(look())
+
+        seen.append(1)
+        return checked
+
+    monkeypatch.setattr(descent, "_meet", spied)
+    got: dict = {}
+    for r in graphs.knn_by_descent(vec_table(spark, x), 5).collect():
+        got.setdefault(r.src, {})[r.dst] = r.score
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert len(seen) > 1 and all(abs(v - s[i, j]) < 1e-12 for i, own in got.items() for j, v in own.items())
+    assert sum(j in got[i] for i in range(900) for j in best[i].tolist()) >= 0.99 * 4500
