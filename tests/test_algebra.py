@@ -949,3 +949,24 @@ def test_descent_ships_only_what_can_meet(spark, monkeypatch):
     best = np.argsort(-s, axis=1)[:, :5]
     assert len(seen) > 1 and all(abs(v - s[i, j]) < 1e-12 for i, own in got.items() for j, v in own.items())
     assert sum(j in got[i] for i in range(900) for j in best[i].tolist()) >= 0.99 * 4500
+
+
+def test_points_take_fewer_products_and_their_graph_is_made_once(monkeypatch):
+    """What is smooth over the plane is solved for on coarse cells; sweeps and groups of columns share a worker's graph."""
+    rng = np.random.default_rng(43)
+    x, y = rng.random((2, 3000)) * 80
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 25.0
+    np.fill_diagonal(near, False)
+    lap = np.diag(near.sum(1)) - near.astype(float)
+    src, dst = np.nonzero(lap)
+    shift, rhs = np.array([0.05, 2.0]), rng.standard_normal((3000, 2)) + 5
+    counts, found = [], []
+    for graph in (row_solve.RowGraph(3000, src, dst, lap[src, dst]), row_solve.DiskGraph(x, y, np.zeros(3000, int), 5.0, 0.0)):
+        times, calls = graph.times, []
+        monkeypatch.setattr(graph, "times", lambda v, times=times, calls=calls: calls.append(1) or times(v))
+        found.append(row_solve.solve_columns(graph, shift, 0.5, rhs, np.zeros((3000, 2)))[0])
+        counts.append(len(calls))
+    assert np.abs(found[0] - found[1]).max() < 1e-5 and counts[1] < counts[0] / 2
+    row = {"block": 0, "gids": np.arange(3000).tobytes(), "hops": np.zeros(3000, np.int8).tobytes(), "a": x.tobytes(), "b": y.tobytes(), "c": np.zeros(3000, np.int32).tobytes()}
+    assert row_solve._unpacked(row, "one", (5.0, 0.0))[3] is row_solve._unpacked(row, "one", (5.0, 0.0))[3]
+    assert row_solve._unpacked(row, "two", (5.0, 0.0))[3] is row_solve._unpacked(row, "two", (5.0, 0.0))[3]
